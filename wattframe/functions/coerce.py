@@ -27,10 +27,10 @@ def number(c: Column, default: float | None = 0.0, text: bool = True, finite: bo
     if text:
         # Java's parser would also read '1.5d' and '2f' as numbers.
         value = F.when(~c.rlike(r"[0-9.][dDfF]\s*$"), value)
-    bad = F.isnan(value)
     if finite:
-        bad = bad | (F.abs(value) == float("inf"))
-    value = F.when(~bad, value)
+        value = F.when(F.abs(value) < float("inf"), value)  # NaN sorts above infinity
+    else:
+        value = F.nanvl(value, F.lit(None).cast("double"))
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 
 

@@ -13,14 +13,15 @@ from wattframe import schema as S
 from wattframe.functions.coerce import blank_to_null, number
 
 NTZ = "timestamp_ntz"
-_CLOCK = r"^\s*(\d{1,2})(?::(\d{1,2}))?"
-_ZONE = r"[0-9](Z|\s*UTC|[+-]\d{2}:?\d{2})$"
+# Hours 0-23 in one or two digits, then minutes 0-59 after a colon, or no colon and digit at all.
+_CLOCK = r"^\s*([01]\d|2[0-3]|\d(?!\d))(?::([0-5]\d|\d(?!\d))|(?!:\d))"
+_ZONED = r":\d\d.*(Z|UTC|[+-]\d\d:?\d\d)$"
 _LAST_SECOND = 253_402_300_799  # end of year 9999
 
 
-def literal(at: Column | datetime | date | str) -> Column:
+def literal(at: Column | datetime | date | str | None) -> Column:
     """A fixed moment as a column; columns pass through."""
-    return at if isinstance(at, Column) else F.lit(str(at)).cast(NTZ)
+    return at if isinstance(at, Column) else F.lit(None if at is None else str(at)).cast(NTZ)
 
 
 def _after_epoch(micros: Column) -> Column:
@@ -30,9 +31,13 @@ def _after_epoch(micros: Column) -> Column:
 def from_epoch(n: Column) -> Column:
     """Epoch number to time. Fewer than 11 digits are seconds, more are milliseconds; a number
     past year 9999 is no time at all."""
-    seconds = F.when(F.abs(n) < 1e10, n).otherwise(n / 1000.0)
-    micros = F.when(F.abs(seconds) <= _LAST_SECOND, F.rint(seconds * 1e6).cast("bigint"))
-    return _after_epoch(micros)
+    micros = F.when(F.abs(n) < 1e10, n * 1e6).when(F.abs(n) <= _LAST_SECOND * 1e3, n * 1e3)
+    return _after_epoch(F.rint(micros).cast("bigint"))
+
+
+def _iso(c: Column) -> Column:
+    """``y/m/d`` and ``m/d/y`` as ``y-m-d``."""
+    return F.regexp_replace(F.translate(F.trim(c), "/", "-"), r"^(\d\d?)-(\d\d?)-(\d{4})", "$3-$1-$2")
 
 
 def parse_time(c: Column) -> Column:
@@ -41,21 +46,19 @@ def parse_time(c: Column) -> Column:
     ISO forms with one- or two-digit fields, ``/`` for ``-``, month-first ``m/d/yyyy``, and a
     zone suffix, which is converted to UTC.
     """
-    t = F.trim(c)
-    t = F.regexp_replace(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
-    t = F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    t = F.when(t.rlike(r"^\d{4}-\d{1,2}(-|$)"), t)
+    t = _iso(c)
     zoned = _after_epoch(F.unix_micros(t.try_cast("timestamp")))
-    return F.when(t.rlike(r":.*" + _ZONE), zoned).otherwise(t.try_cast(NTZ))
+    return F.when(t.rlike(_ZONED), zoned).otherwise(t.try_cast(NTZ))
 
 
 def time_of_day(c: Column) -> Column:
     """``HH:MM`` from H, HH, H:MM, HH:MM, integers and texts with trailing noise."""
-    text = c.cast("string")
-    hours = blank_to_null(F.regexp_extract(text, _CLOCK, 1)).try_cast("int")
-    minutes = F.coalesce(blank_to_null(F.regexp_extract(text, _CLOCK, 2)).try_cast("int"), F.lit(0))
-    clock = F.concat_ws(":", _two(hours), _two(minutes))
-    return F.when((hours <= 23) & (minutes <= 59), clock)
+    return F.concat(hour_of_day(c), F.lit(":"), _two(F.regexp_extract(c.cast("string"), _CLOCK, 2)))
+
+
+def hour_of_day(c: Column) -> Column:
+    """The ``HH`` of ``time_of_day``; null for a text that holds no valid time."""
+    return _two(blank_to_null(F.regexp_extract(c.cast("string"), _CLOCK, 1)))
 
 
 def _two(n: Column) -> Column:
@@ -64,7 +67,7 @@ def _two(n: Column) -> Column:
 
 def combine(day: Column, hhmm: Column) -> Column:
     """Date text plus ``HH:MM``; null unless both are readable."""
-    return F.when(hhmm.isNotNull(), parse_time(F.concat_ws(" ", F.trim(day), hhmm)))
+    return F.concat(_iso(day), F.lit(" "), hhmm).try_cast(NTZ)
 
 
 def event_time(timestamp: Column, moment: Column, day: Column, clock: Column) -> Column:
@@ -127,8 +130,6 @@ def next_month_start(ts: Column) -> Column:
 
 def report_time(fecha_ts: Column, now: Column | datetime | str) -> Column:
     """Report time from epoch milliseconds, else the given moment."""
-    millis = number(fecha_ts.cast("string"), None)
-    micros = F.when(
-        (F.abs(millis) <= _LAST_SECOND * 1000.0) & (millis != 0), F.rint(millis * 1000.0).cast("bigint")
-    )
-    return F.coalesce(_after_epoch(micros), literal(now))
+    millis = F.nullif(number(fecha_ts.cast("string"), None), F.lit(0.0))
+    known = F.when(F.abs(millis) <= _LAST_SECOND * 1e3, F.rint(millis * 1e3).cast("bigint"))
+    return F.coalesce(_after_epoch(known), literal(now))

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattframe import schema as S
 from wattframe.operators.ranking import newest, positions
 
 
-def _running(order: str) -> Column:
-    return F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-
-
-def _following(c: str, order: str) -> Column:
-    return F.lead(c).over(Window.orderBy(order))
-
-
 def quantile(
     df: DataFrame,
     value: str = "consumo_kwh",
@@ -29,59 +23,62 @@ def quantile(
     size only suggests a narrow band around the wanted rank. Counting the rows below, in and
     above the band tells exactly which of the three holds the rank; its distinct values are
     counted, cut into equal slices, and only the slice with the rank is put in order. A poor
-    sketch costs time, never correctness. Three scans of a single column.
+    sketch costs time, never correctness. Three scans of a single column; the first two run at
+    once and bring a handful of numbers to the driver.
     """
-    rows = df.select(F.col(value).cast("double").alias("v"))
-    rows = rows.filter(F.col("v").isNotNull() & ~F.isnan("v"))
     v = F.col("v")
+    rows = df.select(F.col(value).cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan("v"))
 
     margin = 2.0 / accuracy
-    ends = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
-    sketch = rows.agg(
-        F.struct(
-            F.count("v").alias("n"), F.percentile_approx("v", ends, F.lit(accuracy)).alias("ends")
-        )
-    ).scalar()
-    wanted = F.lit(q) * (sketch["n"] - 1)
-    rank = F.floor(wanted)
-    lo, hi = sketch["ends"][0], sketch["ends"][1]
-
-    band = (v >= lo).cast("int") + (v > hi).cast("int")
-    bands = (
-        rows.groupBy(band.alias("band"))
-        .agg(F.count("v").alias("n"), F.min("v").alias("least"))
-        .select("band", "n", _running("band").alias("upto"), _following("least", "band").alias("next"))
-    )
-    chosen = bands.filter(F.col("upto") > rank).agg(
-        F.min(F.struct("band", (F.col("upto") - F.col("n")).alias("before"), "next"))
-    ).scalar()
-
-    width = F.nullif(hi - lo, F.lit(0.0))
-    cut = F.floor(F.coalesce((v - lo) / width, F.lit(0.0)) * slices)
+    ends = [max(0.0, q - margin), min(1.0, q + margin)]
+    n, edges = rows.agg(F.count("v"), F.percentile_approx("v", ends, accuracy)).first()
+    if n == 0:
+        return rows.agg(F.max("v").alias("quantile"))
+    lo, hi = edges
+    rank = math.floor(q * (n - 1))
+    weight = q * (n - 1) - rank
+
+    bands = {"below": v < lo, "inside": (v >= lo) & (v <= hi), "above": v > hi}
+    counted = rows.agg(
+        *[F.count_if(c).alias(name) for name, c in bands.items()],
+        F.min(F.when(bands["inside"], v)).alias("next_below"),
+        F.min(F.when(bands["above"], v)).alias("next_inside"),
+    ).first()
+    before = 0
+    for name, inside in bands.items():
+        if rank < before + counted[name]:
+            break
+        before += counted[name]
+    larger = counted[f"next_{name}"] if name != "above" else None
+
+    cut = F.floor((v - lo) / (hi - lo) * slices) if hi > lo else F.lit(0)
     counts = (
-        rows.filter(band == chosen["band"])
+        rows.filter(inside)
         .groupBy("v")
         .agg(F.count("v").alias("n"))
         .withColumn("slice", F.greatest(F.lit(0), F.least(F.lit(slices), cut)))
     )
-    slice_sizes = (
-        counts.groupBy("slice")
-        .agg(F.sum("n").alias("n"), F.min("v").alias("least"))
-        .select("slice", "n", _running("slice").alias("upto"), _following("least", "slice").alias("next"))
-        .withColumn("upto", F.col("upto") + chosen["before"])
-    )
-    inner = slice_sizes.filter(F.col("upto") > rank).agg(
+    sizes = counts.groupBy("slice").agg(F.sum("n").alias("n"), F.min("v").alias("least"))
+    slice_ends = sizes.select("slice", "n", *_ranks("slice", "least", before))
+    chosen = slice_ends.filter(F.col("upto") > rank).agg(
         F.min(F.struct("slice", (F.col("upto") - F.col("n")).alias("before"), "next"))
     ).scalar()
 
-    ordered = counts.filter(F.col("slice") == inner["slice"]).select(
-        "v", (_running("v") + inner["before"]).alias("upto"), _following("v", "v").alias("next")
-    )
-    at = ordered.filter(F.col("upto") > rank).agg(F.min(F.struct("v", "upto", "next")).alias("at"))
+    # The upper neighbour is the same value if enough rows share it, else the next larger one.
+    ordered = counts.select("v", "n", "slice", chosen.alias("chosen")).filter("slice = chosen.slice")
+    ranked = ordered.select("v", "chosen", *_ranks("v", "v", F.col("chosen.before")))
+    at = ranked.filter(F.col("upto") > rank).agg(F.min(F.struct("v", "upto", "next", "chosen")).alias("at"))
     found = F.col("at.v")
-    larger = F.coalesce(F.col("at.next"), inner["next"], chosen["next"], found)
-    upper = F.when(F.col("at.upto") > rank + 1, found).otherwise(larger)
-    return at.select((found + (upper - found) * (wanted - rank)).alias("quantile"))
+    follow = F.coalesce("at.next", "at.chosen.next", F.lit(larger).cast("double"), found)
+    upper = F.when(F.col("at.upto") > rank + 1, found).otherwise(follow)
+    return at.select((found + (upper - found) * weight).alias("quantile"))
+
+
+def _ranks(order: str, least: str, before: Column | int) -> list[Column]:
+    """Rows up to and including each group, ``before`` included, and the next group's least value."""
+    window = Window.orderBy(order)
+    upto = F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return [(upto + before).alias("upto"), F.lead(least).over(window).alias("next")]
 
 
 def above_quantile(

@@ -9,7 +9,7 @@ from wattframe.functions import sums, times
 from wattframe.functions.coerce import status_class
 from wattframe.operators.alerts import quantile, zscore_count
 from wattframe.operators.energy import month_energy, record_counts
-from wattframe.operators.filters import Anchor, anchored, before, current_month, trailing
+from wattframe.operators.filters import Anchor, anchored, before, current_month, newest_time, trailing
 from wattframe.operators.ranking import newest_per
 
 
@@ -85,7 +85,10 @@ def batch_cards(
     q: float = S.ALERT_QUANTILE,
 ) -> DataFrame:
     """One row: energy of the anchor's month, its values above the quantile, active readings of
-    the last 7 days. One pass besides the anchor and the quantile."""
+    the last 7 days. One pass besides the anchor and the quantile, over the month and the week
+    only."""
+    if anchor is None:
+        anchor = newest_time(df, ts)
     first = anchored(df, ts, anchor, times.month_start)
     after = anchored(df, ts, anchor, times.next_month_start)
     week = anchored(df, ts, anchor, before("7 days"))

@@ -24,6 +24,11 @@ def anchored(df: DataFrame, ts: str, anchor: Anchor, bound: Callable[[Column], C
     return bound(times.literal(anchor))
 
 
+def newest_time(df: DataFrame, ts: str = "ts") -> datetime | None:
+    """The newest time as a value, for plans that use it as an anchor more than once."""
+    return df.agg(F.max(ts)).first()[0]
+
+
 def before(interval: str) -> Callable[[Column], Column]:
     return lambda anchor: anchor - F.expr(f"INTERVAL {interval}")
 

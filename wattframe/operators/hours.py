@@ -14,9 +14,6 @@ from wattframe.operators.filters import drop_missing
 from wattframe.operators.standardise import as_time, is_text
 from wattframe.session import materialise
 
-# One choice row is a key and a short name: this many stay within a few dozen MB.
-BROADCAST_BATCHES = 200_000
-
 
 def _sources(df: DataFrame) -> dict[str, Column]:
     """Time column per available source, to the minute for ``timestamp``, to the hour otherwise."""
@@ -25,11 +22,10 @@ def _sources(df: DataFrame) -> dict[str, Column]:
         found["timestamp"] = as_time(df, "timestamp")
     for clock in ("hora_dia", "hora"):
         if "fecha" in df.columns and clock in df.columns:
-            hhmm = times.time_of_day(F.col(clock))
             day = F.col("fecha")
             if not is_text(df, "fecha"):
                 day = day.cast("date").cast("string")
-            found[f"fecha+{clock}"] = times.combine(day, F.concat(F.substring(hhmm, 1, 2), F.lit(":00")))
+            found[f"fecha+{clock}"] = times.combine(day, F.concat(times.hour_of_day(F.col(clock)), F.lit(":00")))
     return found
 
 
@@ -69,10 +65,10 @@ def with_best_time(df: DataFrame, batch: str | None = "batch_id") -> DataFrame:
     """Adds ``ts`` and ``hour_source`` by the winning source; rows it cannot date are dropped,
     and so are batches without any source.
 
-    ``batch=None`` judges the table as one batch. Otherwise the choices are computed once into
-    the shared folder and counted: up to ``BROADCAST_BATCHES`` of them are broadcast, so the
-    readings do not move; beyond that it is an ordinary join, whose hot batches adaptive
-    execution splits.
+    ``batch=None`` judges the table as one batch. Otherwise the choices, one short row per batch,
+    are first written as a table of known size: below Spark's broadcast threshold they go to the
+    readings, which then do not move; above it the join shuffles and adaptive execution splits
+    hot batches.
     """
     sources = _sources(df)
 
@@ -85,9 +81,8 @@ def with_best_time(df: DataFrame, batch: str | None = "batch_id") -> DataFrame:
         best = hour_sources(df.select(whole, *columns), "batch_id").select("source").scalar()
         dated = df.withColumn("hour_source", best).withColumn("ts", pick(F.col("hour_source")))
         return drop_missing(dated, ["ts"])
-    choices = materialise(hour_sources(df, batch).select(batch, F.col("source").alias("hour_source")))
-    if choices.limit(BROADCAST_BATCHES + 1).count() <= BROADCAST_BATCHES:
-        choices = F.broadcast(choices)
+    found = hour_sources(df, batch).filter(F.col("source").isNotNull())
+    choices = materialise(found.select(batch, F.col("source").alias("hour_source")), "hour-source")
     dated = df.join(choices, batch).withColumn("ts", pick(F.col("hour_source")))
     return drop_missing(dated, ["ts"])
 

@@ -8,7 +8,7 @@ from wattframe import schema as S
 from wattframe.functions import sums, times
 from wattframe.operators.alerts import above_quantile
 from wattframe.operators.devices import active_rows
-from wattframe.operators.filters import current_month
+from wattframe.operators.filters import current_month, newest_time
 from wattframe.operators.ranking import newest, tail_k
 from wattframe.operators.standardise import dashboard_batch, history_columns
 from wattframe.sources.readings import read_readings
@@ -35,8 +35,8 @@ def monthly(days: DataFrame, k: int = 7) -> DataFrame:
 def cards(days: DataFrame, readings: DataFrame) -> DataFrame:
     """Month energy from the day table; the newest time in it anchors the scans for the rest,
     which read the current month and the last week only."""
-    anchor = days.agg(F.max("newest")).scalar()
-    month = days.filter(F.trunc("day", "month") == F.trunc(anchor, "month"))
+    anchor = newest_time(days, "newest")
+    month = days.filter(F.trunc("day", "month") == F.trunc(times.literal(anchor), "month"))
     alerts = above_quantile(current_month(readings, "fecha", anchor)).agg(F.count("*"))
     active = active_rows(readings, "fecha", anchor=anchor)
     return month.agg(sums.refold(2).alias("consumo")).select(

@@ -16,7 +16,7 @@ from wattframe.operators import (
     alerts, devices, energy, filters, hours, ranking, scoring, standardise,
 )
 from wattframe.plans import dashboard, mining, tables
-from wattframe.session import work_dir
+from wattframe.session import materialise, work_dir
 from wattframe.sources import feed, readings as files, sinks
 from wattframe.streaming import live
 
@@ -57,7 +57,7 @@ def energy_by_weekday(spark, sf):
 
 @query
 def energy_by_labelled_weekday(spark, sf):
-    raw = mining.mining_readings(tables.raw_batch(spark, sf))
+    raw = mining.mining_readings(tables.landed(tables.raw_batch(spark, sf)))
     return energy.energy_by_weekday(raw, label="dia")
 
 
@@ -117,7 +117,8 @@ def quantile_value(spark, sf):
 
 @query
 def alert_card(spark, sf):
-    return alerts.quantile_alerts(filters.current_month(tables.readings(spark, sf)))
+    rows = tables.readings(spark, sf)
+    return alerts.quantile_alerts(filters.current_month(rows, anchor=filters.newest_time(rows)))
 
 
 @query
@@ -540,23 +541,23 @@ def renamed_history(spark, sf):
 
 @query
 def best_hour_source(spark, sf):
-    found = hours.hour_sources(tables.raw_batch(spark, sf))
+    found = hours.hour_sources(tables.landed(tables.raw_batch(spark, sf)))
     return found.select("batch_id", "source", "n_valid", _six("share_midnight").alias("share_midnight"))
 
 
 @query
 def hour_profile(spark, sf):
-    found = hours.hour_profile(tables.raw_batch(spark, sf))
+    found = hours.hour_profile(tables.landed(tables.raw_batch(spark, sf)))
     return found.select("batch_id", "hour_source", "hour", "n", _six("share").alias("share"))
 
 
 @query
 def mining_readings(spark, sf):
-    return _stamped(mining.mining_readings(tables.raw_batch(spark, sf)), "ts")
+    return _stamped(mining.mining_readings(tables.landed(tables.raw_batch(spark, sf))), "ts")
 
 
 def _cube(spark, sf) -> DataFrame:
-    return mining.energy_cube(mining.mining_readings(tables.raw_batch(spark, sf)))
+    return mining.energy_cube(mining.mining_readings(tables.landed(tables.raw_batch(spark, sf))))
 
 
 @query
@@ -576,13 +577,13 @@ def mined_top(spark, sf):
 
 @query
 def mined_summary(spark, sf):
-    rows = mining.mining_readings(tables.raw_batch(spark, sf))
+    rows = mining.mining_readings(tables.landed(tables.raw_batch(spark, sf)))
     return mining.summary(mining.energy_cube(rows), rows)
 
 
 @query
 def mined_scatter(spark, sf):
-    rows = mining.mining_readings(tables.raw_batch(spark, sf))
+    rows = mining.mining_readings(tables.landed(tables.raw_batch(spark, sf)))
     return mining.scatter(mining.sample_pool(rows))
 
 
@@ -594,13 +595,13 @@ def _dashboard(spark, sf) -> DataFrame:
     shown = raw.selectExpr(
         "id", "momento AS fecha", "consumo_kwh", "costo_mx", "upper(dia_semana) AS estado", "casa_id AS usuario"
     )
-    return standardise.dashboard_batch(files.apply_contract(shown, S.DASHBOARD, keep=("id",)))
+    return standardise.dashboard_batch(files.apply_contract(tables.landed(shown), S.DASHBOARD, keep=("id",)))
 
 
 @query
 def dashboard_cards(spark, sf):
     rows = _dashboard(spark, sf)
-    return dashboard.cards(dashboard.day_table(rows), rows)
+    return dashboard.cards(materialise(dashboard.day_table(rows)), rows)
 
 
 @query

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattframe import schema as S
+from wattframe.session import materialise
 
 _FUNCTIONS = {
     "spark": {
@@ -153,6 +154,11 @@ def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_events(spark, sf_dir, raw_batch_columns())
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """A raw table as a file at rest, as the builds would find it."""
+    return materialise(df, "raw")
+
+
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_events(spark, sf_dir, raw_feed_columns())
 

@@ -44,7 +44,6 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         named = tempfile.mkdtemp(prefix="wattframe-")
         spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -53,7 +52,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder and cut the lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Computes once into a table in the shared folder and continues from there.
+
+    Reading it back cuts the lineage, keeps column pruning and filter pushdown, and gives the
+    optimizer the table's true size.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
