@@ -112,10 +112,10 @@ def spread(df: DataFrame, value: str = "consumo_kwh") -> DataFrame:
     )
 
 
-def _z(df: DataFrame, value: str) -> tuple[Column, Column]:
-    """|z| of a value against its own table, and the table's row count."""
-    stats = spread(df, value).select(F.struct("n", "mean", "sd")).scalar()
-    return F.abs((F.col(value) - stats["mean"]) / stats["sd"]), stats["n"]
+def _z(stats: DataFrame, value: str) -> tuple[Column, Column]:
+    """|z| of a value against one row of ``n, mean, sd``, and that ``n``."""
+    known = stats.select(F.struct("n", "mean", "sd")).scalar()
+    return F.abs((F.col(value) - known["mean"]) / known["sd"]), known["n"]
 
 
 def _pool(df: DataFrame, pool: int | None, ts: str, tie: str) -> DataFrame:
@@ -130,13 +130,15 @@ def zscore_count(
     pool: int | None = None,
     ts: str = "ts",
     tie: str = "id",
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """One row ``n_anomalias``: values with |z| at or over the threshold.
 
-    0 with fewer than ``min_n`` values. ``pool`` judges the newest rows only.
+    0 with fewer than ``min_n`` values. ``pool`` judges the newest rows only. ``stats`` gives
+    ``n, mean, sd`` where they are known already.
     """
     judged = _pool(df, pool, ts, tie)
-    z, n = _z(judged, value)
+    z, n = _z(spread(judged, value) if stats is None else stats, value)
     return judged.agg(F.count_if((z >= threshold) & (n >= min_n)).alias("n_anomalias"))
 
 
@@ -154,7 +156,7 @@ def zscore_labels(
     a whole table there is no position, since numbering it would pass it through one task.
     """
     judged = _pool(df, pool, ts, tie)
-    z, _ = _z(judged, value)
+    z, _ = _z(spread(judged, value), value)
     label = F.when(F.col("z") >= threshold, F.lit("anomalo")).otherwise(F.lit("normal"))
     labelled = judged.withColumn("z", z).withColumn("etiqueta", label)
     return labelled if pool is None else positions(labelled, [F.desc(ts), F.desc(tie)])

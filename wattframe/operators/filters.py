@@ -44,9 +44,10 @@ def valid_time(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 def current_month(df: DataFrame, ts: str = "ts", anchor: Anchor = None) -> DataFrame:
     """Rows in the anchor's calendar month, as a range so that the scan can skip files."""
-    first = anchored(df, ts, anchor, times.month_start)
-    after = anchored(df, ts, anchor, times.next_month_start)
-    return df.filter((F.col(ts) >= first) & (F.col(ts) < after))
+    rows = df.filter(F.col(ts) >= anchored(df, ts, anchor, times.month_start))
+    if anchor is None:
+        return rows  # nothing is newer than the newest time
+    return rows.filter(F.col(ts) < times.next_month_start(times.literal(anchor)))
 
 
 def trailing(df: DataFrame, interval: str, ts: str = "ts", anchor: Anchor = None) -> DataFrame:

@@ -7,7 +7,7 @@ with the smallest share of hour 0 wins, in the order above on ties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattframe.functions import times
 from wattframe.operators.filters import drop_missing
@@ -90,8 +90,6 @@ def with_best_time(df: DataFrame, batch: str | None = "batch_id") -> DataFrame:
 def hour_profile(df: DataFrame, batch: str = "batch_id") -> DataFrame:
     """Rows per hour of the winning source and each hour's share of its batch."""
     counts = with_best_time(df, batch).groupBy(batch, "hour_source", F.hour("ts").alias("hour")).count()
-    per_batch = counts.groupBy(batch).agg(F.sum("count").alias("n_batch"))
-    return counts.join(per_batch, batch).select(
-        batch, "hour_source", "hour", F.col("count").alias("n"),
-        (F.col("count") / F.col("n_batch")).alias("share"),
-    )
+    # At most 24 rows per batch by now.
+    share = F.col("count") / F.sum("count").over(Window.partitionBy(batch))
+    return counts.select(batch, "hour_source", "hour", F.col("count").alias("n"), share.alias("share"))

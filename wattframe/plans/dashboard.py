@@ -12,7 +12,7 @@ from wattframe.operators.filters import current_month, newest_time
 from wattframe.operators.ranking import newest, tail_k
 from wattframe.operators.standardise import dashboard_batch, history_columns
 from wattframe.sources.readings import read_readings
-from wattframe.sources.sinks import as_series, write_result
+from wattframe.sources.sinks import as_series, kept, write_result
 
 
 def day_table(readings: DataFrame) -> DataFrame:
@@ -53,10 +53,14 @@ def history(readings: DataFrame, n: int = S.HISTORY_ROWS) -> DataFrame:
 
 
 def build(spark: SparkSession, path: str, out: str, max_batches: int = 0) -> None:
-    """Reads the file at ``path`` and replaces the four results and the day table under ``out``."""
-    readings = dashboard_batch(read_readings(spark, path, S.DASHBOARD, max_batches))
-    day_table(readings).write.mode("overwrite").parquet(f"{out}/_days")
-    days = spark.read.parquet(f"{out}/_days")
+    """Reads the file at ``path`` and replaces the four results under ``out``.
+
+    The cleaned readings and the day table are written there too and read back, so the raw text
+    is parsed once.
+    """
+    raw = read_readings(spark, path, S.DASHBOARD, max_batches)
+    readings = kept(dashboard_batch(raw), out, "_dated")
+    days = kept(day_table(readings), out, "_days")
     if days.isEmpty():
         raise ValueError("no reading has a readable date")
     write_result(cards(days, readings), out, "cards")

@@ -12,7 +12,7 @@ from wattframe.operators.hours import with_best_time
 from wattframe.operators.ranking import sample_per_batch, sample_rank, top_k
 from wattframe.operators.standardise import as_number
 from wattframe.sources.readings import apply_contract, read_readings
-from wattframe.sources.sinks import as_series, write_result
+from wattframe.sources.sinks import as_series, kept, write_result
 
 def mining_readings(df: DataFrame, batch: str | None = "batch_id") -> DataFrame:
     """Contract rows as dated readings: ``ts, dia, casa_id, consumo_kwh, costo`` and the batch.
@@ -42,12 +42,31 @@ def mining_readings(df: DataFrame, batch: str | None = "batch_id") -> DataFrame:
 def energy_cube(readings: DataFrame) -> DataFrame:
     """Rows and partial energy sums per hour, weekday and entity.
 
-    Every published total folds from this table, so the readings are scanned once for all of
-    them. It has at most 168 rows per entity.
+    Every published total folds from this table, and so do mean and deviation, so the readings
+    are scanned once for all of them. It has at most 168 rows per entity.
     """
     return readings.groupBy(
         F.hour("ts").alias("hour"), weekday_position(F.col("dia")).alias("weekday"), "casa_id"
-    ).agg(F.count("*").alias("n"), *sums.partial(F.col("consumo_kwh")))
+    ).agg(
+        F.count("*").alias("n"),
+        *sums.partial(F.col("consumo_kwh")),
+        F.avg("consumo_kwh").alias("mean"),
+        F.stddev_pop("consumo_kwh").alias("sd"),
+    )
+
+
+def cube_spread(cube: DataFrame) -> DataFrame:
+    """``n, mean, sd`` of all readings from the groups' own: a group adds its inner variance and
+    its mean's distance from the overall mean."""
+    centre = cube.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")).scalar()
+    known = cube.select("n", "mean", "sd", centre.alias("centre"))
+    distance = F.col("mean") - F.col("centre")
+    variance = F.sum(F.col("n") * (F.col("sd") * F.col("sd") + distance * distance)) / F.sum("n")
+    return known.agg(
+        F.sum("n").alias("n"),
+        F.coalesce(F.max("centre"), F.lit(0.0)).alias("mean"),
+        F.when(variance > 0, F.sqrt(variance)).otherwise(F.lit(1e-9)).alias("sd"),
+    )
 
 
 def by_hour(cube: DataFrame) -> DataFrame:
@@ -79,13 +98,24 @@ def scatter(pool: DataFrame, emit: int = S.SAMPLE_EMIT, seed: int = 42) -> DataF
     return cut.select(F.col("consumo_kwh").alias("x"), F.col("costo").alias("y"))
 
 
-def summary(cube: DataFrame, judged: DataFrame, threshold: float = S.Z_THRESHOLD) -> DataFrame:
-    """Counts from the cube, anomalies over ``judged`` (all readings, or the sample pool)."""
-    anomalies = zscore_count(judged, "consumo_kwh", threshold, S.Z_MIN_POINTS).scalar()
+def summary(cube: DataFrame, readings: DataFrame, threshold: float = S.Z_THRESHOLD) -> DataFrame:
+    """Counts and spread from the cube; one pass over the readings counts the anomalies."""
+    anomalies = zscore_count(
+        readings, "consumo_kwh", threshold, S.Z_MIN_POINTS, stats=cube_spread(cube)
+    )
+    return _summary(cube, anomalies, threshold)
+
+
+def sampled_summary(cube: DataFrame, pool: DataFrame, threshold: float = S.Z_THRESHOLD) -> DataFrame:
+    """As ``summary``, with the anomalies of the sample pool only."""
+    return _summary(cube, zscore_count(pool, "consumo_kwh", threshold, S.Z_MIN_POINTS), threshold)
+
+
+def _summary(cube: DataFrame, anomalies: DataFrame, threshold: float) -> DataFrame:
     return cube.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_registros"),
         F.count_distinct("casa_id").alias("n_municipios"),
-    ).select("*", anomalies.alias("n_anomalias"), F.lit(float(threshold)).alias("z_threshold"))
+    ).select("*", anomalies.scalar().alias("n_anomalias"), F.lit(float(threshold)).alias("z_threshold"))
 
 
 def build(
@@ -97,20 +127,22 @@ def build(
     sampled_anomalies: bool = False,
     seed: int = 42,
 ) -> None:
-    """Reads the file at ``path`` and replaces the five results and the cube under ``out``.
+    """Reads the file at ``path`` and replaces the five results under ``out``.
 
-    The cube and the sample pool are written first and read back, so each is computed once and
-    a lost executor repeats only its own part. Anomalies are counted over all readings;
-    ``sampled_anomalies`` counts them over the sample pool, as the published figure was.
+    The cleaned readings, the cube and the sample pool are written there too and read back: the
+    raw text is parsed once, later passes read narrow columns, and a lost executor repeats only
+    its own part. Anomalies are counted over all readings; ``sampled_anomalies`` counts them over
+    the sample pool, as the published figure was.
     """
-    readings = mining_readings(read_readings(spark, path, S.MINING, max_batches))
-    energy_cube(readings).write.mode("overwrite").parquet(f"{out}/_cube")
-    cube = spark.read.parquet(f"{out}/_cube")
-    sample_pool(readings, seed=seed).write.mode("overwrite").parquet(f"{out}/_sample")
-    pool = spark.read.parquet(f"{out}/_sample")
+    raw = read_readings(spark, path, S.MINING, max_batches)
+    readings = kept(mining_readings(raw), out, "_readings")
+    cube = kept(energy_cube(readings), out, "_cube")
+    pool = kept(sample_pool(readings, seed=seed), out, "_sample")
 
-    write_result(summary(cube, pool if sampled_anomalies else readings, threshold), out, "resumen")
+    counted = sampled_summary(cube, pool, threshold) if sampled_anomalies else summary(cube, readings, threshold)
+    write_result(counted, out, "resumen")
     write_result(as_series(by_hour(cube), "ord"), out, "consumo_hora")
     write_result(as_series(by_weekday(cube), "ord"), out, "consumo_dia")
     write_result(top_entities(cube), out, "top_dispositivos")
     write_result(scatter(pool, seed=seed), out, "consumo_vs_costo")
+

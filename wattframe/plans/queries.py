@@ -577,8 +577,8 @@ def mined_top(spark, sf):
 
 @query
 def mined_summary(spark, sf):
-    rows = mining.mining_readings(tables.landed(tables.raw_batch(spark, sf)))
-    return mining.summary(mining.energy_cube(rows), rows)
+    rows = materialise(mining.mining_readings(tables.landed(tables.raw_batch(spark, sf))), "readings")
+    return mining.summary(materialise(mining.energy_cube(rows), "cube"), rows)
 
 
 @query
@@ -600,8 +600,8 @@ def _dashboard(spark, sf) -> DataFrame:
 
 @query
 def dashboard_cards(spark, sf):
-    rows = _dashboard(spark, sf)
-    return dashboard.cards(materialise(dashboard.day_table(rows)), rows)
+    rows = materialise(_dashboard(spark, sf), "dated")
+    return dashboard.cards(materialise(dashboard.day_table(rows), "days"), rows)
 
 
 @query

@@ -47,6 +47,12 @@ def write_result(df: DataFrame, folder: str, name: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
 
 
+def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Replaces a working table of a build and continues from what was written."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
 def read_result(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A named result; ``FileNotFoundError`` if it was never written."""
     try:
