@@ -17,6 +17,12 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+# A plain decimal number. Checking first keeps the cast from raising and catching an exception per
+# bad value, and keeps out what Java's parser also takes: '1.5d', '2f', '0x1p3'.
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_NUMBER_OR_INFINITY = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+
+
 def number(c: Column, default: float | None = 0.0, text: bool = True, finite: bool = True) -> Column:
     """Numeric coercion; unreadable, empty and NaN become ``default``.
 
@@ -25,11 +31,10 @@ def number(c: Column, default: float | None = 0.0, text: bool = True, finite: bo
     """
     value = c.try_cast("double")
     if text:
-        # Java's parser would also read '1.5d' and '2f' as numbers.
-        value = F.when(~c.rlike(r"[0-9.][dDfF]\s*$"), value)
+        value = F.when(c.rlike(_NUMBER if finite else _NUMBER_OR_INFINITY), value)
     if finite:
-        value = F.when(F.abs(value) < float("inf"), value)  # NaN sorts above infinity
-    else:
+        value = value % float("inf")  # itself, or NaN for an infinity
+    if finite or not text:
         value = F.nanvl(value, F.lit(None).cast("double"))
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 

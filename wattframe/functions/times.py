@@ -15,7 +15,7 @@ from wattframe.functions.coerce import blank_to_null, number
 NTZ = "timestamp_ntz"
 # Hours 0-23 in one or two digits, then minutes 0-59 after a colon, or no colon and digit at all.
 _CLOCK = r"^\s*([01]\d|2[0-3]|\d(?!\d))(?::([0-5]\d|\d(?!\d))|(?!:\d))"
-_ZONED = r":\d\d.*(Z|UTC|[+-]\d\d:?\d\d)$"
+_ZONE = r"(Z|UTC|[+-]\d\d:?\d\d)$"
 _LAST_SECOND = 253_402_300_799  # end of year 9999
 
 
@@ -30,14 +30,17 @@ def _after_epoch(micros: Column) -> Column:
 
 def from_epoch(n: Column) -> Column:
     """Epoch number to time. Fewer than 11 digits are seconds, more are milliseconds; a number
-    past year 9999 is no time at all."""
+    past year 9999, an infinity or NaN is no time at all."""
     micros = F.when(F.abs(n) < 1e10, n * 1e6).when(F.abs(n) <= _LAST_SECOND * 1e3, n * 1e3)
     return _after_epoch(F.rint(micros).cast("bigint"))
 
 
 def _iso(c: Column) -> Column:
-    """``y/m/d`` and ``m/d/y`` as ``y-m-d``."""
-    return F.regexp_replace(F.translate(F.trim(c), "/", "-"), r"^(\d\d?)-(\d\d?)-(\d{4})", "$3-$1-$2")
+    """``y/m/d`` and ``m/d/y`` as ``y-m-d``; the usual ``yyyy-`` texts pass without a pattern."""
+    t = F.trim(c)
+    dashed = F.replace(t, F.lit("/"), F.lit("-"))
+    turned = F.regexp_replace(dashed, r"^(\d\d?)-(\d\d?)-(\d{4})", "$3-$1-$2")
+    return F.when(F.substring(t, 5, 1) == "-", t).otherwise(turned)
 
 
 def parse_time(c: Column) -> Column:
@@ -48,17 +51,19 @@ def parse_time(c: Column) -> Column:
     """
     t = _iso(c)
     zoned = _after_epoch(F.unix_micros(t.try_cast("timestamp")))
-    return F.when(t.rlike(_ZONED), zoned).otherwise(t.try_cast(NTZ))
+    has_zone = c.contains(":") & F.right(F.rtrim(c), F.lit(6)).rlike(_ZONE)
+    return F.when(has_zone, zoned).otherwise(t.try_cast(NTZ))
 
 
 def time_of_day(c: Column) -> Column:
     """``HH:MM`` from H, HH, H:MM, HH:MM, integers and texts with trailing noise."""
-    return F.concat(hour_of_day(c), F.lit(":"), _two(F.regexp_extract(c.cast("string"), _CLOCK, 2)))
+    hours, minutes = hour_digits(c), F.regexp_extract(c.cast("string"), _CLOCK, 2)
+    return F.when(hours != "", F.concat(_two(hours), F.lit(":"), _two(minutes)))
 
 
-def hour_of_day(c: Column) -> Column:
-    """The ``HH`` of ``time_of_day``; null for a text that holds no valid time."""
-    return _two(blank_to_null(F.regexp_extract(c.cast("string"), _CLOCK, 1)))
+def hour_digits(c: Column) -> Column:
+    """The hour of ``time_of_day`` as written, empty for a text that holds no valid time."""
+    return F.regexp_extract(c.cast("string"), _CLOCK, 1)
 
 
 def _two(n: Column) -> Column:
@@ -75,10 +80,8 @@ def event_time(timestamp: Column, moment: Column, day: Column, clock: Column) ->
 
     An empty field counts as absent, so the next one is tried.
     """
-    epoch = from_epoch(number(blank_to_null(timestamp), None))
-    hhmm = F.substring(clock, 1, 5)
-    paired = F.when(hhmm.rlike(r"^\d{2}:\d{2}$"), combine(blank_to_null(day), hhmm))
-    return F.coalesce(epoch, parse_time(blank_to_null(moment)), paired)
+    paired = F.when(clock.rlike(r"^\d\d:\d\d"), combine(day, F.substring(clock, 1, 5)))
+    return F.coalesce(from_epoch(number(timestamp, None)), parse_time(moment), paired)
 
 
 def weekday_of(ts: Column) -> Column:
@@ -96,8 +99,9 @@ def weekday_label(label: Column | None, ts: Column) -> Column:
     plain = str.maketrans(_ACCENTS, _PLAIN)
     pairs = [(d.translate(plain), d) for d in S.WEEKDAYS] + list(zip(S.WEEKDAYS_EN, S.WEEKDAYS))
     known = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    key = F.translate(F.lower(F.trim(label)), _ACCENTS, _PLAIN)
-    return F.coalesce(F.try_element_at(known, key), weekday_of(ts))
+    key = F.lower(F.trim(label))
+    bare = F.translate(key, _ACCENTS, _PLAIN)
+    return F.coalesce(F.try_element_at(known, key), F.try_element_at(known, bare), weekday_of(ts))
 
 
 def hour_label(ts: Column) -> Column:
@@ -105,11 +109,11 @@ def hour_label(ts: Column) -> Column:
 
 
 def day_label(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    return ts.cast("date").cast("string")
 
 
 def month_label(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    return F.substring(day_label(ts), 1, 7)
 
 
 def second_label(ts: Column) -> Column:

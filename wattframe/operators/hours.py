@@ -25,7 +25,7 @@ def _sources(df: DataFrame) -> dict[str, Column]:
             day = F.col("fecha")
             if not is_text(df, "fecha"):
                 day = day.cast("date").cast("string")
-            found[f"fecha+{clock}"] = times.combine(day, F.concat(times.hour_of_day(F.col(clock)), F.lit(":00")))
+            found[f"fecha+{clock}"] = times.combine(day, F.concat(times.hour_digits(F.col(clock)), F.lit(":00")))
     return found
 
 

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot never compiles methods over 8000 bytes; larger generated stages run better split.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
