@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattframe import schema as S
+from wattframe.session import materialise
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -20,8 +21,14 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int
 
 
 def newest_per(df: DataFrame, key: str = "device_id", ts: str = "ts", tie: str = "id") -> DataFrame:
-    """Each device's newest reading; equal times go to the larger id."""
-    return first_per_group(df, [key], [F.desc(ts), F.desc(tie)])
+    """Each device's newest reading; equal times go to the larger id.
+
+    An aggregate rather than a ranking: every task sends one row per device, however many
+    readings a hot device has.
+    """
+    rest = [c for c in df.columns if c != key]
+    newest_row = F.max_by(F.struct(*rest), F.struct(ts, tie)).alias("_row")
+    return df.groupBy(key).agg(newest_row).select(*[key if c == key else F.col(f"_row.{c}") for c in df.columns])
 
 
 def newest_first(df: DataFrame, ts: str = "ts", tie: str = "id") -> DataFrame:
@@ -110,15 +117,25 @@ def sample_per_batch(
 ) -> DataFrame:
     """Up to ``per_batch`` rows of every batch without replacement, then ``cap`` overall.
 
-    The rank is a hash, so the same seed picks the same rows on any partitioning. Batches are
-    first cut within ``spread`` parts, so that a batch holding much of the data does not meet in
-    one task; the cut in parts keeps every row the final cut can choose.
+    The rank is a hash, so the same seed picks the same rows on any partitioning. Counting rows
+    by the first two digits of the hash tells exactly, per batch, after which digits enough rows
+    have come; only rows up to there are ranked, so a batch is never sorted as a whole. They are
+    cut within ``spread`` parts first, so that a hot batch does not meet in one task either; the
+    cut in parts keeps every row the final cut can choose.
     """
-    ranked = df.withColumn("_hash", sample_rank(F.col(key), seed)).withColumn(
-        "_part", F.pmod(F.xxhash64(key), F.lit(spread))
-    )
+    ranked = df.withColumns({
+        "_hash": sample_rank(F.col(key), seed),
+        "_part": F.pmod(F.xxhash64(key), F.lit(spread)),
+    }).withColumn("_head", F.substring("_hash", 1, 2))
+
+    heads = ranked.groupBy(F.col(batch).alias("_batch"), "_head").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("_batch").orderBy("_head"))
+    needed = heads.select("_batch", "_head", (upto - F.col("n")).alias("before")).filter(F.col("before") < per_batch)
+    last = materialise(needed.groupBy("_batch").agg(F.max("_head").alias("_last")), "sample-cut")
+    near = ranked.join(last, F.col(batch).eqNullSafe(F.col("_batch"))).filter(F.col("_head") <= F.col("_last"))
+
     order = [F.col("_hash"), F.col(key)]
-    parts = first_per_group(ranked, [batch, "_part"], order, per_batch)
+    parts = first_per_group(near.select(*df.columns, "_hash", "_part"), [batch, "_part"], order, per_batch)
     whole = first_per_group(parts, [batch], order, per_batch)
     return whole.orderBy(*order).limit(cap).drop("_hash", "_part")
 
