@@ -61,6 +61,13 @@ def test_zscores(spark):
     assert stats.sd == pytest.approx(np.std([1.0, 2.0] * 14 + [100.0]))
 
 
+def test_zscores_skip_nan(frame):
+    rows = [(1.0,), (2.0,)] * 20 + [(float("nan"),), (None,), (100.0,)]
+    df = frame(rows, "consumo_kwh double")
+    assert alerts.zscore_count(df).first()[0] == 1
+    assert alerts.spread(df).first().n == 41
+
+
 def test_zscore_pool_has_positions(spark):
     df = _values(spark, [1.0, 2.0] * 50 + [100.0]).withColumn("ts", F.timestamp_seconds("id"))
     rows = alerts.zscore_labels(df, pool=20).orderBy("position").collect()

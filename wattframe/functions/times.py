@@ -117,7 +117,7 @@ def month_label(ts: Column) -> Column:
 
 
 def second_label(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    return F.substring(ts.cast("string"), 1, 19)
 
 
 def or_dash(label: Column) -> Column:

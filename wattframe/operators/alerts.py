@@ -102,12 +102,18 @@ def quantile_approx(
     return df.agg(F.percentile_approx(value, q, accuracy).alias("quantile"))
 
 
+def _real(value: str) -> Column:
+    return F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+
+
 def spread(df: DataFrame, value: str = "consumo_kwh") -> DataFrame:
-    """One row ``n, mean, sd`` (population); a zero deviation becomes 1e-9 so z stays defined."""
-    sd = F.stddev_pop(value)
+    """One row ``n, mean, sd`` (population) of the known values; a zero deviation becomes 1e-9 so
+    z stays defined."""
+    v = _real(value)
+    sd = F.stddev_pop(v)
     return df.agg(
-        F.count(value).alias("n"),
-        F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"),
+        F.count(v).alias("n"),
+        F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"),
         F.when(sd > 0, sd).otherwise(F.lit(1e-9)).alias("sd"),
     )
 
@@ -115,7 +121,7 @@ def spread(df: DataFrame, value: str = "consumo_kwh") -> DataFrame:
 def _z(stats: DataFrame, value: str) -> tuple[Column, Column]:
     """|z| of a value against one row of ``n, mean, sd``, and that ``n``."""
     known = stats.select(F.struct("n", "mean", "sd")).scalar()
-    return F.abs((F.col(value) - known["mean"]) / known["sd"]), known["n"]
+    return F.abs((_real(value) - known["mean"]) / known["sd"]), known["n"]
 
 
 def _pool(df: DataFrame, pool: int | None, ts: str, tie: str) -> DataFrame:

@@ -39,6 +39,13 @@ def _read_version(spark: SparkSession, folder: str, batch_id: int, like: DataFra
     return spark.read.schema(like.schema).parquet(_version(folder, batch_id))
 
 
+def _drop_version(spark: SparkSession, folder: str, batch_id: int) -> None:
+    """Removes a view that no batch needs any more; a repeated batch ``k`` reads ``k - 1`` at most."""
+    if batch_id >= 0:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_version(folder, batch_id))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _start(
     stream: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, mode: str, once: bool
 ) -> StreamingQuery:
@@ -61,7 +68,7 @@ def last_n_view(
     """Keeps the newest ``n`` records of the stream under ``folder/view``.
 
     Each batch is cut to its own newest ``n`` and merged with the stored view, so state stays at
-    ``n`` rows however long the stream runs. With ``value`` the z-score alerts among the newest
+    ``n`` rows however long the stream runs; the last two versions stay. With ``value`` the z-score alerts among the newest
     ``pool`` of the view are kept under ``folder/alerts``.
     """
     view, alerts = f"{folder}/view", f"{folder}/alerts"
@@ -74,6 +81,8 @@ def last_n_view(
             kept = _read_version(batch.sparkSession, view, batch_id, batch)
             counted = zscore_count(kept, value, threshold, 0, pool, ts, tie)
             counted.write.mode("overwrite").parquet(_version(alerts, batch_id))
+            _drop_version(batch.sparkSession, alerts, batch_id - 2)
+        _drop_version(batch.sparkSession, view, batch_id - 2)
 
     return _start(stream, merge, folder, "append", once)
 
