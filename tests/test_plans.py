@@ -5,30 +5,19 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
-from wattframe.operators import alerts, devices, energy, filters, ranking
-from wattframe.plans import queries, tables
+from conftest import SF_SMALL, plan
+from wattframe.operators import alerts, devices, energy, filters, ranking, standardise
+from wattframe.plans import tables
+from wattframe.sources import feed
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tables")
 
 
-def plan(df, mode: str = "formatted") -> str:
-    modes = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
-    return df._jdf.queryExecution().explainString(modes.fromString(mode))
-
-
 @pytest.fixture(scope="module")
 def readings(spark):
     return tables.readings(spark, SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"model_scores"}))
-def test_no_python_workers_and_no_cross_joins(spark, name):
-    text = plan(queries.QUERIES[name](spark, SF_SMALL))
-    for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert node not in text
-
-
 def test_totals_are_hash_aggregates_over_two_columns(readings):
     text = plan(energy.energy_by_hour(readings))
     assert "HashAggregate" in text and "SortAggregate" not in text
@@ -82,3 +71,9 @@ def test_next_reading_moves_the_readings_once(readings):
 
 def test_activity_reads_the_window_only(readings):
     assert "GreaterThanOrEqual(ts,ScalarSubquery" in plan(devices.active_devices(readings), "simple")
+
+
+def test_feed_records_are_parsed_once(frame):
+    raw = frame([('{"timestamp": 1700000000}',)], "value string")
+    text = plan(standardise.dashboard_readings(feed.parse_feed(raw)))
+    assert text.split("== Physical Plan ==")[1].count("from_json") == 1

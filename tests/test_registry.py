@@ -3,16 +3,22 @@ import sys
 
 import pytest
 
-from conftest import SF_SMALL
+from conftest import SF_SMALL, plan
 
 import __spark_entry__ as entry
 
 sys.path.insert(0, os.path.join(os.path.dirname(entry.__file__), "tools"))
 
-from check import compare, connect  # noqa: E402
+from check import compare_result, connect  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tables")
 
+# Python workers and joins without keys have no place in any query.
+UNWANTED = (
+    "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct",
+    "BroadcastNestedLoopJoin",
+)
+
 
 @pytest.fixture(scope="module")
 def db():
@@ -21,7 +27,9 @@ def db():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_its_sql(spark, db, name):
-    assert compare(spark, db, name, SF_SMALL) == []
+    result = entry.queries()[name](spark, SF_SMALL)
+    assert compare_result(result, db, name) == []
+    assert [node for node in UNWANTED if node in plan(result)] == []
 
 
 def test_every_sql_has_a_query():

@@ -168,7 +168,8 @@ def test_feed_records(spark, frame):
     raw = frame([('{"id": "k1", "timestamp": 1700000000, "active_power": -12.5, "extra": {}}',), ("not json",), ("{}",)], "value string")
     rows = feed.parse_feed(raw).collect()
     assert (rows[0].id, rows[0].timestamp, rows[0].active_power, rows[0].estado) == ("k1", "1700000000", "-12.5", None)
-    assert rows[1].id is None and rows[2].id is None
+    assert len(rows) == 3 and rows[1].id is None and rows[2].id is None
+    assert feed.parse_feed(frame([(None,)], "value string")).count() == 1
     readings = standardise.dashboard_readings(feed.parse_feed(raw)).collect()
     assert [(r.fecha, r.device_id, r.consumo, r.estado) for r in readings] == [("2023-11-14", "Smart Plug", 12.5, "activo")]
 

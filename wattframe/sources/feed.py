@@ -11,9 +11,13 @@ from wattframe.functions.coerce import number
 
 
 def parse_feed(df: DataFrame, raw: str = "value") -> DataFrame:
-    """JSON text to feed records; a field that is absent, or a record that is no JSON, is null."""
+    """JSON text to feed records; a field that is absent, or a record that is no JSON, is null.
+
+    ``inline`` keeps later filters above the parsing, so each record is parsed once and not once
+    per field a filter looks at.
+    """
     keep = [c for c in df.columns if c != raw and c not in S.FEED.names]
-    return df.select(*keep, F.from_json(raw, S.FEED).alias("_r")).select(*keep, "_r.*")
+    return df.select(*keep, F.inline(F.array(F.from_json(raw, S.FEED))))
 
 
 def json_field(raw: str, name: str):
