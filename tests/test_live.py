@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from wattframe.operators import alerts, devices, energy, ranking
+from wattframe.operators import alerts, devices, energy, ranking, standardise
+from wattframe.sources import feed
 from wattframe.streaming import live
 
 SCHEMA = "id bigint, ts timestamp_ntz, device_id string, estado string, consumo_kwh double"
@@ -97,3 +98,17 @@ def test_redelivered_records_count_once(spark, landing, tmp_path):
     out = str(tmp_path / "out")
     live.append_stream(live.deduplicated(_stream(spark, path)), out).awaitTermination()
     assert _set(spark.read.parquet(f"{out}/table"), "id") == _set(whole, "id")
+
+
+def test_raw_json_lines_to_the_live_view(spark, tmp_path):
+    path, out = tmp_path / "lines", str(tmp_path / "out")
+    path.mkdir()
+    for part in range(3):
+        lines = [f'{{"id": "{part}-{i}", "timestamp": {1700000000 + 60 * i + part}, "active_power": -{i}}}' for i in range(20)]
+        (path / f"{part}.json").write_text("\n".join(lines + ["not json"]))
+    text = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(path))
+    readings = standardise.dashboard_readings(feed.parse_feed(text))
+    live.last_n_view(readings, out, 10, value="consumo").awaitTermination()
+    view = live.read_latest(spark, f"{out}/view").collect()
+    assert {r.id for r in view} == {f"{p}-{i}" for p in range(3) for i in (17, 18, 19)} | {"2-16"}
+    assert max(r.consumo for r in view) == 19.0 and {r.estado for r in view} == {"activo"}

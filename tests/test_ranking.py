@@ -60,6 +60,20 @@ def test_next_reading_keeps_null_values(frame):
     assert got == {1: (3.0, 2.0), 2: (None, None)}
 
 
+def test_next_reading_needs_entity_and_time(frame):
+    rows = [(1, START, None, 1.0, 1.0), (2, START, None, 2.0, 1.0), (3, None, "a", 3.0, 1.0),
+            (4, START, "a", 4.0, 1.0), (5, None, "a", 5.0, 1.0)]
+    df = frame(rows, "id int, ts timestamp_ntz, casa_id string, consumo_kwh double, costo double")
+    got = {r.id: r.consumo_next for r in ranking.next_reading(df).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: None, 5: None}
+
+
+def test_sample_keeps_rows_without_a_batch(frame):
+    df = frame([(i, None if i % 3 else "b") for i in range(30)], "id int, batch_id string")
+    pool = ranking.sample_per_batch(df, per_batch=15)
+    assert {r.batch_id: r["count"] for r in pool.groupBy("batch_id").count().collect()} == {None: 15, "b": 10}
+
+
 def test_sample_is_bounded_and_repeatable(readings):
     batched = readings.withColumn("batch_id", F.to_date("ts").cast("string"))
     pool = ranking.sample_per_batch(batched, per_batch=100)

@@ -64,6 +64,14 @@ def test_defaults_fill_absent_columns(spark, frame):
     assert (row.dispositivo, row.usuario, row.estado, row.costo_mx) == ("Smart Plug", "—", "activo", 0.0)
 
 
+def test_missing_texts_in_csv(spark, tmp_path):
+    path = tmp_path / "gaps.csv"
+    path.write_text('fecha,consumo_kwh,estado\n2024-01-05,NaN,activo\n2024-01-06,"",null\n2024-01-07,1,NA\n2024-01-08,x,ok\n')
+    df = files.read_readings(spark, str(path), S.DASHBOARD)
+    rows = standardise.dashboard_batch(df).orderBy("fecha").collect()
+    assert [(r.fecha.day, r.consumo_kwh, r.estado) for r in rows] == [(7, 1.0, "activo"), (8, 0.0, "ok")]
+
+
 def test_header_names_are_trimmed(spark, tmp_path):
     path = tmp_path / "padded.csv"
     path.write_text("fecha , consumo_kwh\n2024-01-05,1\n")

@@ -153,7 +153,8 @@ def next_reading(
     ``values`` maps source columns to target names. One entity may own a large part of all
     readings, so the window runs per entity *and* ``span`` of time; the last reading of a span
     then takes its target from the entity's next span that has any. That second window sees one
-    row per entity and span only. The newest reading of an entity has null targets.
+    row per entity and span only. The newest reading of an entity has null targets, and so has a
+    reading without entity or time.
     """
     values = values or {"consumo_kwh": "consumo_next", "costo": "costo_next"}
     spanned = df.withColumn("_span", F.date_trunc(span, ts))
@@ -167,5 +168,6 @@ def next_reading(
     later = firsts.select(entity, "_span", F.lead("_first").over(across).alias("_later"))
 
     joined = chained.join(later, [entity, "_span"], "left")
-    follow = F.coalesce("_next", "_later")
+    placed = F.col(entity).isNotNull() & F.col(ts).isNotNull()
+    follow = F.when(placed, F.coalesce("_next", "_later"))
     return joined.select(*df.columns, *[follow[n].alias(n) for n in values.values()])

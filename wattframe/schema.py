@@ -69,6 +69,13 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+# Texts that stand for a missing field in a CSV file.
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+
 # Live records are schemaless JSON: every field optional, every field text until coerced.
 FEED = _strings(
     "id", "timestamp", "datetime", "fecha", "hora", "consumo_kwh", "active_power", "consumo",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattframe.schema import Contract
+from wattframe.schema import MISSING_TEXTS, Contract
 
 
 def _read(spark: SparkSession, paths: str | list[str], fmt: str) -> DataFrame:
@@ -56,10 +56,15 @@ def read_readings(
 ) -> DataFrame:
     """Readings under a contract, each row tagged with its ``batch_id`` (the file it is in).
 
-    ``max_batches`` reads only the first so many files in name order; 0 reads all.
+    ``max_batches`` reads only the first so many files in name order; 0 reads all. In CSV files
+    the usual texts for a missing field (empty, NA, NaN, null ...) become null.
     """
     df, fmt = scan(spark, path)
     if max_batches > 0:
         df = _read(spark, sorted(df.inputFiles())[:max_batches], fmt)
     tagged = df.select("*", F.col("_metadata.file_path").alias("batch_id"))
-    return apply_contract(tagged, contract, keep=("batch_id",))
+    kept = apply_contract(tagged, contract, keep=("batch_id",))
+    if fmt != "csv":
+        return kept
+    read = [c for c in kept.columns if c in {name.strip() for name in df.columns}]
+    return kept.withColumns({c: F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)) for c in read})
