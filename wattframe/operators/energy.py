@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattframe import schema as S
 from wattframe.functions import sums, times
-from wattframe.functions.coerce import capitalised
 from wattframe.operators.filters import Anchor, current_month
 from wattframe.operators.ranking import tail_k
 
