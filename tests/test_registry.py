@@ -6,6 +6,8 @@ import pytest
 from conftest import SF_SMALL, plan
 
 import __spark_entry__ as entry
+from wattframe.plans.oracles import ORACLES
+from wattframe.plans.queries import QUERIES
 
 sys.path.insert(0, os.path.join(os.path.dirname(entry.__file__), "tools"))
 
@@ -25,7 +27,7 @@ def db():
     return connect(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, db, name):
     result = entry.queries()[name](spark, SF_SMALL)
     assert compare_result(result, db, name) == []
@@ -33,6 +35,7 @@ def test_query_equals_its_sql(spark, db, name):
 
 
 def test_every_sql_has_a_query():
+    assert set(ORACLES) <= set(QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

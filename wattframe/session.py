@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,15 +36,14 @@ def build_session(app: str = "wattframe", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a temporary folder; a cluster session without it
-    is refused, because a folder on one machine would be lost with that machine.
+    A local session without that setting works below its own ``spark.sql.warehouse.dir``. A cluster
+    session without it is refused: a folder on one machine would be lost with that machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="wattframe-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return named.rstrip("/")
 
 
