@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wattframe.llm import substrings
+from wattframe.llm import runindex, substrings
 
 QUERIES = {
+    "op1_suffix_array_dedup": runindex.op1_suffix_array_dedup,
     "op4_substring_dedup": substrings.op4_substring_dedup,
 }
 
