@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wattframe.llm import pieces, runindex, substrings
+from wattframe.llm import pieces, runindex, shards, substrings
 
 QUERIES = {
     "op1_suffix_array_dedup": runindex.op1_suffix_array_dedup,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op10_sharding": shards.op10_sharding,
 }
 
 ORACLES: dict[str, str] = {}
