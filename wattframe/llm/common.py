@@ -213,31 +213,65 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[at], e[np.append(at[1:], len(s)) - 1]
 
 
-def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every row with ``spans``: a list of the packed (start, end) int32 pairs found for its key."""
-    found = spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
-    return rows.join(found, ["k1", "k2"], "left")
+def mark_rows(k1: np.ndarray, k2: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> tuple[pa.Array, pa.Array]:
+    """Columns ``part, marks``: the intervals of rows, packed by a hash of the row's key."""
+    part = (mix(k1.astype(np.uint64) * np.uint64(_BASE) ^ k2.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    packs = []
+    for a, b in zip(at, np.append(at[1:], len(order))):
+        o = order[a:b]
+        packs.append(b"".join([k1[o].astype(np.int64).tobytes(), k2[o].astype(np.int64).tobytes(),
+                               start[o].astype(np.int32).tobytes(), end[o].astype(np.int32).tobytes()]))
+    return pa.array(part[at], pa.int32()), pa.array(packs, pa.binary())
+
+
+def _per_row(batches):
+    held = [pack for batch in batches for pack in batch.column(1).to_pylist()]
+    if not held:
+        return
+    cols = [[], [], [], []]
+    for pack in held:
+        n = len(pack) // 24
+        for out, kind, at in zip(cols, (np.int64, np.int64, np.int32, np.int32), (0, 8 * n, 16 * n, 20 * n)):
+            out.append(np.frombuffer(pack, kind, n, at))
+    del held
+    k1, k2, start, end = (np.concatenate(c) for c in cols)
+    order = np.lexsort((start, k2, k1))
+    k1, k2, start, end = k1[order], k2[order], start[order], end[order]
+    new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
+    # Intervals of all rows on one line, a row's own after the one before it, merge at once.
+    row = np.cumsum(new) - 1
+    wide = int(end.max()) + 2
+    s, e = merged(row * wide + start, row * wide + end)
+    pairs = np.empty((len(s), 2), np.int32)
+    pairs[:, 0], pairs[:, 1] = s % wide, (s % wide) + (e - s)
+    cut = np.searchsorted(s // wide, np.arange(row[-1] + 2))
+    heads = np.flatnonzero(new)
+    raw = pairs.tobytes()
+    for a in range(0, len(heads), 10_000):
+        own = range(a, min(a + 10_000, len(heads)))
+        h = heads[a : a + 10_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(k1[h]), pa.array(k2[h]), pa.array([raw[8 * cut[i] : 8 * cut[i + 1]] for i in own], pa.binary())],
+            ["k1", "k2", "spans"],
+        )
+
+
+def gathered(marks: DataFrame, parts: int) -> DataFrame:
+    """From ``part, marks``: one record ``k1, k2, spans`` per row, with its packed, merged intervals."""
+    return marks.repartition(parts, "part").mapInArrow(_per_row, "k1 long, k2 long, spans binary")
 
 
-def unpack(spans: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2).astype(np.int64)
-    return merged(pairs[:, 0], pairs[:, 1])
+def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Every row with the ``spans`` found for its key, or null."""
+    return rows.join(spans, ["k1", "k2"], "left")
 
 
-def pack_by_row(k1: np.ndarray, k2: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """One record per key with its intervals packed."""
-    order = np.lexsort((start, k2, k1))
-    k1, k2 = k1[order], k2[order]
-    pairs = np.empty((len(order), 2), np.int32)
-    pairs[:, 0], pairs[:, 1] = start[order], end[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-    at = np.flatnonzero(new)
-    offsets = np.append(at, len(order)).astype(np.int32) * 8
-    span_col = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(pairs)])
-    return pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), span_col], ["k1", "k2", "span"])
+def unpack(spans: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.frombuffer(spans or b"", np.int32).reshape(-1, 2).astype(np.int64)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def count_words(text: Column) -> Column:

@@ -36,7 +36,8 @@ from wattframe.llm import common as C, sketch
 
 WIDTH = 200
 GRAM = 32
-_FLUSH = 8 << 20
+_FLUSH = 32 << 20
+_MARKS = 1 << 19
 
 
 # --- the index ---------------------------------------------------------------------------------
@@ -238,7 +239,7 @@ def _candidates(table, width: int, buckets: int):
                 found.setdefault((a, buffer[s:e]), []).append((d, p))
                 held += 16
             rows_held += rows.num_rows
-            if held + 400 * len(found) >= _FLUSH * 8:
+            if held + 400 * len(found) >= _FLUSH:
                 yield from flush(found, keys)
                 found, keys, rows_held, held = {}, [], 0, 0
         if found:
@@ -247,7 +248,7 @@ def _candidates(table, width: int, buckets: int):
     return run
 
 
-def _indexed(width: int):
+def _indexed(width: int, parts: int):
     """Marks the repeated stretches of each bucket's pieces at all their places."""
 
     def close(packs):
@@ -280,41 +281,45 @@ def _indexed(width: int):
                 t = np.append(h[1:], len(at)) - 1
                 own.append(shared[which[h]]), lo.append(offset[h]), hi.append(offset[t] + width)
         own, lo, hi = (np.concatenate(x) for x in (own, lo, hi))
-        if not len(own):
-            return
         by = np.argsort(own, kind="stable")
         own, lo, hi = own[by], lo[by], hi[by]
         a, b = np.searchsorted(own, piece, "left"), np.searchsorted(own, piece, "right")
         times = b - a
         place = np.repeat(np.arange(len(piece)), times)
         stretch = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(a, times)
-        if len(place):
-            yield C.pack_by_row(k1[place], k2[place], start[place] + lo[stretch], start[place] + hi[stretch])
+        return k1[place], k2[place], start[place] + lo[stretch], start[place] + hi[stretch]
 
     def run(batches):
-        bucket, packs = None, []
+        bucket, packs, held, n = None, [], [], 0
+        names = ["part", "marks"]
         for batch in batches:
             for b, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if b != bucket and packs:
-                    yield from close(packs)
+                    held.append(close(packs))
+                    n += len(held[-1][0])
                     packs = []
+                    if n >= _MARKS:
+                        yield pa.RecordBatch.from_arrays(C.mark_rows(*map(np.concatenate, zip(*held)), parts), names)
+                        held, n = [], 0
                 bucket = b
                 packs.append(pack)
         if packs:
-            yield from close(packs)
+            held.append(close(packs))
+        if held:
+            yield pa.RecordBatch.from_arrays(C.mark_rows(*map(np.concatenate, zip(*held)), parts), names)
 
     return run
 
 
 def marks(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS) -> DataFrame:
-    """``k1, k2, span``: packed byte intervals that go."""
+    """``k1, k2, spans``: packed byte intervals that go."""
     rows = C.rows_of(docs).select("k1", "k2", "text")
     table = sketch.build(rows.select("text"), _items(width), bits)
     parts = C.partitions(docs.sparkSession)
     sent = rows.mapInArrow(_candidates(table, width, 4 * parts), "bucket int, pieces binary")
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        _indexed(width), "k1 long, k2 long, span binary"
-    )
+    found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        _indexed(width, parts), "part int, marks binary")
+    return C.gathered(found, parts)
 
 
 def _kept(text: bytes, spans) -> tuple[int, int, bytes]:

@@ -30,7 +30,7 @@ from wattframe.llm import common as C, sketch
 
 WIDTH = 20
 GRAM = 8
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -71,17 +71,14 @@ def _first(h1, h2, k1, k2, start):
     return order, new, same
 
 
-def _sent(h1, h2, doc, start, k1, k2, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Marks known already, and each different window once, by bucket."""
+def _sent(h1, h2, doc, start, k1, k2, buckets: int, parts: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Marks known already (with their ``part``), and each different window once, by bucket."""
+    names = ["bucket", "part", "pack"]
     order, new, same = _first(h1, h2, k1[doc], k2[doc], start)
     later = order[~same]
     if len(later):
-        known = C.pack_by_row(k1[doc[later]], k2[doc[later]], start[later], start[later] + width)
-        n = known.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((np.arange(n) % buckets).astype(np.int32)), *known.columns, pa.nulls(n, pa.binary())],
-            ["bucket", "k1", "k2", "span", "windows"],
-        )
+        part, pack = C.mark_rows(k1[doc[later]], k2[doc[later]], start[later], start[later] + width, parts)
+        yield pa.RecordBatch.from_arrays([part, part, pack], names)
     first = order[new]
     bucket = (h1[first] % np.uint64(buckets)).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
@@ -95,14 +92,11 @@ def _sent(h1, h2, doc, start, k1, k2, buckets: int, width: int) -> Iterator[pa.R
             np.array([len(w), len(docs)], np.int64).tobytes(), k1[docs].tobytes(), k2[docs].tobytes(),
             h1[w].tobytes(), h2[w].tobytes(), ref.astype(np.int32).tobytes(), start[w].astype(np.int32).tobytes(),
         ]))
-    n = len(packs)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(bucket[at]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(packs, pa.binary())],
-        ["bucket", "k1", "k2", "span", "windows"],
-    )
+        [pa.array(bucket[at]), pa.nulls(len(packs), pa.int32()), pa.array(packs, pa.binary())], names)
 
 
-def _candidates(table, width: int, buckets: int):
+def _candidates(table, width: int, buckets: int, marks: int):
     def run(batches):
         held, n = [], 0
         for rows, data, off in C.chunked(batches):
@@ -130,9 +124,8 @@ def _candidates(table, width: int, buckets: int):
 
     def flush(held):
         base = np.cumsum([0] + [len(x[4]) for x in held])
-        parts = [np.concatenate([x[i] + (base[j] if i == 2 else 0) for j, x in enumerate(held)]) if i == 2
-                 else np.concatenate([x[i] for x in held]) for i in range(6)]
-        yield from _sent(*parts, buckets, width)
+        columns = [np.concatenate([x[i] + base[j] if i == 2 else x[i] for j, x in enumerate(held)]) for i in range(6)]
+        yield from _sent(*columns, buckets, marks, width)
 
     return run
 
@@ -147,7 +140,7 @@ def _unpacked(pack: bytes):
     return h1, h2, k1[ref], k2[ref], start.astype(np.int64)
 
 
-def _grouped(width: int):
+def _grouped(width: int, parts: int):
     """Marks all but the earliest place of each window of a bucket; passes marks through."""
 
     def close(packs):
@@ -158,43 +151,46 @@ def _grouped(width: int):
         some[1:] |= same
         some[:-1] |= same
         at = order[some]
-        if len(at):
-            h1, h2, k1, k2, start = (x[at] for x in (h1, h2, k1, k2, start))
-            order, _, first = _first(h1, h2, k1, k2, start)
-            later = order[~first]
-            if len(later):
-                yield C.pack_by_row(k1[later], k2[later], start[later], start[later] + width)
+        h1, h2, k1, k2, start = (x[at] for x in (h1, h2, k1, k2, start))
+        order, _, first = _first(h1, h2, k1, k2, start)
+        later = order[~first]
+        return k1[later], k2[later], start[later], start[later] + width
 
     def run(batches):
-        bucket, packs = None, []
+        bucket, packs, held, n = None, [], [], 0
+        names = ["part", "marks"]
         for batch in batches:
-            marks = batch.filter(batch.column(4).is_null())
-            if marks.num_rows:
-                yield pa.RecordBatch.from_arrays(marks.columns[1:4], ["k1", "k2", "span"])
-            rest = batch.filter(batch.column(4).is_valid())
-            for b, pack in zip(rest.column(0).to_pylist(), rest.column(4).to_pylist()):
+            known = batch.filter(batch.column(1).is_valid())
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays(known.columns[1:], names)
+            rest = batch.filter(batch.column(1).is_null())
+            for b, pack in zip(rest.column(0).to_pylist(), rest.column(2).to_pylist()):
                 if b != bucket and packs:
-                    yield from close(packs)
+                    held.append(close(packs))
+                    n += len(held[-1][0])
                     packs = []
+                    if n >= _FLUSH:
+                        yield pa.RecordBatch.from_arrays(C.mark_rows(*map(np.concatenate, zip(*held)), parts), names)
+                        held, n = [], 0
                 bucket = b
                 packs.append(pack)
         if packs:
-            yield from close(packs)
+            held.append(close(packs))
+        if held:
+            yield pa.RecordBatch.from_arrays(C.mark_rows(*map(np.concatenate, zip(*held)), parts), names)
 
     return run
 
 
 def marks(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS) -> DataFrame:
-    """``k1, k2, span``: packed word intervals that go."""
+    """``k1, k2, spans``: packed word intervals that go."""
     rows = C.rows_of(docs).select("k1", "k2", "text")
     table = sketch.build(rows.select("text"), _items(width), bits)
     parts = C.partitions(docs.sparkSession)
-    sent = rows.mapInArrow(
-        _candidates(table, width, 4 * parts), "bucket int, k1 long, k2 long, span binary, windows binary"
-    )
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        _grouped(width), "k1 long, k2 long, span binary"
-    )
+    sent = rows.mapInArrow(_candidates(table, width, 4 * parts, parts), "bucket int, part int, pack binary")
+    found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        _grouped(width, parts), "part int, marks binary")
+    return C.gathered(found, parts)
 
 
 def _kept(text: bytes, spans) -> tuple[int, int, bytes]:
