@@ -299,14 +299,14 @@ def _indexed(width: int, parts: int):
                     n += len(held[-1][0])
                     packs = []
                     if n >= _MARKS:
-                        yield pa.RecordBatch.from_arrays(C.mark_rows(*map(np.concatenate, zip(*held)), parts), names)
+                        yield pa.RecordBatch.from_arrays([*C.mark_rows(*map(np.concatenate, zip(*held)), parts)], names)
                         held, n = [], 0
                 bucket = b
                 packs.append(pack)
         if packs:
             held.append(close(packs))
         if held:
-            yield pa.RecordBatch.from_arrays(C.mark_rows(*map(np.concatenate, zip(*held)), parts), names)
+            yield pa.RecordBatch.from_arrays([*C.mark_rows(*map(np.concatenate, zip(*held)), parts)], names)
 
     return run
 
