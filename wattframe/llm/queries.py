@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wattframe.llm import mixing, pieces, runindex, shards, substrings
+from wattframe.llm import jaccard, mixing, pieces, runindex, shards, substrings
 
 QUERIES = {
     "op1_suffix_array_dedup": runindex.op1_suffix_array_dedup,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op10_sharding": shards.op10_sharding,
 }
 
