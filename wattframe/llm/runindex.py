@@ -37,6 +37,7 @@ from wattframe.llm import common as C, sketch
 WIDTH = 200
 GRAM = 32
 _FLUSH = 32 << 20
+_INDEX = 1 << 20
 _MARKS = 1 << 19
 
 
@@ -80,14 +81,14 @@ def _levels(text: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, list[tuple[
     while True:
         new = np.ones(n, bool)
         new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(new)
         levels.append((depth, rank))
         if depth >= longest or new.all():
             return order, levels
         tail = np.zeros(n, np.int64)
         tail[: n - depth] = np.where(rest[: n - depth] > depth, rank[depth:], 0)
-        key = (rank << 32) | tail
+        key = (rank.astype(np.int64) << 32) | tail
         # Only places that are still tied need sorting again.
         tied = np.zeros(n, bool)
         tied[1:] |= ~new[1:]
@@ -183,47 +184,55 @@ def _items(width: int):
     return run
 
 
-def _pack(found: dict, k1: np.ndarray, k2: np.ndarray, bucket_of) -> Iterator[tuple[int, bytes]]:
-    """Per bucket: its pieces with their anchors, and the places of each."""
+def _pack(found: dict, k1: np.ndarray, k2: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Per bucket: its pieces with their anchors, and the place of each, -1 for those sent as repeated."""
     by: dict[int, list] = {}
     for (anchor, piece), places in found.items():
-        by.setdefault(bucket_of(anchor), []).append((anchor, piece, places))
+        by.setdefault(anchor % buckets, []).append((anchor, piece, places[0] if len(places) == 1 else (-1, 0)))
     for bucket, own in by.items():
-        count = np.fromiter((len(p) for *_, p in own), np.int64, len(own))
-        place = np.concatenate([np.array(p, np.int64) for *_, p in own])
+        place = np.array([p for *_, p in own], np.int64)
         docs, ref = np.unique(place[:, 0], return_inverse=True)
+        known = docs >= 0
         yield bucket, b"".join([
-            np.array([len(own), len(place), len(docs)], np.int64).tobytes(),
+            np.array([len(own), len(docs)], np.int64).tobytes(),
             np.fromiter((a for a, *_ in own), np.uint64, len(own)).tobytes(),
             np.fromiter((len(p) for _, p, _ in own), np.int64, len(own)).tobytes(),
-            count.tobytes(), k1[docs].tobytes(), k2[docs].tobytes(), ref.astype(np.int32).tobytes(),
-            place[:, 1].astype(np.int32).tobytes(), *(p for _, p, _ in own),
+            np.where(known, k1[docs], 0).tobytes(), np.where(known, k2[docs], 0).tobytes(),
+            np.where(place[:, 0] < 0, -1, ref).astype(np.int32).tobytes(), place[:, 1].astype(np.int32).tobytes(),
+            *(p for _, p, _ in own),
         ])
 
 
 def _unpacked(pack: bytes):
-    n, m, d = np.frombuffer(pack, np.int64, 3)
-    at, out = 24, []
-    for kind, size in ((np.uint64, n), (np.int64, n), (np.int64, n), (np.int64, d), (np.int64, d), (np.int32, m), (np.int32, m)):
+    n, d = np.frombuffer(pack, np.int64, 2)
+    at, out = 16, []
+    for kind, size in ((np.uint64, n), (np.int64, n), (np.int64, d), (np.int64, d), (np.int32, n), (np.int32, n)):
         out.append(np.frombuffer(pack, kind, size, at))
         at += out[-1].nbytes
-    anchor, length, count, k1, k2, ref, start = out
+    anchor, length, k1, k2, ref, start = out
     cut = np.cumsum(np.append(at, length))
     texts = [pack[a:b] for a, b in zip(cut[:-1], cut[1:])]
-    return anchor.tolist(), texts, count, k1[ref], k2[ref], start.astype(np.int64)
+    return anchor.tolist(), texts, ref >= 0, k1[ref], k2[ref], start.astype(np.int64)
 
 
-def _candidates(table, width: int, buckets: int):
+def _candidates(table, width: int, buckets: int, parts: int):
+    names = ["bucket", "part", "pack"]
+
     def flush(found, keys):
         k1, k2 = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
-        packs = list(_pack(found, k1, k2, lambda anchor: anchor % buckets))
+        # Pieces seen twice here are repeated: their places are marked and need not travel.
+        twice = [(d, p, p + len(piece)) for (_, piece), places in found.items() if len(places) > 1 for d, p in places]
+        if twice:
+            doc, start, end = np.array(twice, np.int64).T
+            part, pack = C.mark_rows(k1[doc], k2[doc], start, end, parts)
+            yield pa.RecordBatch.from_arrays([part, part, pack], names)
+        packs = list(_pack(found, k1, k2, buckets))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in packs], pa.int32()), pa.array([p for _, p in packs], pa.binary())],
-            ["bucket", "pieces"],
-        )
+            [pa.array([b for b, _ in packs], pa.int32()), pa.nulls(len(packs), pa.int32()),
+             pa.array([p for _, p in packs], pa.binary())], names)
 
     def run(batches):
-        found, keys, rows_held, held = {}, [], 0, 0
+        found, keys, docs, held = {}, [], 0, 0
         for rows, data, off in C.chunked(batches):
             got = _windows(data, off, width)
             if not got:
@@ -235,51 +244,65 @@ def _candidates(table, width: int, buckets: int):
             keys.append([rows.column(rows.schema.get_field_index(k)).to_numpy() for k in ("k1", "k2")])
             buffer = data.tobytes()
             place = start[seen] - off[doc[seen]]
-            for a, s, e, d, p in zip(*(x.tolist() for x in (anchor[seen], start[seen], end[seen], doc[seen] + rows_held, place))):
-                found.setdefault((a, buffer[s:e]), []).append((d, p))
-                held += 16
-            rows_held += rows.num_rows
-            if held + 400 * len(found) >= _FLUSH:
+            for a, s, e, d, p in zip(*(x.tolist() for x in (anchor[seen], start[seen], end[seen], doc[seen] + docs, place))):
+                places = found.setdefault((a, buffer[s:e]), [])
+                held += 120 if places else 300 + e - s
+                places.append((d, p))
+            docs += rows.num_rows
+            if held >= _FLUSH:
                 yield from flush(found, keys)
-                found, keys, rows_held, held = {}, [], 0, 0
+                found, keys, docs, held = {}, [], 0, 0
         if found:
             yield from flush(found, keys)
 
     return run
 
 
+def _batches(pieces: np.ndarray, anchor: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Cuts pieces, sorted by anchor, into indexes of about ``_INDEX`` bytes; an anchor stays whole."""
+    if not len(pieces):
+        return
+    own = anchor[pieces]
+    head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    size = np.add.reduceat(lengths[pieces], head)
+    number = (np.cumsum(size) - size) // _INDEX
+    cut = np.append(head[np.append(True, number[1:] != number[:-1])], len(pieces))
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield pieces[a:b]
+
+
 def _indexed(width: int, parts: int):
     """Marks the repeated stretches of each bucket's pieces at all their places."""
 
     def close(packs):
         number: dict[tuple[int, bytes], int] = {}
-        piece, k1, k2, start = [], [], [], []
-        for anchors, texts, count, a, b, s in map(_unpacked, packs):
-            own = np.fromiter((number.setdefault(x, len(number)) for x in zip(anchors, texts)), np.int64, len(texts))
-            piece.append(np.repeat(own, count))
-            k1.append(a), k2.append(b), start.append(s)
-        piece, k1, k2, start = (np.concatenate(x) for x in (piece, k1, k2, start))
-        many = np.bincount(piece, minlength=len(number)) > 1
+        piece, single, k1, k2, start = [], [], [], [], []
+        for pack in packs:
+            anchors, texts, one, a, b, s = _unpacked(pack)
+            piece.append(np.fromiter((number.setdefault(x, len(number)) for x in zip(anchors, texts)), np.int64, len(texts)))
+            single.append(one), k1.append(a), k2.append(b), start.append(s)
+        piece, single, k1, k2, start = (np.concatenate(x) for x in (piece, single, k1, k2, start))
+        many = np.bincount(piece, np.where(single, 1, 2), minlength=len(number)) > 1
+        piece, k1, k2, start = (x[single] for x in (piece, k1, k2, start))
         anchor = np.fromiter((a for a, _ in number), np.uint64, len(number))
         texts = [t for _, t in number]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(size[group] > 1)
+        by = np.argsort(anchor, kind="stable")
+        group = np.cumsum(np.append(True, anchor[by][1:] != anchor[by][:-1])) - 1
+        shared = by[np.bincount(group)[group] > 1]
         # Stretches as (piece, from, to): all of a piece sent twice, else what the index finds.
         own, lo, hi = [np.flatnonzero(many)], [np.zeros(int(many.sum()), np.int64)], [lengths[many]]
-        if len(shared):
-            index = build([texts[i] for i in shared])
-            long = index.matching_lengths() >= width
-            at = np.flatnonzero(long)
-            ends = np.cumsum(lengths[shared])
+        for some in _batches(shared, anchor, lengths):
+            index = build([texts[i] for i in some])
+            at = np.flatnonzero(index.matching_lengths() >= width)
+            if not len(at):
+                continue
+            ends = np.cumsum(lengths[some])
             which = np.searchsorted(ends, at, "right")
-            offset = at - (ends - lengths[shared])[which]
-            head = np.ones(len(at), bool)
-            head[1:] = (np.diff(at) > 1) | (np.diff(which) > 0)
-            h = np.flatnonzero(head)
-            if len(h):
-                t = np.append(h[1:], len(at)) - 1
-                own.append(shared[which[h]]), lo.append(offset[h]), hi.append(offset[t] + width)
+            offset = at - (ends - lengths[some])[which]
+            h = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (np.diff(which) > 0)))
+            t = np.append(h[1:], len(at)) - 1
+            own.append(some[which[h]]), lo.append(offset[h]), hi.append(offset[t] + width)
         own, lo, hi = (np.concatenate(x) for x in (own, lo, hi))
         by = np.argsort(own, kind="stable")
         own, lo, hi = own[by], lo[by], hi[by]
@@ -293,7 +316,11 @@ def _indexed(width: int, parts: int):
         bucket, packs, held, n = None, [], [], 0
         names = ["part", "marks"]
         for batch in batches:
-            for b, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            known = batch.filter(batch.column(1).is_valid())
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays(known.columns[1:], names)
+            rest = batch.filter(batch.column(1).is_null())
+            for b, pack in zip(rest.column(0).to_pylist(), rest.column(2).to_pylist()):
                 if b != bucket and packs:
                     held.append(close(packs))
                     n += len(held[-1][0])
@@ -316,7 +343,7 @@ def marks(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS) -> DataF
     rows = C.rows_of(docs).select("k1", "k2", "text")
     table = sketch.build(rows.select("text"), _items(width), bits)
     parts = C.partitions(docs.sparkSession)
-    sent = rows.mapInArrow(_candidates(table, width, 4 * parts), "bucket int, pieces binary")
+    sent = rows.mapInArrow(_candidates(table, width, 4 * parts, parts), "bucket int, part int, pack binary")
     found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
         _indexed(width, parts), "part int, marks binary")
     return C.gathered(found, parts)
