@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattframe.llm import jaccard, mixing, pieces, runindex, shards, substrings
+from wattframe.llm import covertree, jaccard, mixing, pieces, runindex, shards, substrings, topk
 
 QUERIES = {
     "op1_suffix_array_dedup": runindex.op1_suffix_array_dedup,
@@ -10,7 +10,12 @@ QUERIES = {
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op8_topk_search": topk.op8_topk_search,
+    "op9_near_dedup": covertree.op9_near_dedup,
     "op10_sharding": shards.op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_topk_search": topk.ORACLE_SQL,
+    "op9_near_dedup": covertree.ORACLE_SQL,
+}
