@@ -1,7 +1,7 @@
 """Shared pieces: row keys, staged tables, flat byte buffers, word hashing and packed spans.
 
 Texts reach Python as Arrow batches and are handled there as one flat byte buffer with document
-offsets, cut at document borders into chunks of a few MB, so memory is bounded by the chunk or by
+offsets, cut at document borders into chunks of half a MB, so memory is bounded by the chunk or by
 the longest single document. Everything a plan needs again is written to the shared folder and read
 back: no task depends on the local disk of another executor.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattframe.session import materialise
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Stands in for a null id inside joins and orders: nulls come first.
 NO_ID = -(1 << 63)
 WORD = r"[^\x20\x09-\x0D]+"

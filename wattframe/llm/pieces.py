@@ -43,7 +43,7 @@ from wattframe.llm import common as C
 SPACE = "▁"
 LONG = 256
 _NONE = np.int64(1 << 40)
-_UNIT = 1 << 23
+_UNIT = 1 << 22
 
 
 @dataclass

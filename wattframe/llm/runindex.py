@@ -36,7 +36,7 @@ from wattframe.llm import common as C, sketch
 
 WIDTH = 200
 GRAM = 32
-_FLUSH = 32 << 20
+_FLUSH = 16 << 20
 _INDEX = 1 << 20
 _MARKS = 1 << 19
 
