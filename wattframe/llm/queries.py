@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wattframe.llm import covertree, jaccard, langid, mixing, pieces, runindex, shards, substrings, topk
+from wattframe.llm import covertree, jaccard, langid, mixing, pieces, runindex, shards, substrings, topk, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": runindex.op1_suffix_array_dedup,
     "op2_language_id": langid.op2_language_id,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_topk_search": topk.op8_topk_search,
