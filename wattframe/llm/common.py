@@ -37,16 +37,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, f"llm-{name}")
 
 
+def row_key() -> tuple[Column, Column]:
+    """``k1, k2``: id and hash of the text; rows that agree in both are one document."""
+    return (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"),
+            F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
+
+
 def rows_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` and the row's key ``k1, k2``; rows that agree in both are one document."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    ).select(
-        "doc_id", "text",
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"),
-        F.xxhash64("text").alias("k2"),
-    )
+    """``doc_id, text`` (null: empty) and the row's key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_key())
 
 
 def partitions(spark: SparkSession) -> int:

@@ -341,7 +341,10 @@ def _with_bits(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, k1, k2, n_shingles, class_id, component_id``, a row per document."""
+    """``doc_id, k1, k2, n_shingles, class_id, component_id, group``, a row per document.
+
+    ``group`` names the component by a class, also where ids are null; null for empty sets.
+    """
     spark = docs.sparkSession
     rows = C.rows_of(docs)
     often = rows.select("text").mapInArrow(_often(width), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
@@ -389,11 +392,24 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     root = first.join(comp, first["c"] == comp["node"], "left").select(
         "c", "class_id", F.coalesce("root", "c").alias("root"))
     least = root.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    labels = root.join(least, "root").select("c", "class_id", "component_id")
+    labels = root.join(least, "root").select("c", "class_id", "component_id", F.col("root").alias("group"))
     own = F.when(F.col("k1") > C.NO_ID, F.col("k1"))
     return sets.join(labels, "c", "left").select(
         own.alias("doc_id"), "k1", "k2", F.col("n").alias("n_shingles"),
-        F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"))
+        F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"), "group")
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group of linked documents, the one with the smallest id.
+
+    Documents without words stay; of repeated rows one stays.
+    """
+    groups = join(docs, width, percent).where("n_shingles > 0")
+    stay = groups.groupBy("group").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *C.row_key())
+    blank = ~F.coalesce(F.col("row.text").rlike(C.WORD), F.lit(False))
+    kept = rows.where(~blank).join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return kept.select("row.*").unionAll(rows.where(blank).select("row.*"))
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:

@@ -20,11 +20,12 @@ texts are ordered by a hash of the text; a null id comes before all others.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattframe.llm import common as C, sketch
 
@@ -230,5 +231,38 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS, te
     return rows.mapInArrow(_result(texts), f"doc_id long, n_words long, n_removed long, {last} string")
 
 
+_WORDS = re.compile(C.WORD.encode())
+
+
+def _cut(text: bytes, spans: bytes | None) -> bytes:
+    """The text without its marked words and the space after them; the rest as it was."""
+    s, e = C.unpack(spans)
+    if not len(s):
+        return text
+    at = [m.start() for m in _WORDS.finditer(text)] + [len(text)]
+    out, last = [], 0
+    for a, b in zip(s.tolist(), e.tolist()):
+        out.append(text[last : at[a]])
+        last = at[b]
+    return b"".join([*out, text[last:]])
+
+
+def cleaned(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS) -> DataFrame:
+    """``docs`` with all its rows and columns, its texts without their repeated windows."""
+    at, names = docs.columns.index("text"), docs.columns
+    rows = docs.select(F.struct(*names).alias("row"), *C.row_key())
+    rows = C.with_spans(rows, marks(docs, width, bits)).select("row.*", F.col("spans").alias("_spans"))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at)
+            raw = [t if t is None else _cut(t, s) for t, s in zip(texts.cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist())]
+            columns = batch.columns[: len(names)]
+            columns[at] = pa.array(raw, pa.binary()).cast(texts.type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(C.load(spark, sf_dir, "documents"), texts=False)

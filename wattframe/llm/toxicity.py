@@ -358,17 +358,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 # --- scoring -----------------------------------------------------------------------------------
 
 
+def _scores(m: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    n = len(off) - 1
+    out = np.full(n, m.rate)
+    if m.net is not None:
+        r = read(data, off)
+        z = highest(r, logits(m.net, r), n)
+        some = np.isfinite(z)
+        out[some] = _sigmoid(m.slope * z[some] + m.offset)
+    return out
+
+
 def _scored(model):
     def run(batches):
         m: Model = model.value
         for rows, data, off in C.chunked(batches):
-            n = len(off) - 1
-            score = np.full(n, m.rate)
-            if m.net is not None:
-                r = read(data, off)
-                z = highest(r, logits(m.net, r), n)
-                some = np.isfinite(z)
-                score[some] = _sigmoid(m.slope * z[some] + m.offset)
+            score = _scores(m, data, off)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "held_out")]
                 + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -376,6 +381,23 @@ def _scored(model):
     return run
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score below one half, with all their columns."""
+    rows = split(docs)
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows.where(~F.col("held_out")), labels, sample))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        m: Model = model.value
+        for batch in batches:
+            data, off = C.flat(batch.column(at))
+            for a, b in C.pieces(off):
+                score = _scores(m, data[off[a] : off[b]], off[a : b + 1] - off[a])
+                yield batch.slice(a, b - a).filter(pa.array(score < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def split(docs: DataFrame) -> DataFrame:
     """``doc_id, text, held_out``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
