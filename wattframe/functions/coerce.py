@@ -39,6 +39,11 @@ def number(c: Column, default: float | None = 0.0, text: bool = True, finite: bo
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 
 
+def flag(value: Column) -> Column:
+    """A number as an INT flag; 0 for what no INT holds."""
+    return F.coalesce(value.try_cast("int"), F.lit(0))
+
+
 def cost(estimated: Column, billed: Column, text: bool = True) -> Column:
     """Estimated cost where readable, else the billed one, else 0."""
     return F.coalesce(
@@ -122,8 +127,11 @@ def initial(name: Column) -> Column:
 
 
 def rounded(c: Column, digits: int) -> Column:
-    """Half-up on the decimal reading of a double, so 1.005 gives 1.01."""
-    return F.round(c.cast(f"decimal(38,{digits + 6})"), digits).cast("double")
+    """Half-up on the decimal reading of a double, so 1.005 gives 1.01.
+
+    A double too large for that has no decimals and stays as it is.
+    """
+    return F.coalesce(F.round(c.try_cast(f"decimal(38,{digits + 6})"), digits).cast("double"), c)
 
 
 def money(c: Column, digits: int = 2) -> Column:

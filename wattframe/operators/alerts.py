@@ -119,11 +119,19 @@ def spread(df: DataFrame, value: str = "consumo_kwh") -> DataFrame:
 
 
 def _z(stats: DataFrame, value: str) -> tuple[Column, Column]:
-    """|z| of a value against one row of ``n, mean, sd``, and that ``n``."""
+    """|z| of a value against one row of ``n, mean, sd``, and that ``n``.
+
+    NaN where an infinite value makes the spread undefined.
+    """
     known = stats.select(F.struct("n", "mean", "sd")).scalar()
     return F.abs((_real(value) - known["mean"]) / known["sd"]), known["n"]
 
 
+def _anomalous(z: Column, threshold: float) -> Column:
+    """An undefined z is no anomaly (in Spark NaN would exceed any threshold)."""
+    return F.coalesce(F.nanvl(z, F.lit(None).cast("double")) >= threshold, F.lit(False))
+
+
 def _pool(df: DataFrame, pool: int | None, ts: str, tie: str) -> DataFrame:
     return df if pool is None else newest(df, pool, ts, tie)
 
@@ -145,7 +153,7 @@ def zscore_count(
     """
     judged = _pool(df, pool, ts, tie)
     z, n = _z(spread(judged, value) if stats is None else stats, value)
-    return judged.agg(F.count_if((z >= threshold) & (n >= min_n)).alias("n_anomalias"))
+    return judged.agg(F.count_if(_anomalous(z, threshold) & (n >= min_n)).alias("n_anomalias"))
 
 
 def zscore_labels(
@@ -163,7 +171,7 @@ def zscore_labels(
     """
     judged = _pool(df, pool, ts, tie)
     z, _ = _z(spread(judged, value), value)
-    label = F.when(F.col("z") >= threshold, F.lit("anomalo")).otherwise(F.lit("normal"))
+    label = F.when(_anomalous(F.col("z"), threshold), F.lit("anomalo")).otherwise(F.lit("normal"))
     labelled = judged.withColumn("z", z).withColumn("etiqueta", label)
     return labelled if pool is None else positions(labelled, [F.desc(ts), F.desc(tie)])
 
@@ -171,9 +179,9 @@ def zscore_labels(
 def histogram(df: DataFrame, value: str = "consumo_kwh") -> DataFrame:
     """Equal-width bins, clamp(floor(sqrt(n)), 8, 40) of them, the last one closed.
 
-    Empty bins stay. Columns ``bin, lower, upper, label, n``.
+    Only finite values count. Empty bins stay. Columns ``bin, lower, upper, label, n``.
     """
-    values = df.select(F.col(value).alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    values = df.select(F.col(value).cast("double").alias("v")).filter(F.abs("v") < float("inf"))
     lo, n = F.min("v"), F.count("v")
     bins = F.greatest(F.lit(8), F.least(F.lit(40), F.floor(F.sqrt(F.greatest(n, F.lit(1))))))
     span = F.greatest(F.max("v") - lo, F.lit(1e-9))

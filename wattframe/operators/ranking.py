@@ -23,12 +23,15 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int
 def newest_per(df: DataFrame, key: str = "device_id", ts: str = "ts", tie: str = "id") -> DataFrame:
     """Each device's newest reading; equal times go to the larger id.
 
-    An aggregate rather than a ranking: every task sends one row per device, however many
-    readings a hot device has.
+    The newest time per device is a hash aggregate of fixed width, one row per device and task
+    however hot a device is. Only rows at that time go on to the aggregate over whole rows, which
+    Spark sorts.
     """
     rest = [c for c in df.columns if c != key]
+    top = df.groupBy(F.col(key).alias("_key")).agg(F.max(ts).alias("_top"))
+    at_top = df.join(top, F.col(key).eqNullSafe(F.col("_key")) & F.col(ts).eqNullSafe(F.col("_top"))).select(*df.columns)
     newest_row = F.max_by(F.struct(*rest), F.struct(ts, tie)).alias("_row")
-    return df.groupBy(key).agg(newest_row).select(*[key if c == key else F.col(f"_row.{c}") for c in df.columns])
+    return at_top.groupBy(key).agg(newest_row).select(*[key if c == key else F.col(f"_row.{c}") for c in df.columns])
 
 
 def newest_first(df: DataFrame, ts: str = "ts", tie: str = "id") -> DataFrame:
@@ -154,10 +157,11 @@ def next_reading(
     readings, so the window runs per entity *and* ``span`` of time; the last reading of a span
     then takes its target from the entity's next span that has any. That second window sees one
     row per entity and span only. The newest reading of an entity has null targets, and so has a
-    reading without entity or time.
+    reading without entity or time; those skip the windows, where they would meet in one task.
     """
     values = values or {"consumo_kwh": "consumo_next", "costo": "costo_next"}
-    spanned = df.withColumn("_span", F.date_trunc(span, ts))
+    placed = F.col(entity).isNotNull() & F.col(ts).isNotNull()
+    spanned = df.filter(placed).withColumn("_span", F.date_trunc(span, ts))
     current = F.struct(F.col(ts), F.col(tie), *[F.col(c).alias(n) for c, n in values.items()])
 
     in_span = Window.partitionBy(entity, "_span").orderBy(ts, tie)
@@ -168,6 +172,7 @@ def next_reading(
     later = firsts.select(entity, "_span", F.lead("_first").over(across).alias("_later"))
 
     joined = chained.join(later, [entity, "_span"], "left")
-    placed = F.col(entity).isNotNull() & F.col(ts).isNotNull()
-    follow = F.when(placed, F.coalesce("_next", "_later"))
-    return joined.select(*df.columns, *[follow[n].alias(n) for n in values.values()])
+    follow = F.coalesce("_next", "_later")
+    chains = joined.select(*df.columns, *[follow[n].alias(n) for n in values.values()])
+    absent = [F.lit(None).cast(df.schema[c].dataType).alias(n) for c, n in values.items()]
+    return chains.unionAll(df.filter(~placed).select(*df.columns, *absent))

@@ -10,13 +10,18 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wattframe import schema as S
-from wattframe.functions.coerce import clamp, number
+from wattframe.functions.coerce import clamp, flag, number
 from wattframe.functions.times import time_of_day
 
 OUTPUTS = {"consumo_next": "consumo_kwh_next", "costo_next": "costo_mx_next"}
 HOURS_OF_DAY = [f"{h:02d}:00" for h in range(24)]
 
 
+def hour_level(raw: Column) -> Column:
+    """Time of day as the vocabulary holds it: HH:MM where readable (``7:05`` is ``07:05``)."""
+    return F.coalesce(time_of_day(raw), F.substring(raw, 1, 5), F.lit("00:00"))
+
+
 def coerced(df: DataFrame) -> DataFrame:
     """Scoring inputs with every field present and valid, row by row."""
     def raw(name: str) -> Column:
@@ -31,9 +36,9 @@ def coerced(df: DataFrame) -> DataFrame:
     return df.select(
         *[c for c in df.columns if c not in known],
         *[measure(c).alias(c) for c in S.SCORING_NUMERIC],
-        measure(S.SCORING_FLAG).cast("int").alias(S.SCORING_FLAG),
+        flag(measure(S.SCORING_FLAG)).alias(S.SCORING_FLAG),
         clamp(raw("estado"), S.STATUSES, "activo").alias("estado"),
-        F.coalesce(F.substring(raw("hora_dia"), 1, 5), F.lit("00:00")).alias("hora_dia"),
+        hour_level(raw("hora_dia")).alias("hora_dia"),
         clamp(weekday, S.WEEKDAYS, "lunes").alias("dia_semana"),
         clamp(raw("casa_id"), S.MUNICIPALITIES, "Puebla").alias("casa_id"),
     )
@@ -74,7 +79,8 @@ def feature_matrix(df: DataFrame, by_level: dict[str, list[str]] | None = None)
 
 def hours_present(df: DataFrame) -> list[str]:
     """Distinct valid times of day in training data, at most 1,440."""
-    found = df.select(time_of_day(F.col("hora_dia")).alias("h")).where("h is not null").distinct()
+    known = df.filter(time_of_day(F.col("hora_dia")).isNotNull()) if "hora_dia" in df.columns else df.limit(0)
+    found = known.select(hour_level(F.col("hora_dia") if "hora_dia" in df.columns else F.lit(None)).alias("h")).distinct()
     return [row.h for row in found.orderBy("h").collect()]
 
 
@@ -117,10 +123,11 @@ def fit(
     """One random forest per output over the same features.
 
     ``training`` holds scoring records plus the targets ``consumo_next`` and ``costo_next``; rows
-    without a next reading are left out.
+    without a next reading are left out. The times of day of the vocabulary are those of the
+    training rows, minutes included, unless ``by_level`` gives them.
     """
-    by_level = by_level or levels()
     labelled = training.dropna(subset=list(OUTPUTS))
+    by_level = by_level or levels(hours_present(labelled))
     features = feature_matrix(labelled, by_level)
     assembler = VectorAssembler(inputCols=feature_names(by_level), outputCol="features")
     forests = [

@@ -86,14 +86,21 @@ def number(c: str, finite: bool = True) -> str:
     return f"(CASE WHEN NOT ({bad}) THEN {value} END)"
 
 
-_CLOCK = r"^\s*(\d{1,2})(?::(\d{1,2}))?"
+def _digits(text: str) -> str:
+    """The one or two digits a text starts with, as a number; null without any."""
+    two = f"substr({text}, 1, 2)"
+    return f"(CASE WHEN {two} SIMILAR TO '[0-9][0-9]' THEN {two}::INT WHEN {two} SIMILAR TO '[0-9].?' THEN {two}[1]::INT END)"
 
 
 def clock(c: str) -> str:
-    hh = f"try_cast(nullif(regexp_extract({c}, '{_CLOCK}', 1), '') AS INT)"
-    mm = f"coalesce(try_cast(nullif(regexp_extract({c}, '{_CLOCK}', 2), '') AS INT), 0)"
+    """Digits before the first colon are hours; those right after it, if it follows them, minutes."""
+    text = f"ltrim({c})"
+    hours = _digits(text)
+    after = f"(CASE WHEN {text}[2] SIMILAR TO '[0-9]' THEN substr({text}, 3) ELSE substr({text}, 2) END)"
+    minutes = f"(CASE WHEN {after}[1] = ':' THEN coalesce({_digits(f'substr({after}, 2)')}, 0) ELSE 0 END)"
     return (
-        f"(CASE WHEN {hh} <= 23 AND {mm} <= 59 THEN lpad({hh}::varchar, 2, '0') || ':' || lpad({mm}::varchar, 2, '0') END)"
+        f"(CASE WHEN {hours} <= 23 AND {minutes} <= 59 "
+        f"THEN lpad({hours}::varchar, 2, '0') || ':' || lpad({minutes}::varchar, 2, '0') END)"
     )
 
 

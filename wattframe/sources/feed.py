@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattframe import schema as S
-from wattframe.functions.coerce import number
+from wattframe.functions.coerce import flag, number
 
 
 def parse_feed(df: DataFrame, raw: str = "value") -> DataFrame:
@@ -73,13 +73,17 @@ def _complete(df: DataFrame):
 
 
 def scoring_records(df: DataFrame) -> DataFrame:
-    """Records whose four required numbers are readable; absent optional fields defaulted."""
-    good = df.filter(_complete(df))
+    """Records whose four required numbers are readable; absent optional fields defaulted.
+
+    The numbers are read once, in the projection below the filter. A flag that is no INT counts as
+    absent.
+    """
+    good = df.withColumns({c: number(F.col(c), None) for c in S.SCORING_NUMERIC}).dropna(subset=S.SCORING_NUMERIC)
     return good.select(
         *_carried(df),
-        *[number(F.col(c)).alias(c) for c in S.SCORING_NUMERIC],
+        *S.SCORING_NUMERIC,
         *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in S.SCORING_DEFAULTS.items()],
-        number(F.col(S.SCORING_FLAG)).cast("int").alias(S.SCORING_FLAG),
+        flag(number(F.col(S.SCORING_FLAG))).alias(S.SCORING_FLAG),
     )
 
 

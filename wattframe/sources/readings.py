@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wattframe.schema import MISSING_TEXTS, Contract
 
 
-def _read(spark: SparkSession, paths: str | list[str], fmt: str) -> DataFrame:
+def _read(spark: SparkSession, paths: str | list[str], fmt: str, multi_line: bool = False) -> DataFrame:
     if fmt == "parquet":
         return spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    # All text, no inference pass: typing is lenient and happens in the cleaning step.
-    return spark.read.option("header", True).option("escape", '"').csv(paths)
+    # All text, no inference pass: typing is lenient and happens in the cleaning step. A file whose
+    # header differs from the first one's raises instead of being read by position.
+    options = {"header": True, "escape": '"', "enforceSchema": False, "multiLine": multi_line}
+    return spark.read.options(**options).csv(paths)
 
 
 def _locations(path: str) -> list[tuple[str, str]]:
@@ -22,11 +24,11 @@ def _locations(path: str) -> list[tuple[str, str]]:
     return list(dict.fromkeys(tries))
 
 
-def scan(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+def scan(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, str]:
     """Table at ``path``, or at the path without extension, or as ``.parquet``; with its format."""
     for location, fmt in _locations(path):
         try:
-            return _read(spark, location, fmt), fmt
+            return _read(spark, location, fmt, multi_line), fmt
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -52,16 +54,17 @@ def apply_contract(df: DataFrame, contract: Contract, keep: tuple[str, ...] = ()
 
 
 def read_readings(
-    spark: SparkSession, path: str, contract: Contract, max_batches: int = 0
+    spark: SparkSession, path: str, contract: Contract, max_batches: int = 0, multi_line: bool = False
 ) -> DataFrame:
     """Readings under a contract, each row tagged with its ``batch_id`` (the file it is in).
 
     ``max_batches`` reads only the first so many files in name order; 0 reads all. In CSV files
-    the usual texts for a missing field (empty, NA, NaN, null ...) become null.
+    the usual texts for a missing field (empty, NA, NaN, null ...) become null. ``multi_line``
+    takes line breaks inside quotes as part of a field; such a file is read by one task.
     """
-    df, fmt = scan(spark, path)
+    df, fmt = scan(spark, path, multi_line)
     if max_batches > 0:
-        df = _read(spark, sorted(df.inputFiles())[:max_batches], fmt)
+        df = _read(spark, sorted(df.inputFiles())[:max_batches], fmt, multi_line)
     tagged = df.select("*", F.col("_metadata.file_path").alias("batch_id"))
     kept = apply_contract(tagged, contract, keep=("batch_id",))
     if fmt != "csv":
