@@ -35,7 +35,7 @@ def test_quantile_skips_nan_and_null(frame):
     st.sampled_from([0.0, 0.05, 0.5, 0.95, 1.0]),
 )
 def test_quantile_equals_numpy(spark, values, q):
-    got = alerts.quantile(_values(spark, values), q=q, accuracy=50, slices=4).first()[0]
+    got = alerts.quantile(_values(spark, values), q=q, accuracy=50, at_once=4).first()[0]
     assert got == pytest.approx(np.quantile(values, q), rel=1e-9, abs=1e-9)
 
 
@@ -45,7 +45,7 @@ def test_quantile_survives_a_poor_sketch_and_hot_values(spark, accuracy):
     values = np.round(np.concatenate([np.full(7000, 3.25), rng.lognormal(0, 3, 13000)]), 3)
     df = _values(spark, values).repartition(7)
     for q in (0.1, 0.5, 0.95, 0.999):
-        got = alerts.quantile(df, q=q, accuracy=accuracy, slices=10).first()[0]
+        got = alerts.quantile(df, q=q, accuracy=accuracy, at_once=10).first()[0]
         assert got == pytest.approx(np.quantile(values, q), rel=1e-12)
 
 
@@ -99,3 +99,14 @@ def test_histogram_of_equal_values(spark):
     assert [r.n for r in rows] == [9] + [0] * 7
     assert alerts.histogram(_values(spark, [])).count() == 0
     assert math.isclose(rows[0].lower, 4.0)
+
+
+def test_quantile_orders_a_bounded_number_of_rows(spark):
+    """One huge outlier does not widen what is sorted."""
+    df = spark.range(300_000).select(F.when(F.col("id") == 7, 1e18).otherwise(F.rand(5)).alias("consumo_kwh"))
+    values = sorted(r[0] for r in df.collect())
+    for q in (0.5, 0.9999):
+        at = q * (len(values) - 1)
+        low = int(at)
+        expected = values[low] + (values[low + 1] - values[low]) * (at - low)
+        assert alerts.quantile(df, q=q, at_once=2_000).first()[0] == pytest.approx(expected, rel=1e-12)

@@ -61,7 +61,7 @@ def test_search_after_keyset_reaches_the_scan(readings):
 
 
 def test_quantile_band_is_a_pushed_range(readings):
-    assert "PushedFilters: [IsNotNull(value), GreaterThanOrEqual(value," in plan(alerts.quantile(readings))
+    assert "PushedFilters: [IsNotNull(value), GreaterThanOrEqual(value," in plan(alerts.quantile(readings, at_once=100))
 
 
 def test_next_reading_moves_the_readings_once(readings):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wattframe import schema as S
 from wattframe.operators.ranking import newest, positions
@@ -15,70 +15,60 @@ def quantile(
     value: str = "consumo_kwh",
     q: float = S.ALERT_QUANTILE,
     accuracy: int = 10_000,
-    slices: int = 1000,
+    at_once: int = 200_000,
 ) -> DataFrame:
     """One row ``quantile``: exact, linear between neighbouring values; null over no rows.
 
-    ``percentile`` would keep a count per distinct value in one task. Here a sketch of bounded
-    size only suggests a narrow band around the wanted rank. Counting the rows below, in and
-    above the band tells exactly which of the three holds the rank; its distinct values are
-    counted, cut into equal slices, and only the slice with the rank is put in order. A poor
-    sketch costs time, never correctness. Three scans of a single column; the first two run at
-    once and bring a handful of numbers to the driver.
+    ``percentile`` would keep a count per distinct value in one task. Here a range of values that
+    holds the wanted rank is narrowed until it has at most ``at_once`` rows (or one value), and only
+    those are put in order. Each step asks a sketch of bounded size for two values close around the
+    rank and counts exactly the rows below, between and above them, which tells where the rank is
+    and how many rows lie before it; the sketch decides about time only. Where it does not narrow
+    the range, its middle is the cut. A table of up to ``at_once`` rows takes one pass, one of any
+    larger size mostly three, of a single column; a step brings a handful of numbers to the driver.
     """
     v = F.col("v")
     rows = df.select(F.col(value).cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan("v"))
-
     margin = 2.0 / accuracy
-    ends = [max(0.0, q - margin), min(1.0, q + margin)]
-    n, edges = rows.agg(F.count("v"), F.percentile_approx("v", ends, accuracy)).first()
+
+    def near(at: float) -> Column:
+        return F.percentile_approx("v", [max(0.0, at - margin), min(1.0, at + margin)], accuracy)
+
+    n, lo, hi, edges = rows.agg(F.count("v"), F.min("v"), F.max("v"), near(q)).first()
     if n == 0:
         return rows.agg(F.max("v").alias("quantile"))
-    lo, hi = edges
     rank = math.floor(q * (n - 1))
     weight = q * (n - 1) - rank
 
-    bands = {"below": v < lo, "inside": (v >= lo) & (v <= hi), "above": v > hi}
-    counted = rows.agg(
-        *[F.count_if(c).alias(name) for name, c in bands.items()],
-        F.min(F.when(bands["inside"], v)).alias("next_below"),
-        F.min(F.when(bands["above"], v)).alias("next_inside"),
-    ).first()
-    before = 0
-    for name, inside in bands.items():
-        if rank < before + counted[name]:
-            break
-        before += counted[name]
-    larger = counted[f"next_{name}"] if name != "above" else None
-
-    cut = F.floor((v - lo) / (hi - lo) * slices) if hi > lo else F.lit(0)
-    counts = (
-        rows.filter(inside)
-        .groupBy("v")
-        .agg(F.count("v").alias("n"))
-        .withColumn("slice", F.greatest(F.lit(0), F.least(F.lit(slices), cut)))
-    )
-    sizes = counts.groupBy("slice").agg(F.sum("n").alias("n"), F.min("v").alias("least"))
-    slice_ends = sizes.select("slice", "n", *_ranks("slice", "least", before))
-    chosen = slice_ends.filter(F.col("upto") > rank).agg(
-        F.min(F.struct("slice", (F.col("upto") - F.col("n")).alias("before"), "next"))
-    ).scalar()
-
-    # The upper neighbour is the same value if enough rows share it, else the next larger one.
-    ordered = counts.select("v", "n", "slice", chosen.alias("chosen")).filter("slice = chosen.slice")
-    ranked = ordered.select("v", "chosen", *_ranks("v", "v", F.col("chosen.before")))
-    at = ranked.filter(F.col("upto") > rank).agg(F.min(F.struct("v", "upto", "next", "chosen")).alias("at"))
-    found = F.col("at.v")
-    follow = F.coalesce("at.next", "at.chosen.next", F.lit(larger).cast("double"), found)
-    upper = F.when(F.col("at.upto") > rank + 1, found).otherwise(follow)
-    return at.select((found + (upper - found) * weight).alias("quantile"))
-
-
-def _ranks(order: str, least: str, before: Column | int) -> list[Column]:
-    """Rows up to and including each group, ``before`` included, and the next group's least value."""
-    window = Window.orderBy(order)
-    upto = F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return [(upto + before).alias("upto"), F.lead(least).over(window).alias("next")]
+    before, size, inside = 0, n, rows
+    while size > at_once and lo < hi:
+        if tuple(edges) == (lo, hi):
+            middle = lo / 2 + hi / 2
+            edges = [lo, middle if lo <= middle < hi else lo]
+        a, b = edges
+        parts = {"below": v < a, "between": (v >= a) & (v <= b), "above": v > b}
+        found = inside.agg(
+            *[F.count_if(c).alias(name) for name, c in parts.items()],
+            *[f(F.when(c, v)).alias(f"{name}_{end}") for name, c in parts.items() for end, f in (("lo", F.min), ("hi", F.max))],
+        ).first()
+        for name in parts:
+            if rank < before + found[name]:
+                break
+            before += found[name]
+        size, lo, hi = found[name], found[f"{name}_lo"], found[f"{name}_hi"]
+        inside = rows.filter((v >= lo) & (v <= hi))
+        if size > at_once and lo < hi:
+            edges = inside.agg(near((rank - before) / max(size - 1, 1))).first()[0]
+
+    # The upper neighbour may be the least value above the range.
+    beyond = rows.filter(v > hi).agg(F.min("v")).scalar()
+    if lo == hi:
+        found, follow = F.lit(lo), F.lit(lo) if rank + 1 < before + size else F.coalesce(beyond, F.lit(lo))
+        return df.sparkSession.range(1).select((found + (follow - found) * weight).alias("quantile"))
+    ordered = inside.agg(F.sort_array(F.collect_list("v")).alias("v"))
+    found = F.get("v", F.lit(rank - before))
+    follow = F.coalesce(F.get("v", F.lit(rank - before + 1)), beyond, found)
+    return ordered.select((found + (follow - found) * weight).alias("quantile"))
 
 
 def above_quantile(
