@@ -14,7 +14,7 @@ r = 1 - percent / 100 of the Jaccard metric. The join works in regions:
    exactly. Members within r join its component, so a group of copies costs one pair each and not all
    pairs. A region whose members are all connected is done.
 3. Recursion. What is left is split into cells of bounded size and joined by pivots and triangle
-   inequality on the Hamming distance of parity bitmaps (each set's shingles hashed into n / 2 bits or
+   inequality on the Hamming distance of parity bitmaps (each set's shingles hashed into 2 n bits or
    more, one bit flipped by each): a metric that never exceeds the symmetric difference. Two far
    members become pivots, members go to the nearer (its Voronoi region), those whose distances differ
    by no more than twice the radius also meet across the border, and each part is joined the same way
@@ -97,7 +97,7 @@ def needed(n: int | np.ndarray, percent: int):
 
 def _bitmap(h: np.ndarray) -> bytes:
     bits = 64
-    while 2 * bits < len(h):
+    while bits < 2 * len(h):
         bits *= 2
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
