@@ -82,7 +82,7 @@ def test_energy_equals_the_batch_answer(spark, landing, tmp_path):
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     out = str(tmp_path / "out")
-    keep = live._changes(out)
+    keep = live._changes(out, ["device_id"])
     rows = spark.createDataFrame([("a", 1)], "device_id string, n int")
     keep(rows, 0)
     keep(rows, 0)
@@ -96,8 +96,35 @@ def test_redelivered_records_count_once(spark, landing, tmp_path):
     again = spark.createDataFrame(_rows()[:500], SCHEMA)
     again.write.mode("append").parquet(path)
     out = str(tmp_path / "out")
-    live.append_stream(live.deduplicated(_stream(spark, path)), out).awaitTermination()
-    assert _set(spark.read.parquet(f"{out}/table"), "id") == _set(whole, "id")
+    live.keyed_table(_stream(spark, path), out).awaitTermination()
+    assert _set(live.read_changes(spark, out, ["id"]), "id", "consumo_kwh") == _set(whole, "id", "consumo_kwh")
+
+
+def test_a_key_sent_again_replaces_its_record(spark, tmp_path):
+    path, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    at = lambda d: START + timedelta(days=d)
+    batches = [
+        [(1, at(1), "a", "activo", 1.0), (2, at(2), "a", "activo", 2.0), (3, at(3), "a", "activo", 3.0)],
+        [(2, at(2), "a", "activo", 9.0), (2, at(1), "a", "activo", 8.0)],  # inside a batch the newest time wins
+        [(3, at(-30), "a", "activo", 4.0)],  # weeks late, and out of the view again
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        live.last_n_view(_stream(spark, path), out, 2).awaitTermination()
+    assert _set(live.read_latest(spark, f"{out}/view"), "id", "consumo_kwh") == [(1, 1.0), (2, 9.0)]
+    assert _set(live.read_changes(spark, out, ["id"]), "id", "consumo_kwh") == [(1, 1.0), (2, 9.0), (3, 4.0)]
+
+
+def test_snapshots_bound_the_change_log(spark, tmp_path):
+    out = str(tmp_path / "out")
+    keep = live._changes(out, ["k"], compact=3)
+    for i in range(10):
+        keep(spark.createDataFrame([(i % 4, i), (100 + i, i)], "k int, n int"), i)
+        if i == 5:
+            keep(spark.createDataFrame([(i % 4, i), (100 + i, i)], "k int, n int"), i)  # repeated after its snapshot
+        assert len(live._versions(spark, f"{out}/changes")) <= 4 and len(live._versions(spark, f"{out}/snapshots")) <= 1
+    want = {**{100 + i: i for i in range(10)}, 0: 8, 1: 9, 2: 6, 3: 7}
+    assert {r.k: r.n for r in live.read_changes(spark, out, ["k"]).collect()} == want
 
 
 def test_raw_json_lines_to_the_live_view(spark, tmp_path):

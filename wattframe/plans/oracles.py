@@ -177,6 +177,10 @@ SHOWN = f"""shown AS (
 
 R = f"WITH {READINGS} "
 F_ = f"WITH {FEED} "
+# The live feed's last copy per key: every 20th record came again with a new value, every 40th earlier.
+L_ = f"""WITH sent AS ({tables.sql_select(tables.reading_columns(_D), 'events')}),
+readings AS (SELECT id, CASE WHEN id % 40 = 0 THEN ts - INTERVAL 20 DAY ELSE ts END AS ts, device_id, estado,
+  CASE WHEN id % 20 = 0 THEN consumo_kwh + 1 ELSE consumo_kwh END AS consumo_kwh, costo FROM sent) """
 ANCHOR = "(SELECT max(ts) FROM readings)"
 MONTH = f"date_trunc('month', ts) = date_trunc('month', {ANCHOR})"
 NEWEST = "ORDER BY ts DESC, id DESC"
@@ -379,12 +383,15 @@ ORACLES: dict[str, str] = {
     "json_cache_roundtrip": R + _HOURLY,
     "report_append": "WITH l AS (SELECT o_orderpriority AS tipo, CASE o_orderstatus WHEN 'F' THEN 'Listo' WHEN 'O' THEN 'Pendiente' END AS estado FROM orders "
     "UNION ALL SELECT 'Consumo mensual', 'Pendiente') SELECT tipo, estado, count(*) AS n FROM l GROUP BY ALL",
-    "live_last_n": R + f"SELECT id, device_id, estado, consumo_kwh FROM readings {NEWEST} LIMIT 2000",
-    "live_alerts": R + f", p AS (SELECT * FROM readings {NEWEST} LIMIT 500), {STATS.format('p')} "
+    "live_last_n": L_ + f"SELECT id, device_id, estado, consumo_kwh FROM readings {NEWEST} LIMIT 2000",
+    "live_alerts": L_ + f", p AS (SELECT * FROM readings {NEWEST} LIMIT 500), {STATS.format('p')} "
     "SELECT count(*) AS n_anomalias FROM p, s WHERE abs((consumo_kwh - mean) / sd) >= 3",
-    "live_latest_per_device": R + f", {LATEST} SELECT * REPLACE ({stamp('ts')} AS ts) FROM latest",
-    "live_active_split": R + f", {LATEST} " + SPLIT.format(a=ANCHOR, w=""),
-    "live_daily": R + f"SELECT strftime(ts, '%Y-%m-%d') AS label, {total('consumo_kwh', 2)} AS value FROM readings GROUP BY 1",
-    "live_monthly": R + f"SELECT strftime(ts, '%Y-%m') AS label, {total('consumo_kwh', 2)} AS value FROM readings GROUP BY 1",
-    "live_dedup": R + "SELECT id, device_id, consumo_kwh FROM readings",
+    "live_latest_per_device": L_ + f", {LATEST} SELECT * REPLACE ({stamp('ts')} AS ts) FROM latest",
+    "live_active_split": L_ + f", {LATEST} " + SPLIT.format(a=ANCHOR, w=""),
+    "live_daily": L_ + f"SELECT strftime(ts, '%Y-%m-%d') AS label, {total('consumo_kwh', 2)} AS value FROM readings GROUP BY 1",
+    "live_monthly": L_ + f"SELECT strftime(ts, '%Y-%m') AS label, {total('consumo_kwh', 2)} AS value FROM readings GROUP BY 1",
+    "live_dedup": L_ + "SELECT id, device_id, consumo_kwh FROM readings",
+    "live_state_per_device": R + f", {LATEST} SELECT * REPLACE ({stamp('ts')} AS ts) FROM latest",
+    "live_state_daily": R + f"SELECT strftime(ts, '%Y-%m-%d') AS label, {total('consumo_kwh', 2)} AS value FROM readings GROUP BY 1",
+    "live_state_monthly": R + series("readings", "strftime(ts, '%Y-%m')", 6),
 }

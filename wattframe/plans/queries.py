@@ -694,59 +694,93 @@ def report_append(spark, sf):
 # --- the live feed -----------------------------------------------------------------------------
 
 
-def _stream(spark, sf) -> DataFrame:
-    """The events table as a stream of readings."""
-    schema = tables.load(spark, sf, "events").schema
-    events = live.feed_stream(spark, sf, schema, "parquet", pathGlobFilter="events.parquet")
-    return events.selectExpr(*[f"{rule} AS `{name}`" for name, rule in tables.reading_columns().items()])
+def _live_feed(spark, sf) -> DataFrame:
+    """The events as a stream of four files, one a batch, with interleaved times. The last file also
+    sends every 20th key again with a new value, every 40th weeks earlier than before."""
+    folder = work_dir(spark, "live-feed")
+    rows = tables.readings(spark, sf)
+    late = F.when(F.col("id") % 40 == 0, F.expr("ts - INTERVAL 20 DAYS")).otherwise(F.col("ts"))
+    again = rows.filter(F.col("id") % 20 == 0).withColumns({"consumo_kwh": F.col("consumo_kwh") + 1, "ts": late})
+    for part in range(4):
+        own = rows.filter(F.col("id") % 4 == part)
+        (own.unionByName(again) if part == 3 else own).coalesce(1).write.mode("append").parquet(folder)
+    return live.feed_stream(spark, folder, rows.schema, "parquet", maxFilesPerTrigger=1)
+
+
+def _live_table(spark, sf) -> DataFrame:
+    """The last copy of every key after the whole stream."""
+    folder = work_dir(spark, "live-table")
+    live.keyed_table(_live_feed(spark, sf), folder, compact=3).awaitTermination()
+    return live.read_changes(spark, folder, ["id"])
 
 
 @query
 def live_last_n(spark, sf):
     folder = work_dir(spark, "live-view")
-    live.last_n_view(_stream(spark, sf), folder, S.FEED_DASHBOARD).awaitTermination()
+    live.last_n_view(_live_feed(spark, sf), folder, S.FEED_DASHBOARD).awaitTermination()
     return live.read_latest(spark, f"{folder}/view").select("id", "device_id", "estado", "consumo_kwh")
 
 
 @query
 def live_alerts(spark, sf):
     folder = work_dir(spark, "live-alerts")
-    live.last_n_view(_stream(spark, sf), folder, value="consumo_kwh").awaitTermination()
+    live.last_n_view(_live_feed(spark, sf), folder, value="consumo_kwh", compact=2).awaitTermination()
     return live.read_latest(spark, f"{folder}/alerts")
 
 
 @query
 def live_latest_per_device(spark, sf):
-    folder = work_dir(spark, "live-devices")
-    live.newest_per_device(_stream(spark, sf), folder).awaitTermination()
-    return _stamped(live.read_changes(spark, folder, ["device_id"]), "ts")
+    rows = ranking.newest_per(_live_table(spark, sf))
+    return _stamped(rows.select("id", "ts", "device_id", "estado", "consumo_kwh", "costo"), "ts")
 
 
 @query
 def live_active_split(spark, sf):
-    folder = work_dir(spark, "live-split")
-    live.newest_per_device(_stream(spark, sf), folder).awaitTermination()
-    return devices.active_split(live.read_changes(spark, folder, ["device_id"]), interval=RECENT)
+    return devices.active_split(_live_table(spark, sf), interval=RECENT)
 
 
 @query
 def live_daily(spark, sf):
-    folder = work_dir(spark, "live-daily")
-    live.daily_energy(_stream(spark, sf), folder).awaitTermination()
-    return live.read_daily(spark, folder)
+    return energy.daily_totals(_live_table(spark, sf))
 
 
 @query
 def live_monthly(spark, sf):
-    folder = work_dir(spark, "live-monthly")
-    live.daily_energy(_stream(spark, sf), folder).awaitTermination()
-    return live.read_monthly(spark, folder)
+    return energy.monthly_totals(_live_table(spark, sf))
 
 
 @query
 def live_dedup(spark, sf):
-    folder = work_dir(spark, "live-dedup")
-    events = _stream(spark, sf)
-    twice = events.unionAll(_stream(spark, sf))
-    live.append_stream(live.deduplicated(twice), folder).awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("id", "device_id", "consumo_kwh")
+    return _live_table(spark, sf).select("id", "device_id", "consumo_kwh")
+
+
+def _sent_once(spark, sf) -> DataFrame:
+    """The events as a stream of four files in which no record comes twice."""
+    folder = work_dir(spark, "once-feed")
+    rows = tables.readings(spark, sf)
+    for part in range(4):
+        rows.filter(F.col("id") % 4 == part).coalesce(1).write.mode("append").parquet(folder)
+    return live.feed_stream(spark, folder, rows.schema, "parquet", maxFilesPerTrigger=1)
+
+
+@query
+def live_state_per_device(spark, sf):
+    """The stateful form, for streams that send a record once."""
+    folder = work_dir(spark, "live-devices")
+    live.newest_per_device(_sent_once(spark, sf), folder).awaitTermination()
+    rows = live.read_changes(spark, folder, ["device_id"])
+    return _stamped(rows.select("id", "ts", "device_id", "estado", "consumo_kwh", "costo"), "ts")
+
+
+@query
+def live_state_daily(spark, sf):
+    folder = work_dir(spark, "live-daily")
+    live.daily_energy(_sent_once(spark, sf), folder).awaitTermination()
+    return live.read_daily(spark, folder)
+
+
+@query
+def live_state_monthly(spark, sf):
+    folder = work_dir(spark, "live-monthly")
+    live.daily_energy(_sent_once(spark, sf), folder).awaitTermination()
+    return energy.tail_k(live.read_monthly(spark, folder), 6)

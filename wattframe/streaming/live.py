@@ -1,11 +1,10 @@
 """The live feed as Structured Streaming queries.
 
-The views the feed drives are always recomputed from the newest records, and a late record simply
-sorts into place. So no query here drops late data, apart from ``deduplicated``, whose memory of
-ids has to end somewhere.
-
-Results are versioned folders: batch ``k`` writes ``batch=k`` in overwrite mode, so a batch that
-is repeated after a failure replaces itself. All paths must be reachable by every executor.
+Records carry a key; a key that is sent again replaces its record, and a late record simply sorts into
+place: nothing is dropped. Micro-batches write versioned folders: batch ``k`` writes ``batch=k`` in
+overwrite mode, so a batch that is repeated after a failure replaces itself. Change logs are folded
+into a snapshot every so many batches, so their length stays bounded. All paths must be reachable by
+every executor.
 """
 
 from __future__ import annotations
@@ -21,10 +20,17 @@ from wattframe.operators.alerts import zscore_count
 from wattframe.operators.ranking import newest
 
 
+#: Batches after which a change log is folded into a snapshot.
+COMPACT = 20
+
+
 def feed_stream(
     spark: SparkSession, path: str, schema: T.StructType = S.FEED, fmt: str = "json", **options
 ) -> DataFrame:
-    """Files arriving under ``path`` as a stream; ``maxFilesPerTrigger`` sets the batch size."""
+    """Files arriving under ``path`` as a stream; ``maxFilesPerTrigger`` sets the batch size.
+
+    A stream from elsewhere (a message queue's text, say) goes through ``feed.parse_feed`` instead.
+    """
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
@@ -39,11 +45,27 @@ def _read_version(spark: SparkSession, folder: str, batch_id: int, like: DataFra
     return spark.read.schema(like.schema).parquet(_version(folder, batch_id))
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path of the session's file system and that system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _drop_version(spark: SparkSession, folder: str, batch_id: int) -> None:
-    """Removes a view that no batch needs any more; a repeated batch ``k`` reads ``k - 1`` at most."""
+    """Removes a version that no batch needs any more; a repeated batch ``k`` reads ``k - 1`` at most."""
     if batch_id >= 0:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_version(folder, batch_id))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        at, files = _folder(spark, _version(folder, batch_id))
+        files.delete(at, True)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Batches with a finished version, in order."""
+    at, files = _folder(spark, folder)
+    if not files.exists(at):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at)]
+    found = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+    return [k for k in found if files.exists(_folder(spark, f"{_version(folder, k)}/_SUCCESS")[0])]
 
 
 def _start(
@@ -54,6 +76,25 @@ def _start(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _last_copies(batch: DataFrame, key: str, ts: str) -> DataFrame:
+    """One record per key of a batch: the one with the newest time, the larger record on ties."""
+    rest = [c for c in batch.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(F.col(ts), *[F.col(c) for c in rest if c != ts]))
+    return batch.groupBy(key).agg(last.alias("_row")).select(*[key if c == key else F.col(f"_row.{c}") for c in batch.columns])
+
+
+def keyed_table(
+    stream: DataFrame, folder: str, key: str = "id", ts: str = "ts", compact: int = COMPACT, once: bool = True
+) -> StreamingQuery:
+    """Keeps the last copy of every key, as a change log with snapshots under ``folder``.
+
+    A later batch replaces what earlier ones hold, whatever its records' times; inside a batch the
+    newest time wins. Read it with ``read_changes(spark, folder, [key])``.
+    """
+    keep = _changes(folder, [key], compact)
+    return _start(stream, lambda batch, k: keep(_last_copies(batch, key, ts), k), folder, "append", once)
+
+
 def last_n_view(
     stream: DataFrame,
     folder: str,
@@ -63,48 +104,76 @@ def last_n_view(
     value: str | None = None,
     pool: int = S.ALERT_POOL,
     threshold: float = S.Z_THRESHOLD,
+    key: str = "id",
+    compact: int = COMPACT,
     once: bool = True,
 ) -> StreamingQuery:
     """Keeps the newest ``n`` records of the stream under ``folder/view``.
 
-    Each batch is cut to its own newest ``n`` and merged with the stored view, so state stays at
-    ``n`` rows however long the stream runs; the last two versions stay. With ``value`` the z-score alerts among the newest
-    ``pool`` of the view are kept under ``folder/alerts``.
+    The view is cut from the keyed table, so a key that is sent again counts once, and one that moves
+    back in time lets the next record in. The last two versions stay. With ``value`` the z-score
+    alerts among the newest ``pool`` of the view are kept under ``folder/alerts``.
     """
     view, alerts = f"{folder}/view", f"{folder}/alerts"
+    keep = _changes(folder, [key], compact)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        stored = _read_version(batch.sparkSession, view, batch_id - 1, batch)
-        merged = newest(newest(batch, n, ts, tie).unionByName(stored), n, ts, tie)
-        merged.coalesce(1).write.mode("overwrite").parquet(_version(view, batch_id))
+        spark = batch.sparkSession
+        keep(_last_copies(batch, key, ts), batch_id)
+        whole = read_changes(spark, folder, [key]).select(*batch.columns)
+        newest(whole, n, ts, tie).coalesce(1).write.mode("overwrite").parquet(_version(view, batch_id))
         if value is not None:
-            kept = _read_version(batch.sparkSession, view, batch_id, batch)
+            kept = _read_version(spark, view, batch_id, batch)
             counted = zscore_count(kept, value, threshold, 0, pool, ts, tie)
             counted.write.mode("overwrite").parquet(_version(alerts, batch_id))
-            _drop_version(batch.sparkSession, alerts, batch_id - 2)
-        _drop_version(batch.sparkSession, view, batch_id - 2)
+            _drop_version(spark, alerts, batch_id - 2)
+        _drop_version(spark, view, batch_id - 2)
 
     return _start(stream, merge, folder, "append", once)
 
 
 def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The result of the last finished batch."""
-    versions = spark.read.parquet(folder)
-    newest_batch = versions.agg(F.max("batch")).scalar()
-    return versions.filter(F.col("batch") == newest_batch).drop("batch")
+    done = _versions(spark, folder)
+    if not done:
+        raise FileNotFoundError(f"no finished batch under {folder}")
+    return spark.read.parquet(_version(folder, done[-1]))
+
 
+def _changes(folder: str, keys: list[str], compact: int = COMPACT) -> Callable[[DataFrame, int], None]:
+    """Writes a batch's changes; every ``compact`` batches folds all into a snapshot and drops the rest.
 
-def _changes(folder: str) -> Callable[[DataFrame, int], None]:
+    The snapshot is finished before anything goes, and a batch repeated after its snapshot leaves it.
+    """
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_version(f"{folder}/changes", batch_id))
+        spark, log, snapshots = batch.sparkSession, f"{folder}/changes", f"{folder}/snapshots"
+        batch.write.mode("overwrite").parquet(_version(log, batch_id))
+        if compact and (batch_id + 1) % compact == 0:
+            if batch_id not in _versions(spark, snapshots):
+                read_changes(spark, folder, keys).write.mode("overwrite").parquet(_version(snapshots, batch_id))
+            for old in _versions(spark, log):
+                if old < batch_id:
+                    _drop_version(spark, log, old)
+            for old in _versions(spark, snapshots):
+                if old < batch_id:
+                    _drop_version(spark, snapshots, old)
 
     return keep
 
 
 def read_changes(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """Current state per key from a change log: for every key its row of the last batch that
-    changed it (each batch holds a key at most once)."""
-    log = spark.read.parquet(f"{folder}/changes")
+    """Current state per key: for every key its row of the last batch that changed it, from the last
+    snapshot and the changes after it (each batch holds a key at most once)."""
+    snapshots = _versions(spark, f"{folder}/snapshots")
+    after = snapshots[-1] if snapshots else -1
+    parts = [(k, _version(f"{folder}/changes", k)) for k in _versions(spark, f"{folder}/changes") if k > after]
+    if snapshots:
+        parts.insert(0, (after, _version(f"{folder}/snapshots", after)))
+    if not parts:
+        raise FileNotFoundError(f"no finished batch under {folder}")
+    paths = {kind: [p for _, p in parts if f"/{kind}/" in p] for kind in ("snapshots", "changes")}
+    tables = [spark.read.option("basePath", f"{folder}/{kind}").parquet(*found) for kind, found in paths.items() if found]
+    log = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
     rest = [c for c in log.columns if c not in keys and c != "batch"]
     current = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
     return current.select(*keys, "_row.*")
@@ -120,13 +189,13 @@ def newest_per_device(
 ) -> StreamingQuery:
     """Keeps each device's newest record as a change log under ``folder/changes``.
 
-    State is one record per device; a batch writes only the devices it touched. Read it with
+    For streams that send a record once. State is one record per device; a batch writes only the devices it touched. Read it with
     ``read_changes(spark, folder, [device])`` and judge activity at reading time.
     """
     rest = [c for c in stream.columns if c not in (device, ts, tie)]
     record = F.struct(F.col(ts), F.col(tie), *[F.col(c) for c in rest])
     latest = stream.groupBy(device).agg(F.max(record).alias("_row")).select(device, "_row.*")
-    return _start(latest, _changes(folder), folder, "update", once)
+    return _start(latest, _changes(folder, [device]), folder, "update", once)
 
 
 def daily_energy(
@@ -134,11 +203,12 @@ def daily_energy(
 ) -> StreamingQuery:
     """Keeps the energy of each day as a change log under ``folder/changes``.
 
-    State is one row per calendar day, so it needs no watermark and no reading is ever too late.
+    For streams that send a record once (else total the keyed table). State is one row per calendar
+    day, so it needs no watermark and no reading is ever too late.
     """
     timed = stream.filter(F.col(ts).isNotNull())
     days = timed.groupBy(F.to_date(ts).alias("day")).agg(*sums.partial(F.col(value)))
-    return _start(days, _changes(folder), folder, "update", once)
+    return _start(days, _changes(folder, ["day"]), folder, "update", once)
 
 
 def read_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,19 +222,6 @@ def read_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return days.groupBy(times.month_label(F.col("day")).alias("label")).agg(sums.refold(2).alias("value"))
 
 
-def deduplicated(
-    stream: DataFrame, key: str = "id", ts: str = "ts", delay: str = "7 days"
-) -> DataFrame:
-    """The stream without repeated ids, for feeds that redeliver.
-
-    An id is remembered for ``delay`` of event time, and a record later than that is dropped; pick
-    a delay longer than any redelivery. Without the bound the state would grow for ever.
-    """
-    timed = stream.withColumn("_event_time", F.col(ts).cast("timestamp"))
-    marked = timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark([key])
-    return marked.drop("_event_time")
-
-
 def append_stream(stream: DataFrame, folder: str, once: bool = True) -> StreamingQuery:
     """Appends a stream to a parquet table under ``folder/table``, exactly once per record."""
     writer = stream.writeStream.format("parquet").outputMode("append")
