@@ -77,3 +77,23 @@ def test_feed_records_are_parsed_once(frame):
     raw = frame([('{"timestamp": 1700000000}',)], "value string")
     text = plan(standardise.dashboard_readings(feed.parse_feed(raw)))
     assert text.split("== Physical Plan ==")[1].count("from_json") == 1
+
+
+def test_per_batch_choices_go_to_the_readings(spark):
+    """With very many batches the readings still do not move."""
+    from wattframe.operators import hours, ranking
+
+    df = spark.range(400_000).selectExpr(
+        "id", "concat('s3://lake/readings/part-', id, '.csv') AS batch_id", "'2024-01-01 05:00:00' AS timestamp", "1.0 AS consumo_kwh")
+    text = plan(hours.with_best_time(df), "simple")
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    text = plan(ranking.sample_per_batch(df.selectExpr("id", "concat('b', id % 50000) AS batch_id", "consumo_kwh")), "simple")
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_newest_per_does_not_sort_the_readings(readings):
+    from wattframe.operators import ranking
+
+    text = plan(ranking.newest_per(readings), "simple")
+    below = text[text.index("BroadcastHashJoin"):]
+    assert "Sort [" not in below and "Sort (" not in below

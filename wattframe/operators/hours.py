@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wattframe.functions import times
 from wattframe.operators.filters import drop_missing
 from wattframe.operators.standardise import as_time, is_text
-from wattframe.session import materialise
+from wattframe.session import materialise, small
 
 
 def _sources(df: DataFrame) -> dict[str, Column]:
@@ -65,10 +65,9 @@ def with_best_time(df: DataFrame, batch: str | None = "batch_id") -> DataFrame:
     """Adds ``ts`` and ``hour_source`` by the winning source; rows it cannot date are dropped,
     and so are batches without any source.
 
-    ``batch=None`` judges the table as one batch. Otherwise the choices, one short row per batch,
-    are first written as a table of known size: below Spark's broadcast threshold they go to the
-    readings, which then do not move; above it the join shuffles and adaptive execution splits
-    hot batches.
+    ``batch=None`` judges the table as one batch. Otherwise the choices are first written as a table
+    of known size, a 64-bit hash of the batch and a number for the source, however long the batch's
+    name is. Up to ``BROADCAST_ROWS`` batches they are sent to the readings, which then do not move.
     """
     sources = _sources(df)
 
@@ -82,9 +81,12 @@ def with_best_time(df: DataFrame, batch: str | None = "batch_id") -> DataFrame:
         dated = df.withColumn("hour_source", best).withColumn("ts", pick(F.col("hour_source")))
         return drop_missing(dated, ["ts"])
     found = hour_sources(df, batch).filter(F.col("source").isNotNull())
-    choices = materialise(found.select(batch, F.col("source").alias("hour_source")), "hour-source")
-    dated = df.join(choices, batch).withColumn("ts", pick(F.col("hour_source")))
-    return drop_missing(dated, ["ts"])
+    names = F.array(*[F.lit(name) for name in sources])
+    code = (F.array_position(names, F.col("source")) - 1).cast("tinyint")
+    choices = small(materialise(found.select(F.xxhash64(batch).alias("_batch"), code.alias("_code")), "hour-source"))
+    chosen = df.join(choices, F.xxhash64(F.col(batch)) == F.col("_batch"))
+    dated = chosen.withColumn("hour_source", F.get(names, F.col("_code").cast("int"))).drop("_batch", "_code")
+    return drop_missing(dated.withColumn("ts", pick(F.col("hour_source"))), ["ts"])
 
 
 def hour_profile(df: DataFrame, batch: str = "batch_id") -> DataFrame:

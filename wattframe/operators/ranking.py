@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattframe import schema as S
-from wattframe.session import materialise
+from wattframe.session import materialise, small
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -134,8 +134,9 @@ def sample_per_batch(
     heads = ranked.groupBy(F.col(batch).alias("_batch"), "_head").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("_batch").orderBy("_head"))
     needed = heads.select("_batch", "_head", (upto - F.col("n")).alias("before")).filter(F.col("before") < per_batch)
-    last = materialise(needed.groupBy("_batch").agg(F.max("_head").alias("_last")), "sample-cut")
-    near = ranked.join(last, F.col(batch).eqNullSafe(F.col("_batch"))).filter(F.col("_head") <= F.col("_last"))
+    cut = needed.groupBy(F.xxhash64("_batch").alias("_batch")).agg(F.max("_head").alias("_last"))
+    last = small(materialise(cut, "sample-cut"))
+    near = ranked.join(last, F.xxhash64(F.col(batch)) == F.col("_batch")).filter(F.col("_head") <= F.col("_last"))
 
     order = [F.col("_hash"), F.col(key)]
     parts = first_per_group(near.select(*df.columns, "_hash", "_part"), [batch, "_part"], order, per_batch)

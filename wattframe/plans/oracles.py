@@ -199,7 +199,7 @@ _CLEAN = f"""clean AS (
   SELECT id, {', '.join(f"{number(c)} AS {c}" for c in S.SCORING_NUMERIC)},
     coalesce(estado, 'activo') AS estado, coalesce(hora_dia, '00:00') AS hora_dia,
     coalesce(dia_semana, 'lunes') AS dia_semana, coalesce(casa_id, 'Puebla') AS casa_id,
-    coalesce(try_cast(modo_ecologico_activado AS DOUBLE), 0)::INT AS modo_ecologico_activado
+    coalesce(try_cast(try_cast(modo_ecologico_activado AS DOUBLE) AS INT), 0) AS modo_ecologico_activado
   FROM scoring
   WHERE {' AND '.join(f"{number(c)} IS NOT NULL" for c in S.SCORING_NUMERIC)})"""
 
@@ -341,8 +341,8 @@ ORACLES: dict[str, str] = {
     f"{DEVICE_STATUS} AS estado FROM t WHERE ts > TIMESTAMP '1970-01-01') SELECT * REPLACE ({stamp('ts')} AS ts) FROM u "
     "QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY u.ts DESC, id DESC) = 1",
     "history_rows": F_ + f"SELECT id, coalesce(nullif(device_id, ''), '—') AS dispositivo, '—' AS usuario, "
-    f"round(cast(abs({POWER}) / 1000 AS DECIMAL(38,9)), 3)::DOUBLE AS consumo, "
-    f"round(cast(abs({POWER}) / 1000 * CAST(3.2 AS DOUBLE) AS DECIMAL(38,8)), 2)::DOUBLE AS costo, {HISTORY_STATUS} AS estado, "
+    f"coalesce(round(try_cast(abs({POWER}) / 1000 AS DECIMAL(38,9)), 3)::DOUBLE, abs({POWER}) / 1000) AS consumo, "
+    f"coalesce(round(try_cast(abs({POWER}) / 1000 * CAST(3.2 AS DOUBLE) AS DECIMAL(38,8)), 2)::DOUBLE, abs({POWER}) / 1000 * CAST(3.2 AS DOUBLE)) AS costo, {HISTORY_STATUS} AS estado, "
     f"coalesce(strftime({SHORT_TIME}, '%Y-%m-%d'), '—') AS fecha FROM feed",
     "current_month_rows": "SELECT strftime(l_shipdate, '%Y-%m-%d') AS dia, l_quantity AS consumo_kwh, l_extendedprice AS costo FROM lineitem "
     "WHERE date_trunc('month', l_shipdate) = (SELECT date_trunc('month', max(l_shipdate)) FROM lineitem)",
@@ -377,6 +377,11 @@ ORACLES: dict[str, str] = {
     + ", ".join(f"CASE WHEN {number(c)} IS NULL THEN '{c}' END" for c in S.SCORING_NUMERIC)
     + f") AS faltan FROM scoring WHERE {' OR '.join(f'{number(c)} IS NULL' for c in S.SCORING_NUMERIC)}",
     "feature_matrix": _feature_sql(),
+    "model_scores": f"WITH {SCORING}, {_CLEAN} SELECT id, true AS consumo_kwh_next, true AS costo_mx_next FROM clean",
+    "score_count": f"WITH {SCORING}, {_CLEAN} SELECT count(*) AS n FROM clean",
+    "tiny_and_huge_totals": R + "SELECT device_id, round(fsum(consumo_kwh * 1e-8), 12) AS tiny, "
+    "sum(cast(round(consumo_kwh * 1e13) AS DECIMAL(38,0)))::DOUBLE AS huge FROM readings GROUP BY 1",
+    "infinite_reading_flags_nobody": R + "SELECT 0::BIGINT AS n_anomalias, count(*) FILTER (id <> 1)::BIGINT AS en_barras FROM readings",
     "csv_scan": f"WITH {BATCH} SELECT casa_id, timestamp, coalesce({number('consumo_kwh', False)}, 0.0) AS consumo_kwh FROM batch",
     "parquet_scan": f"WITH {BATCH} SELECT fecha, consumo_kwh, 0.0::DOUBLE AS costo_mx, 'activo' AS estado, 'Smart Plug' AS dispositivo, '—' AS usuario FROM batch",
     "csv_roundtrip": R + f", {HISTORY} SELECT fecha, dispositivo, usuario, consumo::varchar AS consumo_kwh, printf('%.2f', costo) AS costo_mxn, estado FROM history",

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattframe import schema as S
-from wattframe.functions import coerce as C, times
+from wattframe.functions import coerce as C, sums, times
 from wattframe.operators import (
     alerts, devices, energy, filters, hours, ranking, scoring, standardise,
 )
@@ -50,6 +50,27 @@ def energy_by_hour(spark, sf):
     return energy.energy_by_hour(tables.readings(spark, sf))
 
 
+@query
+def tiny_and_huge_totals(spark, sf):
+    """Readings of a hundred-millionth and ten million million times the usual size, totalled per device."""
+    rows = tables.readings(spark, sf)
+    scaled = rows.select(
+        F.col("device_id").alias("device_id"), (F.col("consumo_kwh") * 1e-8).alias("tiny"),
+        F.round(F.col("consumo_kwh") * 1e13).alias("huge"))
+    return scaled.groupBy("device_id").agg(
+        sums.total(F.col("tiny"), 12).alias("tiny"), sums.total(F.col("huge"), 0).alias("huge"))
+
+
+@query
+def infinite_reading_flags_nobody(spark, sf):
+    """One infinite reading leaves the anomalies undefined and the histogram to the finite ones."""
+    rows = tables.readings(spark, sf)
+    value = F.when(F.col("id") == 1, float("inf")).otherwise(F.col("consumo_kwh"))
+    faulty = rows.withColumn("consumo_kwh", value)
+    return alerts.zscore_count(faulty).select(
+        "n_anomalias", alerts.histogram(faulty).agg(F.sum("n")).scalar().alias("en_barras"))
+
+
 @query
 def energy_by_weekday(spark, sf):
     return energy.energy_by_weekday(tables.readings(spark, sf))
@@ -57,7 +78,7 @@ def energy_by_weekday(spark, sf):
 
 @query
 def energy_by_labelled_weekday(spark, sf):
-    raw = mining.mining_readings(tables.landed(tables.raw_batch(spark, sf)))
+    raw = mining.mining_readings(tables.raw_batch(spark, sf))
     return energy.energy_by_weekday(raw, label="dia")
 
 
@@ -541,23 +562,23 @@ def renamed_history(spark, sf):
 
 @query
 def best_hour_source(spark, sf):
-    found = hours.hour_sources(tables.landed(tables.raw_batch(spark, sf)))
+    found = hours.hour_sources(tables.raw_batch(spark, sf))
     return found.select("batch_id", "source", "n_valid", _six("share_midnight").alias("share_midnight"))
 
 
 @query
 def hour_profile(spark, sf):
-    found = hours.hour_profile(tables.landed(tables.raw_batch(spark, sf)))
+    found = hours.hour_profile(tables.raw_batch(spark, sf))
     return found.select("batch_id", "hour_source", "hour", "n", _six("share").alias("share"))
 
 
 @query
 def mining_readings(spark, sf):
-    return _stamped(mining.mining_readings(tables.landed(tables.raw_batch(spark, sf))), "ts")
+    return _stamped(mining.mining_readings(tables.raw_batch(spark, sf)), "ts")
 
 
 def _cube(spark, sf) -> DataFrame:
-    return mining.energy_cube(mining.mining_readings(tables.landed(tables.raw_batch(spark, sf))))
+    return mining.energy_cube(mining.mining_readings(tables.raw_batch(spark, sf)))
 
 
 @query
@@ -577,13 +598,13 @@ def mined_top(spark, sf):
 
 @query
 def mined_summary(spark, sf):
-    rows = materialise(mining.mining_readings(tables.landed(tables.raw_batch(spark, sf))), "readings")
+    rows = materialise(mining.mining_readings(tables.raw_batch(spark, sf)), "readings")
     return mining.summary(materialise(mining.energy_cube(rows), "cube"), rows)
 
 
 @query
 def mined_scatter(spark, sf):
-    rows = mining.mining_readings(tables.landed(tables.raw_batch(spark, sf)))
+    rows = mining.mining_readings(tables.raw_batch(spark, sf))
     return mining.scatter(mining.sample_pool(rows))
 
 
@@ -595,7 +616,7 @@ def _dashboard(spark, sf) -> DataFrame:
     shown = raw.selectExpr(
         "id", "momento AS fecha", "consumo_kwh", "costo_mx", "upper(dia_semana) AS estado", "casa_id AS usuario"
     )
-    return standardise.dashboard_batch(files.apply_contract(tables.landed(shown), S.DASHBOARD, keep=("id",)))
+    return standardise.dashboard_batch(files.apply_contract(shown, S.DASHBOARD, keep=("id",)))
 
 
 @query
@@ -640,8 +661,20 @@ def _training(spark, sf) -> DataFrame:
 
 @query
 def model_scores(spark, sf):
-    model = scoring.fit(_training(spark, sf), trees=8, depth=4)
-    return model.score(feed.scoring_records(tables.raw_scoring(spark, sf)))
+    """A forest's score is a mean of training targets, so it lies in their range."""
+    training = _training(spark, sf)
+    scored = scoring.fit(training, trees=8, depth=4).score(feed.scoring_records(tables.raw_scoring(spark, sf)))
+    known = training.dropna(subset=list(scoring.OUTPUTS)).agg(*[
+        F.struct(F.min(t).alias("lo"), F.max(t).alias("hi")).alias(t) for t in scoring.OUTPUTS])
+    limits = known.select(F.struct(*scoring.OUTPUTS)).scalar()
+    return scored.select("id", *[
+        F.col(o).between(limits[t]["lo"], limits[t]["hi"]).alias(o) for t, o in scoring.OUTPUTS.items()])
+
+
+@query
+def score_count(spark, sf):
+    """How many records a batch request would score."""
+    return feed.scoring_records(tables.raw_scoring(spark, sf)).agg(F.count("*").alias("n"))
 
 
 # --- sources and sinks -------------------------------------------------------------------------

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattframe import schema as S
-from wattframe.session import materialise
 
 _FUNCTIONS = {
     "spark": {
@@ -96,7 +95,7 @@ def raw_feed_columns(dialect: str = "spark") -> dict[str, str]:
         "hora": "CASE WHEN event_id % 5 = 4 THEN '7:5' ELSE {hms} END",
         "consumo_kwh": "CASE event_id % 6 WHEN 0 THEN '0' WHEN 1 THEN NULL WHEN 2 THEN 'Infinity' WHEN 3 THEN 'x' "
         "ELSE {v} END",
-        "active_power": "CASE event_id % 4 WHEN 0 THEN concat('-', {v}) WHEN 1 THEN '' WHEN 2 THEN NULL ELSE {v} END",
+        "active_power": "CASE WHEN event_id % 97 = 13 THEN '1e300' ELSE CASE event_id % 4 WHEN 0 THEN concat('-', {v}) WHEN 1 THEN '' WHEN 2 THEN NULL ELSE {v} END END",
         "consumo": "CASE WHEN event_id % 10 = 9 THEN NULL ELSE {v} END",
         "device_id": "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('dev-', cast(user_id AS {str})) END",
         "dispositivo": "CASE event_id % 10 WHEN 0 THEN concat('plug-', cast(user_id AS {str})) WHEN 5 THEN '' ELSE NULL END",
@@ -127,7 +126,8 @@ def raw_scoring_columns(dialect: str = "spark") -> dict[str, str]:
         "hora_dia": "CASE WHEN event_id % 7 = 2 THEN NULL ELSE concat({hour}, ':00:00') END",
         "dia_semana": "{weekday}",
         "casa_id": "CASE WHEN event_id % 17 = 5 THEN NULL WHEN event_id % 17 = 6 THEN 'Otra' ELSE {town} END",
-        "modo_ecologico_activado": "CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '1' ELSE '0' END",
+        "modo_ecologico_activado": "CASE WHEN event_id % 31 = 8 THEN '99999999999' "
+        "ELSE CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '1' ELSE '0' END END",
     }
     return {name: rule.format(**f) for name, rule in rules.items()}
 
@@ -154,11 +154,6 @@ def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_events(spark, sf_dir, raw_batch_columns())
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """A raw table as a file at rest, as the builds would find it."""
-    return materialise(df, "raw")
-
-
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_events(spark, sf_dir, raw_feed_columns())
 

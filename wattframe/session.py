@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -52,6 +52,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a table of narrow, fixed width (some 20 bytes) that may be broadcast: 40 MB at most.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if its counted size allows it.
+
+    Above the limit Spark joins by shuffle, and adaptive execution splits skewed keys.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Computes once into a table in the shared folder and continues from there.
 
