@@ -423,3 +423,27 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(C.load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{C.WORD}') AS ws
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[s : s + {SHINGLE - 1}], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 2}, least(len(ws), 1) + 1))) AS s FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {PERCENT} * (x.n + y.n - i)
+), pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a AS doc_id, a AS root FROM pairs
+  UNION
+  SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.doc_id
+), comp AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.root, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp c USING (doc_id)
+"""

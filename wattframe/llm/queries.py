@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_array_dedup": runindex.ORACLE_SQL,
+    "op4_substring_dedup": substrings.ORACLE_SQL,
+    "op7_jaccard_join": jaccard.ORACLE_SQL,
     "op8_topk_search": topk.ORACLE_SQL,
     "op9_near_dedup": covertree.ORACLE_SQL,
 }

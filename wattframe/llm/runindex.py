@@ -387,3 +387,29 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS, co
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(C.load(spark, sf_dir, "documents"), contents=False)
+
+
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), win AS (
+  SELECT doc_id, s, md5(substr(h, (2 * s + 1)::BIGINT, {2 * WIDTH})) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, n - {WIDTH - 1})) AS s FROM d)
+), marked AS (
+  SELECT doc_id, s FROM win QUALIFY count(*) OVER (PARTITION BY k) > 1
+), spans AS (
+  SELECT doc_id, min(s) AS a, max(s) + {WIDTH} AS b FROM (
+    SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (
+      SELECT doc_id, s, (s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {WIDTH}, -1))::INT AS new FROM marked))
+  GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM spans
+), cut AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(h, (2 * last + 1)::BIGINT, (2 * (a - last))::BIGINT), '' ORDER BY a) AS head
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""

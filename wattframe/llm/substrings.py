@@ -266,3 +266,23 @@ def cleaned(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS) -> Dat
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(C.load(spark, sf_dir, "documents"), texts=False)
+
+
+ORACLE_SQL = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{C.WORD}') AS ws FROM documents
+), win AS (
+  SELECT doc_id, s, array_to_string(ws[s : s + {WIDTH - 1}], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WIDTH - 2})) AS s FROM w)
+), marked AS (
+  SELECT doc_id, s FROM win
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + {WIDTH})) AS i FROM marked),
+kept AS (
+  SELECT p.doc_id, count(g.i) AS n_removed, string_agg(p.word, ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS kept
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) p
+  LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
