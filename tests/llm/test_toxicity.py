@@ -42,24 +42,24 @@ def test_gradient():
     ids, mask, small = T._part(r, np.arange(len(r.start)))
     x = net.embed(small).astype(np.float64)
     weight = np.random.default_rng(0).normal(size=len(ids))
-    z, cache = net.forward(x, ids, mask, keep=True)
+    z, cache = net.forward(net.gates(x), ids, mask, keep=True)
     g, d_x = net.backward(x, ids, mask, cache, weight)
     for name in ("in_f", "in_b", "rec_f", "rec_b", "bias_b", "att", "att_v", "out", "out_b"):
         p = net.p[name]
         for at in list(np.ndindex(p.shape))[:: max(1, p.size // 5)]:
             old = p[at]
             p[at] = old + 1e-3
-            up = net.forward(x, ids, mask) @ weight
+            up = net.forward(net.gates(x), ids, mask) @ weight
             p[at] = old - 1e-3
-            down = net.forward(x, ids, mask) @ weight
+            down = net.forward(net.gates(x), ids, mask) @ weight
             p[at] = old
             assert abs((up - down) / 2e-3 - g[name][at]) < 1e-3 * max(1, abs(g[name][at])), name
     for at in ((0, 0), (3, 7), (5, 19)):
         old = x[at]
         x[at] = old + 1e-3
-        up = net.forward(x, ids, mask) @ weight
+        up = net.forward(net.gates(x), ids, mask) @ weight
         x[at] = old - 1e-3
-        down = net.forward(x, ids, mask) @ weight
+        down = net.forward(net.gates(x), ids, mask) @ weight
         x[at] = old
         assert abs((up - down) / 2e-3 - d_x[at]) < 1e-3 * max(1, abs(d_x[at]))
 

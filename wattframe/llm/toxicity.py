@@ -131,12 +131,19 @@ class Network:
         }
 
     def embed(self, r: Read) -> np.ndarray:
-        """Input of each different word."""
-        p, n = self.p, len(r.word)
-        chars = np.zeros((n, CHAR_DIM), np.float32)
-        if len(r.gram):
-            chars = np.add.reduceat(p["gram"][r.gram], r.gram_at[:-1], axis=0) / np.sqrt(np.diff(r.gram_at))[:, None]
-        return np.concatenate([p["word"][r.word], chars.astype(np.float32)], axis=1)
+        """Input of each different word; a bounded number of them at a time."""
+        out = np.zeros((len(r.word), WORD_DIM + CHAR_DIM), np.float32)
+        for a in range(0, len(r.word), 32_768):
+            part = slice(a, min(a + 32_768, len(r.word)))
+            at = r.gram_at[part.start : part.stop + 1]
+            chars = np.add.reduceat(self.p["gram"][r.gram[at[0] : at[-1]]], at[:-1] - at[0], axis=0)
+            out[part, :WORD_DIM] = self.p["word"][r.word[part]]
+            out[part, WORD_DIM:] = chars / np.sqrt(np.diff(at))[:, None]
+        return out
+
+    def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The input part of both directions' gates, once per different word."""
+        return tuple(x @ self.p[f"in_{d}"] + self.p[f"bias_{d}"] for d in "fb")
 
     def _direction(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, rec: np.ndarray, back: bool, keep: bool):
         """States of a gated recurrent layer at every step; with ``keep`` what its gradient needs."""
@@ -157,11 +164,11 @@ class Network:
             states[t] = h
         return states, saved
 
-    def forward(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Logit of each window; ``x``: inputs of the different words, ``ids``: windows x steps."""
+    def forward(self, gates: tuple[np.ndarray, np.ndarray], ids: np.ndarray, mask: np.ndarray, keep: bool = False):
+        """Logit of each window; ``gates``: of the different words, ``ids``: windows x steps."""
         p = self.p
-        f, sf = self._direction(x @ p["in_f"] + p["bias_f"], ids, mask, p["rec_f"], False, keep)
-        b, sb = self._direction(x @ p["in_b"] + p["bias_b"], ids, mask, p["rec_b"], True, keep)
+        f, sf = self._direction(gates[0], ids, mask, p["rec_f"], False, keep)
+        b, sb = self._direction(gates[1], ids, mask, p["rec_b"], True, keep)
         s = np.concatenate([f, b], axis=2)  # steps x windows x 2 hidden
         a = np.tanh(s @ p["att"] + p["att_b"])
         e = a @ p["att_v"] + np.where(mask.T > 0, 0.0, -1e4).astype(np.float32)
@@ -219,10 +226,10 @@ def windows(r: Read, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def logits(net: Network, r: Read, some: np.ndarray | None = None) -> np.ndarray:
     """Logits of the windows, a bounded number side by side."""
     some = np.arange(len(r.start)) if some is None else some
-    x = net.embed(r)
+    gates = net.gates(net.embed(r))
     out = np.zeros(len(some), np.float32)
     for a in range(0, len(some), 2_048):
-        out[a : a + 2_048] = net.forward(x, *windows(r, some[a : a + 2_048]))
+        out[a : a + 2_048] = net.forward(gates, *windows(r, some[a : a + 2_048]))
     return out
 
 
@@ -289,7 +296,7 @@ def train(r: Read, label: np.ndarray, weight: np.ndarray, seed: int = SEED) -> N
             b = some[a : a + BATCH]
             ids, mask, small = _part(r, b)
             x = net.embed(small)
-            z, cache = net.forward(x, ids, mask, keep=True)
+            z, cache = net.forward(net.gates(x), ids, mask, keep=True)
             y = label[r.text[b]]
             grad = ((_sigmoid(z) - y) * scale[y] / len(b)).astype(np.float32)
             g, d_x = net.backward(x, ids, mask, cache, grad)
