@@ -66,10 +66,10 @@ def test_index_gives_longest_matches(seed):
     assert index.runs <= index.size
 
 
-@pytest.mark.parametrize("width,bits", [(40, 27), (200, 27), (40, 12)])
-def test_equals_brute_force(docs, width, bits):
+@pytest.mark.parametrize("width,bits,hot", [(40, 27, 4096), (200, 27, 3), (40, 12, 20), (40, 27, 5)])
+def test_equals_brute_force(docs, width, bits, hot):
     pairs = made(width)
-    got = runindex.deduplicate(docs(pairs).repartition(4), width, bits, contents=False)
+    got = runindex.deduplicate(docs(pairs).repartition(4), width, bits, contents=False, hot=hot)
     assert rows(got) == brute(pairs, width)
 
 

@@ -4,7 +4,9 @@ Every byte covered by a ``width``-byte string that also starts anywhere else goe
 included.
 
 1. Candidates. Each window is represented by its smallest hashed ``GRAM``-byte string (its anchor).
-   A count-min sketch over all anchors drops the windows whose anchor occurs once. What remains is
+   A first count-min sketch finds anchors in very many places (a line that a third of the documents
+   share, say); these come last in the order, so the windows around such a line go by their own text
+   and do not meet in one group. A second one drops the windows whose anchor occurs once. What remains is
    cut into pieces, one per anchor: the stretch of text that its windows cover. Pieces of one anchor
    meet in one bucket, equal pieces of a partition travel once with their places.
 2. Index. The different pieces of a bucket are sorted into a Burrows-Wheeler transform, of which only
@@ -36,6 +38,8 @@ from wattframe.llm import common as C, sketch
 
 WIDTH = 200
 GRAM = 32
+#: Anchors with so many places or more are given up where a window has another gram.
+HOT = 4_096
 _FLUSH = 16 << 20
 _INDEX = 1 << 20
 _MARKS = 1 << 19
@@ -150,13 +154,19 @@ def build(texts: list[bytes]) -> RunIndex:
 # --- candidates --------------------------------------------------------------------------------
 
 
-def _windows(data: np.ndarray, off: np.ndarray, width: int):
-    """Gram hashes, valid windows and each one's anchor, of one chunk."""
+def _windows(data: np.ndarray, off: np.ndarray, width: int, often=None):
+    """Per stretch of windows with one anchor: the anchor's hash, the bytes covered, the document.
+
+    Grams that ``often`` knows as hot are taken only where a window has no other.
+    """
     gram = min(GRAM, width)
     if len(data) < width:
         return None
     grams = C.mix(C.every_span(C.prefix(C.byte_hashes(data)), gram))
-    anchor = C.anchors(grams, width - gram + 1)
+    order = grams >> np.uint64(1)
+    if often is not None:
+        order |= sketch.hot(often, grams).astype(np.uint64) << np.uint64(63)
+    anchor = C.anchors(order, width - gram + 1)
     new = np.ones(len(anchor), bool)
     new[1:] = anchor[1:] != anchor[:-1]
     # A stretch of windows ends where the anchor changes or the document does.
@@ -174,10 +184,10 @@ def _windows(data: np.ndarray, off: np.ndarray, width: int):
     return grams[anchor[start]], start, end + width - 1, doc
 
 
-def _items(width: int):
+def _items(width: int, often=None):
     def run(batches):
         for _, data, off in C.chunked(batches):
-            got = _windows(data, off, width)
+            got = _windows(data, off, width, often and often.value)
             if got and len(got[0]):
                 yield got[0]
 
@@ -215,7 +225,7 @@ def _unpacked(pack: bytes):
     return anchor.tolist(), texts, ref >= 0, k1[ref], k2[ref], start.astype(np.int64)
 
 
-def _candidates(table, width: int, buckets: int, parts: int):
+def _candidates(table, often, width: int, buckets: int, parts: int):
     names = ["bucket", "part", "pack"]
 
     def flush(found, keys):
@@ -234,7 +244,7 @@ def _candidates(table, width: int, buckets: int, parts: int):
     def run(batches):
         found, keys, docs, held = {}, [], 0, 0
         for rows, data, off in C.chunked(batches):
-            got = _windows(data, off, width)
+            got = _windows(data, off, width, often.value)
             if not got:
                 continue
             anchor, start, end, doc = got
@@ -338,12 +348,13 @@ def _indexed(width: int, parts: int):
     return run
 
 
-def marks(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS) -> DataFrame:
+def marks(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS, hot: int = HOT) -> DataFrame:
     """``k1, k2, spans``: packed byte intervals that go."""
     rows = C.rows_of(docs).select("k1", "k2", "text")
-    table = sketch.build(rows.select("text"), _items(width), bits)
+    often = sketch.build_hot(rows.select("text"), _items(width), hot, bits)
+    table = sketch.build(rows.select("text"), _items(width, often), bits)
     parts = C.partitions(docs.sparkSession)
-    sent = rows.mapInArrow(_candidates(table, width, 4 * parts, parts), "bucket int, part int, pack binary")
+    sent = rows.mapInArrow(_candidates(table, often, width, 4 * parts, parts), "bucket int, part int, pack binary")
     found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
         _indexed(width, parts), "part int, marks binary")
     return C.gathered(found, parts)
@@ -378,9 +389,11 @@ def _result(contents: bool):
     return run
 
 
-def deduplicate(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS, contents: bool = True) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS, contents: bool = True, hot: int = HOT
+) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans`` and the remaining bytes (``kept``) or their digest."""
-    rows = C.with_spans(C.rows_of(docs), marks(docs, width, bits)).select("doc_id", "text", "spans")
+    rows = C.with_spans(C.rows_of(docs), marks(docs, width, bits, hot)).select("doc_id", "text", "spans")
     last = "kept binary" if contents else "kept_sha256 string"
     return rows.mapInArrow(_result(contents), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
 
