@@ -46,6 +46,7 @@ class Contract:
     defaults: dict[str, object] = field(default_factory=dict)
 
 
+# The columns of the two readings files, of feed records, reports and scoring records.
 MINING = Contract(
     "mining",
     ("casa_id", "timestamp", "fecha", "hora", "hora_dia", "consumo_kwh", "costo_mx",
@@ -76,12 +77,13 @@ MISSING_TEXTS = [
 ]
 
 
-# Live records are schemaless JSON: every field optional, every field text until coerced.
+# Field names. Live records are schemaless JSON: every field optional, every field text until coerced.
 FEED = _strings(
     "id", "timestamp", "datetime", "fecha", "hora", "consumo_kwh", "active_power", "consumo",
     "device_id", "dispositivo", "current", "estado", "usuario", "tipo",
 )
 
+# Field names of a report request.
 REPORT = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("fecha_ts", T.LongType()),
@@ -91,7 +93,7 @@ REPORT = T.StructType([
     T.StructField("estado", T.StringType()),
 ])
 
-# Scoring records: four required numbers, then optional fields and their defaults.
+# Scoring records, four required numbers, then optional fields and their defaults.
 SCORING_NUMERIC = ["consumo_kwh", "consumo_pico", "promedio_hora", "costo_estimado"]
 SCORING_FLAG = "modo_ecologico_activado"
 SCORING_DEFAULTS = {
