@@ -39,7 +39,7 @@ from wattframe.llm import common as C, sketch
 WIDTH = 200
 GRAM = 32
 #: Anchors with so many places or more are given up where a window has another gram.
-HOT = 4_096
+HOT = 1_024
 _FLUSH = 16 << 20
 _INDEX = 1 << 20
 _MARKS = 1 << 19
