@@ -169,12 +169,23 @@ mined AS (
 MINED = f"WITH {BATCH}, {SOURCES} "
 DAY_POSITION = f"list_position([{DAYS}], dia) - 1"
 
+# The same file as one batch.
+WHOLE = MINED.replace(f"({tables.sql_select(tables.raw_batch_columns(_D), 'events')})", (
+    "(SELECT * REPLACE ('all' AS batch_id) FROM (" + tables.sql_select(tables.raw_batch_columns(_D), "events") + "))"))
+
 SHOWN = f"""shown AS (
   SELECT id, {moment('timestamp')} AS fecha, 'Smart Plug' AS dispositivo, casa_id AS usuario,
     coalesce({number('consumo_kwh', False)}, 0.0) AS consumo_kwh, coalesce({number('costo_mx', False)}, 0.0) AS costo_mx,
     coalesce(lower(trim(upper(dia_semana))), 'activo') AS estado
   FROM batch WHERE timestamp IS NOT NULL AND consumo_kwh IS NOT NULL AND {moment('timestamp')} IS NOT NULL)"""
 
+# The same rows out of a CSV file, where the usual texts for a missing field are null.
+_FIELDS = ("timestamp", "consumo_kwh", "costo_mx", "dia_semana", "casa_id")
+SHOWN_CSV = (
+    "file AS (SELECT id, " + ", ".join(f"CASE WHEN {c} NOT IN ({_sql_list(S.MISSING_TEXTS)}) THEN {c} END AS {c}" for c in _FIELDS)
+    + " FROM batch), " + SHOWN.replace("FROM batch", "FROM file")
+)
+
 R = f"WITH {READINGS} "
 F_ = f"WITH {FEED} "
 # The live feed's last copy per key: every 20th record came again with a new value, every 40th earlier.
@@ -364,6 +375,21 @@ ORACLES: dict[str, str] = {
     "mined_scatter": MINED + ", h AS (SELECT *, md5(id::varchar || ':42') AS h FROM mined), "
     "p AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY h, id) <= 400 ORDER BY h, id LIMIT 5000) "
     "SELECT consumo_kwh AS x, costo AS y FROM p ORDER BY h, id LIMIT 1200",
+    "mining_bundle": WHOLE + f", {STATS.format('mined')}, r AS (SELECT count(*) AS n, count(DISTINCT casa_id) AS m FROM mined) "
+    f"SELECT 'consumo_hora' AS result, label, value FROM ({by_hour('mined')}) "
+    f"UNION ALL SELECT 'consumo_dia', label, value FROM ({by_weekday('mined', DAY_POSITION)}) "
+    f"UNION ALL SELECT 'top_dispositivos', casa_id, total FROM (SELECT casa_id, {total('consumo_kwh')} AS total FROM mined "
+    "WHERE casa_id IS NOT NULL GROUP BY 1 ORDER BY total DESC, casa_id LIMIT 10) "
+    "UNION ALL SELECT 'resumen', 'n_registros', n::DOUBLE FROM r UNION ALL SELECT 'resumen', 'n_municipios', m::DOUBLE FROM r "
+    "UNION ALL SELECT 'resumen', 'n_anomalias', (SELECT count(*) FROM mined, s WHERE abs((consumo_kwh - mean) / sd) >= 3)::DOUBLE "
+    "UNION ALL SELECT 'resumen', 'z_threshold', 3.0::DOUBLE UNION ALL SELECT 'consumo_vs_costo', 'n', least(n, 400)::DOUBLE FROM r",
+    "dashboard_bundle": f"WITH {BATCH}, {SHOWN_CSV}, m AS (SELECT * FROM shown WHERE date_trunc('month', fecha) = (SELECT date_trunc('month', max(fecha)) FROM shown)) "
+    f"SELECT 'cards' AS result, 'consumo' AS label, (SELECT {total('consumo_kwh', 2)} FROM m) AS value "
+    "UNION ALL SELECT 'cards', 'alertas', (SELECT count(*) FROM m WHERE consumo_kwh > (SELECT quantile_cont(consumo_kwh, 0.95) FROM m))::DOUBLE "
+    "UNION ALL SELECT 'cards', 'activos', (SELECT count(*) FROM shown WHERE estado = 'activo' AND fecha >= (SELECT max(fecha) FROM shown) - INTERVAL 7 DAY)::DOUBLE "
+    f"UNION ALL SELECT 'semanal', label, value FROM (SELECT strftime(fecha, '%Y-%m-%d') AS label, {total('consumo_kwh', 2)} AS value FROM shown GROUP BY 1 ORDER BY 1 DESC LIMIT 7) "
+    f"UNION ALL SELECT 'mensual', label, value FROM (SELECT strftime(fecha, '%Y-%m') AS label, {total('consumo_kwh', 2)} AS value FROM shown GROUP BY 1 ORDER BY 1 DESC LIMIT 7) "
+    "UNION ALL SELECT 'historico', 'n', least(count(*), 500)::DOUBLE FROM shown",
     "dashboard_cards": f"WITH {BATCH}, {SHOWN}, m AS (SELECT * FROM shown WHERE date_trunc('month', fecha) = (SELECT date_trunc('month', max(fecha)) FROM shown)) "
     f"SELECT (SELECT {total('consumo_kwh', 2)} FROM m) AS consumo, "
     "(SELECT count(*) FROM m WHERE consumo_kwh > (SELECT quantile_cont(consumo_kwh, 0.95) FROM m)) AS alertas, "

@@ -608,6 +608,37 @@ def mined_scatter(spark, sf):
     return mining.scatter(mining.sample_pool(rows))
 
 
+def _bundle_rows(bundle: dict[str, DataFrame]) -> DataFrame:
+    """The results of a bundle as rows ``result, label, value``."""
+    parts = []
+    for name, result in bundle.items():
+        if "labels" in result.columns:
+            rows = sinks.from_series(result).select("label", "value")
+        elif name == "top_dispositivos":
+            rows = result.select(F.col("municipio").alias("label"), F.col("total").alias("value"))
+        elif name in ("historico", "consumo_vs_costo"):
+            rows = result.agg(F.lit("n").alias("label"), F.count("*").cast("double").alias("value"))
+        else:
+            rows = result.select(F.explode(F.array(*[
+                F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in result.columns
+            ])).alias("p")).select("p.*")
+        parts.append(rows.select(F.lit(name).alias("result"), "label", "value"))
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.unionAll(rows)
+    return out
+
+
+@query
+def mining_bundle(spark, sf):
+    """The whole mining build from one CSV file, read back through its bundle."""
+    folder = work_dir(spark, "mining-build")
+    raw = tables.raw_batch(spark, sf).drop("batch_id", "id")
+    raw.coalesce(1).write.options(**sinks.CSV_OPTIONS).csv(f"{folder}/readings.csv")
+    mining.build(spark, f"{folder}/readings.csv", f"{folder}/out")
+    return _bundle_rows(sinks.read_bundle(spark, f"{folder}/out"))
+
+
 # --- the dashboard build -----------------------------------------------------------------------
 
 
@@ -635,6 +666,17 @@ def dashboard_monthly(spark, sf):
     return dashboard.monthly(dashboard.day_table(_dashboard(spark, sf)))
 
 
+@query
+def dashboard_bundle(spark, sf):
+    """The whole dashboard build from one CSV file, read back through its bundle."""
+    folder = work_dir(spark, "dashboard-build")
+    shown = tables.raw_batch(spark, sf).selectExpr(
+        "timestamp AS fecha", "consumo_kwh", "costo_mx", "upper(dia_semana) AS estado", "casa_id AS usuario")
+    shown.coalesce(1).write.options(**sinks.CSV_OPTIONS).csv(f"{folder}/readings.csv")
+    dashboard.build(spark, f"{folder}/readings.csv", f"{folder}/out")
+    return _bundle_rows(sinks.read_bundle(spark, f"{folder}/out", sinks.DASHBOARD_BUNDLE))
+
+
 # --- scoring -----------------------------------------------------------------------------------
 
 
