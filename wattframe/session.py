@@ -47,9 +47,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; nothing is created until Spark writes to it."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; nothing is created until Spark writes to it.
+
+    What is written there serves lazily planned results, so it stays until ``discard``.
+    """
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the working folders that this process has asked for so far; returns their number.
+
+    To be called when the results built on them have been written or read. Other folders in the
+    shared one are left alone.
+    """
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 #: Rows of a table of narrow, fixed width (some 20 bytes) that may be broadcast: 40 MB at most.
