@@ -8,6 +8,7 @@ back: no task depends on the local disk of another executor.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattframe.session import materialise
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 CHUNK = 1 << 19
 #: Stands in for a null id inside joins and orders: nulls come first.
 NO_ID = -(1 << 63)
@@ -29,6 +31,10 @@ LOWER[65:91] += 32
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; workers that this session starts find this package wherever the driver runs."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [_ROOT])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
