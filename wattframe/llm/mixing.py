@@ -37,7 +37,7 @@ BLOCK = 16
 SHARDS = 8
 SEED = 17
 #: Rows that one window orders, about.
-RUN = 5_000
+RUN = 1_000
 
 _TABLE = "source string, source_size long, target double, words long, ring_start long, cuts array<long>"
 
