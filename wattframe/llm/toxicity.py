@@ -106,6 +106,21 @@ def read(data: np.ndarray, off: np.ndarray) -> Read:
     return Read(row, rows, at, which, start, np.minimum(WINDOW, words[text + 1] - start), text)
 
 
+def read_all(column: pa.Array) -> Read:
+    """Many texts, read in parts of bounded size."""
+    data, off = C.flat(column)
+    parts, words, different, grams = [], 0, 0, 0
+    for a, b in C.pieces(off):
+        r = read(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        parts.append((r.word.astype(np.int32), r.gram.astype(np.int32), r.gram_at[:-1] + grams,
+                      (r.which + different).astype(np.int32), r.start + words, r.length, r.text + a))
+        words, different, grams = words + len(r.which), different + len(r.word), grams + len(r.gram)
+    if not parts:
+        return read(data, off)
+    word, gram, gram_at, which, start, length, text = (np.concatenate(x) for x in zip(*parts))
+    return Read(word, gram, np.append(gram_at, grams), which, start, length, text)
+
+
 # --- the network -------------------------------------------------------------------------------
 
 
@@ -224,12 +239,12 @@ def windows(r: Read, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def logits(net: Network, r: Read, some: np.ndarray | None = None) -> np.ndarray:
-    """Logits of the windows, a bounded number side by side."""
+    """Logits of the windows, a bounded number side by side, over only the words they hold."""
     some = np.arange(len(r.start)) if some is None else some
-    gates = net.gates(net.embed(r))
     out = np.zeros(len(some), np.float32)
     for a in range(0, len(some), 2_048):
-        out[a : a + 2_048] = net.forward(gates, *windows(r, some[a : a + 2_048]))
+        ids, mask, small = _part(r, some[a : a + 2_048])
+        out[a : a + 2_048] = net.forward(net.gates(net.embed(small)), ids, mask)
     return out
 
 
@@ -351,7 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.join(chosen, "doc_id").select("h", "toxic", F.coalesce("text", F.lit("")).alias("text")).toArrow()
     rows = rows.sort_by([("h", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
     label = rows.column("toxic").to_numpy().astype(np.int64)
-    r = read(*C.flat(rows.column("text")))
+    r = read_all(rows.column("text"))
     out = np.arange(len(label)) % 4 == 0
     net = train(r, label, (~out).astype(float))
     z = highest(r, logits(net, r), len(label))
