@@ -68,6 +68,27 @@ def test_equals_brute_force(docs, seed):
     assert rows(jaccard.join(docs(pairs).repartition(4))) == brute(pairs)
 
 
+def spaced(seed, text):
+    r = random.Random(seed)
+    return "".join(w + r.choice([" ", " ", " ", "  ", "\r\n", "\n\n", "\t", "\n" + 30 * " "]) for w in text.split())
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_white_space_does_not_matter(docs, seed):
+    pairs = [(i, spaced(i, t)) for i, t in made(seed)]
+    assert rows(jaccard.join(docs(pairs).repartition(4))) == brute(pairs)
+
+
+def test_order_of_shingles_ignores_white_space():
+    words = ["word%d" % i for i in range(40)]
+    texts = [" ".join(words), "  ".join(words), "\r\n".join(words), ("\n" + 30 * " ").join(words), spaced(1, " ".join(words))]
+    data = "".join(texts).encode()
+    off = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    h, length, cut = jaccard._shingles(np.frombuffer(data, np.uint8), off, 3)
+    for a, b in zip(cut[:-1], cut[1:]):
+        assert (h[a:b] == h[: cut[1]]).all() and (length[a:b] == length[: cut[1]]).all()
+
+
 @pytest.mark.parametrize("leaf", [4, 128])
 def test_cells_find_what_bitmaps_allow(monkeypatch, leaf):
     monkeypatch.setattr(jaccard, "LEAF", leaf)

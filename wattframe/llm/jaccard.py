@@ -55,7 +55,8 @@ OFTEN, AMONG, MOST_OFTEN = 16, 1 << 22, 1 << 20
 
 
 def _shingles(data: np.ndarray, off: np.ndarray, width: int):
-    """Hash and length in bytes of every shingle, and each document's shingle offsets."""
+    """Hash and length in bytes (of its words alone, as the hash) of every shingle, and each document's
+    shingle offsets."""
     data = C.LOWER[data]
     starts, ends, words = C.word_spans(data, off)
     sums = C.prefix(C.word_hashes(data, starts, ends))
@@ -66,7 +67,8 @@ def _shingles(data: np.ndarray, off: np.ndarray, width: int):
     first = np.arange(cut[-1]) - cut[doc] + words[doc]
     last = np.minimum(first + width, words[doc + 1])
     h = C.mix(C.span(sums, first, last) + (last - first).astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
-    return h, ends[last - 1] - starts[first] if len(first) else first, cut
+    size = np.append(0, np.cumsum(ends - starts))
+    return h, size[last] - size[first], cut
 
 
 def _often(width: int):
