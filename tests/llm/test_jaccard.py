@@ -113,6 +113,29 @@ def test_cells_find_what_bitmaps_allow(monkeypatch, leaf):
     assert set(zip(a.tolist(), b.tolist())) == {p for p in alone if side[p[0]] != side[p[1]]}
 
 
+def test_cells_of_neighbouring_sizes(monkeypatch):
+    """A chain of sets of 29 and 28 in turn, 27 in common with the next of 30: links of distance 3."""
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    own, new, sets = list(range(29)), list(range(29, 64)), []
+    for step in range(19):
+        sets.append(np.array(sorted(own), np.uint64))
+        gone, come = (2, 1) if step % 2 == 0 else (1, 2)
+        own, new = own[gone:] + new[:come], new[come:]
+    c = np.arange(len(sets))
+    n = np.array([len(s) for s in sets])
+    assert set(n) == {28, 29}
+    a, b = jaccard._cell_pairs(c, n, c, np.full(len(c), 2), [jaccard._bitmap(s) for s in sets], 90)
+    assert {(i, i + 1) for i in range(18)} <= set(zip(a.tolist(), b.tolist()))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 99])
+def test_radius_covers_every_pair_of_sizes(percent):
+    for most in range(1, 200):
+        n = np.arange(1, most + 1)
+        cell = jaccard.Cell(np.zeros((1, 1), np.uint64), np.array([most]), n[:1], n[:1], n[:1] > 0, percent)
+        assert cell.radius >= jaccard._allowed(n[:, None], n[None, :], percent).max()
+
+
 def test_edges(docs):
     assert rows(jaccard.join(docs(EDGE))) == brute(EDGE)
     assert jaccard.join(docs([])).count() == 0

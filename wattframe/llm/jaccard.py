@@ -211,7 +211,8 @@ class Cell:
 
     def __init__(self, maps: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, exact: np.ndarray, percent: int):
         self.maps, self.n, self.comp, self.side, self.exact, self.percent = maps, n, comp, side, exact, percent
-        self.radius = int(_allowed(n, n, percent).max())
+        # What is allowed goes up and down by one with the sum of the sizes, so an odd sum may allow more.
+        self.radius = int(np.maximum(_allowed(n, n, percent), _allowed(n, n - 1, percent)).max())
         self.out: list[tuple[np.ndarray, np.ndarray]] = []
 
     def to(self, z: np.ndarray, pivot: int) -> np.ndarray:
