@@ -1,10 +1,15 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
+from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
 from wattframe.operators import ranking, scoring
+from wattframe.plans import tables
+from wattframe.plans.queries import QUERIES
 from wattframe.schema import SCORING_RECORD
+from wattframe.sources import feed
 
 RECORD = {
     "consumo_kwh": 1.0, "consumo_pico": 2.0, "promedio_hora": 0.5, "costo_estimado": 3.0,
@@ -70,3 +75,34 @@ def test_fit_score_save_load(spark, training, tmp_path):
     assert again == predicted
     one = scoring.score_one(spark, loaded, RECORD).collect()
     assert len(one) == 1 and one[0].consumo_kwh_next is not None
+
+
+def _tree(node):
+    """A fitted tree as nested tuples (feature, threshold, left, right), a leaf as its value."""
+    if node.subtreeDepth() == 0:
+        return node.prediction()
+    split = node.split()
+    return split.featureIndex(), split.threshold(), _tree(node.leftChild()), _tree(node.rightChild())
+
+
+def _value(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tables")
+def test_predictions_are_the_means_of_the_fitted_trees(spark, monkeypatch):
+    fit, fitted = scoring.fit, []
+    monkeypatch.setattr(scoring, "fit", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    got = {r.id: (r.consumo_kwh_next, r.costo_mx_next) for r in QUERIES["model_predictions"](spark, SF_SMALL).collect()}
+    forests = {m.getLabelCol(): [_tree(t._call_java("rootNode")) for t in m.trees] for m in fitted[0].model.stages[1:]}
+    assert set(forests) == {"consumo_next", "costo_next"} and all(len(f) == 8 for f in forests.values())
+    names = scoring.feature_names(fitted[0].by_level)
+    rows = scoring.feature_matrix(feed.scoring_records(tables.raw_scoring(spark, SF_SMALL)), fitted[0].by_level).collect()
+    assert len(rows) == len(got) > 0
+    for r in rows:
+        x = [float(r[n]) for n in names]
+        for value, target in zip(got[r.id], ("consumo_next", "costo_next")):
+            assert value == pytest.approx(sum(_value(t, x) for t in forests[target]) / 8, abs=2e-6)
+    assert len({v for v, _ in got.values()}) > 10

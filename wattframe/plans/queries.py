@@ -713,6 +713,14 @@ def model_scores(spark, sf):
         F.col(o).between(limits[t]["lo"], limits[t]["hi"]).alias(o) for t, o in scoring.OUTPUTS.items()])
 
 
+@query
+def model_predictions(spark, sf):
+    """The scores themselves; another engine has no such forest, so no SQL."""
+    scorer = scoring.fit(_training(spark, sf), trees=8, depth=4)
+    scored = scorer.score(feed.scoring_records(tables.raw_scoring(spark, sf)))
+    return scored.select("id", *[_six(o).alias(o) for o in scoring.OUTPUTS.values()])
+
+
 @query
 def score_count(spark, sf):
     """How many records a batch request would score."""
