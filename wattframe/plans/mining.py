@@ -126,15 +126,18 @@ def build(
     threshold: float = S.Z_THRESHOLD,
     sampled_anomalies: bool = False,
     seed: int = 42,
+    batch_folders: bool = False,
 ) -> None:
     """Reads the file at ``path`` and replaces the five results under ``out``.
 
+    A batch is a file, with ``batch_folders`` all files of a folder.
+
     The cleaned readings, the cube and the sample pool are written there too and read back: the
     raw text is parsed once, later passes read narrow columns, and a lost executor repeats only
     its own part. Anomalies are counted over all readings; ``sampled_anomalies`` counts them over
     the sample pool, as the published figure was.
     """
-    raw = read_readings(spark, path, S.MINING, max_batches)
+    raw = read_readings(spark, path, S.MINING, max_batches, batch_folders=batch_folders)
     readings = kept(mining_readings(raw), out, "_readings")
     cube = kept(energy_cube(readings), out, "_cube")
     pool = kept(sample_pool(readings, seed=seed), out, "_sample")

@@ -631,11 +631,11 @@ def _bundle_rows(bundle: dict[str, DataFrame]) -> DataFrame:
 
 @query
 def mining_bundle(spark, sf):
-    """The whole mining build from one CSV file, read back through its bundle."""
+    """The whole mining build from one batch in CSV files, read back through its bundle."""
     folder = work_dir(spark, "mining-build")
     raw = tables.raw_batch(spark, sf).drop("batch_id", "id")
-    raw.coalesce(1).write.options(**sinks.CSV_OPTIONS).csv(f"{folder}/readings.csv")
-    mining.build(spark, f"{folder}/readings.csv", f"{folder}/out")
+    raw.write.options(**sinks.CSV_OPTIONS).csv(f"{folder}/readings.csv")
+    mining.build(spark, f"{folder}/readings.csv", f"{folder}/out", batch_folders=True)
     return _bundle_rows(sinks.read_bundle(spark, f"{folder}/out"))
 
 
@@ -668,11 +668,11 @@ def dashboard_monthly(spark, sf):
 
 @query
 def dashboard_bundle(spark, sf):
-    """The whole dashboard build from one CSV file, read back through its bundle."""
+    """The whole dashboard build from CSV files, read back through its bundle."""
     folder = work_dir(spark, "dashboard-build")
     shown = tables.raw_batch(spark, sf).selectExpr(
         "timestamp AS fecha", "consumo_kwh", "costo_mx", "upper(dia_semana) AS estado", "casa_id AS usuario")
-    shown.coalesce(1).write.options(**sinks.CSV_OPTIONS).csv(f"{folder}/readings.csv")
+    shown.write.options(**sinks.CSV_OPTIONS).csv(f"{folder}/readings.csv")
     dashboard.build(spark, f"{folder}/readings.csv", f"{folder}/out")
     return _bundle_rows(sinks.read_bundle(spark, f"{folder}/out", sinks.DASHBOARD_BUNDLE))
 
@@ -777,17 +777,25 @@ def report_append(spark, sf):
 # --- the live feed -----------------------------------------------------------------------------
 
 
+def _in_four_batches(spark, folder: str, rows: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """The rows as a stream of four batches by id, each of as many files as tasks run at once; the
+    last also has the rows of ``again``. Small tables have fewer files, so that none is empty."""
+    files = max(1, min(spark.sparkContext.defaultParallelism, rows.count() // 64))
+    for part in range(4):
+        own = rows.filter(F.col("id") % 4 == part)
+        own = own.unionByName(again) if again is not None and part == 3 else own
+        own.repartition(files).write.mode("append").parquet(folder)
+    return live.feed_stream(spark, folder, rows.schema, "parquet", maxFilesPerTrigger=files)
+
+
 def _live_feed(spark, sf) -> DataFrame:
-    """The events as a stream of four files, one a batch, with interleaved times. The last file also
-    sends every 20th key again with a new value, every 40th weeks earlier than before."""
+    """The events as a stream of four batches with interleaved times. The last batch also sends
+    every 20th key again with a new value, every 40th weeks earlier than before."""
     folder = work_dir(spark, "live-feed")
     rows = tables.readings(spark, sf)
     late = F.when(F.col("id") % 40 == 0, F.expr("ts - INTERVAL 20 DAYS")).otherwise(F.col("ts"))
     again = rows.filter(F.col("id") % 20 == 0).withColumns({"consumo_kwh": F.col("consumo_kwh") + 1, "ts": late})
-    for part in range(4):
-        own = rows.filter(F.col("id") % 4 == part)
-        (own.unionByName(again) if part == 3 else own).coalesce(1).write.mode("append").parquet(folder)
-    return live.feed_stream(spark, folder, rows.schema, "parquet", maxFilesPerTrigger=1)
+    return _in_four_batches(spark, folder, rows, again)
 
 
 def _live_table(spark, sf) -> DataFrame:
@@ -838,12 +846,8 @@ def live_dedup(spark, sf):
 
 
 def _sent_once(spark, sf) -> DataFrame:
-    """The events as a stream of four files in which no record comes twice."""
-    folder = work_dir(spark, "once-feed")
-    rows = tables.readings(spark, sf)
-    for part in range(4):
-        rows.filter(F.col("id") % 4 == part).coalesce(1).write.mode("append").parquet(folder)
-    return live.feed_stream(spark, folder, rows.schema, "parquet", maxFilesPerTrigger=1)
+    """The events as a stream of four batches in which no record comes twice."""
+    return _in_four_batches(spark, work_dir(spark, "once-feed"), tables.readings(spark, sf))
 
 
 @query

@@ -54,18 +54,25 @@ def apply_contract(df: DataFrame, contract: Contract, keep: tuple[str, ...] = ()
 
 
 def read_readings(
-    spark: SparkSession, path: str, contract: Contract, max_batches: int = 0, multi_line: bool = False
+    spark: SparkSession, path: str, contract: Contract, max_batches: int = 0, multi_line: bool = False,
+    batch_folders: bool = False,
 ) -> DataFrame:
-    """Readings under a contract, each row tagged with its ``batch_id`` (the file it is in).
+    """Readings under a contract, each row tagged with its ``batch_id`` (the file it is in, or with
+    ``batch_folders`` the folder, so that a batch may be written and read as many files).
 
-    ``max_batches`` reads only the first so many files in name order; 0 reads all. In CSV files
+    ``max_batches`` reads only the first so many batches in name order; 0 reads all. In CSV files
     the usual texts for a missing field (empty, NA, NaN, null ...) become null. ``multi_line``
     takes line breaks inside quotes as part of a field; such a file is read by one task.
     """
     df, fmt = scan(spark, path, multi_line)
     if max_batches > 0:
-        df = _read(spark, sorted(df.inputFiles())[:max_batches], fmt, multi_line)
-    tagged = df.select("*", F.col("_metadata.file_path").alias("batch_id"))
+        files = sorted(df.inputFiles())
+        of = {f: f.rsplit("/", 1)[0] if batch_folders else f for f in files}
+        first = sorted(set(of.values()))[:max_batches]
+        df = _read(spark, [f for f in files if of[f] in first], fmt, multi_line)
+    source = F.col("_metadata.file_path")
+    batch = F.regexp_replace(source, "/[^/]*$", "") if batch_folders else source
+    tagged = df.select("*", batch.alias("batch_id"))
     kept = apply_contract(tagged, contract, keep=("batch_id",))
     if fmt != "csv":
         return kept
