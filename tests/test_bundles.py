@@ -5,8 +5,11 @@ from urllib.parse import urlparse
 import pytest
 from conftest import SF_SMALL
 
+from wattframe import schema as S
+from wattframe.operators.standardise import dashboard_batch
 from wattframe.plans import dashboard, mining
 from wattframe.plans.queries import QUERIES
+from wattframe.sources.readings import read_readings
 from wattframe.streaming import live
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tables")
@@ -46,3 +49,32 @@ def test_live_batches_of_many_files(spark, monkeypatch, name):
     for part in range(4):
         ids = [r.id % 4 for r in spark.read.parquet(*files[n * part : n * part + n]).select("id").collect()]
         assert set(ids) == ({0, 3} if part == 3 and name == "live_dedup" else {part})
+
+
+def test_bundles_hold_what_the_plans_compute(spark, monkeypatch):
+    """Points and history as read back are those computed from the same files without a bundle."""
+    paths = {}
+    for plan in (mining, dashboard):
+        def spied(s, path, *a, build=plan.build, name=plan.__name__, **k):
+            paths[name] = path
+            return build(s, path, *a, **k)
+
+        monkeypatch.setattr(plan, "build", spied)
+    points = sorted(map(tuple, QUERIES["mining_bundle_points"](spark, SF_SMALL).collect()), key=str)
+    history = sorted(map(tuple, QUERIES["dashboard_bundle_history"](spark, SF_SMALL).collect()), key=str)
+    mined = mining.mining_readings(read_readings(spark, paths[mining.__name__], S.MINING, batch_folders=True))
+    assert points == sorted(map(tuple, mining.scatter(mining.sample_pool(mined)).collect()), key=str)
+    dated = dashboard_batch(read_readings(spark, paths[dashboard.__name__], S.DASHBOARD))
+    assert history == sorted(map(tuple, dashboard.history(dated).collect()), key=str)
+    assert len(points) == 400 and len(history) == 500 and len(set(points)) > 100
+
+
+def test_batches_by_folder(spark, tmp_path):
+    for day in ("a", "b"):
+        rows = [(f"2024-01-0{i + 1}", str(i), day) for i in range(4)]
+        spark.createDataFrame(rows, "timestamp string, consumo_kwh string, casa_id string").repartition(2).write.csv(
+            f"{tmp_path}/in/day={day}", header=True)
+    path = f"{tmp_path}/in/*"
+    sizes = lambda n: sorted(r["count"] for r in read_readings(
+        spark, path, S.MINING, n, batch_folders=True).groupBy("batch_id").count().collect())
+    assert sizes(0) == [4, 4] and sizes(1) == [4]

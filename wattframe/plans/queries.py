@@ -629,14 +629,24 @@ def _bundle_rows(bundle: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-@query
-def mining_bundle(spark, sf):
+def _mining_bundle(spark, sf) -> dict[str, DataFrame]:
     """The whole mining build from one batch in CSV files, read back through its bundle."""
     folder = work_dir(spark, "mining-build")
     raw = tables.raw_batch(spark, sf).drop("batch_id", "id")
     raw.write.options(**sinks.CSV_OPTIONS).csv(f"{folder}/readings.csv")
     mining.build(spark, f"{folder}/readings.csv", f"{folder}/out", batch_folders=True)
-    return _bundle_rows(sinks.read_bundle(spark, f"{folder}/out"))
+    return sinks.read_bundle(spark, f"{folder}/out")
+
+
+@query
+def mining_bundle(spark, sf):
+    return _bundle_rows(_mining_bundle(spark, sf))
+
+
+@query
+def mining_bundle_points(spark, sf):
+    """The points that the mining bundle holds. Their sample goes by a hash of Spark's, so no SQL."""
+    return _mining_bundle(spark, sf)["consumo_vs_costo"]
 
 
 # --- the dashboard build -----------------------------------------------------------------------
@@ -666,15 +676,25 @@ def dashboard_monthly(spark, sf):
     return dashboard.monthly(dashboard.day_table(_dashboard(spark, sf)))
 
 
-@query
-def dashboard_bundle(spark, sf):
+def _dashboard_bundle(spark, sf) -> dict[str, DataFrame]:
     """The whole dashboard build from CSV files, read back through its bundle."""
     folder = work_dir(spark, "dashboard-build")
     shown = tables.raw_batch(spark, sf).selectExpr(
         "timestamp AS fecha", "consumo_kwh", "costo_mx", "upper(dia_semana) AS estado", "casa_id AS usuario")
     shown.write.options(**sinks.CSV_OPTIONS).csv(f"{folder}/readings.csv")
     dashboard.build(spark, f"{folder}/readings.csv", f"{folder}/out")
-    return _bundle_rows(sinks.read_bundle(spark, f"{folder}/out", sinks.DASHBOARD_BUNDLE))
+    return sinks.read_bundle(spark, f"{folder}/out", sinks.DASHBOARD_BUNDLE)
+
+
+@query
+def dashboard_bundle(spark, sf):
+    return _bundle_rows(_dashboard_bundle(spark, sf))
+
+
+@query
+def dashboard_bundle_history(spark, sf):
+    """The history rows that the dashboard bundle holds; ties go by texts of doubles, so no SQL."""
+    return _dashboard_bundle(spark, sf)["historico"]
 
 
 # --- scoring -----------------------------------------------------------------------------------
