@@ -146,6 +146,11 @@ def every_span(sums: np.ndarray, width: int) -> np.ndarray:
     return (sums[width:] - sums[:n]) * _power(_BASE, len(sums))[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
+def space(data: np.ndarray) -> np.ndarray:
+    """Which bytes part words."""
+    return _SPACE[data]
+
+
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and each document's word offsets."""
     sp = _SPACE[data]

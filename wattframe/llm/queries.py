@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattframe.llm import covertree, jaccard, langid, mixing, pieces, runindex, shards, substrings, topk, toxicity
+from wattframe.llm import bands, covertree, jaccard, langid, mixing, pieces, runindex, shards, substrings, topk, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": runindex.op1_suffix_array_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk_search": topk.op8_topk_search,
     "op9_near_dedup": covertree.op9_near_dedup,
     "op10_sharding": shards.op10_sharding,
+    "op12_quality_rules": bands.op12_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
