@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from wattframe.llm import bands, covertree, jaccard, langid, mixing, pieces, runindex, shards, substrings, topk, toxicity
+from wattframe.llm import (
+    bands, collocations, covertree, jaccard, langid, mixing, pieces, runindex, shards, substrings, topk, toxicity,
+)
 
 QUERIES = {
     "op1_suffix_array_dedup": runindex.op1_suffix_array_dedup,
@@ -16,6 +18,7 @@ QUERIES = {
     "op9_near_dedup": covertree.op9_near_dedup,
     "op10_sharding": shards.op10_sharding,
     "op12_quality_rules": bands.op12_quality_rules,
+    "op13_phrase_mining": collocations.op13_phrase_mining,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_join": jaccard.ORACLE_SQL,
     "op8_topk_search": topk.ORACLE_SQL,
     "op9_near_dedup": covertree.ORACLE_SQL,
+    "op13_phrase_mining": collocations.ORACLE_SQL,
 }
