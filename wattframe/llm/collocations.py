@@ -241,7 +241,7 @@ def _scored(threes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _best(found: DataFrame, first: int, *order: Column) -> DataFrame:
     window = W.partitionBy("lang").orderBy(*order)
-    return found.withColumn("rank", F.row_number().over(window).cast("long")).where(F.col("rank") <= first)
+    return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= first)
 
 
 def _limit(found: DataFrame, first: int, by: str) -> DataFrame:
@@ -285,7 +285,7 @@ def mine(docs: DataFrame, least: int = LEAST, absorb: int = ABSORB, first: int =
     order = (F.desc("score"), F.desc("a"), F.col("phrase"))
     totals = small(C.staged(counts.where("k = 0").select("lang", F.col("n").alias("total")), "totals"))
     return _best(known, first, *order).join(totals, "lang").select(
-        "lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
