@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wattframe.llm import (
     bands, collocations, covertree, jaccard, langid, mixing, pieces, runindex, shards, substrings, topk, toxicity,
+    whiten,
 )
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op8_topk_search": topk.op8_topk_search,
     "op9_near_dedup": covertree.op9_near_dedup,
     "op10_sharding": shards.op10_sharding,
+    "op11_embedding_whitening": whiten.op11_embedding_whitening,
     "op12_quality_rules": bands.op12_quality_rules,
     "op13_phrase_mining": collocations.op13_phrase_mining,
 }
