@@ -19,3 +19,14 @@ def sha(data: bytes) -> str:
 
 
 EDGE = [(1, None), (2, ""), (3, "  \t\n"), (4, "one"), (4, "one"), (None, "one two three"), (5, "ünï çødé \U0001f600 x")]
+
+
+def _alike(n: int) -> tuple[str, str]:
+    """Two words over a and b that every polynomial modulo a power of two takes for one."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+ALIKE = _alike(1024)

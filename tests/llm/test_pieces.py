@@ -3,7 +3,7 @@ import random
 import pytest
 import sentencepiece
 
-from llm.conftest import EDGE, sha
+from llm.conftest import ALIKE, EDGE, sha
 
 from wattframe.llm import pieces
 
@@ -37,6 +37,26 @@ def test_equals_the_library(docs):
     assert rows(pieces.tokenise(docs(pairs).repartition(3), digests=True)) == wanted(pairs)
 
 
+def test_words_are_told_apart_by_their_bytes(docs, monkeypatch):
+    x, y = ALIKE
+    rest = " ".join(f"w{i}" for i in range(19))
+    pairs = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"{x} {y}"), (4, x + "c" * 100), (5, y + "c" * 100)]
+    assert rows(pieces.tokenise(docs(pairs), digests=True)) == wanted(pairs)
+    # Even if all keys were equal.
+    monkeypatch.setattr(pieces.C, "word_keys", lambda data, starts, ends, seed=0: np.zeros(len(starts), np.uint64))
+    data = np.frombuffer(" ".join(["one", "two", "one", "three", "two", "", "one"]).encode(), np.uint8)
+    starts = np.array([0, 4, 8, 12, 18, 22, 23])
+    ends = np.array([3, 7, 11, 17, 21, 22, 26])
+    first, which = pieces.C.distinct(data, starts, ends)
+    names = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert [names[first[w]] for w in which] == names and len(set(which.tolist())) == len(set(names)) == 4
+
+
+def test_clashing_columns(docs):
+    df = docs(EDGE).selectExpr("*", "'p' AS ids", "1 AS n_tokens", "'q' AS decoded")
+    assert rows(pieces.tokenise(df, digests=True)) == wanted(EDGE)
+
+
 def test_equals_the_library_on_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     pairs = [(r.doc_id, r.text) for r in docs.collect()]

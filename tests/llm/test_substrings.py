@@ -1,7 +1,7 @@
 import random
 import re
 
-from llm.conftest import EDGE, sha
+from llm.conftest import ALIKE, EDGE, sha
 
 from wattframe.llm import substrings
 
@@ -39,6 +39,13 @@ def made(seed=1):
     return pairs
 
 
+def test_words_that_a_polynomial_takes_for_one(docs):
+    x, y = ALIKE
+    rest = " ".join(f"w{i}" for i in range(19))
+    pairs = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"{x} {rest}"), (4, f"{rest} {y} {rest} {x}")]
+    assert rows(substrings.deduplicate(docs(pairs), texts=False)) == brute(pairs)
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
 

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattframe.session import materialise
@@ -171,10 +172,83 @@ def byte_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A cheap polynomial; some long words share it, so it serves features only. Else use ``word_keys``."""
     sums = prefix(_BYTES[data])
     return mix(span(sums, starts, ends) + (ends - starts).astype(np.uint64))
 
 
+_SEEDS = (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Words of more bytes are hashed one at a time.
+_LONG_WORD = 64
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit keys of the words, independent for seeds 0 and 1.
+
+    Eight bytes at a time are mixed into the key, so unlike a polynomial's its collisions follow no
+    pattern of the bytes.
+    """
+    size = ends - starts
+    key = mix(size.astype(np.uint64) * np.uint64(_BASE) + np.uint64(_SEEDS[seed]))
+    padded = np.append(data, np.zeros(8, np.uint8))
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    go, at = np.flatnonzero(size <= _LONG_WORD), 0
+    while len(go):
+        rest = size[go] - at
+        block = blocks[starts[go] + at]
+        last = rest < 8
+        block[last] &= (np.uint64(1) << (8 * rest[last]).astype(np.uint64)) - np.uint64(1)
+        key[go] = mix(key[go] ^ block)
+        at += 8
+        go = go[rest > 8]
+    for i in np.flatnonzero(size > _LONG_WORD):
+        key[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].data, _SEEDS[seed])
+    return key
+
+
+def window_keys(keys: np.ndarray, width: int) -> np.ndarray:
+    """Key of each ``width`` consecutive keys, from those of its two halves, which overlap if they must."""
+    out, have = keys, 1
+    while have < width:
+        step = min(have, width - have)
+        n = len(out) - step
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        out = mix(mix(out[:n] + np.uint64(have)) + out[step:] * _STEP)
+        have += step
+    return out
+
+
+def stretches(values: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of each, end to end."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(starts - (ends - size), size)]
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each different stretch and every stretch's number among these, told apart by bytes."""
+    _, first, which = np.unique(word_keys(data, starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, first[which]
+    wrong = size != size[like]
+    fine = np.flatnonzero(~wrong & (like != np.arange(len(like))))
+    for a, b in pieces(np.append(0, np.cumsum(size[fine]))):
+        at = fine[a:b]
+        unequal = stretches(data, starts[at], size[at]) != stretches(data, starts[like[at]], size[at])
+        if unequal.any():
+            wrong[at[np.repeat(np.arange(len(at)), size[at])[unequal]]] = True
+    names: dict[bytes, int] = {}
+    more = []
+    for i in np.flatnonzero(wrong):
+        name = data[starts[i] : ends[i]].tobytes()
+        if name not in names:
+            names[name] = len(first) + len(more)
+            more.append(i)
+        which[i] = names[name]
+    return np.append(first, np.array(more, first.dtype)), which
+
+
 def window_mask(off: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of the first n - width + 1 positions start a window inside one document."""
     ok = np.ones(max(0, n - width + 1), bool)

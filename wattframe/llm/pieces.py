@@ -2,8 +2,8 @@
 
 The normalised text (spaces become U+2581, one is put in front) splits into words, a run of U+2581
 with the characters up to the next one: no piece of the vocabulary reaches across such a border, so
-words merge independently. The different words of a chunk are laid out as one flat array of symbols
-with the number of their word. A round
+words merge independently. The different words of a chunk, told apart by their bytes, are laid out as
+one flat array of symbols with the number of their word. A round
 
 * looks up the rank of every adjacent pair within a word,
 * takes each word's smallest rank (a segmented minimum),
@@ -251,13 +251,6 @@ def encode_words(v: Vocabulary, points: np.ndarray, lengths: np.ndarray) -> tupl
     return got, np.bincount(at, minlength=n)
 
 
-def _gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """values[start : start + length] of each stretch, end to end."""
-    ends = np.cumsum(length)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(start - (ends - length), length)]
-
-
 def encode_batch(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts end to end, each with its begin and end id, and their offsets.
 
@@ -274,14 +267,9 @@ def encode_batch(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.n
     start[begin] = True
     starts = np.flatnonzero(start)
     ends = np.append(starts[1:], len(text))
-    key = np.concatenate([
-        C.mix(C.span(C.prefix(C.byte_hashes(text[starts[a] : ends[b - 1]])), starts[a:b] - starts[a], ends[a:b] - starts[a])
-              + (ends[a:b] - starts[a:b]).astype(np.uint64))
-        for a, b in C.pieces(np.append(starts, len(text)))
-    ]) if len(starts) else np.zeros(0, np.uint64)
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    first, which = C.distinct(text, starts, ends)
     size = ends[first] - starts[first]
-    raw = _gathered(text, starts[first], size)
+    raw = C.stretches(text, starts[first], size)
     points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
     points = np.where(points == 32, ord(SPACE), points)
     lead = np.cumsum((raw & 0xC0) != 0x80)
@@ -289,7 +277,7 @@ def encode_batch(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.n
     lengths = np.diff(np.append(0, lead[at - 1])) if len(size) else size
     ids, count = encode_words(v, points, lengths)
     begins = np.cumsum(count) - count
-    flat = _gathered(ids, begins[which], count[which])
+    flat = C.stretches(ids, begins[which], count[which])
     # Words per text, then ids per text, then room for the two marks.
     words = np.zeros(docs, np.int64)
     words[filled] = np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
@@ -308,7 +296,7 @@ def encode_batch(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.n
 def decode_batch(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Decoded UTF-8 of several texts end to end, and their offsets."""
     size = np.diff(v.offsets)[ids]
-    data = _gathered(v.bytes_, v.offsets[ids], size)
+    data = C.stretches(v.bytes_, v.offsets[ids], size)
     at = np.append(0, np.cumsum(size))[offsets]
     # The first id that is no mark loses its leading space.
     shown = np.append(np.cumsum(~v.silent[ids]), 0)

@@ -8,8 +8,8 @@ sequence also starts earlier (smaller ``doc_id``, or the same document further l
    is never below the count of any window they stand for.
 2. A second pass over the texts keeps the windows estimated as repeated. A partition drops what it
    has itself seen earlier, and sends each different window once, with its earliest place, to the
-   window's bucket; there windows are grouped exactly by 128 bits of hash and all but the earliest
-   place are marked.
+   window's bucket; there windows are grouped by two independent 64-bit keys of their words and all but
+   the earliest place are marked.
 3. Marks return to their documents by key and the kept words are joined.
 
 Defined cases: null text has no words; fewer words than ``width`` keep everything; repeated rows
@@ -32,20 +32,19 @@ from wattframe.llm import common as C, sketch
 WIDTH = 20
 GRAM = 8
 _FLUSH = 1 << 19
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _grams(data: np.ndarray, off: np.ndarray, width: int):
-    """Word hashes, gram hashes, valid windows and each one's anchor, of one chunk."""
+    """Words (key, start, end), gram keys, valid windows and each one's anchor, of one chunk."""
     starts, ends, words = C.word_spans(data, off)
-    wh = C.word_hashes(data, starts, ends)
-    if len(wh) < width:
+    if len(starts) < width:
         return None
+    wh = C.word_keys(data, starts, ends)
     gram = min(GRAM, width)
-    grams = C.mix(C.every_span(C.prefix(wh), gram))
+    grams = C.window_keys(wh, gram)
     valid = np.flatnonzero(C.window_mask(words, width, len(wh)))
     anchor = C.anchors(grams, width - gram + 1)[valid]
-    return wh, words, grams, valid, anchor
+    return (wh, starts, ends), words, grams, valid, anchor
 
 
 def _items(width: int):
@@ -104,15 +103,15 @@ def _candidates(table, width: int, buckets: int, marks: int):
             got = _grams(data, off, width)
             if not got or not len(got[4]):
                 continue
-            wh, words, grams, valid, anchor = got
+            (wh, starts, ends), words, grams, valid, anchor = got
             new = np.ones(len(anchor), bool)
             new[1:] = anchor[1:] != anchor[:-1]
             seen = sketch.repeated(table.value, grams[anchor[new]])
             w = valid[seen[np.cumsum(new) - 1]]
             if not len(w):
                 continue
-            h1 = C.mix(C.every_span(C.prefix(wh), width)[w])
-            h2 = C.mix(C.every_span(C.prefix(C.mix(wh ^ _SECOND)), width)[w])
+            h1 = C.window_keys(wh, width)[w]
+            h2 = C.window_keys(C.word_keys(data, starts, ends, 1), width)[w]
             doc = np.searchsorted(words, w, "right") - 1
             k1, k2 = (rows.column(rows.schema.get_field_index(k)).to_numpy() for k in ("k1", "k2"))
             held.append((h1, h2, doc, w - words[doc], k1, k2))
