@@ -87,9 +87,12 @@ def test_flushed_counts_add_up(monkeypatch):
     rows = [(lang or "und", text or "") for lang, text in made(9)]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["lang", "text"])
 
+    field = lambda: None
+    field.value = b"\xff" * 8192  # every pair is expanded
+
     def total():
         out = Counter()
-        for got in M._short([batch]):
+        for got in [*M._short([batch]), *M._long(field)([batch])]:
             for lang, k, phrase, n in zip(*(c.to_pylist() for c in got.columns)):
                 out[lang, k, phrase] += n
         return out

@@ -19,8 +19,8 @@ The best ``first`` of each language are found by best-first growth, not by count
    such node is left, ties included, the list is settled. The limit never falls, so that takes two
    passes, seldom a third.
 
-Tasks count in dictionaries that are flushed at a fixed size, so a frequent phrase or a hot language
-costs one row a flush. Which nodes are expanded is sent to the tasks as a bit field of bounded size; one
+Tasks count a fixed number of words at a time, so a frequent phrase or a hot language costs one row for
+each of these. Which nodes are expanded is sent to the tasks as a bit field of bounded size; one
 that is too small lets further phrases be counted (exactly, as any) and loses none. Nothing else
 leaves the cluster. Products are formed in 38 decimal digits, exact for counts below 10^15.
 
@@ -31,14 +31,14 @@ a, descending, then the phrase by its UTF-8 bytes.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from itertools import compress, chain
-from operator import or_
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -52,8 +52,13 @@ FIRST = 2_000
 HEAD = 8_000
 #: A frequent word begins many pairs; they meet its count in so many places.
 SALT = 8
-#: Phrases a task holds before it sends its counts.
-HELD = 400_000
+#: Lists are cut in so many shares before they are put in order.
+SHARES = 16
+#: Words (and different ones) that a task holds before it sends their counts.
+HELD, MOST_WORDS = 3_000_000, 1 << 19
+#: Bits of a word's number; three make a code.
+_BITS = 21
+ROWS = 50_000
 #: Bits a node in the field of expanded nodes, and the field's largest size (16 MB).
 BITS_A_NODE, MOST_BITS = 16, 1 << 27
 BREAKS = r"[.,;:!?\x0A-\x0D]"
@@ -63,105 +68,115 @@ for _byte in b".,;:!?\x0b\x0c\r":
     _TABLE[_byte] = 10
 _TABLE = bytes(_TABLE)
 _COUNTS = "lang string, k int, phrase string, n long"
+#: Between the numbers of two words: a break.
+_BREAK = -1
 
 
 # --- counting ----------------------------------------------------------------------------------
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """Lists of words, none across a break."""
-    for piece in text.translate(_TABLE).split(b"\n"):
-        words = piece.split()
-        if words:
-            yield words
-
-
-def _batch(rows: list[tuple[bytes, int, bytes, int]]) -> pa.RecordBatch:
-    lang, k, phrase, n = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(lang, pa.binary()).cast(pa.string()), pa.array(k, pa.int32()),
-         pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "k", "phrase", "n"])
-
-
-def _texts(batches) -> Iterator[tuple[bytes, bytes]]:
+class Texts:
+    """Words of some texts as numbers, by language, with a break after every piece."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
+        self.words: dict[bytes, array] = defaultdict(lambda: array("q"))
+        self.size = 0
+
+    def add(self, lang: bytes, text: bytes) -> None:
+        own, number = self.words[lang], self.numbers.__getitem__
+        before = len(own)
+        for piece in text.translate(_TABLE).split(b"\n"):
+            words = piece.split()
+            if words:
+                own.extend(map(number, words))
+                own.append(_BREAK)
+        self.size += len(own) - before
+
+    def full(self) -> bool:
+        return self.size >= HELD or len(self.numbers) >= MOST_WORDS
+
+    def languages(self) -> Iterator[tuple[bytes, np.ndarray]]:
+        for lang, own in self.words.items():
+            yield lang, np.frombuffer(own, np.int64) if len(own) else np.zeros(0, np.int64)
+
+    def counted(self, lang: bytes, k: int, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of the phrases that these codes (numbers of ``_BITS`` bits end to end) stand for."""
+        names = pa.array(list(self.numbers), pa.binary())
+        codes, n = np.unique(codes, return_counts=True)
+        for at in range(0, len(codes), ROWS):
+            part = codes[at : at + ROWS]
+            words = [names.take(pa.array((part >> (_BITS * i)) & ((1 << _BITS) - 1))) for i in reversed(range(k))]
+            phrase = words[0] if k == 1 else pc.binary_join_element_wise(*words, b" ")
+            yield self.rows(lang, k, phrase, n[at : at + ROWS])
+
+    @staticmethod
+    def rows(lang: bytes, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        size = len(phrase)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(size, np.int64))),
+             pa.array(np.full(size, k, np.int32)), phrase.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "k", "phrase", "n"])
+
+
+def _held(batches, counts: Callable[[Texts], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``counts`` of all texts, so many of them at a time."""
+    held = Texts()
     for batch in batches:
         lang, text = (batch.column(i).cast(pa.large_binary()) for i in range(2))
         for i in range(batch.num_rows):
-            yield lang[i].as_py(), text[i].as_py()
-
-
-def _sent(rows: Iterator[tuple[bytes, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == 50_000:
-            yield _batch(held)
-            held = []
-    if held:
-        yield _batch(held)
+            held.add(lang[i].as_py(), text[i].as_py())
+            if held.full():
+                yield from counts(held)
+                held = Texts()
+    yield from counts(held)
 
 
 def _short(batches) -> Iterator[pa.RecordBatch]:
     """Counts of words (k = 1) and pairs (k = 2), and of all words of a language (k = 0)."""
-    ones, twos = defaultdict(Counter), defaultdict(Counter)
 
-    def flush():
-        for lang, own in ones.items():
-            yield lang, 0, b"", sum(own.values())
-            yield from ((lang, 1, word, n) for word, n in own.items())
-            yield from ((lang, 2, b" ".join(pair), n) for pair, n in twos[lang].items())
-        ones.clear()
-        twos.clear()
+    def counts(held: Texts):
+        for lang, ids in held.languages():
+            word = ids >= 0
+            yield held.rows(lang, 0, pa.array([b""], pa.binary()), np.array([word.sum()]))
+            yield from held.counted(lang, 1, ids[word])
+            at = np.flatnonzero(word[:-1] & word[1:])
+            yield from held.counted(lang, 2, ids[at] << _BITS | ids[at + 1])
 
-    for lang, text in _texts(batches):
-        one, two = ones[lang], twos[lang]
-        for words in _pieces(text):
-            one.update(words)
-            two.update(zip(words, words[1:]))
-        if sum(map(len, ones.values())) + sum(map(len, twos.values())) > HELD:
-            yield from _sent(flush())
-    yield from _sent(flush())
+    return _held(batches, counts)
 
 
-def _places(lang: bytes, pair: bytes, bits: int) -> tuple[int, int]:
-    h = xxhash.xxh3_64_intdigest(lang + b"\t" + pair)
-    return h & (bits - 1), (h >> 32) & (bits - 1)
+def _places(lang: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the field for each pair, given the keys of its language and words."""
+    h = C.mix(C.mix(lang + left) + right * np.uint64(0x9E6C63D0876A9A47))
+    return tuple((x & np.uint64(bits - 1)).astype(np.int64) for x in (h, h >> np.uint64(32)))
+
+
+def _keys(words: list[bytes]) -> np.ndarray:
+    ends = np.cumsum([len(w) for w in words])
+    return C.word_keys(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]).astype(np.int64), ends) if words else np.zeros(0, np.uint64)
 
 
 def _long(field: Broadcast):
     """Counts of three words that begin or end with an expanded pair."""
 
     def run(batches):
-        known, bits = field.value, 8 * len(field.value)
-
-        def expanded(lang: bytes, pair: tuple[bytes, bytes]) -> bool:
-            a, b = _places(lang, b" ".join(pair), bits)
-            return bool(known[a >> 3] >> (a & 7) & 1 and known[b >> 3] >> (b & 7) & 1)
-
-        threes, seen = defaultdict(Counter), defaultdict(dict)
-
-        def flush():
-            for lang, own in threes.items():
-                yield from ((lang, 3, b" ".join((*pair, word)), n) for (pair, word), n in own.items())
-            threes.clear()
-
-        for lang, text in _texts(batches):
-            own, three = seen[lang], threes[lang]
-            for words in _pieces(text):
-                if len(words) < 3:
-                    continue
-                pairs = list(zip(words, words[1:]))
-                flags = [own.get(p) for p in pairs]
-                if None in flags:
-                    for i, flag in enumerate(flags):
-                        if flag is None:
-                            own[pairs[i]] = flags[i] = expanded(lang, pairs[i])
-                three.update(compress(zip(pairs, words[2:]), map(or_, flags, flags[1:])))
-            if sum(map(len, threes.values())) > HELD:
-                yield from _sent(flush())
-            if sum(map(len, seen.values())) > HELD:
-                seen.clear()
-        yield from _sent(flush())
+        known, bits = np.frombuffer(field.value, np.uint8), 8 * len(field.value)
+
+        def counts(held: Texts):
+            keys = _keys(list(held.numbers))
+            for lang, ids in held.languages():
+                word = ids >= 0
+                at = np.flatnonzero(word[:-2] & word[1:-1] & word[2:]) if len(ids) > 2 else np.zeros(0, np.int64)
+                grown = np.zeros(len(ids), bool)
+                pairs = np.flatnonzero(word[:-1] & word[1:])
+                hit = np.ones(len(pairs), bool)
+                for place in _places(_keys([lang]), keys[ids[pairs]], keys[ids[pairs + 1]], bits):
+                    hit &= known[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+                grown[pairs[hit]] = True
+                at = at[grown[at] | grown[at + 1]]
+                yield from held.counted(lang, 3, (ids[at] << _BITS | ids[at + 1]) << _BITS | ids[at + 2])
+
+        return _held(batches, counts)
 
     return run
 
@@ -181,8 +196,8 @@ def _field(nodes: DataFrame, n: int) -> Broadcast:
 
     def places(batches):
         for batch in batches:
-            pairs = zip(*(batch.column(i).cast(pa.binary()).to_pylist() for i in range(2)))
-            at = np.unique(np.fromiter(chain.from_iterable(_places(*p, bits) for p in pairs), np.int64))
+            keys = [C.word_keys(data, off[:-1], off[1:]) for data, off in (C.flat(c) for c in batch.columns)]
+            at = np.unique(np.concatenate(_places(*keys, bits)))
             yield pa.RecordBatch.from_arrays([pa.array(at // width), pa.array(at % width)], ["range", "at"])
 
     def fill(batches):
@@ -197,7 +212,8 @@ def _field(nodes: DataFrame, n: int) -> Broadcast:
 
     spark = nodes.sparkSession
     tasks = min(ranges, C.partitions(spark))
-    found = nodes.select("lang", "phrase").mapInArrow(places, "range long, at long").distinct().repartition(
+    pairs = nodes.select("lang", F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1))
+    found = pairs.mapInArrow(places, "range long, at long").distinct().repartition(
         tasks, "range").mapInArrow(fill, "range long, bits binary").toArrow()
     table = np.zeros((ranges, width // 8), np.uint8)
     for g, packed in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
@@ -240,14 +256,31 @@ def _scored(threes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _best(found: DataFrame, first: int, *order: Column) -> DataFrame:
-    window = W.partitionBy("lang").orderBy(*order)
-    return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= first)
+    """The first rows of each language, found in shares of it beforehand so that no task orders them all."""
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+    few = found.withColumn("rank", F.row_number().over(W.partitionBy("lang", share).orderBy(*order))).where(F.col("rank") <= first)
+    return few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
 
 
 def _limit(found: DataFrame, first: int, by: str) -> DataFrame:
-    """``lang, limit``: the value of the ``first``-th best in each language that has so many."""
-    last = _best(found.select("lang", by), first, F.desc(by)).where(F.col("rank") == first)
-    return last.select("lang", F.col(by).alias("limit"))
+    """``lang, limit``: the value of the ``first``-th best in each language that has so many.
+
+    Values are whole numbers up to a million: their thousands are counted, then the values of the thousand
+    that holds the limit.
+    """
+    window = W.partitionBy("lang").orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, 0)
+
+    def reached(values: DataFrame, need: Column) -> DataFrame:
+        sums = values.groupBy("lang", "value").agg(F.count("*").alias("n"), F.max(need).alias("need")).withColumn(
+            "upto", F.sum("n").over(window))
+        return sums.where("upto >= need AND upto - n < need").select(
+            "lang", "value", (F.col("need") - F.col("upto") + F.col("n")).alias("need"))
+
+    values = found.select("lang", F.col(by).alias("value"))
+    part = reached(values.select("lang", F.expr("value DIV 1000").alias("value")), F.lit(first))
+    part = small(C.staged(part.withColumnRenamed("value", "part"), "limits"))
+    inside = values.join(part, "lang").where("value DIV 1000 = part")
+    return reached(inside, F.col("need")).select("lang", F.col("value").alias("limit"))
 
 
 def _survivors(expanded: DataFrame, threes: DataFrame, nodes: DataFrame, absorb: int) -> DataFrame:
@@ -284,6 +317,7 @@ def mine(docs: DataFrame, least: int = LEAST, absorb: int = ABSORB, first: int =
         before, limits = limits, _limit(known, first, "score")
     order = (F.desc("score"), F.desc("a"), F.col("phrase"))
     totals = small(C.staged(counts.where("k = 0").select("lang", F.col("n").alias("total")), "totals"))
+    known = known.join(limits, "lang", "left").where("score >= coalesce(limit, 0)").drop("limit")
     return _best(known, first, *order).join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
