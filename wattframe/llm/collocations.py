@@ -55,10 +55,10 @@ SALT = 8
 #: Lists are cut in so many shares before they are put in order.
 SHARES = 16
 #: Words (and different ones) that a task holds before it sends their counts.
-HELD, MOST_WORDS = 3_000_000, 1 << 19
+HELD, MOST_WORDS = 1 << 19, 1 << 19
 #: Bits of a word's number; three make a code.
 _BITS = 21
-ROWS = 50_000
+ROWS = 20_000
 #: Bits a node in the field of expanded nodes, and the field's largest size (16 MB).
 BITS_A_NODE, MOST_BITS = 16, 1 << 27
 BREAKS = r"[.,;:!?\x0A-\x0D]"
