@@ -2,9 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from llm.conftest import EDGE
+from llm.conftest import ALIKE, EDGE
 
 from wattframe.llm import jaccard
 from wattframe.llm.graph import components
@@ -105,12 +107,14 @@ def test_cells_find_what_bitmaps_allow(monkeypatch, leaf):
     maps = [jaccard._bitmap(s) for s in sets]
     linked = {(i, j) for j in c for i in c[:j]
               if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
-    a, b = jaccard._cell_pairs(c, n, c, np.full(len(c), 2), maps, 90)
-    alone = set(zip(a.tolist(), b.tolist()))
-    assert linked <= alone and len(alone) < 3 * len(linked)
+    group = jaccard._cell_groups(n, c, np.full(len(c), 2), maps, 90)
+    assert all(group[i] == group[j] >= 0 for i, j in linked)
+    assert len(np.unique(group[group >= 0])) >= 25  # unrelated sets stay apart
     side = np.arange(len(c)) % 2
-    a, b = jaccard._cell_pairs(c, n, c, side, maps, 90)
-    assert set(zip(a.tolist(), b.tolist())) == {p for p in alone if side[p[0]] != side[p[1]]}
+    group = jaccard._cell_groups(n, c, side, maps, 90)
+    assert all(group[i] == group[j] >= 0 for i, j in linked if side[i] != side[j])
+    # What is connected already needs no group.
+    assert (jaccard._cell_groups(n, np.zeros(len(c), np.int64), np.full(len(c), 2), maps, 90) == -1).all()
 
 
 def test_cells_of_neighbouring_sizes(monkeypatch):
@@ -124,8 +128,99 @@ def test_cells_of_neighbouring_sizes(monkeypatch):
     c = np.arange(len(sets))
     n = np.array([len(s) for s in sets])
     assert set(n) == {28, 29}
-    a, b = jaccard._cell_pairs(c, n, c, np.full(len(c), 2), [jaccard._bitmap(s) for s in sets], 90)
-    assert {(i, i + 1) for i in range(18)} <= set(zip(a.tolist(), b.tolist()))
+    group = jaccard._cell_groups(n, c, np.full(len(c), 2), [jaccard._bitmap(s) for s in sets], 90)
+    assert len(set(group.tolist())) == 1 and group[0] >= 0
+
+
+def batch_of(sets, comp, names=("w", "i", "j")):
+    bits = [jaccard._bitmap(x) for x in sets]
+    n = pa.array([len(x) for x in sets])
+    keys = [pa.array(np.zeros(len(sets), np.int64)) for _ in names]
+    return (pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(len(sets))), n, pa.array(comp), pa.array(np.full(len(sets), 2)),
+                                        pa.array(bits, pa.binary())], [*names, "c", "n", "comp", "side", "bits"]),
+            pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(len(sets))), pa.array(comp),
+                                        pa.array([x.tobytes() for x in sets], pa.binary())], [*names, "c", "comp", "items"]))
+
+
+@pytest.mark.parametrize("members", [250, 2000])
+def test_rows_of_a_cell_grow_with_its_members(members):
+    """Near copies that are not connected yet: as many rows as members, fewer links, and all connected."""
+    r = np.random.default_rng(members)
+    base = r.integers(0, 1 << 60, 300).astype(np.uint64)
+    sets = []
+    for _ in range(members):
+        own = base.copy()
+        own[r.integers(0, 300, 6)] = r.integers(0, 1 << 60, 6)
+        sets.append(np.unique(own))
+    maps, items = batch_of(sets, np.arange(members))
+    assert sum(x.num_rows for x in jaccard._cells(90)([maps])) == members
+    links = [(a, b) for x in jaccard._joined(90)([items]) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+    assert len(links) == members - 1
+    at = list(range(members))
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a, b in links:
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both)
+        at[find(a)] = find(b)
+    assert len({find(x) for x in range(members)}) == 1
+
+
+@pytest.mark.parametrize("block,cell", [(3, 1 << 24), (8, 4000), (40, 20000)])
+def test_large_regions_are_split_without_loss(docs, monkeypatch, block, cell):
+    """Small blocks send every region through rings, pivots and blocks."""
+    for name, value in {"BLOCK": block, "CELL_BYTES": cell, "ROUNDS": 1, "PIVOTS": 4, "SHARE": 10}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    line = " ".join(f"common{i}" for i in range(40))
+    pairs = [(i, f"{line} {t}" if i % 2 else t) for i, t in made(11, 120)]
+    assert rows(jaccard.join(docs(pairs).repartition(4))) == brute(pairs)
+
+
+def test_pivots_split_clusters(spark):
+    """Clusters far from each other end in parts of their own: far fewer meetings than all with all."""
+    r = np.random.default_rng(8)
+    members = []
+    for k in range(12):
+        base = r.integers(0, 1 << 60, 300).astype(np.uint64)
+        for i in range(200):
+            own = base.copy()
+            own[r.integers(0, 300, 5)] = r.integers(0, 1 << 60, 5)
+            own = np.unique(own)
+            members.append((7, 1000 * k + i, len(own), 1000 * k + i, bytearray(jaccard._bitmap(own))))
+    df = spark.createDataFrame(members, "w long, c long, n long, comp long, bits binary")
+    got = jaccard._divided(df, 90).groupBy("w").count().collect()
+    assert sum(x["count"] ** 2 for x in got) < len(members) ** 2 / 4
+    assert sum(x["count"] for x in got) >= len(members)
+
+
+def test_equal_fingerprints_are_told_apart(spark):
+    rows_ = [(i, 0, 5 if i < 4 else 6, i % 4, 3, None, None) for i in range(8)] + [(9, 0, 0, 0, 0, None, None)]
+    sets = spark.createDataFrame(rows_, jaccard._SETS)
+    got = jaccard._told_apart(sets).where("n > 0").groupBy("c").agg(F.countDistinct("d").alias("d"), F.count("*").alias("m")).collect()
+    assert len(got) == 8 and all(x.d == 1 for x in got)
+
+
+def test_long_words_that_a_polynomial_takes_for_one(docs):
+    x, y = ALIKE
+    rest = " ".join(f"w{i}" for i in range(18))
+    pairs = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"{x} {rest}"), (4, f"{x} {y}"), (5, "w " * 100_000)]
+    assert rows(jaccard.join(docs(pairs))) == brute(pairs)
+
+
+def test_hot_class_and_empty_texts(docs):
+    pairs = made(5, 30) + [(1000 + i, "the same text in very many places") for i in range(300)] + [(2000 + i, " ") for i in range(300)]
+    assert rows(jaccard.join(docs(pairs).repartition(6))) == brute(pairs)
+
+
+def test_clashing_columns(docs):
+    df = docs(EDGE).selectExpr("*", "1 AS c", "2 AS w", "'x' AS items", "3 AS k1", "4 AS n", "'g' AS `group`")
+    assert rows(jaccard.join(df)) == brute(EDGE)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and kept.where("k1 = 3 AND items = 'x'").count() == kept.count()
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90, 99])

@@ -55,6 +55,20 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row_key())
 
 
+#: Keys of so large a part of all rows are looked up by broadcast: there are at most so many of them.
+HOT_KEYS = 1_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (a written one, a row per key), of which ``count`` says how
+    many rows share the key. Keys that many rows share do not meet in one task."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) >= max(64, -(-total // HOT_KEYS))
+    often = F.broadcast(table.where(hot))
+    rest = rows.join(often.select(key), key, "left_anti").join(table.where(~hot), key)
+    return rows.join(often, key).unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,8 +1,8 @@
 """Exact self-join of documents by the Jaccard similarity of their word shingles.
 
-A document is the set of its distinct ``SHINGLE``-word shingles (64-bit hashes); equal sets are one
-class. Classes link when 100 * intersection >= ``percent`` * union, that is within radius
-r = 1 - percent / 100 of the Jaccard metric. The join works in regions:
+A document is the set of its distinct ``SHINGLE``-word shingles (64-bit keys); equal sets are one
+class, told apart by two fingerprints. Classes link when 100 * intersection >= ``percent`` * union, that
+is within radius r = 1 - percent / 100 of the Jaccard metric. The join works in regions:
 
 1. Regions. The pivots of the first level are single shingles. Shingles have one global order:
    those that partitions see often come last, long ones (mostly rare) first, then by hash. A class
@@ -12,14 +12,19 @@ r = 1 - percent / 100 of the Jaccard metric. The join works in regions:
    all lie at distances of 0.97 to 1 from any pivot, far closer together than 2 r.)
 2. Pivots in a region. In each round every region compares its members with one member, its pivot,
    exactly. Members within r join its component, so a group of copies costs one pair each and not all
-   pairs. A region whose members are all connected is done.
-3. Recursion. What is left is split into cells of bounded size and joined by pivots and triangle
-   inequality on the Hamming distance of parity bitmaps (each set's shingles hashed into 2 n bits or
-   more, one bit flipped by each): a metric that never exceeds the symmetric difference. Two far
-   members become pivots, members go to the nearer (its Voronoi region), those whose distances differ
-   by no more than twice the radius also meet across the border, and each part is joined the same way
-   until it is small or cannot be split, where all bitmaps are compared. Pairs already connected are
-   left out; the rest within the radius are compared exactly on their sets.
+   pairs. A region whose members are all connected is done, and of regions with the same members one stays.
+3. Recursion. Distances are now Hamming distances of parity bitmaps (each set's shingles hashed into
+   2 n bits or more, one bit flipped by each): a metric that never exceeds the symmetric difference. A
+   region of over ``BLOCK`` members is split on Spark, first into rings around the empty set, whose
+   distance is a set's size, then by documents as pivots: a member goes to its nearest pivot's Voronoi
+   region and, as a guest, to those of the pivots that are no more than twice the radius farther; one more
+   place, equally far from all, takes those that are near no pivot. Parts whose members are all connected
+   go; the rest is split again. A split that does not halve the work (a region of unrelated texts lies
+   equally far from every pivot) is not taken, and such a region is joined block against block. Within a cell the same is done by halves, down to cells whose bitmaps are all compared.
+4. Members of a cell that bitmaps allow to link, though not connected yet, form its groups. The same
+   group often comes out of many regions and counts once. Its sets meet, cut by bytes, and are compared
+   exactly, a member against all that are not connected with it yet: a cell returns fewer links than it
+   has members.
 
 Components only need connectivity, so no group is expanded into its pairs. Sets are recomputed from the
 texts of the classes that have a candidate; only shingles, bitmaps and class ids are shuffled for all.
@@ -32,20 +37,27 @@ share their class; a null id takes no part in the smallest id of its component (
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from wattframe.llm import common as C
 from wattframe.llm.graph import components
+from wattframe.session import small
 
 SHINGLE = 3
 PERCENT = 90
 ROUNDS = 2
-#: A region's members meet in cells of about twice so many.
+#: Larger regions are split; what cannot be split meets in cells of about twice so many.
 BLOCK = 1_000
+LEVELS, PIVOTS = 3, 16
+#: Members whose distances to a region's pivots one task takes.
+SHARE = 4_000
 LEAF = 128
+#: Bytes of sets that meet in one cell, about twice.
+CELL_BYTES = 1 << 24
 #: Shingles seen so often among so many of a partition come last in the order. Bounds the table that is
 #: broadcast; which ones are in it decides about time, never about results.
 OFTEN, AMONG, MOST_OFTEN = 16, 1 << 22, 1 << 20
@@ -59,14 +71,18 @@ def _shingles(data: np.ndarray, off: np.ndarray, width: int):
     shingle offsets."""
     data = C.LOWER[data]
     starts, ends, words = C.word_spans(data, off)
-    sums = C.prefix(C.word_hashes(data, starts, ends))
+    keys = C.word_keys(data, starts, ends)
     n = np.diff(words)
     many = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     cut = np.append(0, np.cumsum(many))
     doc = np.repeat(np.arange(len(n)), many)
     first = np.arange(cut[-1]) - cut[doc] + words[doc]
     last = np.minimum(first + width, words[doc + 1])
-    h = C.mix(C.span(sums, first, last) + (last - first).astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
+    length = last - first
+    h = np.zeros(len(first), np.uint64)
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        h[at] = C.mix(C.window_keys(keys, int(n))[first[at]] + np.uint64(n))
     size = np.append(0, np.cumsum(ends - starts))
     return h, size[last] - size[first], cut
 
@@ -105,14 +121,18 @@ def _bitmap(h: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _class(h: np.ndarray) -> int:
-    """Fingerprint of a set given as sorted distinct hashes."""
+_SECOND = np.uint64(0x8CB92BA72F3D8DD7)
+
+
+def _class(h: np.ndarray) -> tuple[int, int]:
+    """Two fingerprints of a set given as sorted distinct keys."""
     if not len(h):
-        return 0
-    return int(C.mix(np.sum(C.mix(h.copy()), dtype=np.uint64, keepdims=True) + np.uint64(len(h))).view(np.int64)[0])
+        return 0, 0
+    both = [C.mix(np.sum(C.mix(x), dtype=np.uint64, keepdims=True) + np.uint64(len(h))) for x in (h.copy(), h * _SECOND)]
+    return tuple(int(x.view(np.int64)[0]) for x in both)
 
 
-_SETS = "k1 long, k2 long, c long, n long, bits binary, prefix array<long>"
+_SETS = "k1 long, k2 long, c long, d long, n long, bits binary, prefix array<long>"
 
 
 def _described(often, width: int, percent: int):
@@ -120,7 +140,7 @@ def _described(often, width: int, percent: int):
 
     def run(batches):
         known = often.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for rows, data, off in C.chunked(batches):
             h, length, cut = _shingles(data, off, width)
             hot = np.zeros(len(h), bool)
@@ -128,22 +148,23 @@ def _described(often, width: int, percent: int):
                 hot = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
             key = (hot.astype(np.uint64) << np.uint64(63)) | (
                 np.uint64(255) - np.minimum(length, 255).astype(np.uint64)) << np.uint64(55) | (h >> np.uint64(9))
-            c, n, bits, prefix = [], [], [], []
+            c, d, n, bits, prefix = [], [], [], [], []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 own, at = np.unique(h[a:b], return_index=True)
-                c.append(_class(own))
+                name = _class(own)
+                c.append(name[0]), d.append(name[1])
                 n.append(len(own))
-                if not len(own) or c[-1] in seen:
+                if not len(own) or name in seen:
                     bits.append(None), prefix.append(None)
                     continue
-                seen.add(c[-1])
+                seen.add(name)
                 most = len(own) - int(needed(len(own), percent)) + 1
                 bits.append(_bitmap(own))
                 prefix.append(own[np.argsort(key[a:b][at], kind="stable")[:most]].view(np.int64))
             k = [rows.column(rows.schema.get_field_index(x)) for x in ("k1", "k2")]
             yield pa.RecordBatch.from_arrays(
-                [*k, pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()),
-                 pa.array(prefix, pa.list_(pa.int64()))], ["k1", "k2", "c", "n", "bits", "prefix"])
+                [*k, *(pa.array(x, pa.int64()) for x in (c, d, n)), pa.array(bits, pa.binary()),
+                 pa.array(prefix, pa.list_(pa.int64()))], ["k1", "k2", "c", "d", "n", "bits", "prefix"])
 
     return run
 
@@ -271,10 +292,10 @@ class Cell:
             self.across(x, y)
 
 
-def _cell_pairs(c, n, comp, side, bits, percent) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller class first) of different components that sizes and bitmaps allow."""
+def _cell_groups(n, comp, side, bits, percent) -> np.ndarray:
+    """The group of each member (a member's place), -1 if sizes and bitmaps allow it no link to another component."""
     widths = np.array([8 * len(b) for b in bits])
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    group, found = np.arange(len(n)), []
     for width in np.unique(widths):
         # A partner is at most a ninth larger, so its bitmap is as wide or twice as wide.
         z = np.flatnonzero((widths >= width) & (widths <= 4 * width))
@@ -283,40 +304,99 @@ def _cell_pairs(c, n, comp, side, bits, percent) -> tuple[np.ndarray, np.ndarray
         maps = np.stack([_folded(bits[i], int(width)) for i in z])
         cell = Cell(maps, n[z], comp[z], side[z], widths[z] == width, percent)
         cell.join(np.arange(len(z)))
-        found += [(c[z[i]], c[z[j]]) for i, j in cell.out]
+        found += [(z[i], z[j]) for i, j in cell.out if len(i)]
+    if not found:
+        return np.full(len(n), -1)
     a, b = (np.concatenate(x) for x in zip(*found))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1]
+    while True:
+        least = np.minimum(group[a], group[b])
+        before = group.copy()
+        np.minimum.at(group, a, least)
+        np.minimum.at(group, b, least)
+        group = group[group]
+        if (group == before).all():
+            break
+    alone = np.ones(len(n), bool)
+    alone[a] = alone[b] = False
+    return np.where(alone, -1, group)
+
+
+def _by_key(batches, keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows of each key (the first ``keys`` columns, sorted), together."""
+    name, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(keys)], axis=1)
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+        for s, e in zip(at, np.append(at[1:], len(key))):
+            now = tuple(key[s].tolist())
+            if now != name and held:
+                yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            name = now
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _cells(percent: int):
-    """Joins each cell (rows sorted by w, i, j); sides: 0 and 1 of a mixed cell, 2 of a cell alone."""
+    """Groups of each cell (rows sorted by w, i, j); sides: 0 and 1 of a mixed cell, 2 of a cell alone."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for own in _by_key(batches, 3):
+            if own.num_rows < 2:
+                continue
+            c, n, comp, side = (own.column(i).to_numpy() for i in (3, 4, 5, 6))
+            group = _cell_groups(n, comp, side, own.column(7).to_pylist(), percent)
+            at = np.flatnonzero(group >= 0)
+            if not len(at):
+                continue
+            at = at[np.argsort(group[at], kind="stable")]
+            head = np.flatnonzero(np.append(True, group[at][1:] != group[at][:-1]))
+            # The same members have the same name wherever they meet; groups that shared one would be one group.
+            names = C.mix(np.add.reduceat(C.mix(c[at].astype(np.uint64)), head))
+            names = np.repeat(names, np.diff(np.append(head, len(at)))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(x[at]) for x in (c, comp, n))], ["g", "c", "comp", "n"])
+
+    return run
+
 
-    def close(rows):
-        own = rows[0] if len(rows) == 1 else pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        c, n, comp, side = (own.column(i).to_numpy() for i in (3, 4, 5, 6))
-        if len(c) < 2:
-            return None
-        a, b = _cell_pairs(c, n, comp, side, own.column(7).to_pylist(), percent)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) if len(a) else None
+def _joined(percent: int):
+    """Links between members of different components of each cell (g, i, j), fewer than its members."""
+
+    def links(c, comp, sets) -> list[tuple[int, int]]:
+        _, comp = np.unique(comp, return_inverse=True)
+        size = np.array([len(x) for x in sets])
+        order = np.argsort(size, kind="stable")
+        c, comp, size, sets = c[order], comp[order], size[order], [sets[i] for i in order]
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.append(0, np.cumsum(size))
+        own, out = np.zeros(len(names), bool), []
+        for i in range(len(c) - 1):
+            # Sets are in order of size, so partners lie between i and the last that is not too large.
+            last = int(np.searchsorted(size, 100 * size[i] // percent, "right"))
+            z = i + 1 + np.flatnonzero(comp[i + 1 : last] != comp[i])
+            if not len(z):
+                continue
+            own[flat[at[i] : at[i + 1]]] = True
+            hit = own[C.stretches(flat, at[z], size[z])]
+            own[flat[at[i] : at[i + 1]]] = False
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[z]) - size[z])
+            for j in z[100 * common >= percent * (size[i] + size[z] - common)]:
+                if comp[j] != comp[i]:
+                    out.append((int(min(c[i], c[j])), int(max(c[i], c[j]))))
+                    comp[comp == comp[j]] = comp[i]
+        return out
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        name, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
+        for own in _by_key(batches, 3):
+            c, comp = (own.column(i).to_numpy() for i in (3, 4))
+            if own.num_rows < 2 or (comp == comp[0]).all():
                 continue
-            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
-            at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-            for s, e in zip(at, np.append(at[1:], len(key))):
-                now = tuple(key[s].tolist())
-                if now != name and held:
-                    if (got := close(held)) is not None:
-                        yield got
-                    held = []
-                name = now
-                held.append(batch.slice(s, e - s))
-        if held and (got := close(held)) is not None:
-            yield got
+            got = links(c, comp, [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column(5)])
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got)], ["a", "b"])
 
     return run
 
@@ -324,14 +404,17 @@ def _cells(percent: int):
 # --- the join ----------------------------------------------------------------------------------
 
 
-def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, compared on the whole sets of their classes."""
-    some = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    one = sets.select("c", "k1", "k2").join(some, "c", "left_semi").groupBy("c").agg(
-        F.min(F.struct("k1", "k2")).alias("k")).select("c", "k.k1", "k.k2")
+def _items(rows: DataFrame, reps: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``c, items``: the whole sets of some classes, from the text of one document of each."""
+    one = small(C.staged(reps.select("c", "k1", "k2").join(classes.distinct(), "c", "left_semi"), "one"))
     # Repeated rows have equal texts, so any of them serves.
     texts = rows.select("k1", "k2", "text").join(one, ["k1", "k2"]).dropDuplicates(["c"])
-    items = C.staged(texts.mapInArrow(_sets_of(width), "c long, items binary"), "sets")
+    return C.staged(texts.mapInArrow(_sets_of(width), "c long, items binary"), "sets")
+
+
+def _verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, compared on the whole sets of their classes."""
+    items = _items(rows, reps, pairs.select(F.explode(F.array("a", "b")).alias("c")), width)
     left, right = (items.select(F.col("c").alias(x), F.col("items").alias(f"{x}_items")) for x in "ab")
     return C.staged(pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(
         _exact(percent), "a long, b long"), "jaccard-links")
@@ -343,6 +426,117 @@ def _with_bits(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "an", "bn", "a_bits", "b_bits").mapInArrow(_small(percent), "a long, b long")
 
 
+def _told_apart(sets: DataFrame) -> DataFrame:
+    """Different sets whose first fingerprints agree get others, made with the second, until none do."""
+    turn = 0
+    while True:
+        shared = sets.where("n > 0").groupBy("c").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x <> y")
+        shared = C.staged(shared.select("c", F.lit(True).alias("shared")), "shared")
+        if not shared.take(1):
+            return sets
+        new = F.when(F.col("shared"), F.xxhash64("c", "d", F.lit(turn))).otherwise(F.col("c"))
+        sets = C.staged(sets.join(small(shared), "c", "left").withColumn("c", new).drop("shared"), "shingles")
+        turn += 1
+
+
+def _unequal(parts: DataFrame) -> DataFrame:
+    """``w, m, narrow, n_max``: members, least bytes of a bitmap and largest set of the regions that are not
+    connected yet; those of guests alone are left out, as guests meet each other where they live."""
+    return parts.groupBy("w").agg(
+        F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("home").alias("lived"),
+        F.min(F.octet_length("bits")).alias("narrow"), F.max("n").alias("n_max")
+    ).where("x <> y AND lived").select("w", "m", "narrow", "n_max")
+
+
+def _rings(parts: DataFrame, percent: int) -> DataFrame:
+    """Regions cut by size: linked sets lie in one ring or in neighbouring ones, and each visits the next."""
+    wide = float(np.log(100 / percent) * 1.0001)
+    ring = F.floor(F.log(F.col("n").cast("double")) / F.lit(wide))
+    both = parts.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("w", F.xxhash64("w", ring + F.col("next")))
+    return both.withColumn("home", F.col("home") & (F.col("next") == 0)).drop("next")
+
+
+def _radius(n: np.ndarray, percent: int) -> np.ndarray:
+    """What a set of n may differ from any partner by, or a little more."""
+    return np.maximum(_allowed(n, 100 * n // percent, percent), 0) + 2
+
+
+_TARGETS = pa.schema([("w", pa.int64()), ("c", pa.int64()), ("p", pa.int32()), ("at_home", pa.bool_())])
+
+
+def _targets(percent: int):
+    """Of the members of a region (or a share of them): the pivots whose regions they live in or visit.
+
+    Besides the pivots there is a place at one distance from all members, a little beyond the reach of a
+    pivot's near copies: members far from every pivot live there alone and not with all pivots.
+    """
+
+    def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not members.num_rows or not pivots.num_rows:
+            return _TARGETS.empty_table()
+        width = 8 * members.column("narrow")[0].as_py()
+        x, p = (np.stack([_folded(b, width) for b in t.column("bits").to_pylist()]) for t in (members, pivots.sort_by("o")))
+        beyond = 3 * _radius(members.column("n_max").to_numpy(), percent)
+        far = np.stack([*(np.bitwise_count(x ^ q).sum(axis=1).astype(np.int64) for q in p), beyond], axis=1)
+        visits = far - far.min(axis=1, keepdims=True) <= 2 * _radius(members.column("n").to_numpy(), percent)[:, None]
+        at, to = np.nonzero(visits)
+        return pa.table([members.column("w").take(at), members.column("c").take(at), pa.array(to.astype(np.int32)),
+                         pa.array(far.argmin(axis=1)[at] == to)], schema=_TARGETS)
+
+    return run
+
+
+def _by_pivots(parts: DataFrame, sizes: DataFrame, level: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Large regions split by members as pivots, and those where the windows are too wide for that."""
+    big = parts.join(small(sizes), "w")
+    shares = F.ceil(F.col("m") / SHARE).cast("int")
+    order = W.partitionBy("w").orderBy("o", "c")
+    pivots = big.select("w", "m", "c", "bits", F.xxhash64("c", F.lit(level)).alias("o"))
+    pivots = C.staged(pivots.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select(
+        "w", "bits", F.col("r").alias("o"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share")), "pivots")
+    members = big.select("w", F.pmod(F.xxhash64("c"), shares).cast("int").alias("share"), "c", "n", "bits", "narrow", "n_max")
+    to = C.staged(members.groupBy("w", "share").cogroup(pivots.groupBy("w", "share")).applyInArrow(
+        _targets(percent), "w long, c long, p int, at_home boolean"), "targets")
+    # Worth it if the parts need less than half the comparisons of the whole.
+    gain = to.groupBy("w", "p").count().groupBy("w").agg(F.sum(F.col("count").cast("double") ** 2).alias("work")).join(
+        sizes, "w").select("w", (F.col("work") < F.col("m").cast("double") ** 2 / 2).alias("worth"))
+    gain = small(C.staged(gain, "gain"))
+    split = to.join(gain.where("worth"), "w", "left_semi").join(parts, ["w", "c"]).withColumn(
+        "w", F.xxhash64("w", "p", F.lit(level))).withColumn("home", F.col("home") & F.col("at_home")).select(*parts.columns)
+    return split, parts.join(gain.where("NOT worth"), "w", "left_semi")
+
+
+def _divided(parts: DataFrame, percent: int) -> DataFrame:
+    """``w, m, c, n, comp, bits``: the open regions, large ones split by rings and pivots where that helps."""
+    columns = ["w", "m", "c", "n", "comp", "bits"]
+    parts, done, level = parts.withColumn("home", F.lit(True)), [], 0
+    while True:
+        sizes = C.staged(_unequal(parts), "sizes")
+        open_ = parts.join(sizes, "w")
+        large = sizes.where(F.col("m") > BLOCK)
+        if level > LEVELS or not large.take(1):
+            return reduce(DataFrame.unionByName, [*done, open_.select(columns)])
+        done.append(open_.where(F.col("m") <= BLOCK).select(columns))
+        over = parts.join(small(large.select("w")), "w", "left_semi")
+        if level == 0:
+            parts = C.staged(_rings(over, percent), "rings")
+        else:
+            split, whole = _by_pivots(over, large, level, percent)
+            parts = C.staged(split, "voronoi")
+            done.append(whole.join(small(large.select("w", "m")), "w").select(columns))
+        level += 1
+
+
+def _in_blocks(parts: DataFrame, blocks: Column, name: str, *rest: str) -> DataFrame:
+    """Members of ``name`` in cells i <= j of two blocks each; ``side`` tells the blocks apart, 2 if they are one."""
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side")
+    cells = dealt.select(name, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                         *[side if c == "side" else F.col(c) for c in rest])
+    return cells.repartition(C.partitions(parts.sparkSession), name, "i", "j").sortWithinPartitions(name, "i", "j")
+
+
 def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, k1, k2, n_shingles, class_id, component_id, group``, a row per document.
 
@@ -354,8 +548,9 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     table = often.orderBy(F.desc("n"), "w").limit(MOST_OFTEN).select("w").toArrow().column(0).to_numpy()
     table = spark.sparkContext.broadcast(np.sort(table.view(np.uint64)))
     sets = C.staged(rows.select("k1", "k2", "text").mapInArrow(_described(table, width, percent), _SETS), "shingles")
+    sets = _told_apart(sets)
     reps = C.staged(sets.where("prefix is not null").groupBy("c").agg(
-        F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "classes")
+        F.first(F.struct("n", "bits", "prefix", "k1", "k2")).alias("r")).select("c", "r.*"), "classes")
     regions = reps.select("c", F.explode("prefix").alias("w"))
     crowded = regions.groupBy("w").agg(F.min("c").alias("p"), F.max("c").alias("q"), F.count("*").alias("m")).where("p <> q")
     # Regions of one class need no work.
@@ -374,30 +569,31 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
         pairs = left.join(heads, "w").where("comp <> p_comp").select(
             F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
         pairs = C.staged(_with_bits(pairs, reps, percent), "pairs")
-        found = _verified(rows, sets, pairs, width, percent)
+        found = _verified(rows, reps, pairs, width, percent)
         links = found if links is None else links.unionByName(found)
         comp = components(links)
 
-    left = _open(members, comp).where("m > 2")
-    full = left.join(reps.select("c", "n", "bits"), "c")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    celled = full.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "w", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "n", "comp",
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "bits")
-    parts = C.partitions(spark)
-    pairs = celled.repartition(parts, "w", "i", "j").sortWithinPartitions("w", "i", "j").mapInArrow(
-        _cells(percent), "a long, b long").distinct()
-    found = _verified(rows, sets, C.staged(pairs, "pairs"), width, percent)
-    comp = components(links.unionByName(found))
-
-    first = sets.where("n > 0").groupBy("c").agg(F.min(F.when(F.col("k1") > C.NO_ID, F.col("k1"))).alias("class_id"))
-    root = first.join(comp, first["c"] == comp["node"], "left").select(
-        "c", "class_id", F.coalesce("root", "c").alias("root"))
-    least = root.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    labels = root.join(least, "root").select("c", "class_id", "component_id", F.col("root").alias("group"))
+    left = C.staged(_open(members, comp).where("m > 2").select("w", "c", "comp"), "left")
+    names = left.groupBy("w").agg(*[F.bit_xor(F.xxhash64("c", F.lit(i))).alias(f"x{i}") for i in range(2)], F.count("*").alias("m"))
+    once = names.groupBy("x0", "x1", "m").agg(F.min("w").alias("w")).select("w")
+    parts = C.staged(left.join(once, "w", "left_semi").join(reps.select("c", "n", "bits"), "c"), "cells")
+    parts = _divided(parts, percent)
+    cells = _in_blocks(parts, F.ceil(F.col("m") / BLOCK).cast("int"), "w", "c", "n", "comp", "side", "bits")
+    groups = C.staged(cells.mapInArrow(_cells(percent), "g long, c long, comp long, n long").distinct(), "groups")
+    size = groups.groupBy("g").agg(F.sum(8 * F.col("n")).alias("bytes"))
+    full = groups.join(size, "g").join(_items(rows, reps, groups.select("c"), width), "c")
+    cells = _in_blocks(full, F.ceil(F.col("bytes") / CELL_BYTES).cast("int"), "g", "c", "comp", "items")
+    comp = components(links.unionByName(C.staged(cells.mapInArrow(_joined(percent), "a long, b long"), "jaccard-links")))
+
     own = F.when(F.col("k1") > C.NO_ID, F.col("k1"))
-    return sets.join(labels, "c", "left").select(
+    first = sets.where("n > 0").groupBy("c").agg(F.min(own).alias("class_id"), F.count("*").alias("docs"))
+    root = C.staged(first.join(comp, first["c"] == comp["node"], "left").select(
+        "c", "class_id", "docs", F.coalesce("root", "c").alias("group")), "roots")
+    least = C.staged(root.groupBy("group").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes")), "components")
+    labels = C.staged(C.looked_up(root, least, "group", "classes").drop("classes"), "labels")
+    named = C.looked_up(sets.where("n > 0").select("c", "k1", "k2", "n"), labels, "c", "docs")
+    blank = sets.where("n = 0").select("k1", "k2", "n", *[F.lit(None).cast("long").alias(x) for x in ("class_id", "component_id", "group")])
+    return named.select(*blank.columns).unionByName(blank).select(
         own.alias("doc_id"), "k1", "k2", F.col("n").alias("n_shingles"),
         F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"), "group")
 
