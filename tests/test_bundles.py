@@ -62,9 +62,9 @@ def test_bundles_hold_what_the_plans_compute(spark, monkeypatch):
         monkeypatch.setattr(plan, "build", spied)
     points = sorted(map(tuple, QUERIES["mining_bundle_points"](spark, SF_SMALL).collect()), key=str)
     history = sorted(map(tuple, QUERIES["dashboard_bundle_history"](spark, SF_SMALL).collect()), key=str)
-    mined = mining.mining_readings(read_readings(spark, paths[mining.__name__], S.MINING, batch_folders=True))
+    mined = mining.mining_readings(read_readings(spark, paths[mining.__name__], S.MINING, batch_folders=True, keep=("id",)))
     assert points == sorted(map(tuple, mining.scatter(mining.sample_pool(mined)).collect()), key=str)
-    dated = dashboard_batch(read_readings(spark, paths[dashboard.__name__], S.DASHBOARD))
+    dated = dashboard_batch(read_readings(spark, paths[dashboard.__name__], S.DASHBOARD, keep=("id",)))
     assert history == sorted(map(tuple, dashboard.history(dated).collect()), key=str)
     assert len(points) == 400 and len(history) == 500 and len(set(points)) > 100
 

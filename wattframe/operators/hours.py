@@ -29,12 +29,20 @@ def _sources(df: DataFrame) -> dict[str, Column]:
     return found
 
 
-def hour_sources(df: DataFrame, batch: str = "batch_id") -> DataFrame:
+def with_times(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Adds the time that each available source gives, and names the column per source."""
+    sources = _sources(df)
+    names = {name: f"_time{i}" for i, name in enumerate(sources)}
+    return df.withColumns({names[name]: c for name, c in sources.items()}), names
+
+
+def hour_sources(df: DataFrame, batch: str = "batch_id", times: dict[str, str] | None = None) -> DataFrame:
     """One row per batch: ``source``, its ``n_valid`` rows and its ``share_midnight``.
 
-    ``source`` is null where no candidate gave a single readable hour.
+    ``source`` is null where no candidate gave a single readable hour. ``times`` names columns that hold
+    the candidates' times already; else they are read from the text.
     """
-    sources = _sources(df)
+    sources = _sources(df) if times is None else {name: F.col(c) for name, c in times.items()}
     hours = df.select(batch, *[F.hour(c).alias(f"h{i}") for i, c in enumerate(sources.values())])
     stats = hours.groupBy(batch).agg(
         *[F.count(f"h{i}").alias(f"n{i}") for i in range(len(sources))],
@@ -65,28 +73,29 @@ def with_best_time(df: DataFrame, batch: str | None = "batch_id") -> DataFrame:
     """Adds ``ts`` and ``hour_source`` by the winning source; rows it cannot date are dropped,
     and so are batches without any source.
 
+    The candidates' times are read from the text once and written with the rows; the choice and the pick
+    both start from there, so hand over the columns that are needed and not the whole raw table.
     ``batch=None`` judges the table as one batch. Otherwise the choices are first written as a table
     of known size, a 64-bit hash of the batch and a number for the source, however long the batch's
     name is. Up to ``BROADCAST_ROWS`` batches they are sent to the readings, which then do not move.
     """
-    sources = _sources(df)
+    timed, columns = with_times(df)
+    timed = materialise(timed, "timed")
 
-    def pick(choice: Column) -> Column:
-        return F.coalesce(*[F.when(choice == name, c) for name, c in sources.items()])
+    def picked(choice: Column, rows: DataFrame) -> DataFrame:
+        ts = F.coalesce(*[F.when(choice == name, F.col(c)) for name, c in columns.items()])
+        dated = rows.withColumn("hour_source", choice).withColumn("ts", ts)
+        return drop_missing(dated.select(*[c for c in df.columns if c != "ts"], "hour_source", "ts"), ["ts"])
 
     if batch is None:
-        whole = F.lit(0).alias("batch_id")
-        columns = [c for c in df.columns if c in ("timestamp", "fecha", "hora", "hora_dia")]
-        best = hour_sources(df.select(whole, *columns), "batch_id").select("source").scalar()
-        dated = df.withColumn("hour_source", best).withColumn("ts", pick(F.col("hour_source")))
-        return drop_missing(dated, ["ts"])
-    found = hour_sources(df, batch).filter(F.col("source").isNotNull())
-    names = F.array(*[F.lit(name) for name in sources])
+        whole = timed.select(F.lit(0).alias("batch_id"), *columns.values())
+        return picked(hour_sources(whole, "batch_id", columns).select("source").scalar(), timed)
+    found = hour_sources(timed, batch, columns).filter(F.col("source").isNotNull())
+    names = F.array(*[F.lit(name) for name in columns])
     code = (F.array_position(names, F.col("source")) - 1).cast("tinyint")
     choices = small(materialise(found.select(F.xxhash64(batch).alias("_batch"), code.alias("_code")), "hour-source"))
-    chosen = df.join(choices, F.xxhash64(F.col(batch)) == F.col("_batch"))
-    dated = chosen.withColumn("hour_source", F.get(names, F.col("_code").cast("int"))).drop("_batch", "_code")
-    return drop_missing(dated.withColumn("ts", pick(F.col("hour_source"))), ["ts"])
+    chosen = timed.join(choices, F.xxhash64(F.col(batch)) == F.col("_batch"))
+    return picked(F.get(names, F.col("_code").cast("int")), chosen)
 
 
 def hour_profile(df: DataFrame, batch: str = "batch_id") -> DataFrame:

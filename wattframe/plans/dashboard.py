@@ -45,7 +45,9 @@ def cards(days: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def history(readings: DataFrame, n: int = S.HISTORY_ROWS) -> DataFrame:
-    """The newest ``n`` readings; equal times go by the remaining columns."""
+    """The newest ``n`` readings; equal times go by ``id`` if there is one, else by the remaining columns."""
+    if "id" in readings.columns:
+        return history_columns(newest(readings, n, "fecha", "id"))
     ordered = readings.withColumn(
         "_tie", F.concat_ws("|", "dispositivo", "usuario", "consumo_kwh", "costo_mx", "estado")
     )
@@ -58,7 +60,7 @@ def build(spark: SparkSession, path: str, out: str, max_batches: int = 0) -> Non
     The cleaned readings and the day table are written there too and read back, so the raw text
     is parsed once.
     """
-    raw = read_readings(spark, path, S.DASHBOARD, max_batches)
+    raw = read_readings(spark, path, S.DASHBOARD, max_batches, keep=("id",))
     readings = kept(dashboard_batch(raw), out, "_dated")
     days = kept(day_table(readings), out, "_days")
     if days.isEmpty():

@@ -22,21 +22,25 @@ def mining_readings(df: DataFrame, batch: str | None = "batch_id") -> DataFrame:
     raw = df.columns
     keep = [c for c in ("id", "batch_id") if c in raw]
     narrow = apply_contract(df, S.MINING, keep=tuple(keep))
-    dated = with_best_time(narrow, batch)
-    label = F.col("dia_semana") if "dia_semana" in raw else None
 
     def money(name: str):
         return as_number(narrow, name, None) if name in raw else F.lit(None).cast("double")
 
-    return dated.select(
+    clocks = [c for c in ("timestamp", "fecha", "hora_dia", "hora") if c in raw]
+    typed = narrow.select(
         *([] if "id" in raw else [F.xxhash64(*[F.col(c) for c in narrow.columns]).alias("id")]),
         *keep,
-        "ts",
-        times.weekday_label(label, F.col("ts")).alias("dia"),
+        *clocks,
+        *(["dia_semana"] if "dia_semana" in raw else []),
         (F.col("casa_id") if "casa_id" in raw else F.lit(None).cast("string")).alias("casa_id"),
         as_number(narrow, "consumo_kwh").alias("consumo_kwh"),
         F.coalesce(money("costo_estimado"), money("costo_mx"), F.lit(0.0)).alias("costo"),
     )
+    label = F.col("dia_semana") if "dia_semana" in raw else None
+    return with_best_time(typed, batch).select(
+        "id", *[c for c in keep if c != "id"], "ts", times.weekday_label(label, F.col("ts")).alias("dia"),
+        "casa_id", "consumo_kwh", "costo",
+    )
 
 
 def energy_cube(readings: DataFrame) -> DataFrame:
@@ -127,17 +131,20 @@ def build(
     sampled_anomalies: bool = False,
     seed: int = 42,
     batch_folders: bool = False,
+    chunk_rows: int = 0,
 ) -> None:
     """Reads the file at ``path`` and replaces the five results under ``out``.
 
-    A batch is a file, with ``batch_folders`` all files of a folder.
+    A batch is a file, with ``batch_folders`` all files of a folder, with ``chunk_rows`` so many rows of a
+    file. An ``id`` in the file orders the sample; else a hash of the row does.
 
     The cleaned readings, the cube and the sample pool are written there too and read back: the
     raw text is parsed once, later passes read narrow columns, and a lost executor repeats only
     its own part. Anomalies are counted over all readings; ``sampled_anomalies`` counts them over
     the sample pool, as the published figure was.
     """
-    raw = read_readings(spark, path, S.MINING, max_batches, batch_folders=batch_folders)
+    raw = read_readings(
+        spark, path, S.MINING, max_batches, batch_folders=batch_folders, chunk_rows=chunk_rows, keep=("id",))
     readings = kept(mining_readings(raw), out, "_readings")
     cube = kept(energy_cube(readings), out, "_cube")
     pool = kept(sample_pool(readings, seed=seed), out, "_sample")

@@ -173,12 +173,26 @@ DAY_POSITION = f"list_position([{DAYS}], dia) - 1"
 WHOLE = MINED.replace(f"({tables.sql_select(tables.raw_batch_columns(_D), 'events')})", (
     "(SELECT * REPLACE ('all' AS batch_id) FROM (" + tables.sql_select(tables.raw_batch_columns(_D), "events") + "))"))
 
+# The same rows as four files in order of id, cut into chunks that are numbered through the files.
+_RAW = tables.sql_select(tables.raw_batch_columns(_D), "events")
+CHUNKED = MINED.replace(f"({_RAW})", f"""(
+  SELECT t.* REPLACE ((e.earlier + (row_number() OVER (PARTITION BY t.id % 4 ORDER BY t.id) - 1) // {{k}})::BIGINT AS batch_id)
+  FROM ({_RAW}) t JOIN (
+    SELECT p, (sum(c) OVER (ORDER BY p) - c)::BIGINT AS earlier
+    FROM (SELECT event_id % 4 AS p, ceil(count(*) / {{k}})::BIGINT AS c FROM events GROUP BY 1)) e ON e.p = t.id % 4)""")
+CHUNKED = CHUNKED.replace("{k}", "300")
+
 SHOWN = f"""shown AS (
   SELECT id, {moment('timestamp')} AS fecha, 'Smart Plug' AS dispositivo, casa_id AS usuario,
     coalesce({number('consumo_kwh', False)}, 0.0) AS consumo_kwh, coalesce({number('costo_mx', False)}, 0.0) AS costo_mx,
     coalesce(lower(trim(upper(dia_semana))), 'activo') AS estado
   FROM batch WHERE timestamp IS NOT NULL AND consumo_kwh IS NOT NULL AND {moment('timestamp')} IS NOT NULL)"""
 
+def _read(c: str) -> str:
+    """A field as a CSV file gives it, where the usual texts for a missing one are null."""
+    return f"CASE WHEN {c} NOT IN ({_sql_list(S.MISSING_TEXTS)}) THEN {c} END"
+
+
 # The same rows out of a CSV file, where the usual texts for a missing field are null.
 _FIELDS = ("timestamp", "consumo_kwh", "costo_mx", "dia_semana", "casa_id")
 SHOWN_CSV = (
@@ -383,6 +397,10 @@ ORACLES: dict[str, str] = {
     "UNION ALL SELECT 'resumen', 'n_registros', n::DOUBLE FROM r UNION ALL SELECT 'resumen', 'n_municipios', m::DOUBLE FROM r "
     "UNION ALL SELECT 'resumen', 'n_anomalias', (SELECT count(*) FROM mined, s WHERE abs((consumo_kwh - mean) / sd) >= 3)::DOUBLE "
     "UNION ALL SELECT 'resumen', 'z_threshold', 3.0::DOUBLE UNION ALL SELECT 'consumo_vs_costo', 'n', least(n, 400)::DOUBLE FROM r",
+    "mining_bundle_points": WHOLE + ", h AS (SELECT *, md5(id::varchar || ':42') AS h FROM mined) "
+    "SELECT consumo_kwh AS x, costo AS y FROM h ORDER BY h, id::varchar LIMIT 400",
+    "dashboard_bundle_history": f"WITH {BATCH}, {SHOWN_CSV} SELECT strftime(fecha, '%Y-%m-%d %H:%M:%S') AS fecha, dispositivo, usuario, "
+    "consumo_kwh AS consumo, costo_mx AS costo, estado FROM (SELECT * FROM shown ORDER BY fecha DESC, id::varchar DESC LIMIT 500)",
     "dashboard_bundle": f"WITH {BATCH}, {SHOWN_CSV}, m AS (SELECT * FROM shown WHERE date_trunc('month', fecha) = (SELECT date_trunc('month', max(fecha)) FROM shown)) "
     f"SELECT 'cards' AS result, 'consumo' AS label, (SELECT {total('consumo_kwh', 2)} FROM m) AS value "
     "UNION ALL SELECT 'cards', 'alertas', (SELECT count(*) FROM m WHERE consumo_kwh > (SELECT quantile_cont(consumo_kwh, 0.95) FROM m))::DOUBLE "
@@ -409,6 +427,15 @@ ORACLES: dict[str, str] = {
     "sum(cast(round(consumo_kwh * 1e13) AS DECIMAL(38,0)))::DOUBLE AS huge FROM readings GROUP BY 1",
     "infinite_reading_flags_nobody": R + "SELECT 0::BIGINT AS n_anomalias, count(*) FILTER (id <> 1)::BIGINT AS en_barras FROM readings",
     "csv_scan": f"WITH {BATCH} SELECT casa_id, timestamp, coalesce({number('consumo_kwh', False)}, 0.0) AS consumo_kwh FROM batch",
+    "csv_chunks": CHUNKED + f"SELECT batch_id, n, source, n_valid, {six('share_midnight')} AS share_midnight FROM best "
+    "JOIN (SELECT batch_id, count(*) AS n FROM batch GROUP BY 1) USING (batch_id)",
+    "csv_chunks_capped": CHUNKED + "SELECT id, batch_id FROM batch WHERE batch_id < 7",
+    "csv_chunk_sample": CHUNKED + ", h AS (SELECT *, md5(id::varchar || ':42') AS h FROM mined) SELECT id, batch_id, consumo_kwh, costo "
+    "FROM h QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY h, id) <= 40 ORDER BY h, id LIMIT 5000",
+    "csv_mixed_headers": f"WITH {BATCH} SELECT id, CASE id % 3 WHEN 0 THEN casa_id END AS casa_id, "
+    f"CASE WHEN id % 3 <> 1 THEN {_read('timestamp')} END AS timestamp, CASE id % 3 WHEN 1 THEN {_read('fecha')} END AS fecha, "
+    f"CASE id % 3 WHEN 1 THEN {_read('hora_dia')} END AS hora_dia, CASE id % 3 WHEN 0 THEN {_read('costo_mx')} END AS costo_mx, "
+    f"CASE id % 3 WHEN 2 THEN {_read('dia_semana')} END AS dia_semana, coalesce({number('consumo_kwh', False)}, 0.0) AS consumo_kwh FROM batch",
     "parquet_scan": f"WITH {BATCH} SELECT fecha, consumo_kwh, 0.0::DOUBLE AS costo_mx, 'activo' AS estado, 'Smart Plug' AS dispositivo, '—' AS usuario FROM batch",
     "csv_roundtrip": R + f", {HISTORY} SELECT fecha, dispositivo, usuario, consumo::varchar AS consumo_kwh, printf('%.2f', costo) AS costo_mxn, estado FROM history",
     "json_cache_roundtrip": R + _HOURLY,

@@ -632,7 +632,7 @@ def _bundle_rows(bundle: dict[str, DataFrame]) -> DataFrame:
 def _mining_bundle(spark, sf) -> dict[str, DataFrame]:
     """The whole mining build from one batch in CSV files, read back through its bundle."""
     folder = work_dir(spark, "mining-build")
-    raw = tables.raw_batch(spark, sf).drop("batch_id", "id")
+    raw = tables.raw_batch(spark, sf).drop("batch_id")
     raw.write.options(**sinks.CSV_OPTIONS).csv(f"{folder}/readings.csv")
     mining.build(spark, f"{folder}/readings.csv", f"{folder}/out", batch_folders=True)
     return sinks.read_bundle(spark, f"{folder}/out")
@@ -645,7 +645,7 @@ def mining_bundle(spark, sf):
 
 @query
 def mining_bundle_points(spark, sf):
-    """The points that the mining bundle holds. Their sample goes by a hash of Spark's, so no SQL."""
+    """The points that the mining bundle holds."""
     return _mining_bundle(spark, sf)["consumo_vs_costo"]
 
 
@@ -680,7 +680,7 @@ def _dashboard_bundle(spark, sf) -> dict[str, DataFrame]:
     """The whole dashboard build from CSV files, read back through its bundle."""
     folder = work_dir(spark, "dashboard-build")
     shown = tables.raw_batch(spark, sf).selectExpr(
-        "timestamp AS fecha", "consumo_kwh", "costo_mx", "upper(dia_semana) AS estado", "casa_id AS usuario")
+        "id", "timestamp AS fecha", "consumo_kwh", "costo_mx", "upper(dia_semana) AS estado", "casa_id AS usuario")
     shown.write.options(**sinks.CSV_OPTIONS).csv(f"{folder}/readings.csv")
     dashboard.build(spark, f"{folder}/readings.csv", f"{folder}/out")
     return sinks.read_bundle(spark, f"{folder}/out", sinks.DASHBOARD_BUNDLE)
@@ -693,7 +693,7 @@ def dashboard_bundle(spark, sf):
 
 @query
 def dashboard_bundle_history(spark, sf):
-    """The history rows that the dashboard bundle holds; ties go by texts of doubles, so no SQL."""
+    """The history rows that the dashboard bundle holds; equal times go by id."""
     return _dashboard_bundle(spark, sf)["historico"]
 
 
@@ -761,6 +761,62 @@ def csv_scan(spark, sf):
     return rows.select("casa_id", "timestamp", kwh.alias("consumo_kwh"))
 
 
+#: Rows of a chunk in the queries below.
+CHUNK = 300
+
+
+def _chunked_files(spark, sf, max_batches: int = 0) -> DataFrame:
+    """Four CSV files in order of id, read in chunks of their rows."""
+    folder = work_dir(spark, "csv-chunks")
+    raw = tables.raw_batch(spark, sf).drop("batch_id").withColumn("parte", F.col("id") % 4)
+    ordered = raw.repartition(4, "parte").sortWithinPartitions("parte", "id")
+    ordered.write.partitionBy("parte").options(**sinks.CSV_OPTIONS).csv(folder)
+    return files.read_readings(spark, folder, S.MINING, max_batches, chunk_rows=CHUNK, keep=("id",))
+
+
+@query
+def csv_chunks(spark, sf):
+    """Rows and hour source of every chunk of some CSV files."""
+    rows = _chunked_files(spark, sf)
+    counts = rows.groupBy("batch_id").agg(F.count("*").alias("n"))
+    return counts.join(hours.hour_sources(rows), "batch_id").select(
+        "batch_id", "n", "source", "n_valid", _six("share_midnight").alias("share_midnight"))
+
+
+@query
+def csv_chunks_capped(spark, sf):
+    """The first chunks of some CSV files and no more."""
+    rows = _chunked_files(spark, sf, 7)
+    return rows.select(F.col("id").cast("bigint").alias("id"), "batch_id")
+
+
+@query
+def csv_chunk_sample(spark, sf):
+    """A sample from every chunk, dated by the chunk's own hour source."""
+    rows = mining.mining_readings(_chunked_files(spark, sf))
+    pool = ranking.sample_per_batch(rows.select("id", "batch_id", "consumo_kwh", "costo"), per_batch=40)
+    return pool.withColumn("id", F.col("id").cast("bigint"))
+
+
+@query
+def csv_mixed_headers(spark, sf):
+    """Files with three different headers in one folder, read as one table by name."""
+    folder = work_dir(spark, "csv-mixed")
+    raw = tables.raw_batch(spark, sf)
+    kinds = [
+        ["id", "casa_id", "timestamp", "consumo_kwh", "costo_mx"],
+        ["consumo_kwh", "hora_dia", "fecha", "id"],
+        ["nota", "timestamp", "id", "consumo_kwh", "dia_semana"],
+    ]
+    for k, names in enumerate(kinds):
+        own = raw.where(F.col("id") % 3 == k).withColumn("nota", F.lit("x, \"y\""))
+        own.select(*names).write.mode("append").options(**sinks.CSV_OPTIONS).csv(folder)
+    rows = files.read_readings(spark, folder, S.MINING, keep=("id",))
+    kwh = C.number(F.col("consumo_kwh"), finite=False)
+    return rows.select(F.col("id").cast("bigint").alias("id"), "casa_id", "timestamp", "fecha", "hora_dia", "costo_mx",
+                       "dia_semana", kwh.alias("consumo_kwh"))
+
+
 @query
 def parquet_scan(spark, sf):
     """Readings written as parquet and found from the path of the CSV they replace."""
