@@ -115,16 +115,82 @@ def test_a_key_sent_again_replaces_its_record(spark, tmp_path):
     assert _set(live.read_changes(spark, out, ["id"]), "id", "consumo_kwh") == [(1, 1.0), (2, 9.0), (3, 4.0)]
 
 
-def test_snapshots_bound_the_change_log(spark, tmp_path):
+def _files(folder):
+    return {str(f.relative_to(folder)) for f in folder.rglob("*.parquet")}
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_snapshots_bound_the_change_log(spark, tmp_path, buckets):
     out = str(tmp_path / "out")
-    keep = live._changes(out, ["k"], compact=3)
+    keep = live._changes(out, ["k"], compact=3, buckets=buckets)
     for i in range(10):
-        keep(spark.createDataFrame([(i % 4, i), (100 + i, i)], "k int, n int"), i)
+        rows = spark.createDataFrame([(i % 4, i), (100 + i, i), (None, i)], "k int, n int")
+        keep(rows, i)
         if i == 5:
-            keep(spark.createDataFrame([(i % 4, i), (100 + i, i)], "k int, n int"), i)  # repeated after its snapshot
-        assert len(live._versions(spark, f"{out}/changes")) <= 4 and len(live._versions(spark, f"{out}/snapshots")) <= 1
-    want = {**{100 + i: i for i in range(10)}, 0: 8, 1: 9, 2: 6, 3: 7}
+            keep(rows, i)  # repeated after its snapshot
+        changed, kept = live._parts(spark, f"{out}/changes"), live._parts(spark, f"{out}/snapshots")
+        assert all(len(v) <= 4 for v in changed.values()) and all(len(v) == 1 for v in kept.values())
+    want = {**{100 + i: i for i in range(10)}, 0: 8, 1: 9, 2: 6, 3: 7, None: 9}
     assert {r.k: r.n for r in live.read_changes(spark, out, ["k"]).collect()} == want
+    assert live.read_changes(spark, out, ["k"]).count() == len(want)
+
+
+def test_a_batch_of_one_bucket_rewrites_one_bucket(spark, tmp_path):
+    out = tmp_path / "out"
+    keep = live._changes(str(out), ["k"], compact=2, buckets=8)
+    for i in range(4):
+        keep(spark.range(200).select(F.col("id").alias("k"), F.lit(i).alias("n")), i)
+    whole = live._parts(spark, f"{out}/snapshots")
+    bucket = spark.range(200).where(F.pmod(F.xxhash64("id"), F.lit(8)) == 3).select(F.col("id").alias("k"), F.lit(9).alias("n"))
+    before = _files(out / "snapshots")
+    for i in range(4, 8):
+        keep(bucket, i)
+    after = _files(out / "snapshots")
+    assert len(whole) == 8 and {f.split("/")[1] for f in before ^ after} <= {"bucket=3"} | {
+        # Changes of the earlier batches that were still waiting for their bucket's turn.
+        f"bucket={b}" for b in range(8) if whole[b][-1] < 3}
+    last = _files(out / "snapshots")
+    for i in range(8, 12):
+        keep(bucket, i)
+    moved = last ^ _files(out / "snapshots")
+    assert {f.split("/")[1] for f in moved} == {"bucket=3"}
+    assert {r.n: r["count"] for r in live.read_changes(spark, str(out), ["k"]).groupBy("n").count().collect()} == {
+        3: 200 - bucket.count(), 9: bucket.count()}
+
+
+@pytest.mark.parametrize("reserve", [0, 3, 20])
+def test_the_view_is_carried_from_batch_to_batch(spark, tmp_path, monkeypatch, reserve):
+    """Keys come again, move back and forth, tie and lose their time; the view is always that of the whole table."""
+    rng = random.Random(reserve)
+    path, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    reads, own = [], live.read_changes
+    monkeypatch.setattr(live, "read_changes", lambda *a: reads.append(1) or own(*a))
+    table, n = {}, 12
+    for turn in range(9):
+        rows = {}
+        for _ in range(25):
+            key = rng.randrange(90) if turn != 6 else rng.choice(sorted(table, key=lambda k: table[k][1] or START)[-14:])
+            day = rng.randrange(8) if turn != 6 else -5  # turn 6 moves the newest keys far back
+            rows[key] = (key, None if rng.random() < 0.1 else START + timedelta(days=day), "a", "activo", float(turn))
+        table |= rows
+        spark.createDataFrame(list(rows.values()), SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        live.last_n_view(_stream(spark, path), out, n, reserve=reserve, compact=2, buckets=3).awaitTermination()
+        order = sorted(table.values(), key=lambda r: (r[1] is not None, r[1] or START, r[0]), reverse=True)
+        assert _set(live.read_latest(spark, f"{out}/view"), "id", "consumo_kwh") == sorted((r[0], r[4]) for r in order[:n])
+    assert len(reads) <= (1 if reserve == 20 else 9)
+
+
+def test_a_batch_reads_itself_and_what_is_carried(spark, landing, tmp_path, monkeypatch):
+    """With times that move on, no batch after the first reads the keyed table."""
+    path, whole = landing
+    out = str(tmp_path / "out")
+    read = []
+    own = live._current
+    monkeypatch.setattr(live, "_current", lambda *a: read.append(a[3:]) or own(*a))
+    live.last_n_view(_stream(spark, path), out, 100, compact=0).awaitTermination()
+    assert read == []
+    assert _set(live.read_latest(spark, f"{out}/view"), "id") == _set(ranking.newest(whole, 100), "id")
+    assert spark.read.parquet(f"{out}/top").groupBy("batch").count().agg(F.max("count")).first()[0] <= 202
 
 
 def test_raw_json_lines_to_the_live_view(spark, tmp_path):

@@ -2,26 +2,32 @@
 
 Records carry a key; a key that is sent again replaces its record, and a late record simply sorts into
 place: nothing is dropped. Micro-batches write versioned folders: batch ``k`` writes ``batch=k`` in
-overwrite mode, so a batch that is repeated after a failure replaces itself. Change logs are folded
-into a snapshot every so many batches, so their length stays bounded. All paths must be reachable by
-every executor.
+overwrite mode, so a batch that is repeated after a failure replaces itself. The keyed store is split into
+buckets by a hash of the key; each bucket's changes are folded into its snapshot at batches of its own, so a
+micro-batch rewrites a small part of the table at most, and the newest-N view is carried from batch to
+batch without the table. All paths must be reachable by every executor.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wattframe import schema as S
 from wattframe.functions import sums, times
 from wattframe.operators.alerts import zscore_count
-from wattframe.operators.ranking import newest
+from wattframe.operators.ranking import newest, positions
 
 
-#: Batches after which a change log is folded into a snapshot.
+#: Batches after which a bucket's changes are folded into its snapshot.
 COMPACT = 20
+#: Parts of a keyed store; each should fit the memory of a task or two.
+BUCKETS = 16
 
 
 def feed_stream(
@@ -84,17 +90,56 @@ def _last_copies(batch: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def keyed_table(
-    stream: DataFrame, folder: str, key: str = "id", ts: str = "ts", compact: int = COMPACT, once: bool = True
+    stream: DataFrame, folder: str, key: str = "id", ts: str = "ts", compact: int = COMPACT, buckets: int = BUCKETS,
+    once: bool = True,
 ) -> StreamingQuery:
-    """Keeps the last copy of every key, as a change log with snapshots under ``folder``.
+    """Keeps the last copy of every key, as bucketed changes and snapshots under ``folder``.
 
     A later batch replaces what earlier ones hold, whatever its records' times; inside a batch the
     newest time wins. Read it with ``read_changes(spark, folder, [key])``.
     """
-    keep = _changes(folder, [key], compact)
+    keep = _changes(folder, [key], compact, buckets)
     return _start(stream, lambda batch, k: keep(_last_copies(batch, key, ts), k), folder, "append", once)
 
 
+def _newer(ts: str, tie: str, edge: dict) -> Column:
+    """Whether a row comes before ``edge`` in the order of ``newest``; rows without a time come last."""
+    kind = lambda name: F.lit(edge[name])
+    tied = F.col(tie).isNotNull() if edge[tie] is None else F.coalesce(F.col(tie) > kind(tie), F.lit(False))
+    if edge[ts] is None:
+        return F.col(ts).isNotNull() | tied
+    return F.coalesce((F.col(ts) > kind(ts)) | ((F.col(ts) == kind(ts)) & tied), F.lit(False))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Keys agree; a null key is a key of its own."""
+    return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def _carried(
+    before: DataFrame | None, copies: DataFrame, size: int, key: str, ts: str, tie: str
+) -> DataFrame:
+    """The newest ``size`` rows from those of the batch before and the batch's own copies.
+
+    Rows flagged ``_edge`` are not among them: the newest row that was ever left out bounds what the rows
+    are known to hold. Everything newer than it in the whole table is here; what is not newer is left to
+    the table.
+    """
+    edge = None
+    kept = copies
+    if before is not None:
+        edge = newest(before.where("_edge"), 1, ts, tie).collect()
+        kept = copies.where(_newer(ts, tie, edge[0].asDict())) if edge else copies
+        stay = before.where("NOT _edge").drop("_edge")
+        kept = stay.join(copies, _same(stay, copies, [key]), "left_anti").unionByName(kept)
+    # One row more than kept, from which the next edge is known.
+    order = [F.desc_nulls_last(ts), F.desc(tie)]
+    out = positions(newest(kept, size + 1, ts, tie), order).withColumn("_edge", F.col("position") >= size).drop("position")
+    if edge:
+        out = out.unionByName(newest(before.where("_edge"), 1, ts, tie))
+    return out
+
+
 def last_n_view(
     stream: DataFrame,
     folder: str,
@@ -106,28 +151,46 @@ def last_n_view(
     threshold: float = S.Z_THRESHOLD,
     key: str = "id",
     compact: int = COMPACT,
+    buckets: int = BUCKETS,
+    reserve: int | None = None,
     once: bool = True,
 ) -> StreamingQuery:
     """Keeps the newest ``n`` records of the stream under ``folder/view``.
 
-    The view is cut from the keyed table, so a key that is sent again counts once, and one that moves
-    back in time lets the next record in. The last two versions stay. With ``value`` the z-score
-    alerts among the newest ``pool`` of the view are kept under ``folder/alerts``.
+    A key that is sent again counts once, and one that moves back in time lets the next record in. For
+    that the newest ``n`` and ``reserve`` more (as many again by default) are carried from batch to batch;
+    a batch reads itself and these, and the keyed table only when so many keys have moved back that fewer
+    than ``n`` are left. The last two versions stay. With ``value`` the z-score alerts among the newest
+    ``pool`` of the view are kept under ``folder/alerts``.
     """
-    view, alerts = f"{folder}/view", f"{folder}/alerts"
-    keep = _changes(folder, [key], compact)
+    view, alerts, top = f"{folder}/view", f"{folder}/alerts", f"{folder}/top"
+    keep = _changes(folder, [key], compact, buckets)
+    size = n + (n if reserve is None else reserve)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        keep(_last_copies(batch, key, ts), batch_id)
-        whole = read_changes(spark, folder, [key]).select(*batch.columns)
-        newest(whole, n, ts, tie).coalesce(1).write.mode("overwrite").parquet(_version(view, batch_id))
+        copies = keep(_last_copies(batch, key, ts), batch_id)
+        done = [k for k in _versions(spark, top) if k < batch_id]
+        before = spark.read.parquet(_version(top, done[-1])) if done else None
+        _carried(before, copies, size, key, ts, tie).coalesce(1).write.mode("overwrite").parquet(_version(top, batch_id))
+        carried = spark.read.parquet(_version(top, batch_id))
+        known, edges = (carried.agg(F.count_if(c)).first()[0] for c in (~F.col("_edge"), F.col("_edge")))
+        if known < n and edges:
+            refill(spark, batch_id, copies.columns)
+            carried = spark.read.parquet(_version(top, batch_id))
+        rows = carried.where("NOT _edge").drop("_edge")
+        newest(rows, n, ts, tie).coalesce(1).write.mode("overwrite").parquet(_version(view, batch_id))
         if value is not None:
             kept = _read_version(spark, view, batch_id, batch)
             counted = zscore_count(kept, value, threshold, 0, pool, ts, tie)
             counted.write.mode("overwrite").parquet(_version(alerts, batch_id))
             _drop_version(spark, alerts, batch_id - 2)
         _drop_version(spark, view, batch_id - 2)
+        _drop_version(spark, top, batch_id - 2)
+
+    def refill(spark: SparkSession, batch_id: int, columns: list[str]) -> None:
+        whole = read_changes(spark, folder, [key]).select(*columns)
+        _carried(None, whole, size, key, ts, tie).coalesce(1).write.mode("overwrite").parquet(_version(top, batch_id))
 
     return _start(stream, merge, folder, "append", once)
 
@@ -140,43 +203,98 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(_version(folder, done[-1]))
 
 
-def _changes(folder: str, keys: list[str], compact: int = COMPACT) -> Callable[[DataFrame, int], None]:
-    """Writes a batch's changes; every ``compact`` batches folds all into a snapshot and drops the rest.
+def _parts(spark: SparkSession, folder: str) -> dict[int, list[int]]:
+    """Per bucket the finished batches that hold a part of it, in order."""
+    at, files = _folder(spark, f"{folder}/batch=*/bucket=*")
+    done, found = set(_versions(spark, folder)), defaultdict(list)
+    for status in files.globStatus(at) or []:
+        path = status.getPath()
+        batch = int(path.getParent().getName().split("=")[1])
+        if batch in done:
+            found[int(path.getName().split("=")[1])].append(batch)
+    return {bucket: sorted(batches) for bucket, batches in found.items()}
+
 
-    The snapshot is finished before anything goes, and a batch repeated after its snapshot leaves it.
+def _part(folder: str, batch_id: int, bucket: int) -> str:
+    return f"{_version(folder, batch_id)}/bucket={bucket}"
+
+
+def _drop_part(spark: SparkSession, folder: str, batch_id: int, bucket: int) -> None:
+    """Removes a bucket's part of a batch, and the batch when that was its last."""
+    at, files = _folder(spark, _part(folder, batch_id, bucket))
+    files.delete(at, True)
+    rest, _ = _folder(spark, f"{_version(folder, batch_id)}/bucket=*")
+    if not files.globStatus(rest):
+        _drop_version(spark, folder, batch_id)
+
+
+def _changes(
+    folder: str, keys: list[str], compact: int = COMPACT, buckets: int = BUCKETS
+) -> Callable[[DataFrame, int], DataFrame]:
+    """Writes a batch's changes by bucket and returns them as written.
+
+    Every ``compact`` batches, at batches of its own, a bucket that has changes gets a new snapshot, and its
+    older changes and snapshots go. A snapshot is finished before anything goes, and a batch repeated after
+    its snapshot leaves it.
     """
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        spark, log, snapshots = batch.sparkSession, f"{folder}/changes", f"{folder}/snapshots"
-        batch.write.mode("overwrite").parquet(_version(log, batch_id))
-        if compact and (batch_id + 1) % compact == 0:
-            if batch_id not in _versions(spark, snapshots):
-                read_changes(spark, folder, keys).write.mode("overwrite").parquet(_version(snapshots, batch_id))
-            for old in _versions(spark, log):
-                if old < batch_id:
-                    _drop_version(spark, log, old)
-            for old in _versions(spark, snapshots):
-                if old < batch_id:
-                    _drop_version(spark, snapshots, old)
+    log, snapshots = f"{folder}/changes", f"{folder}/snapshots"
+
+    def keep(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        dealt.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(_version(log, batch_id))
+        if compact:
+            fold(spark, batch_id)
+        return spark.read.schema(dealt.schema).parquet(_version(log, batch_id)).select(*batch.columns)
+
+    def fold(spark: SparkSession, batch_id: int) -> None:
+        changed, kept = _parts(spark, log), _parts(spark, snapshots)
+        after = {b: kept[b][-1] if b in kept else -1 for b in changed}
+        due = [b for b in changed if (batch_id + 1 + b) % compact == 0 and changed[b][-1] > after[b]]
+        if due and batch_id not in _versions(spark, snapshots):
+            current = _current(spark, folder, keys, due)
+            current.repartition(len(due), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(_version(snapshots, batch_id))
+        if due:
+            kept = _parts(spark, snapshots)
+        for b, batches in kept.items():
+            for old in batches[:-1]:
+                _drop_part(spark, snapshots, old, b)
+            for old in changed.get(b, []):
+                # The newest batch may be repeated and is kept whole.
+                if old <= batches[-1] and old < batch_id:
+                    _drop_part(spark, log, old, b)
 
     return keep
 
 
-def read_changes(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """Current state per key: for every key its row of the last batch that changed it, from the last
-    snapshot and the changes after it (each batch holds a key at most once)."""
-    snapshots = _versions(spark, f"{folder}/snapshots")
-    after = snapshots[-1] if snapshots else -1
-    parts = [(k, _version(f"{folder}/changes", k)) for k in _versions(spark, f"{folder}/changes") if k > after]
-    if snapshots:
-        parts.insert(0, (after, _version(f"{folder}/snapshots", after)))
-    if not parts:
+def _current(spark: SparkSession, folder: str, keys: list[str], buckets: list[int] | None = None) -> DataFrame:
+    """Rows and ``bucket`` of the current state: the snapshots' rows that no later change replaces, and of the
+    changes each key's last (a batch holds a key at most once)."""
+    log, snapshots = f"{folder}/changes", f"{folder}/snapshots"
+    changed, kept = _parts(spark, log), _parts(spark, snapshots)
+    chosen = sorted({*changed, *kept} if buckets is None else buckets)
+    old = [_part(snapshots, kept[b][-1], b) for b in chosen if b in kept]
+    new = [_part(log, k, b) for b in chosen for k in changed.get(b, []) if k > (kept[b][-1] if b in kept else -1)]
+    if not old and not new:
         raise FileNotFoundError(f"no finished batch under {folder}")
-    paths = {kind: [p for _, p in parts if f"/{kind}/" in p] for kind in ("snapshots", "changes")}
-    tables = [spark.read.option("basePath", f"{folder}/{kind}").parquet(*found) for kind, found in paths.items() if found]
-    log = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
-    rest = [c for c in log.columns if c not in keys and c != "batch"]
-    current = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-    return current.select(*keys, "_row.*")
+    state = spark.read.option("basePath", snapshots).parquet(*old).drop("batch") if old else None
+    if new:
+        latest = spark.read.option("basePath", log).parquet(*new)
+        if len({p.rsplit("/", 2)[1] for p in new}) > 1:
+            rest = [c for c in latest.columns if c not in keys and c != "batch"]
+            last = latest.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+            latest = last.select(*keys, "_row.*")
+        latest = latest.drop("batch")
+        if state is not None:
+            latest = state.join(latest, _same(state, latest, keys), "left_anti").unionByName(latest)
+        state = latest
+    return state
+
+
+def read_changes(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """Current state per key: for every key its row of the last batch that changed it."""
+    state = _current(spark, folder, keys)
+    return state.select(*keys, *[c for c in state.columns if c not in keys and c != "bucket"])
 
 
 def newest_per_device(
@@ -208,7 +326,7 @@ def daily_energy(
     """
     timed = stream.filter(F.col(ts).isNotNull())
     days = timed.groupBy(F.to_date(ts).alias("day")).agg(*sums.partial(F.col(value)))
-    return _start(days, _changes(folder, ["day"]), folder, "update", once)
+    return _start(days, _changes(folder, ["day"], buckets=1), folder, "update", once)
 
 
 def read_daily(spark: SparkSession, folder: str) -> DataFrame:
