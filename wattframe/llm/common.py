@@ -242,9 +242,16 @@ def stretches(values: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.nd
 
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place of each different stretch and every stretch's number among these, told apart by bytes."""
-    _, first, which = np.unique(word_keys(data, starts, ends), return_index=True, return_inverse=True)
-    size, like = ends - starts, first[which]
+    """First place of each different stretch and every stretch's number among these, told apart by bytes.
+
+    The stretches come in order of their places.
+    """
+    size = ends - starts
+    keys = np.zeros(len(starts), np.uint64)
+    for a, b in pieces(np.append(0, np.cumsum(size))):
+        keys[a:b] = word_keys(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a])
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    like = first[which]
     wrong = size != size[like]
     fine = np.flatnonzero(~wrong & (like != np.arange(len(like))))
     for a, b in pieces(np.append(0, np.cumsum(size[fine]))):
