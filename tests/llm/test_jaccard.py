@@ -180,6 +180,18 @@ def test_large_regions_are_split_without_loss(docs, monkeypatch, block, cell):
     assert rows(jaccard.join(docs(pairs).repartition(4))) == brute(pairs)
 
 
+@pytest.mark.parametrize("cut", [1, 2, 3, 7, 1000])
+def test_crowded_regions_pass_in_any_batches(cut):
+    r = random.Random(cut)
+    rows_ = sorted((r.randrange(30), r.randrange(4)) for _ in range(90)) + [(40, 1), (40, 1), (40, 1), (41, 0), (42, 1), (42, 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows_[a : a + cut])], ["w", "c"]) for a in range(0, len(rows_), cut)]
+    got = [(w, c) for b in jaccard._crowded(batches) for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    members = {}
+    for w, c in rows_:
+        members.setdefault(w, set()).add(c)
+    assert got == sorted((w, c) for w, cs in members.items() if len(cs) > 1 for c in cs)
+
+
 def test_pivots_split_clusters(spark):
     """Clusters far from each other end in parts of their own: far fewer meetings than all with all."""
     r = np.random.default_rng(8)

@@ -169,6 +169,29 @@ def _described(often, width: int, percent: int):
     return run
 
 
+def _crowded(batches) -> Iterator[pa.RecordBatch]:
+    """Of rows ``w, c`` in order, each once, those whose ``w`` has more than one ``c``.
+
+    Rows pass through: a region's first row waits for a second one, nothing else is held.
+    """
+    wait, seen = None, None  # the row that waits, and the last row of a region that is known to be crowded
+    for batch in batches:
+        w, c = (x.to_numpy() for x in batch.columns)
+        if not len(w):
+            continue
+        if wait:
+            w, c = np.append(wait[0], w), np.append(wait[1], c)
+        again = np.append(bool(seen) and seen == (w[0], c[0]), (w[1:] == w[:-1]) & (c[1:] == c[:-1]))
+        w, c = w[~again], c[~again]
+        if not len(w):
+            continue
+        same = w[1:] == w[:-1]
+        keep = np.append(bool(seen) and seen[0] == w[0], same) | np.append(same, False)
+        wait, seen = (None, (w[-1], c[-1])) if keep[-1] else ((w[-1], c[-1]), None)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(w[keep]), pa.array(c[keep])], ["w", "c"])
+
+
 def _sets_of(width: int):
     def run(batches):
         for rows, data, off in C.chunked(batches):
@@ -549,12 +572,11 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     table = spark.sparkContext.broadcast(np.sort(table.view(np.uint64)))
     sets = C.staged(rows.select("k1", "k2", "text").mapInArrow(_described(table, width, percent), _SETS), "shingles")
     sets = _told_apart(sets)
-    reps = C.staged(sets.where("prefix is not null").groupBy("c").agg(
-        F.first(F.struct("n", "bits", "prefix", "k1", "k2")).alias("r")).select("c", "r.*"), "classes")
-    regions = reps.select("c", F.explode("prefix").alias("w"))
-    crowded = regions.groupBy("w").agg(F.min("c").alias("p"), F.max("c").alias("q"), F.count("*").alias("m")).where("p <> q")
-    # Regions of one class need no work.
-    members = C.staged(regions.join(crowded.select("w", "m"), "w"), "regions")
+    reps = C.staged(sets.where("bits is not null").groupBy("c").agg(
+        F.first(F.struct("n", "bits", "k1", "k2")).alias("r")).select("c", "r.*"), "classes")
+    regions = sets.where("bits is not null").select(F.explode("prefix").alias("w"), "c")
+    members = C.staged(regions.repartition(C.partitions(spark), "w").sortWithinPartitions("w", "c").mapInArrow(
+        _crowded, "w long, c long"), "regions")
 
     links, comp = None, None
     for turn in range(ROUNDS):
@@ -573,7 +595,7 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
         links = found if links is None else links.unionByName(found)
         comp = components(links)
 
-    left = C.staged(_open(members, comp).where("m > 2").select("w", "c", "comp"), "left")
+    left = C.staged(_open(members, comp, 3).select("w", "c", "comp"), "left")
     names = left.groupBy("w").agg(*[F.bit_xor(F.xxhash64("c", F.lit(i))).alias(f"x{i}") for i in range(2)], F.count("*").alias("m"))
     once = names.groupBy("x0", "x1", "m").agg(F.min("w").alias("w")).select("w")
     parts = C.staged(left.join(once, "w", "left_semi").join(reps.select("c", "n", "bits"), "c"), "cells")
@@ -611,13 +633,13 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     return kept.select("row.*").unionAll(rows.where(blank).select("row.*"))
 
 
-def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of regions that are not connected yet, with their components."""
+def _open(members: DataFrame, comp: DataFrame, least: int = 2) -> DataFrame:
+    """Members of regions of ``least`` members or more that are not connected yet, with their components."""
     known = members.join(comp.withColumnRenamed("node", "c"), "c", "left").select(
-        "c", "w", "m", F.coalesce("root", "c").alias("comp"))
+        "c", "w", F.coalesce("root", "c").alias("comp"))
     known = C.staged(known, "open")
-    apart = known.groupBy("w").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("w")
-    return known.join(apart, "w", "left_semi")
+    apart = known.groupBy("w").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"))
+    return known.join(apart.where(f"x <> y AND m >= {least}").select("w"), "w", "left_semi")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
