@@ -9,6 +9,7 @@ from wattframe import schema as S
 from wattframe.operators.standardise import dashboard_batch
 from wattframe.plans import dashboard, mining
 from wattframe.plans.queries import QUERIES
+from wattframe.sources import sinks
 from wattframe.sources.readings import read_readings
 from wattframe.streaming import live
 
@@ -69,6 +70,34 @@ def test_bundles_hold_what_the_plans_compute(spark, monkeypatch):
     assert len(points) == 400 and len(history) == 500 and len(set(points)) > 100
 
 
+CSV = "timestamp,consumo_kwh,casa_id\n2024-01-01 03:00:00,{},a\n2024-01-01 04:00:00,2,b\n"
+
+
+def test_a_build_becomes_visible_as_a_whole(spark, tmp_path, monkeypatch):
+    """A build that breaks off after its first results changes nothing for readers."""
+    path, out = tmp_path / "in.csv", str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_bundle(spark, out)
+    path.write_text(CSV.format(1))
+    mining.build(spark, str(path), out)
+    total = lambda: sum(r.total for r in sinks.read_bundle(spark, out)["top_dispositivos"].collect())
+    assert total() == 3
+    path.write_text(CSV.format(10))
+    begun = sinks.read_bundle(spark, out)
+    with monkeypatch.context() as m:
+        write = mining.write_result
+        m.setattr(mining, "write_result", lambda df, folder, name: write(df, folder, name) if name != "consumo_vs_costo" else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            mining.build(spark, str(path), out)
+    assert total() == 3
+    mining.build(spark, str(path), out)
+    assert total() == 12
+    # The bundle that was opened before the switch still reads its own build.
+    assert sum(r.total for r in begun["top_dispositivos"].collect()) == 3
+    mining.build(spark, str(path), out)
+    assert len([n for n in os.listdir(out) if n.startswith("build=")]) == sinks.KEEP_BUILDS
+
+
 def test_batches_by_folder(spark, tmp_path):
     for day in ("a", "b"):
         rows = [(f"2024-01-0{i + 1}", str(i), day) for i in range(4)]

@@ -3,6 +3,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from conftest import plan
 from pyspark.sql import functions as F
 
 from wattframe.operators import devices, filters, ranking
@@ -166,3 +167,15 @@ def test_first_batches(frame):
 def test_valid_time(frame):
     df = frame([(datetime(1970, 1, 1),), (START,), (None,)], "ts timestamp_ntz")
     assert filters.valid_time(df).count() == 1
+
+
+def test_newest_per_device_when_devices_are_many(spark, frame, monkeypatch):
+    """Above the broadcast limit only each task's newest rows move, hot device included."""
+    rows = [(i, None if i % 9 == 0 else START + timedelta(minutes=i * 7 % 500), f"d{i % 40 if i % 3 else 0}") for i in range(900)]
+    df = frame(rows, "id bigint, ts timestamp_ntz, device_id string").repartition(6)
+    want = sorted(map(tuple, ranking.newest_per(df).collect()))
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 0)
+    many = ranking.newest_per(df)
+    assert sorted(map(tuple, many.collect())) == want
+    text = plan(many)
+    assert "WindowGroupLimit" in text and "SortMergeJoin" not in text and "BroadcastHashJoin" not in text

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -214,3 +215,44 @@ def test_series_shape(spark, frame):
     df = frame([(datetime(2024, 1, 5, 3), 2.0)], "ts timestamp_ntz, consumo_kwh double")
     wide = sinks.as_series(energy.energy_by_hour(df), "ord").first()
     assert wide.labels[3] == "03" and wide.data[3] == 2.0 and len(wide.data) == 24
+
+
+def test_log_compaction(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    names = lambda: sorted(r.tipo for r in feed.read_reports(spark, path).collect())
+    loose = lambda: [n for n in os.listdir(path) if n.endswith(".json")]
+    for i in range(5):
+        feed.append_report(spark, path, f"t{i}")
+    assert not feed.compact_reports(spark, path, least=100) and len(loose()) == 5
+    assert feed.compact_reports(spark, path, least=5)
+    assert names() == [f"t{i}" for i in range(5)] and loose() == []
+    feed.append_report(spark, path, "t5")
+    assert names() == [f"t{i}" for i in range(6)]
+    # A run that breaks off before the files go: they are held by the compaction already and count once.
+    with monkeypatch.context() as m:
+        m.setattr(feed, "file_system", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            feed.compact_reports(spark, path, least=1)
+    assert loose() and names() == [f"t{i}" for i in range(6)]
+    feed.append_report(spark, path, "t6")
+    assert names() == [f"t{i}" for i in range(7)]
+    assert feed.compact_reports(spark, path, least=1) and loose() == []
+    assert names() == [f"t{i}" for i in range(7)]
+    for i in range(7, 30):
+        feed.append_report(spark, path, f"t{i:02d}")
+        feed.compact_reports(spark, path, least=4)
+        assert len(loose()) < 4
+    assert len(names()) == 30 and len(os.listdir(f"{path}/_compacted")) <= 2
+
+
+def test_scoring_lines_that_cannot_be_read(spark, tmp_path):
+    good = '{"id": 1, "consumo_kwh": 1.5, "consumo_pico": "2", "promedio_hora": 3, "costo_estimado": 4, "estado": "inactivo"}'
+    lines = [good, good[:40], "no json", "", f"[{good}, {good}]", '{"id": 2, "consumo_kwh": 1}']
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    read = feed.read_scoring_records(spark, str(tmp_path / "r.json"), keep=("id",))
+    records = feed.scoring_records(read)
+    assert feed.S.CORRUPT not in records.columns
+    assert [(r.id, r.consumo_kwh, r.estado) for r in records.collect()] == [("1", 1.5, "inactivo")] * 3
+    rejects = [(r.faltan, r[feed.S.CORRUPT]) for r in feed.scoring_rejects(read).collect()]
+    assert sorted(rejects, key=str) == sorted([
+        ("registro", good[:40]), ("registro", "no json"), ("consumo_pico,promedio_hora,costo_estimado", None)], key=str)

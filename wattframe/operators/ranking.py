@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattframe import schema as S
-from wattframe.session import materialise, small
+from wattframe.session import BROADCAST_BYTES, materialise, small
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -24,12 +24,15 @@ def newest_per(df: DataFrame, key: str = "device_id", ts: str = "ts", tie: str =
     """Each device's newest reading; equal times go to the larger id.
 
     The newest time per device is a hash aggregate of fixed width, one row per device and task
-    however hot a device is. Only rows at that time go on to the aggregate over whole rows, which
-    Spark sorts.
+    however hot a device is; it is written, and if its counted size allows it is sent to the readings. Only rows at that time go on to the aggregate over whole rows, which Spark sorts. Where devices
+    are too many for that, every task keeps the newest row of each of its devices and only these move.
     """
     rest = [c for c in df.columns if c != key]
-    top = df.groupBy(F.col(key).alias("_key")).agg(F.max(ts).alias("_top"))
-    at_top = df.join(top, F.col(key).eqNullSafe(F.col("_key")) & F.col(ts).eqNullSafe(F.col("_top"))).select(*df.columns)
+    top = materialise(df.groupBy(F.col(key).alias("_key")).agg(F.max(ts).alias("_top")), "newest")
+    n, text = top.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("_key").cast("string"))), F.lit(0))).first()
+    if 20 * n + text > BROADCAST_BYTES:
+        return first_per_group(df, [key], [F.desc_nulls_last(ts), F.desc(tie)])
+    at_top = df.join(F.broadcast(top), F.col(key).eqNullSafe(F.col("_key")) & F.col(ts).eqNullSafe(F.col("_top"))).select(*df.columns)
     newest_row = F.max_by(F.struct(*rest), F.struct(ts, tie)).alias("_row")
     return at_top.groupBy(key).agg(newest_row).select(*[key if c == key else F.col(f"_row.{c}") for c in df.columns])
 

@@ -12,7 +12,7 @@ from wattframe.operators.filters import current_month, newest_time
 from wattframe.operators.ranking import newest, tail_k
 from wattframe.operators.standardise import dashboard_batch, history_columns
 from wattframe.sources.readings import read_readings
-from wattframe.sources.sinks import as_series, kept, write_result
+from wattframe.sources.sinks import as_series, kept, publishing, write_result
 
 
 def day_table(readings: DataFrame) -> DataFrame:
@@ -57,15 +57,16 @@ def history(readings: DataFrame, n: int = S.HISTORY_ROWS) -> DataFrame:
 def build(spark: SparkSession, path: str, out: str, max_batches: int = 0) -> None:
     """Reads the file at ``path`` and replaces the four results under ``out``.
 
-    The cleaned readings and the day table are written there too and read back, so the raw text
-    is parsed once.
+    The results become visible together, when all are written. The cleaned readings and the day table
+    are written there too and read back, so the raw text is parsed once.
     """
     raw = read_readings(spark, path, S.DASHBOARD, max_batches, keep=("id",))
-    readings = kept(dashboard_batch(raw), out, "_dated")
-    days = kept(day_table(readings), out, "_days")
-    if days.isEmpty():
-        raise ValueError("no reading has a readable date")
-    write_result(cards(days, readings), out, "cards")
-    write_result(as_series(monthly(days)), out, "mensual")
-    write_result(as_series(daily(days)), out, "semanal")
-    write_result(history(readings), out, "historico")
+    with publishing(spark, out) as folder:
+        readings = kept(dashboard_batch(raw), folder, "_dated")
+        days = kept(day_table(readings), folder, "_days")
+        if days.isEmpty():
+            raise ValueError("no reading has a readable date")
+        write_result(cards(days, readings), folder, "cards")
+        write_result(as_series(monthly(days)), folder, "mensual")
+        write_result(as_series(daily(days)), folder, "semanal")
+        write_result(history(readings), folder, "historico")

@@ -12,7 +12,7 @@ from wattframe.operators.hours import with_best_time
 from wattframe.operators.ranking import sample_per_batch, sample_rank, top_k
 from wattframe.operators.standardise import as_number
 from wattframe.sources.readings import apply_contract, read_readings
-from wattframe.sources.sinks import as_series, kept, write_result
+from wattframe.sources.sinks import as_series, kept, publishing, write_result
 
 def mining_readings(df: DataFrame, batch: str | None = "batch_id") -> DataFrame:
     """Contract rows as dated readings: ``ts, dia, casa_id, consumo_kwh, costo`` and the batch.
@@ -138,21 +138,22 @@ def build(
     A batch is a file, with ``batch_folders`` all files of a folder, with ``chunk_rows`` so many rows of a
     file. An ``id`` in the file orders the sample; else a hash of the row does.
 
-    The cleaned readings, the cube and the sample pool are written there too and read back: the
+    The results become visible together, when all are written. The cleaned readings, the cube and the
+    sample pool are written there too and read back: the
     raw text is parsed once, later passes read narrow columns, and a lost executor repeats only
     its own part. Anomalies are counted over all readings; ``sampled_anomalies`` counts them over
     the sample pool, as the published figure was.
     """
     raw = read_readings(
         spark, path, S.MINING, max_batches, batch_folders=batch_folders, chunk_rows=chunk_rows, keep=("id",))
-    readings = kept(mining_readings(raw), out, "_readings")
-    cube = kept(energy_cube(readings), out, "_cube")
-    pool = kept(sample_pool(readings, seed=seed), out, "_sample")
-
-    counted = sampled_summary(cube, pool, threshold) if sampled_anomalies else summary(cube, readings, threshold)
-    write_result(counted, out, "resumen")
-    write_result(as_series(by_hour(cube), "ord"), out, "consumo_hora")
-    write_result(as_series(by_weekday(cube), "ord"), out, "consumo_dia")
-    write_result(top_entities(cube), out, "top_dispositivos")
-    write_result(scatter(pool, seed=seed), out, "consumo_vs_costo")
-
+    with publishing(spark, out) as folder:
+        readings = kept(mining_readings(raw), folder, "_readings")
+        cube = kept(energy_cube(readings), folder, "_cube")
+        pool = kept(sample_pool(readings, seed=seed), folder, "_sample")
+
+        counted = sampled_summary(cube, pool, threshold) if sampled_anomalies else summary(cube, readings, threshold)
+        write_result(counted, folder, "resumen")
+        write_result(as_series(by_hour(cube), "ord"), folder, "consumo_hora")
+        write_result(as_series(by_weekday(cube), "ord"), folder, "consumo_dia")
+        write_result(top_entities(cube), folder, "top_dispositivos")
+        write_result(scatter(pool, seed=seed), folder, "consumo_vs_costo")

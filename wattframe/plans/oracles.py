@@ -420,6 +420,11 @@ ORACLES: dict[str, str] = {
     "scoring_rejects": f"WITH {SCORING} SELECT id, concat_ws(',', "
     + ", ".join(f"CASE WHEN {number(c)} IS NULL THEN '{c}' END" for c in S.SCORING_NUMERIC)
     + f") AS faltan FROM scoring WHERE {' OR '.join(f'{number(c)} IS NULL' for c in S.SCORING_NUMERIC)}",
+    "scoring_json": f"WITH {SCORING}, {_CLEAN} SELECT * FROM clean WHERE id % 37 <> 0",
+    "scoring_json_rejects": f"WITH {SCORING} SELECT CASE WHEN id % 37 = 0 THEN 'registro' ELSE concat_ws(',', "
+    + ", ".join(f"CASE WHEN {number(c)} IS NULL THEN '{c}' END" for c in S.SCORING_NUMERIC)
+    + ") END AS faltan, count(*) AS n, count(*) FILTER (id % 37 = 0) AS ilegibles FROM scoring WHERE id % 37 = 0 OR "
+    + " OR ".join(f"{number(c)} IS NULL" for c in S.SCORING_NUMERIC) + " GROUP BY 1",
     "feature_matrix": _feature_sql(),
     "model_scores": f"WITH {SCORING}, {_CLEAN} SELECT id, true AS consumo_kwh_next, true AS costo_mx_next FROM clean",
     "score_count": f"WITH {SCORING}, {_CLEAN} SELECT count(*) AS n FROM clean",
@@ -441,6 +446,8 @@ ORACLES: dict[str, str] = {
     "json_cache_roundtrip": R + _HOURLY,
     "report_append": "WITH l AS (SELECT o_orderpriority AS tipo, CASE o_orderstatus WHEN 'F' THEN 'Listo' WHEN 'O' THEN 'Pendiente' END AS estado FROM orders "
     "UNION ALL SELECT 'Consumo mensual', 'Pendiente') SELECT tipo, estado, count(*) AS n FROM l GROUP BY ALL",
+    "report_compacted": "WITH l AS (SELECT o_orderpriority AS tipo, CASE o_orderstatus WHEN 'F' THEN 'Listo' WHEN 'O' THEN 'Pendiente' END AS estado FROM orders "
+    "UNION ALL SELECT 'Consumo mensual', 'Pendiente' FROM range(3)) SELECT tipo, estado, count(*) AS n FROM l GROUP BY ALL",
     "live_last_n": L_ + f"SELECT id, device_id, estado, consumo_kwh FROM readings {NEWEST} LIMIT 2000",
     "live_alerts": L_ + f", p AS (SELECT * FROM readings {NEWEST} LIMIT 500), {STATS.format('p')} "
     "SELECT count(*) AS n_anomalias FROM p, s WHERE abs((consumo_kwh - mean) / sd) >= 3",
@@ -453,3 +460,9 @@ ORACLES: dict[str, str] = {
     "live_state_daily": R + f"SELECT strftime(ts, '%Y-%m-%d') AS label, {total('consumo_kwh', 2)} AS value FROM readings GROUP BY 1",
     "live_state_monthly": R + series("readings", "strftime(ts, '%Y-%m')", 6),
 }
+# The same answers by other ways to them.
+ORACLES |= {
+    "history_page_indexed": ORACLES["history_page"],
+    "latest_history_by_day": ORACLES["latest_history"],
+    "zscore_pool_by_day": ORACLES["zscore_pool"],
+}

@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wattframe import schema as S
 from wattframe.functions import coerce as C, sums, times
 from wattframe.operators import (
-    alerts, devices, energy, filters, hours, ranking, scoring, standardise,
+    alerts, devices, energy, filters, hours, pages, ranking, scoring, standardise,
 )
 from wattframe.plans import dashboard, mining, tables
 from wattframe.session import materialise, work_dir
-from wattframe.sources import feed, readings as files, sinks
+from wattframe.sources import daily, feed, readings as files, sinks
 from wattframe.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +276,36 @@ def history_page(spark, sf):
     return at.rows.select(*HISTORY, F.lit(at.number).alias("page"), F.lit(at.pages).alias("pages"))
 
 
+@query
+def history_page_indexed(spark, sf):
+    """The same page through an index of the pages' first keys."""
+    found = filters.search(_history(spark, sf), "activo", ["estado"])
+    at = pages.page_at(found, pages.page_index(found, 7), 3)
+    return at.rows.select(*HISTORY, F.lit(at.number).alias("page"), F.lit(at.pages).alias("pages"))
+
+
+def _by_day(spark, sf) -> str:
+    """The history as a table laid out by day."""
+    folder = work_dir(spark, "by-day")
+    daily.write_by_day(_history(spark, sf), folder)
+    return folder
+
+
+@query
+def latest_history_by_day(spark, sf):
+    """The newest rows of a table laid out by day, of which only the newest days are read."""
+    return daily.newest_by_day(spark, _by_day(spark, sf), S.HISTORY_ROWS).select(*HISTORY)
+
+
+@query
+def zscore_pool_by_day(spark, sf):
+    """Labels over the newest readings, taken from the newest days alone."""
+    folder = work_dir(spark, "readings-by-day")
+    daily.write_by_day(tables.readings(spark, sf), folder)
+    labelled = alerts.zscore_labels(daily.newest_days(spark, folder, S.LABEL_POOL), pool=S.LABEL_POOL)
+    return labelled.select("position", "id", "consumo_kwh", "etiqueta")
+
+
 @query
 def history_last_page(spark, sf):
     newest = ranking.newest(_history(spark, sf), S.TABLE_ROWS)
@@ -710,6 +740,28 @@ def scoring_rejects(spark, sf):
     return feed.scoring_rejects(tables.raw_scoring(spark, sf)).select("id", "faltan")
 
 
+def _scoring_file(spark, sf) -> DataFrame:
+    """The scoring records as JSON lines, every 37th cut off in the middle, every 41st as a list of one."""
+    folder = work_dir(spark, "scoring-json")
+    line = F.to_json(F.struct(*tables.raw_scoring(spark, sf).columns))
+    line = F.when(F.col("id") % 37 == 0, F.substring(line, 1, 25)).when(F.col("id") % 41 == 0, F.concat(F.lit("["), line, F.lit("]"))).otherwise(line)
+    tables.raw_scoring(spark, sf).select(line.alias("value")).write.text(folder)
+    return feed.read_scoring_records(spark, folder, keep=("id",))
+
+
+@query
+def scoring_json(spark, sf):
+    """Records as a request brings them; what cannot be read is left out."""
+    return feed.scoring_records(_scoring_file(spark, sf)).withColumn("id", F.col("id").cast("bigint"))
+
+
+@query
+def scoring_json_rejects(spark, sf):
+    """Records left out: those without a required number, and those that cannot be read, by their text."""
+    rejects = feed.scoring_rejects(_scoring_file(spark, sf))
+    return rejects.groupBy("faltan").agg(F.count("*").alias("n"), F.count(S.CORRUPT).alias("ilegibles"))
+
+
 @query
 def feature_matrix(spark, sf):
     return scoring.feature_matrix(feed.scoring_records(tables.raw_scoring(spark, sf)))
@@ -850,6 +902,19 @@ def report_append(spark, sf):
     return log.groupBy("tipo", "estado").agg(F.count("*").alias("n"))
 
 
+@query
+def report_compacted(spark, sf):
+    """A log whose files are folded twice while requests keep coming."""
+    folder = work_dir(spark, "reports-compacted")
+    tables.report_log(spark, sf).write.json(folder)
+    for _ in range(2):
+        feed.append_report(spark, folder)
+        feed.compact_reports(spark, folder, least=1)
+    feed.append_report(spark, folder)
+    log = feed.read_reports(spark, folder)
+    return log.groupBy("tipo", "estado").agg(F.count("*").alias("n"))
+
+
 # --- the live feed -----------------------------------------------------------------------------
 
 

@@ -99,4 +99,6 @@ SCORING_FLAG = "modo_ecologico_activado"
 SCORING_DEFAULTS = {
     "estado": "activo", "hora_dia": "00:00", "dia_semana": "lunes", "casa_id": "Puebla",
 }
+#: Where Spark's JSON reader puts a record that it cannot read.
+CORRUPT = "_corrupt_record"
 SCORING_RECORD = _strings(*SCORING_NUMERIC, *SCORING_DEFAULTS, SCORING_FLAG)

@@ -59,6 +59,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
+def file_system(spark: SparkSession, path: str):
+    """A path of the session's file system and that system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, in order; none if there is no such folder."""
+    at, files = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+
+
 def discard(spark: SparkSession) -> int:
     """Deletes the working folders that this process has asked for so far; returns their number.
 
@@ -67,13 +79,15 @@ def discard(spark: SparkSession) -> int:
     """
     n = len(_made)
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = file_system(spark, _made.pop())
+        files.delete(path, True)
     return n
 
 
 #: Rows of a table of narrow, fixed width (some 20 bytes) that may be broadcast: 40 MB at most.
 BROADCAST_ROWS = 2_000_000
+#: The same limit for rows whose width is counted.
+BROADCAST_BYTES = 20 * BROADCAST_ROWS
 
 
 def small(df: DataFrame) -> DataFrame:

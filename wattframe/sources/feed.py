@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wattframe import schema as S
 from wattframe.functions.coerce import flag, number
+from wattframe.session import file_system, listed
 
 
 def parse_feed(df: DataFrame, raw: str = "value") -> DataFrame:
@@ -35,8 +36,62 @@ def last_n(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     return df.orderBy(F.desc(key)).limit(n)
 
 
+def _compactions(spark: SparkSession, path: str) -> list[str]:
+    """Finished compactions of a log, oldest first."""
+    names = [n for n in listed(spark, f"{path}/_compacted") if n.startswith("v=")]
+    return [n for n in names if "_SUCCESS" in listed(spark, f"{path}/_compacted/{n}")]
+
+
+def _loose(spark: SparkSession, path: str, done: list[str]) -> list[str]:
+    """Request files that the last compaction does not hold."""
+    names = [n for n in listed(spark, path) if not n.startswith(("_", "."))]
+    if done:
+        folded = {r.value for r in spark.read.text(f"{path}/_manifest/{done[-1]}").collect()}
+        names = [n for n in names if n not in folded]
+    return names
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.REPORT).json(path)
+    """The report log: what the last compaction holds and the requests since."""
+    done = _compactions(spark, path)
+    loose = _loose(spark, path, done)
+    read = spark.read.schema(S.REPORT)
+    parts = [read.json(f"{path}/_compacted/{done[-1]}")] if done else []
+    if loose or not parts:
+        parts.append(read.json([f"{path}/{n}" for n in loose] or path))
+    return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+
+
+def compact_reports(spark: SparkSession, path: str, least: int = 100, files: int = 1) -> bool:
+    """Folds the log's request files into ``files`` files if there are ``least`` of them; whether it did.
+
+    Appends may go on meanwhile. The manifest, which names the files folded in, is written before the
+    compaction, and readers take both from the moment the compaction is finished, so every request counts
+    once throughout; a run that breaks off leaves the log as it was. The folded files go last, and those of
+    a run that broke off there go with the next. One compaction at a time may run per log.
+    """
+    done = _compactions(spark, path)
+    loose = _loose(spark, path, done)
+    if len(loose) < max(1, least):
+        return False
+    used = [int(n.split("=")[1]) for n in listed(spark, f"{path}/_compacted") if n.startswith("v=")]
+    name = f"v={max(used, default=-1) + 1:09d}"
+    folded = [n for n in listed(spark, path) if not n.startswith(("_", ".")) and n not in loose] + loose
+    spark.createDataFrame([(n,) for n in folded], "value string").coalesce(1).write.text(f"{path}/_manifest/{name}")
+    whole = spark.read.schema(S.REPORT).json([f"{path}/{n}" for n in loose])
+    if done:
+        whole = whole.unionAll(spark.read.schema(S.REPORT).json(f"{path}/_compacted/{done[-1]}"))
+    whole.coalesce(files).write.json(f"{path}/_compacted/{name}")
+    for old in [f"{path}/{n}" for n in folded]:
+        at, fs = file_system(spark, old)
+        fs.delete(at, False)
+    # The compaction before stays for readers that began with it.
+    for kind in ("_compacted", "_manifest"):
+        for n in listed(spark, f"{path}/{kind}"):
+            if n.startswith("v=") and n not in (name, *done[-1:]):
+                at, fs = file_system(spark, f"{path}/{kind}/{n}")
+                fs.delete(at, True)
+    return True
 
 
 def append_report(
@@ -49,7 +104,7 @@ def append_report(
 ) -> None:
     """Appends one pending report request to the log, at the current time unless given."""
     moment = F.unix_millis(F.current_timestamp() if at is None else F.lit(at))
-    record = spark.range(1).select(
+    record = spark.range(0, 1, 1, 1).select(
         F.expr("uuid()").alias("id"),
         moment.alias("fecha_ts"),
         F.lit(tipo).alias("tipo"),
@@ -60,8 +115,14 @@ def append_report(
     record.write.mode("append").json(path)
 
 
-def read_scoring_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.SCORING_RECORD).json(path)
+def read_scoring_records(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scoring records from JSON lines, a record or a list of records on each, and ``keep`` of their other fields.
+
+    What cannot be read stays as a row whose text is in ``_corrupt_record``; see ``scoring_rejects``.
+    """
+    fields = [T.StructField(c, T.StringType()) for c in (*keep, *S.SCORING_RECORD.names, S.CORRUPT)]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
+    return spark.read.schema(T.StructType(fields)).options(**options).json(path)
 
 
 def _complete(df: DataFrame):
@@ -76,8 +137,10 @@ def scoring_records(df: DataFrame) -> DataFrame:
     """Records whose four required numbers are readable; absent optional fields defaulted.
 
     The numbers are read once, in the projection below the filter. A flag that is no INT counts as
-    absent.
+    absent. A record that could not be read is left out whatever its fields say.
     """
+    if S.CORRUPT in df.columns:
+        df = df.where(F.col(S.CORRUPT).isNull()).drop(S.CORRUPT)
     good = df.withColumns({c: number(F.col(c), None) for c in S.SCORING_NUMERIC}).dropna(subset=S.SCORING_NUMERIC)
     return good.select(
         *_carried(df),
@@ -88,11 +151,14 @@ def scoring_records(df: DataFrame) -> DataFrame:
 
 
 def scoring_rejects(df: DataFrame) -> DataFrame:
-    """Records that lack a required number, as they came, with the fields at fault."""
-    faults = [
-        F.when(number(F.col(c), None).isNull(), F.lit(c)) for c in S.SCORING_NUMERIC
-    ]
-    return df.filter(~_complete(df)).withColumn("faltan", F.concat_ws(",", *faults))
+    """Records that lack a required number, as they came, with the fields at fault; of a record that could
+    not be read, the whole (``registro``)."""
+    faults = F.concat_ws(",", *[F.when(number(F.col(c), None).isNull(), F.lit(c)) for c in S.SCORING_NUMERIC])
+    bad = ~_complete(df)
+    if S.CORRUPT in df.columns:
+        corrupt = F.col(S.CORRUPT).isNotNull()
+        bad, faults = bad | corrupt, F.when(corrupt, F.lit("registro")).otherwise(faults)
+    return df.filter(bad).withColumn("faltan", faults)
 
 
 def _carried(df: DataFrame) -> list[str]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from wattframe.session import file_system, listed
+
 SERIES_SCHEMA = T.StructType([
     T.StructField("labels", T.ArrayType(T.StringType())),
     T.StructField("data", T.ArrayType(T.DoubleType())),
@@ -53,8 +57,48 @@ def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+#: A build writes into a folder of its own; the mark, made last, lets readers see it.
+_PUBLISHED = "_PUBLISHED"
+KEEP_BUILDS = 2
+
+
+def _builds(spark: SparkSession, folder: str) -> list[str]:
+    """Folders of published builds, in order."""
+    names = [n for n in listed(spark, folder) if n.startswith("build=")]
+    return [f"{folder}/{n}" for n in names if _PUBLISHED in listed(spark, f"{folder}/{n}")]
+
+
+def current_build(spark: SparkSession, folder: str) -> str:
+    """The folder of the last published build; ``folder`` itself where results are written without builds."""
+    done = _builds(spark, folder)
+    return done[-1] if done else folder
+
+
+@contextmanager
+def publishing(spark: SparkSession, folder: str, keep: int = KEEP_BUILDS) -> Iterator[str]:
+    """A fresh folder for all results of one build, which readers see together once the block has ended.
+
+    Results of a block that fails are never seen. Builds are numbered; the last ``keep`` published ones
+    stay, so that a reader that began before the switch can finish. One build at a time may run per folder.
+    """
+    numbers = [int(n.split("=")[1]) for n in listed(spark, folder) if n.startswith("build=")]
+    own = f"{folder}/build={max(numbers, default=-1) + 1:09d}"
+    yield own
+    mark, files = file_system(spark, f"{own}/{_PUBLISHED}")
+    files.create(mark, False).close()
+    done = _builds(spark, folder)
+    for name in listed(spark, folder):
+        # Also what a failed build has left.
+        if name.startswith("build=") and f"{folder}/{name}" not in done[-keep:]:
+            files.delete(file_system(spark, f"{folder}/{name}")[0], True)
+
+
 def read_result(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A named result; ``FileNotFoundError`` if it was never written."""
+    """A named result of the last published build; ``FileNotFoundError`` if it was never written."""
+    return _result(spark, current_build(spark, folder), name)
+
+
+def _result(spark: SparkSession, folder: str, name: str) -> DataFrame:
     try:
         return spark.read.schema(RESULTS[name]).json(f"{folder}/{name}")
     except AnalysisException as error:
@@ -64,8 +108,9 @@ def read_result(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_bundle(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """All results of a bundle, the mining one by default."""
-    return {name: read_result(spark, folder, name) for name in names or MINING_BUNDLE}
+    """All results of a bundle, the mining one by default, all from one build."""
+    build = current_build(spark, folder)
+    return {name: _result(spark, build, name) for name in names or MINING_BUNDLE}
 
 
 CSV_OPTIONS = {

@@ -22,6 +22,7 @@ from wattframe import schema as S
 from wattframe.functions import sums, times
 from wattframe.operators.alerts import zscore_count
 from wattframe.operators.ranking import newest, positions
+from wattframe.session import file_system, listed
 
 
 #: Batches after which a bucket's changes are folded into its snapshot.
@@ -51,27 +52,17 @@ def _read_version(spark: SparkSession, folder: str, batch_id: int, like: DataFra
     return spark.read.schema(like.schema).parquet(_version(folder, batch_id))
 
 
-def _folder(spark: SparkSession, path: str):
-    """A path of the session's file system and that system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def _drop_version(spark: SparkSession, folder: str, batch_id: int) -> None:
     """Removes a version that no batch needs any more; a repeated batch ``k`` reads ``k - 1`` at most."""
     if batch_id >= 0:
-        at, files = _folder(spark, _version(folder, batch_id))
+        at, files = file_system(spark, _version(folder, batch_id))
         files.delete(at, True)
 
 
 def _versions(spark: SparkSession, folder: str) -> list[int]:
     """Batches with a finished version, in order."""
-    at, files = _folder(spark, folder)
-    if not files.exists(at):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(at)]
-    found = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
-    return [k for k in found if files.exists(_folder(spark, f"{_version(folder, k)}/_SUCCESS")[0])]
+    found = sorted(int(n.split("=")[1]) for n in listed(spark, folder) if n.startswith("batch="))
+    return [k for k in found if "_SUCCESS" in listed(spark, _version(folder, k))]
 
 
 def _start(
@@ -205,7 +196,7 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 def _parts(spark: SparkSession, folder: str) -> dict[int, list[int]]:
     """Per bucket the finished batches that hold a part of it, in order."""
-    at, files = _folder(spark, f"{folder}/batch=*/bucket=*")
+    at, files = file_system(spark, f"{folder}/batch=*/bucket=*")
     done, found = set(_versions(spark, folder)), defaultdict(list)
     for status in files.globStatus(at) or []:
         path = status.getPath()
@@ -221,9 +212,9 @@ def _part(folder: str, batch_id: int, bucket: int) -> str:
 
 def _drop_part(spark: SparkSession, folder: str, batch_id: int, bucket: int) -> None:
     """Removes a bucket's part of a batch, and the batch when that was its last."""
-    at, files = _folder(spark, _part(folder, batch_id, bucket))
+    at, files = file_system(spark, _part(folder, batch_id, bucket))
     files.delete(at, True)
-    rest, _ = _folder(spark, f"{_version(folder, batch_id)}/bucket=*")
+    rest, _ = file_system(spark, f"{_version(folder, batch_id)}/bucket=*")
     if not files.globStatus(rest):
         _drop_version(spark, folder, batch_id)
 
