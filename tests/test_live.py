@@ -193,6 +193,30 @@ def test_a_batch_reads_itself_and_what_is_carried(spark, landing, tmp_path, monk
     assert spark.read.parquet(f"{out}/top").groupBy("batch").count().agg(F.max("count")).first()[0] <= 202
 
 
+def test_late_records_are_kept_aside(spark, tmp_path):
+    """On time and late are all records, each once; copies of accepted records count once, untimed ones are neither."""
+    path, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    at = lambda d: START + timedelta(days=d)
+    batches = [
+        [(1, at(0), "a", "x", 1.0), (2, at(10), "a", "x", 2.0), (None, at(10), "a", "x", 0.5)],
+        [(3, at(9.5), "a", "x", 4.0), (2, at(10), "a", "x", 2.0), (4, None, "a", "x", 8.0)],
+        [(5, at(3), "a", "x", 16.0), (6, at(11), "a", "x", 32.0), (1, at(0), "a", "x", 1.0)],
+        [(7, at(-5), "a", "x", 64.0)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        live.on_time(_stream(spark, path), out, "1 day", compact=2).awaitTermination()
+    arrived = spark.read.parquet(path)
+    late = live.late_rows(arrived, out)
+    accepted = live.read_on_time(spark, out)
+    assert {r.id for r in accepted.collect()} >= {1, 2, 3, 6, None} and 7 in {r.id for r in late.collect()}
+    assert {r.id for r in accepted.collect()} | {r.id for r in late.collect()} == {1, 2, 3, 5, 6, 7, None}
+    assert accepted.count() == accepted.select("id").distinct().count()
+    known = spark.createDataFrame([r for b in batches for r in b if r[1]], SCHEMA).dropDuplicates(["id"])
+    assert _set(live.read_windowed_daily(spark, out, late), "label", "value") == _set(energy.daily_totals(known), "label", "value")
+    assert len(live._versions(spark, f"{out}/days")) <= 2 and len(live._versions(spark, f"{out}/sums")) == 1
+
+
 def test_raw_json_lines_to_the_live_view(spark, tmp_path):
     path, out = tmp_path / "lines", str(tmp_path / "out")
     path.mkdir()

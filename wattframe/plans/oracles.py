@@ -448,6 +448,11 @@ ORACLES: dict[str, str] = {
     "UNION ALL SELECT 'Consumo mensual', 'Pendiente') SELECT tipo, estado, count(*) AS n FROM l GROUP BY ALL",
     "report_compacted": "WITH l AS (SELECT o_orderpriority AS tipo, CASE o_orderstatus WHEN 'F' THEN 'Listo' WHEN 'O' THEN 'Pendiente' END AS estado FROM orders "
     "UNION ALL SELECT 'Consumo mensual', 'Pendiente' FROM range(3)) SELECT tipo, estado, count(*) AS n FROM l GROUP BY ALL",
+    "live_windowed_daily": f"WITH readings AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 3 THEN ts - INTERVAL 40 DAY ELSE ts END AS ts, "
+    f"value AS consumo_kwh FROM events) SELECT strftime(ts, '%Y-%m-%d') AS label, {total('consumo_kwh', 2)} AS value FROM readings GROUP BY 1",
+    "live_late_rows": "SELECT event_id % 4 = 3 AS ultimo, count(*) AS n, event_id % 4 = 3 AS todo_tarde FROM events GROUP BY 1",
+    "rollup_months": f"SELECT strftime(l_shipdate, '%Y-%m') AS period, count(*) AS n, {total('l_quantity', 2)} AS energy, "
+    "true AS rank_ok, true AS entities_ok FROM lineitem GROUP BY 1",
     "live_last_n": L_ + f"SELECT id, device_id, estado, consumo_kwh FROM readings {NEWEST} LIMIT 2000",
     "live_alerts": L_ + f", p AS (SELECT * FROM readings {NEWEST} LIMIT 500), {STATS.format('p')} "
     "SELECT count(*) AS n_anomalias FROM p, s WHERE abs((consumo_kwh - mean) / sd) >= 3",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wattframe import schema as S
 from wattframe.functions import coerce as C, sums, times
 from wattframe.operators import (
-    alerts, devices, energy, filters, hours, pages, ranking, scoring, standardise,
+    alerts, devices, energy, filters, hours, pages, ranking, rollups, scoring, standardise,
 )
 from wattframe.plans import dashboard, mining, tables
 from wattframe.session import materialise, work_dir
@@ -1012,3 +1012,51 @@ def live_state_monthly(spark, sf):
     folder = work_dir(spark, "live-monthly")
     live.daily_energy(_sent_once(spark, sf), folder).awaitTermination()
     return energy.tail_k(live.read_monthly(spark, folder), 6)
+
+
+def _watermarked(spark, sf) -> tuple[str, DataFrame, DataFrame]:
+    """The store of the watermark form, all arrived records, and the late ones, each key's newest copy."""
+    feed_folder, folder = work_dir(spark, "windowed-feed"), work_dir(spark, "windowed")
+    rows = tables.readings(spark, sf)
+    # Old days come last, so that many of their records are behind the watermark by then.
+    shift = F.when(F.col("id") % 4 == 3, F.expr("ts - INTERVAL 40 DAYS")).otherwise(F.col("ts"))
+    sent = rows.withColumn("ts", shift)
+    live.on_time(_in_four_batches(spark, feed_folder, sent), folder, compact=2).awaitTermination()
+    arrived = spark.read.parquet(feed_folder)
+    return folder, arrived, live.late_rows(arrived, folder)
+
+
+@query
+def live_windowed_daily(spark, sf):
+    """Energy per day of the records that came in time, and of the late ones kept aside."""
+    folder, _, late = _watermarked(spark, sf)
+    return live.read_windowed_daily(spark, folder, late)
+
+
+@query
+def live_late_rows(spark, sf):
+    """Every record is accepted or late: counts of both, per part of the feed that came last or before."""
+    folder, arrived, late = _watermarked(spark, sf)
+    last = (F.col("id") % 4 == 3).alias("ultimo")
+    accepted = live.read_on_time(spark, folder).select(last, F.lit(1).alias("a"), F.lit(0).alias("b"))
+    both = accepted.unionAll(late.select(last, F.lit(0), F.lit(1)))
+    return both.groupBy("ultimo").agg(F.count("*").alias("n"), (F.sum("b") == F.count("*")).alias("todo_tarde"))
+
+
+@query
+def rollup_months(spark, sf):
+    """Months folded from a day table: exact counts and energy, and whether the sketched quantile's rank and
+    the sketched distinct count lie within their stated errors of the exact ones."""
+    rows = tables.line_readings(spark, sf)
+    days = materialise(rollups.day_rollup(rows, entity="s_suppkey"), "day-rollup")
+    months = materialise(rollups.folded(days, times.month_label(F.col("day"))), "month-rollup")
+    named = rows.withColumn("period", times.month_label(F.col("ts"))).join(months.select("period", "quantile"), "period")
+    exact = named.groupBy("period").agg(
+        (F.count_if(F.col("consumo_kwh") < F.col("quantile")) / F.count("*")).alias("below"),
+        (F.count_if(F.col("consumo_kwh") <= F.col("quantile")) / F.count("*")).alias("upto"),
+        F.count_distinct("s_suppkey").alias("suppliers"))
+    margin, share = 2 * rollups.rank_error(), rollups.distinct_error()
+    return months.join(exact, "period").select(
+        "period", "n", "energy",
+        ((F.col("below") <= S.ALERT_QUANTILE + margin) & (F.col("upto") >= S.ALERT_QUANTILE - margin)).alias("rank_ok"),
+        (F.abs(F.col("entities") - F.col("suppliers")) <= F.greatest(F.lit(1.0), share * F.col("suppliers"))).alias("entities_ok"))

@@ -331,6 +331,73 @@ def read_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return days.groupBy(times.month_label(F.col("day")).alias("label")).agg(sums.refold(2).alias("value"))
 
 
+def on_time(
+    stream: DataFrame, folder: str, delay: str = "2 days", key: str = "id", ts: str = "ts", value: str = "consumo_kwh",
+    compact: int = COMPACT, once: bool = True,
+) -> StreamingQuery:
+    """Keeps the records that come within ``delay`` of the newest, each once, and their energy per day.
+
+    For feeds without an end: the state, the keys seen, is bounded by the watermark. What comes later than
+    that is not in ``folder/accepted`` and not in the days; ``late_rows`` finds it among the arrived records,
+    so that nothing vanishes. Untimed records are neither.
+    """
+    kept = stream.where(F.col(ts).isNotNull()).withColumn("_at", F.col(ts).cast("timestamp"))
+    kept = kept.withWatermark("_at", delay).dropDuplicatesWithinWatermark([key])
+    days, sums_of = f"{folder}/days", f"{folder}/sums"
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        accepted = _version(f"{folder}/accepted", batch_id)
+        batch.write.mode("overwrite").parquet(accepted)
+        rows = spark.read.schema(batch.schema).parquet(accepted)
+        own = rows.groupBy(F.to_date(F.window("_at", "1 day")["start"]).alias("day")).agg(*sums.partial(F.col(value)))
+        own.coalesce(1).write.mode("overwrite").parquet(_version(days, batch_id))
+        if compact and (batch_id + 1) % compact == 0 and batch_id not in _versions(spark, sums_of):
+            _day_sums(spark, folder).coalesce(1).write.mode("overwrite").parquet(_version(sums_of, batch_id))
+        done = _versions(spark, sums_of)
+        for old in [k for k in _versions(spark, days) if done and k <= done[-1] and k < batch_id]:
+            _drop_version(spark, days, old)
+        for old in done[:-1]:
+            _drop_version(spark, sums_of, old)
+
+    return _start(kept, merge, folder, "append", once)
+
+
+def _day_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Partial sums per day (several rows per day) of the last fold and the batches after it."""
+    folds = _versions(spark, f"{folder}/sums")
+    paths = [_version(f"{folder}/sums", folds[-1])] if folds else []
+    paths += [_version(f"{folder}/days", k) for k in _versions(spark, f"{folder}/days") if not folds or k > folds[-1]]
+    if not paths:
+        raise FileNotFoundError(f"no finished batch under {folder}")
+    parts = spark.read.parquet(*paths)
+    return parts.groupBy("day").agg(*[F.sum(c).alias(c) for c in sums.PARTS])
+
+
+def read_on_time(spark: SparkSession, folder: str) -> DataFrame:
+    """The accepted records."""
+    paths = [_version(f"{folder}/accepted", k) for k in _versions(spark, f"{folder}/accepted")]
+    if not paths:
+        raise FileNotFoundError(f"no finished batch under {folder}")
+    return spark.read.parquet(*paths).drop("_at")
+
+
+def late_rows(arrived: DataFrame, folder: str, key: str = "id", ts: str = "ts") -> DataFrame:
+    """Timed records of ``arrived`` (all that the stream has read) whose key came too late; copies of accepted
+    records are not among them."""
+    known = read_on_time(arrived.sparkSession, folder).select(key)
+    timed = arrived.where(F.col(ts).isNotNull())
+    return timed.join(known, _same(timed, known, [key]), "left_anti")
+
+
+def read_windowed_daily(spark: SparkSession, folder: str, late: DataFrame | None = None, ts: str = "ts", value: str = "consumo_kwh") -> DataFrame:
+    """Energy per day of the accepted records, and of ``late`` ones if given."""
+    days = _day_sums(spark, folder)
+    if late is not None:
+        days = days.unionByName(late.groupBy(F.to_date(ts).alias("day")).agg(*sums.partial(F.col(value))))
+    return days.groupBy(times.day_label(F.col("day")).alias("label")).agg(sums.refold(2).alias("value"))
+
+
 def append_stream(stream: DataFrame, folder: str, once: bool = True) -> StreamingQuery:
     """Appends a stream to a parquet table under ``folder/table``, exactly once per record."""
     writer = stream.writeStream.format("parquet").outputMode("append")
