@@ -44,13 +44,52 @@ def test_equals_brute_force(spark, block, queries):
 
 
 def test_bounds_leave_few_members():
-    """Reading stops early when a few members stand out."""
+    """Reading stops early when a few members stand out, for each query its own."""
     r = np.random.default_rng(1)
     v = r.integers(-20, 20, (2000, 8))
-    v[:10] = r.integers(150, 200, (10, 8))
-    q = np.full((3, 8), 100.0)
-    i, j, score = topk.Lists(v).best(np.arange(2000), q, np.array([-1, -2, -3]), 5)
-    assert set(j) <= set(range(10)) and len(j) >= 15
+    v[:10, :4] = r.integers(150, 200, (10, 4))
+    v[10:20, 4:] = r.integers(150, 200, (10, 4))
+    q = np.array([[100.0] * 4 + [0.0] * 4, [0.0] * 4 + [100.0] * 4, [-100.0] * 8])
+    lists = topk.Lists(v)
+    i, j, score = lists.best(np.arange(2000), q, np.array([-1, -2, -3]), 5)
+    assert set(j[i == 0]) <= set(range(10)) and set(j[i == 1]) <= set(range(10, 20))
+    assert min(lists.left) < 100 and len(lists.left) < len(topk.DEPTHS) + 1
+
+
+def test_members_left_on_the_given_table(spark):
+    """64 dimensions without structure: bounds tell few members from the best before the lists end."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    v = np.array([r.v for r in topk.integers(rows).orderBy("vec_id").collect()])
+    ids = np.arange(len(v))
+    lists = topk.Lists(v)
+    i, j, score = lists.best(ids, v[::50].astype(float), ids[::50], 5)
+    exact = v[::50] @ v.T
+    exact[np.arange(len(exact)), ids[::50]] = -(1 << 60)
+    fifth = np.sort(exact, axis=1)[:, -5]
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*[x.tolist() for x in np.nonzero(exact >= fifth[:, None])]))
+    print("members left after each step:", [round(x) for x in lists.left], "of", len(v))
+    assert lists.left == sorted(lists.left, reverse=True) and len(lists.left) == len(topk.DEPTHS)
+
+
+def test_floors_go_from_block_to_block():
+    """What an earlier block has found makes outsiders of later members at once."""
+    r = np.random.default_rng(2)
+    v = r.integers(-20, 20, (3000, 6))
+    v[:1000] *= 30
+    q, q_ids, floor = np.full((2, 6), 50.0), np.array([-1, -2]), np.full(2, -np.inf)
+    topk.Lists(v[:1000]).best(np.arange(1000), q, q_ids, 5, floor)
+    later = topk.Lists(v[1000:])
+    i, j, _ = later.best(np.arange(1000, 3000), q, q_ids, 5, floor)
+    assert len(i) == 0 and later.left[-1] == 0
+
+
+def test_components_too_large_are_refused(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0], 0), (50, [1.0, 2.0], 0)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(Exception, match="too large"):
+        topk.integers(df).collect()
+    near = spark.createDataFrame([(0, [2.0**17, 2.0**17], 0), (1, [2.0**17, -1.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = topk.search(topk.integers(near), topk.integers(near), 5).collect()
+    assert {(r.query_id, r.vec_id, r.score) for r in got} == {(0, 1, (1 << 25) ** 2 - 256 * (1 << 25)), (1, 0, (1 << 25) ** 2 - 256 * (1 << 25))}
 
 
 def test_few_and_none(spark):

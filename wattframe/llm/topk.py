@@ -4,10 +4,15 @@ A block of candidates keeps one list per dimension, its members in the order of
 query reads the lists of its positive components from the top and of its negative ones from the
 bottom, all to the same depth. What it has read of a member bounds its score from both sides: from
 below by taking the list's last value for every component not read, from above by the value where
-reading stands. Reading goes on in growing steps until no outsider's upper bound reaches the k-th best
-lower bound; only then are the scores of those left resolved. Bounds of many queries and members are
-kept together, as matrix products of queries with the part of the block read so far, in double
-precision (integers below 2^53, hence exact).
+reading stands. Each query has its own outsiders: a member is one as soon as its upper bound falls below
+the query's k-th best lower bound, in this block or in one that the task has read before. Reading goes on
+in growing steps until no member but those that may be among the best is left, or to the end; the scores of
+those left are resolved. Bounds of many queries and members are kept together, as matrix products of
+queries with the part of the block read so far, in double precision on integers below 2^53, hence exact.
+
+How much this saves depends on the data: where few members stand out, most are outsiders after the first
+steps; components without structure in 64 dimensions leave nearly all of them in until the lists have been
+read almost to the end (figures in the README), so the work is that of all products.
 
 Vectors and queries are packed into blocks; a block of candidates meets every block of queries, each
 meeting gives the k best of the block, and the best k per query are ranked at the end. A task holds one
@@ -15,8 +20,9 @@ block of each.
 
 Defined cases: null vectors, vectors with null or non-finite components and rows without an id take no
 part; vectors of
-different length do not meet; rows equal in id and vector count once; rows that share the query's id
-are its own; fewer candidates than k give as many ranks; ties go to the smaller id.
+different length do not meet; rows equal in id and vector are one row; rows that share the query's id
+are its own; fewer candidates than k give as many ranks; ties go to the smaller id. A vector whose scores
+might pass 2^53 (components of about 2^22 and more in 64 dimensions) is refused with an error.
 """
 
 from __future__ import annotations
@@ -31,8 +37,10 @@ K = 5
 EVERY = 50
 BLOCK = 4_096
 QUERIES = 512
-#: Depths of reading, as parts of a block.
-DEPTHS = (1 / 16, 1 / 4, 1 / 2)
+#: Queries whose best scores a task remembers from block to block.
+MOST_FLOORS = 65_536
+#: Depths of reading, as parts of a block; then to the end.
+DEPTHS = (1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4)
 
 
 def usable(vector: Column) -> Column:
@@ -44,9 +52,11 @@ def usable(vector: Column) -> Column:
 def integers(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """``vec_id, v``: floor(256 * x) of every component of the usable vectors."""
     x = F.col(vector)
+    fit = F.array_max(F.transform(x, lambda c: F.abs(c.cast("double")) * 256 + 1)) < F.sqrt(F.lit(2.0**53) / F.size(x))
+    checked = F.when(fit, x).otherwise(F.raise_error(F.lit("components are too large for exact scores")))
     return vectors.where(usable(x) & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform(x, lambda c: F.floor(c.cast("double") * 256).cast("long")).alias("v"),
+        F.transform(checked, lambda c: F.floor(c.cast("double") * 256).cast("long")).alias("v"),
     ).distinct()
 
 
@@ -96,45 +106,65 @@ class Lists:
         self.up, self.down = up, n - 1 - up
         self.sorted = np.take_along_axis(self.v, order, axis=0)
 
-    def best(self, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int):
-        """(query, member, score) of at least the k best members of each query, ties included."""
+    def bounds(self, some: np.ndarray, plus: np.ndarray, minus: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (queries x members) when all lists have been read to this depth."""
+        n = len(self.v)
+        # What has been read, and what stands for the rest: the value where reading stands bounds it
+        # from above, the list's last value from below.
+        v, top, bottom = self.v[some], self.sorted[n - depth], self.sorted[depth - 1]
+        read_down, read_up = self.down[some] < depth, self.up[some] < depth
+        high = plus @ np.where(read_down, v, top).T + minus @ np.where(read_up, v, bottom).T
+        low = plus @ np.where(read_down, v, self.sorted[0]).T + minus @ np.where(read_up, v, self.sorted[-1]).T
+        return low, high
+
+    def best(self, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
+        """(query, member, score) of at least the k best members of each query, ties included, less what is
+        below the queries' ``floor``, which is raised to the k-th best found here."""
         n = len(ids)
+        floor = np.full(len(q), -np.inf) if floor is None else floor
         plus, minus = np.maximum(q, 0.0), np.minimum(q, 0.0)
-        own = q_ids[:, None] == ids[None, :]
-        live = np.arange(n)
-        floor = np.full(len(q), -np.inf)
+        live = q_ids[:, None] != ids[None, :]
+
+        def raise_floor(value: np.ndarray, some: np.ndarray) -> None:
+            value = np.where(live[:, some], value, -np.inf)
+            if len(some) >= k:
+                np.maximum(floor, np.partition(value, len(some) - k, axis=1)[:, len(some) - k], out=floor)
+
+        self.left = []  # members a query has left after each step, on average
         for part in DEPTHS:
-            depth = int(n * part)
-            if not 0 < depth < n or len(live) <= 4 * k:
+            depth, some = int(n * part), np.flatnonzero(live.any(axis=0))
+            if not 0 < depth < n:
                 continue
-            # What has been read, and what stands for the rest: the value where reading stands bounds it
-            # from above, the list's last value from below.
-            v, top, bottom = self.v[live], self.sorted[n - depth], self.sorted[depth - 1]
-            read_down, read_up = self.down[live] < depth, self.up[live] < depth
-            high = plus @ np.where(read_down, v, top).T + minus @ np.where(read_up, v, bottom).T
-            low = plus @ np.where(read_down, v, self.sorted[0]).T + minus @ np.where(read_up, v, self.sorted[-1]).T
-            mine = own[:, live]
-            low[mine], high[mine] = -np.inf, -np.inf
-            if len(live) >= k:
-                np.maximum(floor, np.partition(low, len(live) - k, axis=1)[:, len(live) - k], out=floor)
-            live = live[(high >= floor[:, None]).any(axis=0)]
-        score = q @ self.v[live].T
-        score[own[:, live]] = -np.inf
-        if len(live) > k:
-            np.maximum(floor, np.partition(score, len(live) - k, axis=1)[:, len(live) - k], out=floor)
+            if live.sum(axis=1).max(initial=0) <= k:
+                break
+            low, high = self.bounds(some, plus, minus, depth)
+            raise_floor(low, some)
+            live[:, some] &= high >= floor[:, None]
+            self.left.append(float(live.sum(axis=1).mean()))
+        some = np.flatnonzero(live.any(axis=0))
+        score = np.where(live[:, some], q @ self.v[some].T, -np.inf)
+        raise_floor(score, some)
         i, j = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
-        return i, live[j], score[i, j]
+        return i, some[j], score[i, j]
 
 
 def _met(k: int):
     """The k best of each meeting of a candidate block with a query block; ties to smaller ids."""
 
     def run(batches):
+        # Of each query (id and vector) that this task has met: its k-th best score so far.
+        floors: dict[tuple[int, bytes], float] = {}
         for batch in batches:
             for dims, ids, v, q_ids, q in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 members = Lists(np.frombuffer(v, np.int64).reshape(-1, dims))
-                i, j, score = members.best(ids, np.frombuffer(q, np.int64).reshape(-1, dims).astype(np.float64), q_ids, k)
+                names = [(int(x), q[8 * dims * i : 8 * dims * (i + 1)]) for i, x in enumerate(q_ids)]
+                floor = np.array([floors.get(x, -np.inf) for x in names])
+                asked = np.frombuffer(q, np.int64).reshape(-1, dims).astype(np.float64)
+                i, j, score = members.best(ids, asked, q_ids, k, floor)
+                if len(floors) > MOST_FLOORS:
+                    floors.clear()
+                floors.update(zip(names, floor.tolist()))
                 order = np.lexsort((ids[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
                 head = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
