@@ -36,7 +36,7 @@ share their class; a null id takes no part in the smallest id of its component (
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -87,27 +87,6 @@ def _shingles(data: np.ndarray, off: np.ndarray, width: int):
     return h, size[last] - size[first], cut
 
 
-def _often(width: int):
-    def close(held):
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        h, n = h[n >= OFTEN], n[n >= OFTEN]
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["w", "n"])
-
-    def run(batches):
-        held, size = [], 0
-        for _, data, off in C.chunked(batches):
-            h, _, _ = _shingles(data, off, width)
-            held.append(h)
-            size += len(h)
-            if size >= AMONG:
-                yield close(held)
-                held, size = [], 0
-        if held:
-            yield close(held)
-
-    return run
-
-
 def needed(n: int | np.ndarray, percent: int):
     """Least intersection with a set of n that any partner has."""
     return -(-percent * n // 100)
@@ -132,39 +111,77 @@ def _class(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)[0]) for x in both)
 
 
-_SETS = "k1 long, k2 long, c long, d long, n long, bits binary, prefix array<long>"
+_SETS = "k1 long, k2 long, c long, d long, n long, bits binary, w long, times long"
+
 
+def _described(width: int):
+    """Class, size and bitmap of each document, the last once a class and task; besides, as rows of their own,
+    the shingles ``w`` that a part of the texts holds often, and how often."""
+    none = {f.name: f.type for f in pa.schema([(x, pa.int64()) for x in ("k1", "k2", "c", "d", "n", "w", "times")] + [("bits", pa.binary())])}
 
-def _described(often, width: int, percent: int):
-    """Class, size, bitmap and region shingles of each document; the last two once a class and task."""
+    def batch(size: int, **columns) -> pa.RecordBatch:
+        names = [c.split()[0] for c in _SETS.split(", ")]
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, none[c]) for c in names], names)
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, times = np.unique(np.concatenate(held), return_counts=True)
+        h, times = h[times >= OFTEN], times[times >= OFTEN]
+        return batch(len(h), w=pa.array(h.view(np.int64)), times=pa.array(times))
 
     def run(batches):
-        known = often.value
         seen: set[tuple[int, int]] = set()
+        held, size = [], 0
         for rows, data, off in C.chunked(batches):
+            h, _, cut = _shingles(data, off, width)
+            held.append(h)
+            size += len(h)
+            c, d, n, bits = [], [], [], []
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                own = np.unique(h[a:b])
+                name = _class(own)
+                c.append(name[0]), d.append(name[1])
+                n.append(len(own))
+                bits.append(_bitmap(own) if len(own) and name not in seen else None)
+                seen.add(name)
+            k1, k2 = (rows.column(rows.schema.get_field_index(x)) for x in ("k1", "k2"))
+            yield batch(len(c), k1=k1, k2=k2, bits=pa.array(bits, pa.binary()),
+                        **{x: pa.array(y, pa.int64()) for x, y in (("c", c), ("d", d), ("n", n))})
+            if size >= AMONG:
+                yield often(held)
+                held, size = [], 0
+        if held:
+            yield often(held)
+
+    return run
+
+
+def _regions(often, width: int, percent: int):
+    """``w, c, d``: the region shingles of each document, once a class and task."""
+
+    def run(batches):
+        known = often.value
+        seen: set[tuple[int, int]] = set()
+        for _, data, off in C.chunked(batches):
             h, length, cut = _shingles(data, off, width)
             hot = np.zeros(len(h), bool)
             if len(known):
                 hot = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
             key = (hot.astype(np.uint64) << np.uint64(63)) | (
                 np.uint64(255) - np.minimum(length, 255).astype(np.uint64)) << np.uint64(55) | (h >> np.uint64(9))
-            c, d, n, bits, prefix = [], [], [], [], []
+            names, prefix = [], [np.zeros(0, np.uint64)]
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 own, at = np.unique(h[a:b], return_index=True)
                 name = _class(own)
-                c.append(name[0]), d.append(name[1])
-                n.append(len(own))
                 if not len(own) or name in seen:
-                    bits.append(None), prefix.append(None)
                     continue
                 seen.add(name)
                 most = len(own) - int(needed(len(own), percent)) + 1
-                bits.append(_bitmap(own))
-                prefix.append(own[np.argsort(key[a:b][at], kind="stable")[:most]].view(np.int64))
-            k = [rows.column(rows.schema.get_field_index(x)) for x in ("k1", "k2")]
+                names.append(name)
+                prefix.append(own[np.argsort(key[a:b][at], kind="stable")[:most]])
+            c, d = np.array(names, np.int64).reshape(-1, 2).T
+            size = [len(x) for x in prefix[1:]]
             yield pa.RecordBatch.from_arrays(
-                [*k, *(pa.array(x, pa.int64()) for x in (c, d, n)), pa.array(bits, pa.binary()),
-                 pa.array(prefix, pa.list_(pa.int64()))], ["k1", "k2", "c", "d", "n", "bits", "prefix"])
+                [pa.array(np.concatenate(prefix).view(np.int64)), pa.array(np.repeat(c, size)), pa.array(np.repeat(d, size))], ["w", "c", "d"])
 
     return run
 
@@ -449,17 +466,27 @@ def _with_bits(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "an", "bn", "a_bits", "b_bits").mapInArrow(_small(percent), "a long, b long")
 
 
-def _told_apart(sets: DataFrame) -> DataFrame:
-    """Different sets whose first fingerprints agree get others, made with the second, until none do."""
-    turn = 0
+def _told_apart(sets: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Different sets whose first fingerprints agree get others, made with the second, until none do; also the
+    same change for other rows with ``c, d``."""
+    turns: list[DataFrame] = []
+
+    def new(rows: DataFrame, turn: int) -> DataFrame:
+        name = F.when(F.col("shared"), F.xxhash64("c", "d", F.lit(turn))).otherwise(F.col("c"))
+        return rows.join(small(turns[turn]), "c", "left").withColumn("c", name).drop("shared")
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        for turn in range(len(turns)):
+            rows = new(rows, turn)
+        return rows
+
     while True:
         shared = sets.where("n > 0").groupBy("c").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x <> y")
         shared = C.staged(shared.select("c", F.lit(True).alias("shared")), "shared")
         if not shared.take(1):
-            return sets
-        new = F.when(F.col("shared"), F.xxhash64("c", "d", F.lit(turn))).otherwise(F.col("c"))
-        sets = C.staged(sets.join(small(shared), "c", "left").withColumn("c", new).drop("shared"), "shingles")
-        turn += 1
+            return sets, renamed
+        turns.append(shared)
+        sets = C.staged(new(sets, len(turns) - 1), "shingles")
 
 
 def _unequal(parts: DataFrame) -> DataFrame:
@@ -567,14 +594,14 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     """
     spark = docs.sparkSession
     rows = C.rows_of(docs)
-    often = rows.select("text").mapInArrow(_often(width), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    table = often.orderBy(F.desc("n"), "w").limit(MOST_OFTEN).select("w").toArrow().column(0).to_numpy()
+    told = C.staged(rows.select("k1", "k2", "text").mapInArrow(_described(width), _SETS), "shingles")
+    often = told.where("w is not null").groupBy("w").agg(F.sum("times").alias("times"))
+    table = often.orderBy(F.desc("times"), "w").limit(MOST_OFTEN).select("w").toArrow().column(0).to_numpy()
     table = spark.sparkContext.broadcast(np.sort(table.view(np.uint64)))
-    sets = C.staged(rows.select("k1", "k2", "text").mapInArrow(_described(table, width, percent), _SETS), "shingles")
-    sets = _told_apart(sets)
+    sets, renamed = _told_apart(told.where("w is null").drop("w", "times"))
     reps = C.staged(sets.where("bits is not null").groupBy("c").agg(
         F.first(F.struct("n", "bits", "k1", "k2")).alias("r")).select("c", "r.*"), "classes")
-    regions = sets.where("bits is not null").select(F.explode("prefix").alias("w"), "c")
+    regions = renamed(rows.select("text").mapInArrow(_regions(table, width, percent), "w long, c long, d long")).select("w", "c")
     members = C.staged(regions.repartition(C.partitions(spark), "w").sortWithinPartitions("w", "c").mapInArrow(
         _crowded, "w long, c long"), "regions")
 
