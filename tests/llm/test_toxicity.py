@@ -35,6 +35,60 @@ def test_reading_does_not_depend_on_the_neighbours():
         assert np.allclose(T.logits(T.Network(), alone), together[r.text == i], atol=1e-5)
 
 
+def plain_score(net, text):
+    """A text's highest window logit, word by word and step by step, from the bytes on."""
+    p, h = net.p, T.HIDDEN
+    words = text.translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
+
+    def word_input(word):
+        r = T.read(*flat([word.decode()]))
+        grams = r.gram[r.gram_at[0] : r.gram_at[1]]
+        return np.concatenate([p["word"][r.word[0]], sum(p["gram"][g] for g in grams) / np.sqrt(len(grams))])
+
+    def layer(xs, way):
+        state, out = np.zeros(h), []
+        for x in xs:
+            gate = x @ p[f"in_{way}"] + p[f"bias_{way}"]
+            rec = p[f"rec_{way}"]
+            z = 1 / (1 + np.exp(-(gate[:h] + state @ rec[:, :h])))
+            r = 1 / (1 + np.exp(-(gate[h : 2 * h] + state @ rec[:, h : 2 * h])))
+            c = np.tanh(gate[2 * h :] + (r * state) @ rec[:, 2 * h :])
+            state = (1 - z) * state + z * c
+            out.append(state)
+        return out
+
+    best, at = -np.inf, 0
+    while words:
+        xs = [word_input(w) for w in words[at : at + T.WINDOW]]
+        states = [np.concatenate(s) for s in zip(layer(xs, "f"), layer(xs[::-1], "b")[::-1])]
+        e = np.array([np.tanh(s @ p["att"] + p["att_b"]) @ p["att_v"] for s in states])
+        w = np.exp(e - e.max())
+        best = max(best, float((w / w.sum()) @ np.array(states) @ p["out"] + p["out_b"][0]))
+        if at + T.WINDOW >= len(words):
+            break
+        at += T.STRIDE
+    return best
+
+
+def test_scores_equal_a_plain_reading():
+    net = T.Network(3)
+    r = random.Random(2)
+    texts = TEXTS + [" ".join(r.choices(["Idiot,", "the", "and", "wörd", "x" * 40, "(ok)"], k=k)) for k in (1, 31, 32, 33, 57, 200)]
+    z = T.highest(*(lambda read: (read, T.logits(net, read), len(texts)))(T.read(*flat(texts))))
+    want = [plain_score(net, t.encode()) for t in texts]
+    assert np.allclose(z[np.isfinite(z)], [w for w in want if np.isfinite(w)], atol=1e-4) and (np.isfinite(z) == np.isfinite(want)).all()
+
+
+def test_training_reads_a_bounded_part_of_long_texts():
+    words = [f"wört{i}" for i in range(40_000)]
+    raw = " ".join(words).encode()
+    thin = T.thinned(raw)
+    got = [int(w.decode()[4:]) for w in thin.split()]
+    assert len(thin) <= T.TRAIN_BYTES < len(raw) and got == sorted(set(got))
+    assert got[0] < 200 and got[-1] > 39_800 and max(b - a for a, b in zip(got, got[1:])) < 1000
+    assert T.thinned(raw[:1000]) == raw[:1000] and T.thinned(b"x" * 1_000_000).split() == []
+
+
 def test_gradient():
     net = T.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

@@ -10,7 +10,8 @@ highest window does.
 Labels belong to whole texts. Training first takes every window of a text for its label and then, as
 scoring does, only the highest windows (several for texts without toxicity, whose highest ones are
 the likeliest false alarms). It runs on at most ``SAMPLE`` labelled texts in equal parts per label,
-chosen by hash; a quarter of them is kept out of the fit and sets the scale and offset that turn
+chosen by hash, and of a text of over ``TRAIN_BYTES`` on runs spread evenly over its whole length (scoring
+reads every text whole); the first epochs draw ``EPOCH_WINDOWS`` windows per label at most; a quarter of them is kept out of the fit and sets the scale and offset that turn
 a text's logit into a probability at the labels' true rate.
 
 Scoring computes the input part of the gates once per different word of a chunk and runs all windows
@@ -34,6 +35,10 @@ from wattframe.llm.langid import bounded, remainder
 
 WINDOW, STRIDE = 32, 24
 SAMPLE = 3_000
+#: Bytes of a text that training reads at most, and of the runs, spread evenly over it, that make them up.
+TRAIN_BYTES, TRAIN_RUN = 1 << 16, 1 << 9
+#: Windows of each label in one of the first epochs at most, drawn anew each time.
+EPOCH_WINDOWS = 6 * SAMPLE
 WORDS, GRAM_ROWS = 1 << 13, 1 << 14
 GRAMS = (3, 5)
 WORD_DIM, CHAR_DIM, HIDDEN = 12, 8, 8
@@ -295,7 +300,7 @@ def train(r: Read, label: np.ndarray, weight: np.ndarray, seed: int = SEED) -> N
     for epoch in range(EPOCHS):
         if epoch < ALL_EPOCHS:
             # All windows, at most as many as keep the two labels' parts equal and the epoch short.
-            pick = [w[rng.permutation(len(w))[: 6 * SAMPLE]] for w in (own[label[r.text[own]] == y] for y in (0, 1))]
+            pick = [w[rng.permutation(len(w))[:EPOCH_WINDOWS]] for w in (own[label[r.text[own]] == y] for y in (0, 1))]
             some = np.concatenate(pick)
         else:
             z = logits(net, r, own)
@@ -351,6 +356,25 @@ class Model:
     rate: float
 
 
+def thinned(text: bytes) -> bytes:
+    """The text, or of a long one whole words in runs spread evenly over it, ``TRAIN_BYTES`` in all at most."""
+    if len(text) <= TRAIN_BYTES:
+        return text
+    runs = TRAIN_BYTES // TRAIN_RUN
+    out = []
+    for at in np.linspace(0, len(text) - TRAIN_RUN, runs).astype(int).tolist():
+        # Words cut by the run's ends go.
+        words = text[at : at + TRAIN_RUN].split()
+        out.append(b" ".join(words[1:-1]))
+    return b"\n".join(out)
+
+
+def _thinned(batches):
+    for batch in batches:
+        texts = [thinned(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], ["h", "toxic", "text"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """``docs``: ``doc_id, text`` to learn from; ``labels``: ``doc_id, toxic``."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
@@ -363,7 +387,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len(counts) < 2:
         return Model(None, 1.0, 0.0, rate)
     chosen = F.broadcast(bounded(known, "toxic", "h", sample))  # at most ``sample`` rows
-    rows = docs.join(chosen, "doc_id").select("h", "toxic", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+    texts = docs.join(chosen, "doc_id").select("h", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    # At most ``sample`` texts, and ``TRAIN_BYTES`` of each.
+    rows = texts.mapInArrow(_thinned, "h long, toxic int, text binary").toArrow()
     rows = rows.sort_by([("h", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
     label = rows.column("toxic").to_numpy().astype(np.int64)
     r = read_all(rows.column("text"))
