@@ -101,3 +101,29 @@ def test_nulls_repeats_and_empty(spark, docs):
     assert P.mix_sources(spark, once, SF).columns == COLUMNS
     for _, stage in P.STAGES[1:]:
         assert stage(spark, rows.limit(0), SF).count() == 0
+
+
+def test_every_stage_keeps_other_columns_and_takes_nulls(spark, docs):
+    """Columns of the names that the stages use inside, nulls in every column, a long text."""
+    r = random.Random(2)
+    words = ["a", "b", "c", "dd", "eee"]
+    text = " ".join(r.choices(words, k=60))
+    rows = docs([(1, None), (2, ""), (3, text), (None, text + " x"), (5, "one two"), (6, " ".join(f"w{i}" for i in range(200_000)))])
+    rows = rows.unionByName(rows.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
+    names = ["k1", "k2", "_spans", "c", "n", "group", "score", "held_out", "h", "taken", "row", "ids", "w", "size"]
+    wide = rows.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        got = out.collect()
+        assert got and all(r[n] == n for r in got for n in names), name
+        assert max(len(r.text or "") for r in got) > 1_000_000, name
+    tokens = P.encode(spark, wide, SF)
+    assert tokens.count() == rows.count() and max(r.n_tokens for r in tokens.collect()) > 200_000
+
+
+def test_toxicity_stage_without_rows_or_labels(spark, docs):
+    rows = docs([(1, None), (2, ""), (None, "x y"), (4, "one two")])
+    assert P.drop_toxic(spark, rows.limit(0), SF).count() == 0
+    kept = P.drop_toxic(spark, rows, SF)
+    assert kept.columns == COLUMNS and kept.count() == 4

@@ -250,13 +250,13 @@ def cleaned(docs: DataFrame, width: int = WIDTH, bits: int = sketch.BITS) -> Dat
     """``docs`` with all its rows and columns, its texts without their repeated windows."""
     at, names = docs.columns.index("text"), docs.columns
     rows = docs.select(F.struct(*names).alias("row"), *C.row_key())
-    rows = C.with_spans(rows, marks(docs, width, bits)).select("row.*", F.col("spans").alias("_spans"))
+    rows = C.with_spans(rows, marks(docs, width, bits)).select("row", "spans")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at)
-            raw = [t if t is None else _cut(t, s) for t, s in zip(texts.cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist())]
-            columns = batch.columns[: len(names)]
+            columns = batch.column(0).flatten()
+            texts = columns[at]
+            raw = [t if t is None else _cut(t, s) for t, s in zip(texts.cast(pa.binary()).to_pylist(), batch.column(1).to_pylist())]
             columns[at] = pa.array(raw, pa.binary()).cast(texts.type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
