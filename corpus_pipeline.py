@@ -2,7 +2,7 @@
 
 Each stage is a function of (spark, docs, sf_dir) and works on all rows the stage before it kept;
 between two stages the documents are written as Parquet and read again. All but the last return the
-columns of ``documents``.
+columns of ``documents``, further columns included. An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -21,27 +21,42 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; learned from ``labels`` outside the held-out fifth."""
+    """Documents that score below one half; learned from ``labels`` outside the held-out fifth.
+
+    A text that is null or has no words scores the labels' rate and stays where that is below one half;
+    without labels of both kinds every text does. Each row is judged by its own text.
+    """
     return toxicity.without_toxic(docs, C.load(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id (a null id is the smallest).
+
+    Texts that are null or have no words are in no group and all stay; of repeated rows one stays.
+    """
     return jaccard.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages of 20 words and more that stand earlier already."""
+    """All documents without the passages of 20 words and more that stand earlier already.
+
+    A null text stays null; a text without such a passage stays as it is, byte for byte. Rows equal in id and
+    text are one document here; a null id comes before all others.
+    """
     return _measured(substrings.cleaned(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time a document is taken, so that sources follow their target weights."""
+    """A row for each time a document is taken, so that sources follow their target weights.
+
+    A document taken in part keeps that part of its text; a null source is one of its own; documents
+    without words weigh nothing and may drop out.
+    """
     return _measured(mixing.mixed(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded`` of every row."""
+    """``doc_id, n_tokens, ids, decoded`` of every row; a null text counts as empty."""
     return pieces.tokenise(docs)
 
 
