@@ -86,3 +86,45 @@ def test_none_and_clashing(spark):
     assert covertree.link(more).count() == df.count()
     alone = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, None, None)], SCHEMA)
     assert got(covertree.link(alone)) == [("4", 0, "4", True), ("None", 0, "None", True)]
+
+
+def clusters(n=30, size=40, dims=16, spread=0.02, seed=6):
+    r = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        centre = r.normal(0, 1, dims)
+        rows += [(100 * k + i, (centre + r.normal(0, spread, dims)).tolist(), 1) for i in range(size)]
+    return rows
+
+
+def test_blocks_far_apart_do_not_meet(spark, monkeypatch):
+    """On clustered vectors most pairs of blocks are dropped on their centres and radii, and no link is lost."""
+    rows = clusters()
+    seen = []
+    own = covertree.near_blocks
+    monkeypatch.setattr(covertree, "near_blocks", lambda heads, c: seen.append((heads.count(), own(heads, c))) or seen[-1][1])
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert got(covertree.link(df, block=60)) == brute(rows)
+    (blocks, pairs), = seen
+    assert blocks >= 20 and pairs.count() < 0.2 * blocks * (blocks + 1) / 2
+    assert pairs.where("a = b").count() == blocks
+
+
+@pytest.mark.parametrize("block,heads,levels", [(7, 4, 2), (25, 1024, 6), (10, 3, 0)])
+def test_parts_of_any_shape(spark, monkeypatch, block, heads, levels):
+    for name, value in {"HEADS": heads, "LEVELS": levels, "SAMPLE": 20, "SHARE": 15}.items():
+        monkeypatch.setattr(covertree, name, value)
+    rows = made(3 * block, 8)
+    assert got(covertree.link(spark.createDataFrame(rows, SCHEMA).repartition(3), block=block)) == brute(rows)
+
+
+def test_vectors_of_one_hash_are_told_apart(spark):
+    df = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 2), (4, 9, 1), (5, None, None)], "vec_id long, c long, d long")
+    told = covertree._told_apart(df).where("c is not null").groupBy("c").agg(F.countDistinct("d").alias("d")).collect()
+    assert len(told) == 3 and all(r.d == 1 for r in told)
+
+
+def test_clashing_columns(spark):
+    rows = made(5, 8)
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS c", "2 AS grp", "'x' AS block", "3 AS m", "4 AS v", "5 AS part")
+    assert got(covertree.link(df)) == brute(rows)

@@ -3,14 +3,20 @@
 Vectors of one label and length link when their cosine is at least ``COSINE``, that is when the unit
 vectors are within r = sqrt(2 - 2 cos) of each other. Equal vectors are one class with a count.
 
+The top of the tree is grown on Spark: a part of a label that is larger than a block chooses centres far
+from each other among a bounded sample of its classes, every class goes to its nearest centre, and the new
+parts are split again. A part that fits is a block with a centre and a covering radius. Two blocks whose
+centres are farther apart than r plus both radii hold no link; such pairs are dropped on these alone,
+before any vectors move, and only the other pairs meet. (Vectors without structure lie in wide blocks of
+which none can be dropped; then every two blocks of a label meet.)
+
 A block of classes becomes a cover tree: a node covers its members within its radius, its children are
 centres chosen so that every member lies within half the radius of one (its own centre again among
 them), and so on down to single vectors. Two trees are walked together: a pair of nodes whose centres
 are farther apart than r plus both covering radii holds no link and is dropped; one whose centres are
 close enough that even the farthest members are within r links as a whole and is counted without being
 opened; any other pair is replaced by the pairs of their children. Vectors that meet at the bottom are
-compared in double precision. Blocks of a label meet pairwise, each meeting in one task that holds two
-blocks, whatever the size of the label.
+compared in double precision. A meeting is one task that holds two blocks, whatever the size of the label.
 
 A meeting returns, per class, the number of vectors linked and one local root, so a cluster of any size
 costs one row per class and meeting; components come from joins over these roots.
@@ -23,18 +29,26 @@ class; a row without an id counts as a vector but is never the smallest id.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from wattframe.llm import common as C
 from wattframe.llm.graph import components
 from wattframe.llm.topk import usable
+from wattframe.session import small
 
 COSINE = 0.98
 BLOCK = 2_048
 LEAF = 8
+#: Centres of a part, the sample they are chosen from, and the rows that one task deals to them.
+CENTRES, SAMPLE, SHARE = 16, 256, 20_000
+#: Times that parts are split; 16^6 blocks of a label. What is larger then is cut by a hash.
+LEVELS = 6
+#: Blocks whose centres are compared at a time.
+HEADS = 1_024
 #: Distances this close to a border are decided by the cosine itself.
 _CLOSE = 1e-7
 
@@ -187,16 +201,83 @@ def _roots(n: int, edges) -> np.ndarray:
 # --- on DataFrames -----------------------------------------------------------------------------
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    """Vectors of equal length as rows, scaled to length one."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    v = column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _centres(sample: pa.Table) -> pa.Table:
+    """Of a part's sample, members far from each other: each the farthest from those before it."""
+    sample = sample.sort_by("o")
+    u = _matrix(sample.column("v"), sample.num_rows)
+    pick, far = [0], _chord(u @ u[0])
+    while len(pick) < min(CENTRES, len(u)) and far.max() > 0:
+        pick.append(int(far.argmax()))
+        far = np.minimum(far, _chord(u @ u[pick[-1]]))
+    out = sample.take(pa.array(pick))
+    return pa.table({"part": out.column("part"), "i": pa.array(np.arange(len(pick), dtype=np.int32)), "v": out.column("v")})
+
+
+_DEALT = pa.schema([("part", pa.int64()), ("c", pa.int64()), ("i", pa.int32())])
+
+
+def _nearest(members: pa.Table, centres: pa.Table) -> pa.Table:
+    """The nearest centre of each member of a part."""
+    if not members.num_rows or not centres.num_rows:
+        return _DEALT.empty_table()
+    centres = centres.sort_by("i")
+    near = (_matrix(members.column("v"), members.num_rows) @ _matrix(centres.column("v"), centres.num_rows).T).argmax(axis=1)
+    return pa.table([members.column("part"), members.column("c"), pa.array(near.astype(np.int32))], schema=_DEALT)
+
+
+def _parted(classes: DataFrame, block: int) -> DataFrame:
+    """``grp, c, block``: the classes of each group in blocks of about ``block``, near ones together."""
+    at = C.staged(classes.select("grp", "c", F.col("grp").alias("part")), "parts")
+    vectors, done = classes.select("c", "v"), []
+    for level in range(LEVELS + 1):
+        size = C.staged(at.groupBy("part").agg(F.count("*").alias("m")), "part-sizes")
+        large = size.where(F.col("m") > block)
+        cut = F.ceil(F.col("m") / block).cast("int")
+        if level == LEVELS or not large.take(1):
+            # The last parts are cut by a hash where they are still too large.
+            done.append(at.join(small(size), "part").withColumn(
+                "block", F.when(cut > 1, F.xxhash64("part", F.pmod(F.xxhash64("c"), cut))).otherwise(F.col("part"))).drop("part", "m"))
+            break
+        done.append(at.join(small(size.where(F.col("m") <= block).select("part")), "part", "left_semi").select(
+            "grp", "c", F.col("part").alias("block")))
+        over = at.join(small(large), "part").join(vectors, "c")
+        order = W.partitionBy("part").orderBy("o", "c")
+        sample = over.select("part", "c", "v", F.xxhash64("c", F.lit(level)).alias("o")).withColumn(
+            "rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).drop("rank", "c")
+        centres = C.staged(sample.groupBy("part").applyInArrow(_centres, "part long, i int, v array<double>"), "centres")
+        shares = F.ceil(F.col("m") / SHARE).cast("int")
+        spread = centres.join(small(large), "part").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
+        members = over.withColumn("share", F.pmod(F.xxhash64("c"), shares).cast("int")).select("part", "share", "c", "v")
+        dealt = C.staged(members.groupBy("part", "share").cogroup(spread.select("part", "share", "i", "v").groupBy("part", "share")).applyInArrow(
+            _nearest, "part long, c long, i int"), "dealt")
+        at = C.staged(at.join(dealt, ["part", "c"]).select("grp", "c", F.xxhash64("part", "i", F.lit(level)).alias("part")), "parts")
+    return reduce(DataFrame.unionByName, done)
+
+
 def _packed(batches):
-    """One row per block of sorted (grp, block): class ids, counts and vectors."""
+    """One row per block of sorted (grp, block): class ids, counts, vectors, and a centre with its radius."""
     name, held = None, []
 
     def close():
         c, m, v = (np.concatenate([h[i] for h in held]) for i in range(3))
+        u = v.reshape(len(c), -1)
+        u = u / np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
+        centre = u.mean(axis=0)
+        length = np.sqrt(centre @ centre)
+        centre = centre / length if length > 1e-6 else u[0]
+        radius = float(_chord(u @ centre).max())
         return pa.RecordBatch.from_arrays(
-            [pa.array([name[0]], pa.int64()), pa.array([name[1]], pa.int32()), pa.array([len(c)], pa.int32()),
-             pa.array([c.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())],
-            ["grp", "block", "n", "c", "m", "v"])
+            [pa.array([name[0]], pa.int64()), pa.array([name[1]], pa.int64()), pa.array([c.tobytes()], pa.binary()),
+             pa.array([m.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()),
+             pa.array([centre.tobytes()], pa.binary()), pa.array([radius])],
+            ["grp", "block", "c", "m", "v", "centre", "radius"])
 
     for batch in batches:
         grp, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -213,6 +294,33 @@ def _packed(batches):
         yield close()
 
 
+def _near(cosine: float):
+    """Pairs of blocks (a <= b) near enough for a link, from cells of up to two lots of block heads."""
+    reach = float(np.sqrt(2.0 - 2.0 * cosine)) + _CLOSE
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("block")
+        block = cell.column("block").to_numpy()
+        centre = np.stack([np.frombuffer(x) for x in cell.column("centre").to_pylist()])
+        radius, side = cell.column("radius").to_numpy(), cell.column("side").to_numpy()
+        i, j = np.nonzero(np.triu(_chord(centre @ centre.T) - radius[:, None] - radius[None, :] <= reach))
+        keep = (side[i] != side[j]) | (side[i] == 2)
+        grp = cell.column("grp")[0].as_py()
+        return pa.table({"grp": pa.array(np.full(keep.sum(), grp)), "a": pa.array(block[i[keep]]), "b": pa.array(block[j[keep]])})
+
+    return run
+
+
+def near_blocks(heads: DataFrame, cosine: float) -> DataFrame:
+    """``grp, a, b``: the pairs of blocks (a <= b) of a group that can hold a link, a block with itself included."""
+    lots = F.ceil(F.col("blocks") / HEADS).cast("int")
+    counted = heads.join(heads.groupBy("grp").agg(F.count("*").alias("blocks")), "grp").withColumn(
+        "lot", F.pmod(F.xxhash64("block"), lots).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), lots - 1)))
+    side = F.when(F.col("lot") == F.col("other"), 2).when(F.col("lot") < F.col("other"), 0).otherwise(1)
+    cells = counted.select("grp", F.least("lot", "other").alias("x"), F.greatest("lot", "other").alias("y"), "block", "centre", "radius", side.alias("side"))
+    return cells.groupBy("grp", "x", "y").applyInArrow(_near(cosine), "grp long, a long, b long")
+
+
 def _met(cosine: float):
     """Links of two blocks (or within one): per class with any, its count and a local root."""
 
@@ -237,6 +345,19 @@ def _met(cosine: float):
     return run
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Different vectors whose first hashes agree get others, made with the second, until none do."""
+    turn = 0
+    while True:
+        shared = rows.where("c is not null").groupBy("c").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x <> y")
+        shared = C.staged(shared.select("c", F.lit(True).alias("shared")), "shared")
+        if not shared.take(1):
+            return rows
+        new = F.when(F.col("shared"), F.xxhash64("c", "d", F.lit(turn))).otherwise(F.col("c"))
+        rows = C.staged(rows.join(small(shared), "c", "left").withColumn("c", new).drop("shared"), "vectors")
+        turn += 1
+
+
 def link(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row per vector."""
     spark = vectors.sparkSession
@@ -245,20 +366,21 @@ def link(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Data
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"),
         F.transform(x, lambda e: e.cast("double")).alias("v"))
     some = F.col("label").isNotNull() & usable(F.col("v")) & F.exists("v", lambda e: e != 0)
-    rows = rows.select("vec_id", "label", "v", F.when(some, F.xxhash64("label", "v")).alias("c"))
+    # Two hashes tell vectors (with labels) apart.
+    names = [F.when(some, F.xxhash64(F.lit(i), "label", "v")).alias(x) for i, x in enumerate("cd")]
+    rows = _told_apart(rows.select("vec_id", "label", "v", *names))
     classes = C.staged(rows.where("c is not null").groupBy("c").agg(
         F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("m"), F.min("vec_id").alias("least")), "vector-classes")
     # Labels (with lengths) in blocks; a large label has many.
     sized = classes.withColumn("grp", F.xxhash64("label", F.size("v")))
-    groups = sized.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    keyed = sized.join(groups, "grp").withColumn("block", F.pmod("c", F.col("blocks")).cast("int"))
+    keyed = _parted(sized, block).join(sized.select("c", "m", "v"), "c")
     parts = C.partitions(spark)
     packs = C.staged(keyed.select("grp", "block", "c", "m", "v").repartition(parts, "grp", "block").sortWithinPartitions(
-        "grp", "block", "c").mapInArrow(_packed, "grp long, block int, n int, c binary, m binary, v binary"), "vector-blocks")
-    ahead = packs.join(groups, "grp").withColumn("to", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-    ahead = ahead.select(F.col("grp").alias("g"), "to", F.col("block").alias("b"), F.col("c").alias("c1"), F.col("m").alias("m1"), F.col("v").alias("v1"))
-    met = ahead.join(packs, (ahead["g"] == packs["grp"]) & (ahead["to"] == packs["block"])).select(
-        (F.col("b") == F.col("to")).alias("same"), "c1", "m1", "v1", "c", "m", "v")
+        "grp", "block", "c").mapInArrow(_packed, "grp long, block long, c binary, m binary, v binary, centre binary, radius double"), "vector-blocks")
+    pairs = C.staged(near_blocks(packs.select("grp", "block", "centre", "radius"), cosine), "block-pairs")
+    left, right = (packs.select("grp", F.col("block").alias(x), *[F.col(y).alias(f"{y}{x}") for y in "cmv"]) for x in "ab")
+    met = pairs.join(left, ["grp", "a"]).join(right, ["grp", "b"]).select(
+        (F.col("a") == F.col("b")).alias("same"), "ca", "ma", "va", "cb", "mb", "vb")
     found = C.staged(met.repartition(parts).mapInArrow(_met(cosine), "c long, links long, root long"), "vector-links")
     roots = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("c").agg(F.sum("links").alias("links"))
