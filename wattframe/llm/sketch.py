@@ -101,10 +101,24 @@ def build(df: DataFrame, items: Items, bits: int = BITS) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast(table.reshape(ROWS, -1))
 
 
+#: A hot cell holds so many times the mean of its range. At most one cell in so many can.
+ABOVE = 32
+
+
+def _hot_cells(counts: np.ndarray, least: int) -> np.ndarray:
+    """Cells of a range that count ``least`` or more and stand out from the range's mean load."""
+    return np.flatnonzero(counts >= max(least, ABOVE * float(counts.mean()))).astype(np.uint32)
+
+
 def build_hot(df: DataFrame, items: Items, least: int, bits: int = BITS) -> Broadcast:
-    """Per row the sorted cells of ``least`` items or more, for ``hot``; there are few of these."""
+    """Per row the sorted cells of ``least`` items or more, for ``hot``.
+
+    Where so many items share the cells that chance alone brings ``least`` together, a cell must exceed the
+    mean load ``ABOVE`` times, so the list holds one cell in ``ABOVE`` at most (32 MB with the defaults)
+    however large the table is, and chance makes nothing hot.
+    """
     rows: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
-    for g, packed in _counted(df, items, bits, True, lambda counts: np.flatnonzero(counts >= least).astype(np.uint32)):
+    for g, packed in _counted(df, items, bits, True, lambda counts: _hot_cells(counts, least)):
         first = np.uint32((g % RANGES) << (bits - _RANGE_BITS))
         rows[g // RANGES].append(np.frombuffer(packed, np.uint32) + first)
     cells = [np.sort(np.concatenate(r)) if r else np.zeros(0, np.uint32) for r in rows]
