@@ -181,15 +181,16 @@ def test_large_regions_are_split_without_loss(docs, monkeypatch, block, cell):
 
 
 @pytest.mark.parametrize("cut", [1, 2, 3, 7, 1000])
-def test_crowded_regions_pass_in_any_batches(cut):
-    r = random.Random(cut)
-    rows_ = sorted((r.randrange(30), r.randrange(4)) for _ in range(90)) + [(40, 1), (40, 1), (40, 1), (41, 0), (42, 1), (42, 2)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows_[a : a + cut])], ["w", "c"]) for a in range(0, len(rows_), cut)]
-    got = [(w, c) for b in jaccard._crowded(batches) for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    members = {}
-    for w, c in rows_:
-        members.setdefault(w, set()).add(c)
-    assert got == sorted((w, c) for w, cs in members.items() if len(cs) > 1 for c in cs)
+@pytest.mark.parametrize("seed", range(6))
+def test_crowded_regions_pass_in_any_batches(cut, seed):
+    r = random.Random(seed)
+    size = {c: r.choice([10, 11, 12, 50, 52, 60, 99, 110]) for c in range(40)}
+    rows_ = sorted((w, size[c], c) for w, c in ((r.randrange(25), r.randrange(40)) for _ in range(120)))
+    rows_ += [(40, 10, 1)] * 3 + [(41, 10, 0), (42, 10, 1), (42, 11, 2), (43, 10, 1), (43, 12, 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows_[a : a + cut])], ["w", "n", "c"]) for a in range(0, len(rows_), cut)]
+    got = [(w, c) for b in jaccard._crowded(90)(batches) for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    want = {(w, c) for w, n, c in rows_ for v, m, e in rows_ if v == w and e != c and 100 * min(n, m) >= 90 * max(n, m)}
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_pivots_split_clusters(spark):

@@ -8,7 +8,7 @@ is within radius r = 1 - percent / 100 of the Jaccard metric. The join works in
    those that partitions see often come last, long ones (mostly rare) first, then by hash. A class
    lies in the region of its first shingle, and since a partner within r misses at most
    n - ceil(percent * n / 100) of its n shingles, it is replicated into the regions of that many
-   more: two linked classes share a region. (Documents as first pivots would not separate texts: nearly
+   more: two linked classes share a region. A class with no other of a fitting size in a region leaves it. (Documents as first pivots would not separate texts: nearly
    all lie at distances of 0.97 to 1 from any pivot, far closer together than 2 r.)
 2. Pivots in a region. In each round every region compares its members with one member, its pivot,
    exactly. Members within r join its component, so a group of copies costs one pair each and not all
@@ -156,7 +156,7 @@ def _described(width: int):
 
 
 def _regions(often, width: int, percent: int):
-    """``w, c, d``: the region shingles of each document, once a class and task."""
+    """``w, n, c, d``: the region shingles of each document and the size of its set, once a class and task."""
 
     def run(batches):
         known = often.value
@@ -168,7 +168,7 @@ def _regions(often, width: int, percent: int):
                 hot = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
             key = (hot.astype(np.uint64) << np.uint64(63)) | (
                 np.uint64(255) - np.minimum(length, 255).astype(np.uint64)) << np.uint64(55) | (h >> np.uint64(9))
-            names, prefix = [], [np.zeros(0, np.uint64)]
+            names, sizes, prefix = [], [], [np.zeros(0, np.uint64)]
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 own, at = np.unique(h[a:b], return_index=True)
                 name = _class(own)
@@ -177,36 +177,46 @@ def _regions(often, width: int, percent: int):
                 seen.add(name)
                 most = len(own) - int(needed(len(own), percent)) + 1
                 names.append(name)
+                sizes.append(len(own))
                 prefix.append(own[np.argsort(key[a:b][at], kind="stable")[:most]])
             c, d = np.array(names, np.int64).reshape(-1, 2).T
             size = [len(x) for x in prefix[1:]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(prefix).view(np.int64)), pa.array(np.repeat(c, size)), pa.array(np.repeat(d, size))], ["w", "c", "d"])
+                [pa.array(x) for x in (np.concatenate(prefix).view(np.int64), *(np.repeat(np.array(y, np.int64), size) for y in (sizes, c, d)))],
+                ["w", "n", "c", "d"])
 
     return run
 
 
-def _crowded(batches) -> Iterator[pa.RecordBatch]:
-    """Of rows ``w, c`` in order, each once, those whose ``w`` has more than one ``c``.
+def _crowded(percent: int):
+    """Of rows ``w, n, c`` in order, each once, those whose region holds another class of a size that allows a link.
 
-    Rows pass through: a region's first row waits for a second one, nothing else is held.
+    In order of size the nearest ones stand next to each other. Rows pass through: one that has no partner
+    before it waits for the next one, nothing else is held.
     """
-    wait, seen = None, None  # the row that waits, and the last row of a region that is known to be crowded
-    for batch in batches:
-        w, c = (x.to_numpy() for x in batch.columns)
-        if not len(w):
-            continue
-        if wait:
-            w, c = np.append(wait[0], w), np.append(wait[1], c)
-        again = np.append(bool(seen) and seen == (w[0], c[0]), (w[1:] == w[:-1]) & (c[1:] == c[:-1]))
-        w, c = w[~again], c[~again]
-        if not len(w):
-            continue
-        same = w[1:] == w[:-1]
-        keep = np.append(bool(seen) and seen[0] == w[0], same) | np.append(same, False)
-        wait, seen = (None, (w[-1], c[-1])) if keep[-1] else ((w[-1], c[-1]), None)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(w[keep]), pa.array(c[keep])], ["w", "c"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        wait, seen = None, None  # the row that waits, or the last row if that has a partner already
+        for batch in batches:
+            rows = np.stack([x.to_numpy() for x in batch.columns])
+            if not rows.shape[1]:
+                continue
+            last = wait if wait is not None else seen
+            if last is not None:
+                rows = np.concatenate([last[:, None], rows], axis=1)
+            new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))
+            w, n, c = rows = rows[:, new]
+            near = (w[1:] == w[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            keep = np.append(False, near) | np.append(near, False)
+            told = seen is not None  # the first row has been passed on
+            end = bool(keep[-1]) or (told and len(w) == 1)
+            wait, seen = (None, rows[:, -1]) if end else (rows[:, -1], None)
+            if told:
+                keep[0] = False
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(w[keep]), pa.array(c[keep])], ["w", "c"])
+
+    return run
 
 
 def _sets_of(width: int):
@@ -601,9 +611,9 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     sets, renamed = _told_apart(told.where("w is null").drop("w", "times"))
     reps = C.staged(sets.where("bits is not null").groupBy("c").agg(
         F.first(F.struct("n", "bits", "k1", "k2")).alias("r")).select("c", "r.*"), "classes")
-    regions = renamed(rows.select("text").mapInArrow(_regions(table, width, percent), "w long, c long, d long")).select("w", "c")
-    members = C.staged(regions.repartition(C.partitions(spark), "w").sortWithinPartitions("w", "c").mapInArrow(
-        _crowded, "w long, c long"), "regions")
+    regions = renamed(rows.select("text").mapInArrow(_regions(table, width, percent), "w long, n long, c long, d long"))
+    members = C.staged(regions.select("w", "n", "c").repartition(C.partitions(spark), "w").sortWithinPartitions("w", "n", "c").mapInArrow(
+        _crowded(percent), "w long, c long"), "regions")
 
     links, comp = None, None
     for turn in range(ROUNDS):
