@@ -209,11 +209,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def _centres(sample: pa.Table) -> pa.Table:
-    """Of a part's sample, members far from each other: each the farthest from those before it."""
-    sample = sample.sort_by("o")
+    """Of a part's sample, ``most`` members far from each other: each the farthest from those before it."""
+    sample, most = sample.sort_by("o"), sample.column("most")[0].as_py()
     u = _matrix(sample.column("v"), sample.num_rows)
     pick, far = [0], _chord(u @ u[0])
-    while len(pick) < min(CENTRES, len(u)) and far.max() > 0:
+    while len(pick) < min(most, len(u)) and far.max() > 0:
         pick.append(int(far.argmax()))
         far = np.minimum(far, _chord(u @ u[pick[-1]]))
     out = sample.take(pa.array(pick))
@@ -249,7 +249,9 @@ def _parted(classes: DataFrame, block: int) -> DataFrame:
             "grp", "c", F.col("part").alias("block")))
         over = at.join(small(large), "part").join(vectors, "c")
         order = W.partitionBy("part").orderBy("o", "c")
-        sample = over.select("part", "c", "v", F.xxhash64("c", F.lit(level)).alias("o")).withColumn(
+        # About as many parts as blocks are needed: more would meet more often than they save.
+        most = F.least(F.lit(CENTRES), F.ceil(1.5 * F.col("m") / block).cast("int"))
+        sample = over.select("part", "c", "v", most.alias("most"), F.xxhash64("c", F.lit(level)).alias("o")).withColumn(
             "rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).drop("rank", "c")
         centres = C.staged(sample.groupBy("part").applyInArrow(_centres, "part long, i int, v array<double>"), "centres")
         shares = F.ceil(F.col("m") / SHARE).cast("int")
