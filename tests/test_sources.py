@@ -245,6 +245,20 @@ def test_log_compaction(spark, tmp_path, monkeypatch):
     assert len(names()) == 30 and len(os.listdir(f"{path}/_compacted")) <= 2
 
 
+def test_log_compaction_by_size(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    files = lambda: [n for d, _, f in os.walk(f"{path}/_compacted") for n in f if n.startswith("part-")]
+    rows = spark.range(6000).selectExpr("cast(id AS string) AS id", "id AS fecha_ts", "'t' AS tipo", "'u' AS usuario")
+    rows.repartition(8).write.json(path)
+    monkeypatch.setattr(feed, "FILE_BYTES", 100_000)
+    for n in (0, 1):
+        feed.append_report(spark, path)
+        assert feed.compact_reports(spark, path, least=1)
+        log = feed.read_reports(spark, path)
+        assert log.where("tipo = 't'").agg({"fecha_ts": "sum"}).first()[0] == 17_997_000 and log.count() == 6001 + n
+        assert len(files()) >= 3 * (n + 1)
+
+
 def test_scoring_lines_that_cannot_be_read(spark, tmp_path):
     good = '{"id": 1, "consumo_kwh": 1.5, "consumo_pico": "2", "promedio_hora": 3, "costo_estimado": 4, "estado": "inactivo"}'
     lines = [good, good[:40], "no json", "", f"[{good}, {good}]", '{"id": 2, "consumo_kwh": 1}']

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wattframe import schema as S
 from wattframe.functions.coerce import flag, number
-from wattframe.session import file_system, listed
+from wattframe.session import file_system, listed, sizes
 
 
 def parse_feed(df: DataFrame, raw: str = "value") -> DataFrame:
@@ -36,6 +36,10 @@ def last_n(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     return df.orderBy(F.desc(key)).limit(n)
 
 
+#: Bytes of a compacted file, about; each is written by a task of its own.
+FILE_BYTES = 1 << 27
+
+
 def _compactions(spark: SparkSession, path: str) -> list[str]:
     """Finished compactions of a log, oldest first."""
     names = [n for n in listed(spark, f"{path}/_compacted") if n.startswith("v=")]
@@ -62,9 +66,11 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
 
 
-def compact_reports(spark: SparkSession, path: str, least: int = 100, files: int = 1) -> bool:
+def compact_reports(spark: SparkSession, path: str, least: int = 100, files: int | None = None) -> bool:
     """Folds the log's request files into ``files`` files if there are ``least`` of them; whether it did.
 
+    Without ``files`` there are as many as the log has bytes for, so that no task reads or writes the whole log.
+
     Appends may go on meanwhile. The manifest, which names the files folded in, is written before the
     compaction, and readers take both from the moment the compaction is finished, so every request counts
     once throughout; a run that breaks off leaves the log as it was. The folded files go last, and those of
@@ -77,6 +83,10 @@ def compact_reports(spark: SparkSession, path: str, least: int = 100, files: int
     used = [int(n.split("=")[1]) for n in listed(spark, f"{path}/_compacted") if n.startswith("v=")]
     name = f"v={max(used, default=-1) + 1:09d}"
     folded = [n for n in listed(spark, path) if not n.startswith(("_", ".")) and n not in loose] + loose
+    if files is None:
+        own = sizes(spark, path)
+        held = sum(sizes(spark, f"{path}/_compacted/{done[-1]}").values()) if done else 0
+        files = max(1, -(-(held + sum(own[n] for n in loose)) // FILE_BYTES))
     spark.createDataFrame([(n,) for n in folded], "value string").coalesce(1).write.text(f"{path}/_manifest/{name}")
     whole = spark.read.schema(S.REPORT).json([f"{path}/{n}" for n in loose])
     if done:
