@@ -3,8 +3,8 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from wattframe import schema as S
-from wattframe.plans import mining
+from wattframe import schema as S, session
+from wattframe.plans import mining, queries
 from wattframe.sources import headers, readings, sinks
 from wattframe.sources.chunks import with_chunks
 
@@ -111,3 +111,36 @@ def test_groups_of_headers(spark, tmp_path):
         names.append((tmp_path / f"{i:02d}.csv").as_uri())
     groups = headers.by_header(spark, names)
     assert [len(g) for g in groups] == [14, 26] and groups[0][0] == names[0]
+
+
+def test_chunks_go_on_through_the_parts_of_a_folder(spark, blocks, tmp_path):
+    """Two folders of three files each, told apart by their chunks alone."""
+    for f, sizes in enumerate(((250, 1, 49), (120, 0, 500))):
+        (tmp_path / f"t{f}").mkdir()
+        at = 0
+        for p, n in enumerate(sizes):
+            lines = ["consumo_kwh,timestamp"] + [f"{i},2024-01-0{f + 1} 00:00:00" for i in range(at, at + n)]
+            (tmp_path / f"t{f}" / f"p{p}.csv").write_text("\n".join(lines) + "\n")
+            at += n
+    read = lambda **more: readings.read_readings(
+        spark, str(tmp_path / "*"), S.MINING, batch_folders=True, chunk_rows=100, **more)
+    assert chunks(read()) == wanted((300, 620), 100)
+    assert chunks(read(max_batches=4)) == wanted((300, 620), 100)[:4]
+
+
+def test_chunked_tables_come_in_parts(spark, monkeypatch):
+    """No task orders or writes a whole table, and the chunks do not depend on the parts; some ids are null."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 5 != 0, F.col("id") % 1500).alias("event_id"),
+        F.timestamp_seconds(F.col("id") * 1000).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 50).alias("user_id"), (F.col("id") / 8).alias("value"))
+    monkeypatch.setattr(queries.tables, "load", lambda *a: rows)
+    written = []
+    monkeypatch.setattr(queries, "work_dir", lambda s, n: written.append(session.work_dir(s, n)) or written[-1])
+    got = []
+    for part in (100, 10_000):
+        monkeypatch.setattr(queries, "PART", part)
+        got.append(sorted(map(tuple, queries.csv_chunks(spark, "").collect())))
+    assert got[0] == got[1] and sum(r[1] for r in got[0]) == 4000
+    sizes = spark.read.csv(written[0], header=True).groupBy(F.input_file_name()).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 400 and sizes[1] >= 40

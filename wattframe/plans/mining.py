@@ -136,7 +136,7 @@ def build(
     """Reads the file at ``path`` and replaces the five results under ``out``.
 
     A batch is a file, with ``batch_folders`` all files of a folder, with ``chunk_rows`` so many rows of a
-    file. An ``id`` in the file orders the sample; else a hash of the row does.
+    file (with both, of a folder). An ``id`` in the file orders the sample; else a hash of the row does.
 
     The results become visible together, when all are written. The cleaned readings, the cube and the
     sample pool are written there too and read back: the

@@ -815,15 +815,22 @@ def csv_scan(spark, sf):
 
 #: Rows of a chunk in the queries below.
 CHUNK = 300
+#: Rows that one task puts in order and writes for them, about.
+PART = 250_000
 
 
 def _chunked_files(spark, sf, max_batches: int = 0) -> DataFrame:
-    """Four CSV files in order of id, read in chunks of their rows."""
+    """Four CSV tables in order of id, each in as many parts as its rows need, read in chunks of their rows.
+
+    Rows of one id stay as they come; however many there are, no single task has to take them all.
+    """
     folder = work_dir(spark, "csv-chunks")
     raw = tables.raw_batch(spark, sf).drop("batch_id").withColumn("parte", F.col("id") % 4)
-    ordered = raw.repartition(4, "parte").sortWithinPartitions("parte", "id")
+    raw, order = raw.withColumn("orden", F.monotonically_increasing_id()), ["parte", "id", "orden"]
+    parts = max(4, -(-raw.count() // PART))
+    ordered = raw.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("orden")
     ordered.write.partitionBy("parte").options(**sinks.CSV_OPTIONS).csv(folder)
-    return files.read_readings(spark, folder, S.MINING, max_batches, chunk_rows=CHUNK, keep=("id",))
+    return files.read_readings(spark, folder, S.MINING, max_batches, batch_folders=True, chunk_rows=CHUNK, keep=("id",))
 
 
 @query

@@ -63,7 +63,8 @@ def read_readings(
 ) -> DataFrame:
     """Readings under a contract, each row tagged with its ``batch_id``: the file it is in, or with
     ``batch_folders`` the folder, so that a batch may be written and read as many files, or with
-    ``chunk_rows`` the number of its run of so many rows, counted through all files in name order.
+    ``chunk_rows`` the number of its run of so many rows, counted through all files in name order. With both,
+    the files of a folder are parts of one and runs go on from part to part.
 
     ``max_batches`` reads only the first so many batches in that order; 0 reads all. ``keep`` names
     further columns to keep if present. Files whose headers differ are read by name, each header under the
@@ -74,7 +75,7 @@ def read_readings(
     df, fmt = scan(spark, path, multi_line)
     files = sorted(df.inputFiles())
     if max_batches > 0:
-        # Each file has a batch of its own at least, so the first batches are in the first files.
+        # Each file or folder has a batch of its own at least, so the first batches are in the first files.
         of = {f: f.rsplit("/", 1)[0] if batch_folders else f for f in files}
         first = sorted(set(of.values()))[:max_batches]
         files = [f for f in files if of[f] in first]
@@ -84,7 +85,7 @@ def read_readings(
     else:
         tables = [_read(spark, files, fmt, multi_line) if max_batches > 0 else df]
     if chunk_rows:
-        tagged = with_chunks(tables, fmt, chunk_rows)
+        tagged = with_chunks(tables, fmt, chunk_rows, folders=batch_folders)
         if max_batches > 0:
             tagged = [t.where(F.col("batch_id") < max_batches) for t in tagged]
     else:
