@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -74,3 +76,19 @@ def test_general_output_and_empty(docs):
     got = {r.doc_id: (r.n_tokens, r.ids, r.decoded) for r in pieces.tokenise(docs([(1, "a b"), (2, None)])).collect()}
     assert got == {1: (4, [1, 264, 287, 2], "a b"), 2: (2, [1, 2], "")}
     assert pieces.tokenise(docs([]), digests=True).count() == 0
+
+
+def test_memory_is_bounded_by_the_unit():
+    """A batch of 6 MB of text takes a small multiple of one unit, not of the batch."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=r.randrange(2, 9))) for _ in range(5000)]
+    texts = [" ".join(r.choices(words, k=2000)) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], ["doc_id", "text"])
+    pieces.vocabulary(pieces.default_model())
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in pieces._run(pieces.default_model(), False)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 500 and peak < 80e6

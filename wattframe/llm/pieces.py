@@ -43,7 +43,8 @@ from wattframe.llm import common as C
 SPACE = "▁"
 LONG = 256
 _NONE = np.int64(1 << 40)
-_UNIT = 1 << 22
+#: Bytes of text encoded at a time; the arrays this takes are some fifty times as large.
+_UNIT = 1 << 20
 
 
 @dataclass
