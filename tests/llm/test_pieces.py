@@ -91,4 +91,4 @@ def test_memory_is_bounded_by_the_unit():
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
-    assert rows == 500 and peak < 80e6
+    assert rows == 500 and peak < 50e6
