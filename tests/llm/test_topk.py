@@ -99,3 +99,76 @@ def test_few_and_none(spark):
     none = topk.integers(df.limit(0))
     assert topk.search(none, none).count() == 0
     assert topk.integers(df.withColumns({"v": F.lit(1), "dims": F.lit(2), "block": F.lit(3)})).count() == 2
+
+
+def found(held):
+    """Rank by rank (query's place, -score, id) of what a group of queries has found."""
+    return [(a, -int(held.score[a, c]), int(held.best[a, c])) for a in range(len(held.ids)) for c in range(held.k) if held.score[a, c] > -np.inf]
+
+
+@pytest.mark.parametrize("queries", [50, 400])
+@pytest.mark.parametrize("large,ids", [(3, 10_000), (100, 10_000), (2**20, 10_000), (1, 10_000), (1, 60)])
+def test_groups_of_queries_find_the_best_over_blocks(queries, large, ids):
+    """Ties, ids that come several times and scores beyond single precision; few queries at once and many."""
+    r = np.random.default_rng(large + ids)
+    rows = np.unique(np.column_stack([r.integers(0, ids, 2500), r.integers(-large, large + 1, (2500, 5))]), axis=0)
+    rows[::7, 1:] *= 10
+    rows = np.unique(rows, axis=0)[r.permutation(len(np.unique(rows, axis=0)))]
+    own, v = rows[:, 0].copy(), rows[:, 1:].copy()
+    held = topk.Held(4, own[:queries], v[:queries])
+    for a in range(0, len(v), 900):
+        held.meet(topk.Reading(own[a : a + 900], topk._narrow(v[a : a + 900])))
+    score = v[:queries] @ v.T
+    want = []
+    for a in range(queries):
+        pairs = {(-int(s), int(i)) for s, i in zip(score[a], own) if i != own[a]}
+        want += [(a, *x) for x in sorted(pairs)[:4]]
+    assert found(held) == want
+
+
+def test_blocks_that_cannot_reach_the_floor_are_not_read():
+    """Once long members are found, the lists of a block of short ones are left alone; a mixed one is read in part."""
+    r = np.random.default_rng(4)
+    v = r.integers(-20, 20, (6000, 6))
+    v[:1000] *= 30
+    v[4000:4100] *= 40
+    q = r.integers(-50, 50, (300, 6))
+    held = topk.Held(5, -1 - np.arange(300), q)
+    held.meet(topk.Reading(np.arange(1000), v[:1000]))
+    assert held.scored == 300 * 1000
+    held.meet(topk.Reading(np.arange(1000, 4000), v[1000:4000]))
+    assert held.scored < 301 * 1000
+    held.meet(topk.Reading(np.arange(4000, 6000), v[4000:]))
+    assert held.scored <= 300 * (1000 + topk.STEP) + 1000
+    score = q @ v.T
+    assert [(a, -x) for a, x, _ in found(held)] == [(a, int(x)) for a in range(300) for x in -np.sort(-score[a])[:5]]
+
+
+def test_each_vector_moves_to_few_tasks(spark, monkeypatch):
+    """Two tables of 20 and 1 blocks make no 20 meetings that carry two blocks each: candidates move once."""
+    assert topk.grid(2000, 40, 10_000, 6) == (1, 1)
+    for cores in (6, 100):
+        for n in (600_000, 15_000_000, 75_000_000):
+            shares, groups = topk.grid(n, n // 50, n // 50 * 232, cores)
+            # Blocks against blocks moved every candidate n / 50 / 512 times.
+            assert groups * n + shares * (n // 50) <= 8 * n and shares * groups >= min(2 * cores, 12)
+            assert n // 50 * 232 / groups <= topk.HELD
+    monkeypatch.setattr(topk, "FEWEST", 1 << 10)
+    rows = [(i, [float(x) for x in np.random.default_rng(i).integers(-50, 50, 4)]) for i in range(900)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(4)
+    v = topk.integers(df)
+    seen = []
+    dealt = topk.grid
+    monkeypatch.setattr(topk, "grid", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    got = topk.search(v, v.where(F.col("vec_id") % 3 == 0), 5, 50, 20)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute(rows, 5, 3)
+    assert seen[0][0] > 1 and seen[0][1] > 1
+
+
+def test_ids_with_several_vectors(spark):
+    """Rows that share id and score take one rank, and the next ones follow."""
+    rows = [(0, [1.0, 0.0])] + [(7, [0.5, float(x)]) for x in range(9)] + [(i, [0.25 / i, 1.0]) for i in range(8, 16)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    v = topk.integers(df)
+    got = topk.search(v, v.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 7), (2, 8), (3, 9), (4, 10), (5, 11)]
